@@ -1,7 +1,8 @@
 """Registered queries: name -> (spark, sf_dir) -> DataFrame.
 
 Every query reads the driver's tables (or data Spark derives from them) in
-full; none runs on fixed input alone.
+full; none runs on fixed input alone.  Float outputs are rounded to 6 digits
+and integer outputs are BIGINT so results compare across engines.
 """
 
 from __future__ import annotations
@@ -9,13 +10,128 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..config import DEBUG_ROWS, TASKS
+from ..operators import batching as bt
+from ..operators import examples as ex
+from ..operators import splits as sp
+from ..operators import stats as st
+from ..operators.common import r6
 from . import prepare
+from .prepare import Prepared
 
 Query = Callable[[SparkSession, str], DataFrame]
+_REG: dict[str, Query] = {}
+
+
+def register(name: str):
+    def deco(fn: Query) -> Query:
+        _REG[name] = fn
+        return fn
+    return deco
 
 
 def queries() -> dict[str, Query]:
-    q: dict[str, Query] = {}
-    q["split_summary"] = prepare.split_summary
-    return q
+    return dict(_REG)
+
+
+register("split_summary")(prepare.split_summary)
+
+
+# --- step 1: examples, label dictionary, counts, weights ---------------------
+
+@register("examples")
+def q_examples(spark, sf_dir):
+    return ex.load_examples(spark, sf_dir)
+
+
+@register("debug_head")
+def q_debug_head(spark, sf_dir):
+    e = ex.load_examples(spark, sf_dir)
+    return ex.head_per_group(e, ["task", "kind"], ["id"], DEBUG_ROWS).select("task", "kind", "id", "label")
+
+
+@register("label_dim")
+def q_label_dim(spark, sf_dir):
+    return ex.build_label_dim(ex.load_examples(spark, sf_dir))
+
+
+@register("encoded_labels")
+def q_encoded_labels(spark, sf_dir):
+    e = ex.load_examples(spark, sf_dir)
+    return (ex.encode_labels(e, ex.build_label_dim(e))
+            .select("task", "kind", "id", "label", "label_idx"))
+
+
+@register("split_counts")
+def q_split_counts(spark, sf_dir):
+    return st.split_counts(Prepared(spark, sf_dir).splits)
+
+
+@register("label_counts")
+def q_label_counts(spark, sf_dir):
+    return st.label_counts(ex.load_examples(spark, sf_dir))
+
+
+@register("class_weights")
+def q_class_weights(spark, sf_dir):
+    cw = st.class_weights(ex.load_examples(spark, sf_dir))
+    return cw.select("task", "label", "n", r6("weight").alias("weight"), "freq_rank")
+
+
+@register("task_proportions")
+def q_task_proportions(spark, sf_dir):
+    p = st.task_proportions(st.task_counts(ex.load_examples(spark, sf_dir)))
+    return p.select("task", "n", r6("p").alias("p"))
+
+
+# --- step 2: plan, quotas, split --------------------------------------------
+
+@register("split_plan")
+def q_split_plan(spark, sf_dir):
+    p = Prepared(spark, sf_dir).plan
+    return p.select("task", F.col("task_idx").cast("bigint").alias("task_idx"), "n", "batch_size",
+                    "n_batches", "train_batches", "dev_n", r6("dev_fraction").alias("dev_fraction"))
+
+
+@register("label_quota")
+def q_label_quota(spark, sf_dir):
+    return Prepared(spark, sf_dir).quota
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return Prepared(spark, sf_dir).splits.select("task", "id", "label", "split")
+
+
+@register("split_check")
+def q_split_check(spark, sf_dir):
+    p = Prepared(spark, sf_dir)
+    return sp.split_check(p.splits, p.examples)
+
+
+@register("dev_split")
+def q_dev_split(spark, sf_dir):
+    p = Prepared(spark, sf_dir)
+    return ex.get_split(p.encoded_splits(), "dev").select("task", "id", "label", "label_idx")
+
+
+# --- step 3: batching ----------------------------------------------------------
+
+@register("batches")
+def q_batches(spark, sf_dir):
+    p = Prepared(spark, sf_dir)
+    return bt.assign_batches(p.splits, p.plan, epoch=1).select("task", "split", "id", "pos", "batch_id")
+
+
+@register("lockstep")
+def q_lockstep(spark, sf_dir):
+    p = Prepared(spark, sf_dir)
+    return bt.zip_batches(bt.assign_batches(p.splits, p.plan, epoch=2))
+
+
+@register("submission_positions")
+def q_positions(spark, sf_dir):
+    p = Prepared(spark, sf_dir)
+    return bt.submission_positions(p.splits.filter(F.col("split") == "test").select("task", "id"))

@@ -94,3 +94,71 @@ SELECT s.task, s.split, s.label, count(*)::BIGINT AS n, round(any_value(cw.weigh
 FROM splits s LEFT JOIN cw ON s.task = cw.task AND s.label = cw.label
 GROUP BY s.task, s.split, s.label"""
     return q
+
+
+def _step1(q: dict[str, str]) -> None:
+    q["examples"] = with_(EX) + "SELECT task, id, text_a, text_b, label, kind FROM ex"
+    q["debug_head"] = with_(EX) + f"""
+SELECT task, kind, id, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY task, kind ORDER BY id) AS rn FROM ex) WHERE rn <= 1000"""
+    q["label_dim"] = with_(EX) + "SELECT task, label, label_idx FROM ldim"
+    q["encoded_labels"] = with_(EX) + """
+SELECT e.task, e.kind, e.id, e.label, d.label_idx FROM ex e LEFT JOIN ldim d ON e.task = d.task AND e.label = d.label"""
+    q["split_counts"] = with_(*PREP) + """
+SELECT task, split, count(*)::BIGINT AS n, (CASE WHEN task IS NULL THEN 3 WHEN split IS NULL THEN 1 ELSE 0 END)::INT AS level
+FROM splits GROUP BY ROLLUP (task, split)"""
+    q["label_counts"] = with_(EX) + "SELECT task, label, count(*)::BIGINT AS n FROM lab GROUP BY task, label"
+    q["class_weights"] = with_(EX, "lc AS (SELECT task, label, count(*)::BIGINT AS n FROM lab GROUP BY task, label)", CW) + \
+        "SELECT task, label, n, round(weight, 6) AS weight, freq_rank FROM cw"
+    q["task_proportions"] = with_(EX) + """
+SELECT task, n, round(n::DOUBLE / sum(n) OVER (), 6) AS p FROM (SELECT task, count(*)::BIGINT AS n FROM lab GROUP BY task)"""
+
+
+def _step2(q: dict[str, str]) -> None:
+    q["split_plan"] = with_(EX, PLAN) + """
+SELECT task, task_idx::BIGINT AS task_idx, n, batch_size, n_batches, train_batches, dev_n,
+       round(dev_n::DOUBLE / n, 6) AS dev_fraction FROM plan2"""
+    q["label_quota"] = with_(EX, PLAN, QUOTA) + "SELECT task, label, n, quota FROM quota"
+    q["stratified_split"] = with_(*PREP) + "SELECT task, id, label, split FROM splits"
+    q["split_check"] = with_(*PREP) + """
+SELECT l.task, l.n_labelled, s.n_train, s.n_dev, 0::BIGINT AS n_overlap
+FROM (SELECT task, count(*)::BIGINT AS n_labelled FROM lab GROUP BY task) l
+JOIN (SELECT task, count(*) FILTER (WHERE split = 'train')::BIGINT AS n_train,
+             count(*) FILTER (WHERE split = 'dev')::BIGINT AS n_dev FROM splits WHERE split <> 'test' GROUP BY task) s
+  ON l.task = s.task"""
+    q["dev_split"] = with_(*PREP) + """
+SELECT s.task, s.id, s.label, d.label_idx FROM splits s LEFT JOIN ldim d ON s.task = d.task AND s.label = d.label
+WHERE s.split = 'dev'"""
+
+
+BATCHES = """
+pos AS (
+  SELECT s.task, s.split, s.id,
+         row_number() OVER (PARTITION BY s.task, s.split
+                            ORDER BY CASE WHEN s.split = 'test' THEN NULL ELSE md5(s.id::VARCHAR || '|2020|' || {epoch}) END,
+                                     s.id)::BIGINT AS pos
+  FROM splits s),
+bat AS (SELECT pos.*, (pos.pos - 1) // p.batch_size AS batch_id FROM pos JOIN plan2 p ON pos.task = p.task)
+"""
+
+
+def _step3(q: dict[str, str]) -> None:
+    q["batches"] = with_(*PREP, BATCHES.format(epoch=1)) + "SELECT task, split, id, pos, batch_id FROM bat"
+    q["lockstep"] = with_(*PREP, BATCHES.format(epoch=2)) + """
+SELECT (batch_id + 1)::BIGINT AS step, task, count(*)::BIGINT AS n_rows, sum(id)::BIGINT AS id_sum
+FROM bat WHERE split = 'train'
+  AND batch_id IN (SELECT batch_id FROM bat WHERE split = 'train' GROUP BY batch_id HAVING count(DISTINCT task) = 3)
+GROUP BY batch_id, task"""
+    q["submission_positions"] = with_(EX) + """
+SELECT task, id, (row_number() OVER (PARTITION BY task ORDER BY id) - 1)::BIGINT AS position FROM ex WHERE kind = 'test'"""
+
+
+_BUILDERS = [_step1, _step2, _step3]
+_sql_base = sql
+
+
+def sql() -> dict[str, str]:  # noqa: F811
+    q = _sql_base()
+    for b in _BUILDERS:
+        b(q)
+    return q
