@@ -135,3 +135,52 @@ def q_lockstep(spark, sf_dir):
 def q_positions(spark, sf_dir):
     p = Prepared(spark, sf_dir)
     return bt.submission_positions(p.splits.filter(F.col("split") == "test").select("task", "id"))
+
+
+# --- step 4: tokens, vocabulary, trim, features -------------------------------
+
+from ..functions import text as tx  # noqa: E402
+from ..operators import features as fe  # noqa: E402
+from .prepare import features_of  # noqa: E402
+
+
+@register("tokens")
+def q_tokens(spark, sf_dir):
+    t = fe.token_table(ex.load_examples(spark, sf_dir))
+    return t.select("task", "kind", "id", F.size("tokens_a").cast("bigint").alias("n_a"),
+                    F.size("tokens_b").cast("bigint").alias("n_b"),
+                    F.array_join("tokens_a", " ").alias("tokens_a"))
+
+
+@register("vocab")
+def q_vocab(spark, sf_dir):
+    return fe.build_vocab(Prepared(spark, sf_dir).splits).select(
+        "token", "n", F.col("token_id").cast("bigint").alias("token_id"))
+
+
+@register("pair_trim")
+def q_pair_trim(spark, sf_dir):
+    from ..config import task_by_name
+    spec = task_by_name("turns")
+    t = fe.token_table(ex.load_examples(spark, sf_dir, tasks=["turns"]))
+    a2, b2 = tx.trim_pair("tokens_a", "tokens_b", spec.max_length, spec.max_a, spec.max_b)
+    return t.select("kind", "id", F.size("tokens_a").cast("bigint").alias("len_a"),
+                    F.size("tokens_b").cast("bigint").alias("len_b"),
+                    F.array_join(a2, " ").alias("kept_a"), F.array_join(b2, " ").alias("kept_b"))
+
+
+def _features_out(f):
+    return f.select("task", "split", "id", F.col("label_idx").cast("bigint").alias("label_idx"),
+                    tx.joined("input_ids").alias("input_ids"),
+                    tx.joined("attention_mask").alias("attention_mask"),
+                    tx.joined("token_type_ids").alias("token_type_ids"))
+
+
+@register("features")
+def q_features(spark, sf_dir):
+    return _features_out(features_of(Prepared(spark, sf_dir))[1])
+
+
+@register("length_check")
+def q_length_check(spark, sf_dir):
+    return fe.check_lengths(features_of(Prepared(spark, sf_dir))[1])

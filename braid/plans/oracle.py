@@ -153,7 +153,99 @@ GROUP BY batch_id, task"""
 SELECT task, id, (row_number() OVER (PARTITION BY task ORDER BY id) - 1)::BIGINT AS position FROM ex WHERE kind = 'test'"""
 
 
-_BUILDERS = [_step1, _step2, _step3]
+from ..config import TOKEN_PATTERN  # noqa: E402
+
+TOK = f"""
+tok AS (SELECT s.*, regexp_extract_all(lower(s.text_a), '{TOKEN_PATTERN}', 0) AS ta,
+               CASE WHEN s.text_b IS NULL THEN NULL
+                    ELSE regexp_extract_all(lower(s.text_b), '{TOKEN_PATTERN}', 0) END AS tb
+        FROM splits s),
+vc AS (SELECT t AS token, count(*)::BIGINT AS n
+       FROM (SELECT unnest(list_concat(ta, coalesce(tb, []::VARCHAR[]))) AS t FROM tok WHERE split = 'train')
+       GROUP BY t),
+vtop AS (SELECT * FROM vc ORDER BY n DESC, token LIMIT 30000),
+vocab AS (SELECT * FROM (VALUES ('[PAD]', 0::BIGINT, 0::BIGINT), ('[UNK]', 0, 1), ('[CLS]', 0, 2), ('[SEP]', 0, 3))
+                 v(token, n, token_id)
+          UNION ALL
+          SELECT token, n, (row_number() OVER (ORDER BY n DESC, token) + 3)::BIGINT FROM vtop)
+"""
+
+# head(L) + tail(L) of list x with length n (x longer than L)
+def _ht(x: str, n: str, lim: str) -> str:
+    return (f"CASE WHEN {n} <= {lim} THEN {x} ELSE list_concat(list_slice({x}, 1, ({lim}) // 2), "
+            f"list_slice({x}, {n} - (({lim}) - ({lim}) // 2) + 1, {n})) END")
+
+
+TRIM = f"""
+tr0 AS (SELECT *, len(ta) AS la, len(coalesce(tb, []::VARCHAR[])) AS lb, coalesce(tb, []::VARCHAR[]) AS tb0
+        FROM tok WHERE task = 'turns'),
+tr AS (SELECT *,
+  CASE WHEN la + lb + 3 <= 100 THEN ta
+       WHEN lb >= 30 AND la >= 50 THEN {_ht('ta', 'la', '50')}
+       WHEN la <= lb AND la < 50 THEN ta
+       WHEN lb < la AND lb <= 30 THEN {_ht('ta', 'la', '50 + (30 - lb - 1)')}
+       ELSE list_slice(ta, 1, least(la, greatest(ceil(97 / 2)::INT, 97 - lb))) END AS ka,
+  CASE WHEN la + lb + 3 <= 100 THEN tb0
+       WHEN lb >= 30 AND la >= 50 THEN {_ht('tb0', 'lb', '30')}
+       WHEN la <= lb AND la < 50 THEN {_ht('tb0', 'lb', '30 + (50 - la - 1)')}
+       WHEN lb < la AND lb <= 30 THEN tb0
+       ELSE list_slice(tb0, 1, least(lb, greatest(floor(97 / 2)::INT, 97 - la))) END AS kb
+  FROM tr0)
+"""
+
+SEQ = """
+sq AS (
+  SELECT task, split, id, label, ['[CLS]'] || list_slice(ta, 1, 168) || ['[SEP]'] AS seq,
+         len(list_slice(ta, 1, 168)) AS la, 0 AS lb, 170 AS ml, false AS pair FROM tok WHERE task = 'quality'
+  UNION ALL
+  SELECT task, split, id, label, ['[CLS]'] || list_slice(ta, 1, 58) || ['[SEP]'],
+         len(list_slice(ta, 1, 58)), 0, 60, false FROM tok WHERE task = 'lang'
+  UNION ALL
+  SELECT task, split, id, label, ['[CLS]'] || ka || ['[SEP]'] || kb || ['[SEP]'], len(ka), len(kb), 100, true
+  FROM tr),
+sx AS (SELECT task, split, id, label, la, lb, ml, pair, unnest(seq) AS token, generate_subscripts(seq, 1) AS pos FROM sq),
+enc AS (SELECT sx.task, sx.split, sx.id, sx.label, sx.la, sx.lb, sx.ml, sx.pair,
+               list(coalesce(v.token_id, 1) ORDER BY sx.pos) AS ids
+        FROM sx LEFT JOIN vocab v ON sx.token = v.token
+        GROUP BY sx.task, sx.split, sx.id, sx.label, sx.la, sx.lb, sx.ml, sx.pair),
+feat AS (SELECT e.task, e.split, e.id, d.label_idx, e.la, e.lb, e.ml,
+                list_resize(e.ids, e.ml, 0) AS input_ids,
+                list_resize(list_resize([]::BIGINT[], len(e.ids), 1), e.ml, 0) AS attention_mask,
+                CASE WHEN e.pair THEN list_concat(list_resize([]::BIGINT[], e.la + 2, 0),
+                                                  list_resize([]::BIGINT[], e.lb + 1, 1),
+                                                  list_resize([]::BIGINT[], e.ml - e.la - e.lb - 3, 0))
+                     ELSE list_resize([]::BIGINT[], e.ml, 0) END AS token_type_ids
+         FROM enc e LEFT JOIN ldim d ON e.task = d.task AND e.label = d.label)
+"""
+
+
+def _step4(q: dict[str, str]) -> None:
+    q["tokens"] = with_(EX) + f"""
+SELECT task, kind, id, len(regexp_extract_all(lower(text_a), '{TOKEN_PATTERN}', 0))::BIGINT AS n_a,
+       CASE WHEN text_b IS NULL THEN NULL ELSE len(regexp_extract_all(lower(text_b), '{TOKEN_PATTERN}', 0)) END::BIGINT AS n_b,
+       array_to_string(regexp_extract_all(lower(text_a), '{TOKEN_PATTERN}', 0), ' ') AS tokens_a
+FROM ex"""
+    q["vocab"] = with_(*PREP, TOK) + "SELECT token, n, token_id FROM vocab"
+    q["pair_trim"] = with_(EX, f"""
+splits AS (SELECT task, id, text_a, text_b, kind AS split FROM ex WHERE task = 'turns')""",
+                           TOK.split("vc AS")[0], TRIM) + """
+SELECT split AS kind, id, la::BIGINT AS len_a, lb::BIGINT AS len_b,
+       array_to_string(ka, ' ') AS kept_a, array_to_string(kb, ' ') AS kept_b FROM tr"""
+    q["features"] = with_(*PREP, TOK, TRIM, SEQ) + """
+SELECT task, split, id, label_idx::BIGINT AS label_idx, array_to_string(input_ids, ' ') AS input_ids,
+       array_to_string(attention_mask, ' ') AS attention_mask, array_to_string(token_type_ids, ' ') AS token_type_ids
+FROM feat"""
+    q["length_check"] = with_(*PREP, TOK, TRIM, SEQ) + """
+SELECT task, split, count(*)::BIGINT AS n,
+       count(*) FILTER (WHERE len(input_ids) <> ml)::BIGINT AS bad_ids,
+       count(*) FILTER (WHERE len(attention_mask) <> ml)::BIGINT AS bad_mask,
+       count(*) FILTER (WHERE len(token_type_ids) <> ml)::BIGINT AS bad_segments,
+       sum(list_sum(attention_mask))::BIGINT AS real_tokens,
+       count(*) FILTER (WHERE list_sum(attention_mask) <> la + lb + CASE WHEN task = 'turns' THEN 3 ELSE 2 END)::BIGINT AS bad_real
+FROM feat GROUP BY task, split"""
+
+
+_BUILDERS = [_step1, _step2, _step3, _step4]
 _sql_base = sql
 
 

@@ -35,3 +35,13 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = p.splits.groupBy("task", "split", "label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     return (counts.join(checked_broadcast(cw), ["task", "label"], "left")
             .select("task", "split", "label", "n", r6("weight").alias("class_weight")))
+
+
+def features_of(p: Prepared, max_size: int | None = None):
+    """L1 steps 5-6: vocabulary from the train split and features of every
+    split row.  Returns (vocab, features)."""
+    from ..config import VOCAB_MAX_SIZE
+    from ..operators import features as fe
+    vocab = fe.build_vocab(p.splits, max_size or VOCAB_MAX_SIZE)
+    feats = fe.encode(p.encoded_splits(), vocab)
+    return vocab, feats
