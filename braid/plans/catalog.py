@@ -184,3 +184,15 @@ def q_features(spark, sf_dir):
 @register("length_check")
 def q_length_check(spark, sf_dir):
     return fe.check_lengths(features_of(Prepared(spark, sf_dir))[1])
+
+
+# --- step 5: array kit, heads, predictions ------------------------------------
+
+from . import textmodels as tm  # noqa: E402
+from . import vectors as vx  # noqa: E402
+
+for _name in ("array_kit", "centroids", "linear_scores", "pool_first", "pool_max", "pool_attention",
+              "layer_mix", "last_k_concat", "ensemble_mean", "mix_heads"):
+    register(_name)(getattr(vx, _name))
+for _name in ("nb_priors", "nb_logits", "nb_predictions", "ngram_features", "logreg_predictions"):
+    register(_name)(getattr(tm, _name))

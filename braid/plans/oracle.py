@@ -245,7 +245,118 @@ SELECT task, split, count(*)::BIGINT AS n,
 FROM feat GROUP BY task, split"""
 
 
-_BUILDERS = [_step1, _step2, _step3, _step4]
+VX = """
+x AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim
+      FROM embeddings),
+cen AS (SELECT label, dim, avg(v) AS c FROM x GROUP BY label, dim),
+bias AS (SELECT label, -0.5 * sum(c * c) AS b FROM cen GROUP BY label),
+cls AS (SELECT label, (row_number() OVER (ORDER BY label) - 1) AS k FROM (SELECT DISTINCT label FROM embeddings)),
+lin AS (SELECT x.vec_id, cls.k AS class_idx, sum(x.v * cen.c) + any_value(bias.b) AS logit
+        FROM x JOIN cen ON x.dim = cen.dim JOIN bias ON cen.label = bias.label JOIN cls ON cen.label = cls.label
+        GROUP BY x.vec_id, cls.k),
+sx AS (SELECT x.*, x.vec_id // 8 AS seq_id, x.vec_id % 8 AS pos FROM x),
+wq AS (SELECT dim, avg(v) AS w FROM x GROUP BY dim),
+gate AS (SELECT sx.vec_id, any_value(sx.seq_id) AS seq_id, sum(sx.v * wq.w) AS g FROM sx JOIN wq ON sx.dim = wq.dim
+         GROUP BY sx.vec_id),
+att AS (SELECT vec_id, seq_id, exp(g - max(g) OVER (PARTITION BY seq_id))
+                               / sum(exp(g - max(g) OVER (PARTITION BY seq_id))) OVER (PARTITION BY seq_id) AS a
+        FROM gate)
+"""
+
+ATT_FIX = """
+gate2 AS (SELECT *, max(g) OVER (PARTITION BY seq_id) AS gm FROM gate),
+att2 AS (SELECT vec_id, seq_id, exp(g - gm) / sum(exp(g - gm)) OVER (PARTITION BY seq_id) AS a FROM gate2)
+"""
+
+
+def _step5(q: dict[str, str]) -> None:
+    q["array_kit"] = """
+SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS argmax,
+       round(sqrt(list_sum(list_transform(embedding, lambda e: e::DOUBLE * e::DOUBLE))), 6) AS norm,
+       len(list_filter(embedding, lambda e: e <> 0))::BIGINT AS n_nonzero,
+       round(1.0 / list_sum(list_transform(embedding, lambda e: exp(e::DOUBLE - list_max(embedding)::DOUBLE))), 6) AS max_softmax,
+       round(CASE WHEN list_sum(list_transform(embedding, lambda e: e::DOUBLE * e::DOUBLE)) > 0
+                  THEN embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda e: e::DOUBLE * e::DOUBLE)))
+                  ELSE 0 END, 6) AS unit_x0,
+       (CASE WHEN label BETWEEN 0 AND 9 THEN label ELSE -1 END)::BIGINT AS onehot_pos
+FROM embeddings"""
+    q["centroids"] = with_(VX) + """
+SELECT cen.label::BIGINT AS label, cen.dim::BIGINT AS dim, round(cen.c, 6) AS c, round(bias.b, 6) AS bias
+FROM cen JOIN bias ON cen.label = bias.label"""
+    q["linear_scores"] = with_(VX) + "SELECT vec_id, class_idx::BIGINT AS class_idx, round(logit, 6) AS logit FROM lin"
+    q["pool_first"] = with_(VX) + """
+SELECT seq_id, dim::BIGINT AS dim, round(v, 6) AS v FROM sx
+WHERE (seq_id, pos) IN (SELECT (seq_id, min(pos)) FROM sx GROUP BY seq_id)"""
+    q["pool_max"] = with_(VX) + "SELECT seq_id, dim::BIGINT AS dim, round(max(v), 6) AS v FROM sx GROUP BY seq_id, dim"
+    q["pool_attention"] = with_(VX, ATT_FIX) + """
+SELECT sx.seq_id, sx.dim::BIGINT AS dim, round(greatest(sum(att2.a * sx.v), 0), 6) AS v
+FROM sx JOIN att2 ON sx.vec_id = att2.vec_id GROUP BY sx.seq_id, sx.dim"""
+    q["layer_mix"] = with_(VX) + """
+SELECT seq_id, dim::BIGINT AS dim,
+       round(sum(v * CASE WHEN pos = 7 THEN 1.0 ELSE exp(-3.0) END / (7 * exp(-3.0) + 1.0)), 6) AS v
+FROM sx GROUP BY seq_id, dim"""
+    q["last_k_concat"] = with_(VX) + """
+SELECT seq_id, (rk * 64 + dim)::BIGINT AS dim, round(v, 6) AS v FROM (
+  SELECT sx.*, dense_rank() OVER (PARTITION BY seq_id ORDER BY pos DESC) - 1 AS rk FROM sx) WHERE rk < 4"""
+    q["ensemble_mean"] = with_(VX) + """
+SELECT vec_id // 8 AS seq_id, class_idx::BIGINT AS class_idx, round(avg(logit), 6) AS logit
+FROM lin GROUP BY vec_id // 8, class_idx"""
+    q["mix_heads"] = with_(VX, ATT_FIX) + """
+SELECT att2.seq_id, lin.class_idx::BIGINT AS class_idx, round(sum(att2.a * lin.logit), 6) AS logit
+FROM lin JOIN att2 ON lin.vec_id = att2.vec_id GROUP BY att2.seq_id, lin.class_idx"""
+
+
+NB = """
+tokl AS (SELECT t.task, t.split, t.id, d.label_idx, list_concat(t.ta, coalesce(t.tb, []::VARCHAR[])) AS toks
+         FROM tok t LEFT JOIN ldim d ON t.task = d.task AND t.label = d.label),
+cnt AS (SELECT task, split, id, label_idx, token, count(*)::BIGINT AS cnt
+        FROM (SELECT task, split, id, label_idx, unnest(toks) AS token FROM tokl) GROUP BY ALL),
+trc AS (SELECT * FROM cnt WHERE split = 'train'),
+wc AS (SELECT task, label_idx, token, sum(cnt) AS n_wc FROM trc GROUP BY ALL),
+nwc AS (SELECT task, label_idx, sum(cnt) AS n_c_tok FROM trc GROUP BY ALL),
+vv AS (SELECT task, count(DISTINCT token) AS vsize FROM trc GROUP BY task),
+nd AS (SELECT task, label_idx, count(*) AS n_docs FROM tokl WHERE split = 'train' GROUP BY ALL),
+ncls AS (SELECT d.task, d.label_idx, coalesce(nwc.n_c_tok, 0) AS n_c_tok, coalesce(nd.n_docs, 0) AS n_docs,
+                coalesce(vv.vsize, 0) AS vsize
+         FROM ldim d LEFT JOIN nwc ON d.task = nwc.task AND d.label_idx = nwc.label_idx
+                     LEFT JOIN nd ON d.task = nd.task AND d.label_idx = nd.label_idx
+                     LEFT JOIN vv ON d.task = vv.task),
+vt AS (SELECT DISTINCT task, token FROM wc),
+ll AS (SELECT vt.task, vt.token, c.label_idx AS k,
+              ln((coalesce(wc.n_wc, 0) + 1)::DOUBLE / (c.n_c_tok + c.vsize)) AS ll
+       FROM vt JOIN ncls c ON vt.task = c.task
+       LEFT JOIN wc ON wc.task = vt.task AND wc.token = vt.token AND wc.label_idx = c.label_idx),
+sc AS (SELECT c.task, c.split, c.id, l.k, sum(c.cnt * l.ll) AS s
+       FROM cnt c JOIN ll l ON c.task = l.task AND c.token = l.token GROUP BY ALL),
+pri AS (SELECT task, label_idx AS k, ln(n_docs::DOUBLE / sum(n_docs) OVER (PARTITION BY task)) AS lp FROM ncls),
+lg AS (SELECT r.task, r.split, r.id, r.label_idx, p.k, p.lp + coalesce(sc.s, 0) AS logit
+       FROM tokl r JOIN pri p ON r.task = p.task
+       LEFT JOIN sc ON sc.task = r.task AND sc.split = r.split AND sc.id = r.id AND sc.k = p.k),
+pred AS (SELECT task, split, id, label_idx, k AS pred_idx FROM (
+           SELECT lg.*, row_number() OVER (PARTITION BY task, split, id ORDER BY logit DESC, k) AS rn FROM lg)
+         WHERE rn = 1)
+"""
+
+
+def _step5b(q: dict[str, str]) -> None:
+    q["nb_priors"] = with_(*PREP, TOK, NB) + "SELECT task, k::BIGINT AS class_idx, round(lp, 6) AS log_prior FROM pri"
+    q["nb_logits"] = with_(*PREP, TOK, NB) + """
+SELECT task, split, id, k::BIGINT AS class_idx, round(logit, 6) AS logit FROM lg"""
+    q["nb_predictions"] = with_(*PREP, TOK, NB) + """
+SELECT task, split, id, label_idx::BIGINT AS label_idx, pred_idx::BIGINT AS pred_idx FROM pred"""
+    grams = []
+    for n in (2, 3, 4, 5):
+        grams.append(f"""
+    (SELECT count(DISTINCT b)::BIGINT FROM (SELECT (('0x' || substr(md5(array_to_string(list_slice(t, i, i + {n} - 1), ' ')), 1, 8))::BIGINT % 128) AS b
+                               FROM range(1, len(t) - {n} + 2) r(i))) AS n{n},
+    (SELECT coalesce(sum(DISTINCT b), 0)::BIGINT FROM (SELECT (('0x' || substr(md5(array_to_string(list_slice(t, i, i + {n} - 1), ' ')), 1, 8))::BIGINT % 128) AS b
+                               FROM range(1, len(t) - {n} + 2) r(i))) AS s{n}""")
+    q["ngram_features"] = with_(EX) + f"""
+SELECT kind, id, {",".join(grams)}
+FROM (SELECT kind, id, regexp_extract_all(lower(text_a), '{TOKEN_PATTERN}', 0) AS t FROM ex WHERE task = 'lang')"""
+
+
+_BUILDERS = [_step1, _step2, _step3, _step4, _step5, _step5b]
 _sql_base = sql
 
 
