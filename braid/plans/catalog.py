@@ -66,7 +66,7 @@ def q_encoded_labels(spark, sf_dir):
 
 @register("split_counts")
 def q_split_counts(spark, sf_dir):
-    return st.split_counts(Prepared(spark, sf_dir).splits)
+    return st.split_counts(Prepared.get(spark, sf_dir).splits)
 
 
 @register("label_counts")
@@ -90,30 +90,30 @@ def q_task_proportions(spark, sf_dir):
 
 @register("split_plan")
 def q_split_plan(spark, sf_dir):
-    p = Prepared(spark, sf_dir).plan
+    p = Prepared.get(spark, sf_dir).plan
     return p.select("task", F.col("task_idx").cast("bigint").alias("task_idx"), "n", "batch_size",
                     "n_batches", "train_batches", "dev_n", r6("dev_fraction").alias("dev_fraction"))
 
 
 @register("label_quota")
 def q_label_quota(spark, sf_dir):
-    return Prepared(spark, sf_dir).quota
+    return Prepared.get(spark, sf_dir).quota
 
 
 @register("stratified_split")
 def q_stratified_split(spark, sf_dir):
-    return Prepared(spark, sf_dir).splits.select("task", "id", "label", "split")
+    return Prepared.get(spark, sf_dir).splits.select("task", "id", "label", "split")
 
 
 @register("split_check")
 def q_split_check(spark, sf_dir):
-    p = Prepared(spark, sf_dir)
+    p = Prepared.get(spark, sf_dir)
     return sp.split_check(p.splits, p.examples)
 
 
 @register("dev_split")
 def q_dev_split(spark, sf_dir):
-    p = Prepared(spark, sf_dir)
+    p = Prepared.get(spark, sf_dir)
     return ex.get_split(p.encoded_splits(), "dev").select("task", "id", "label", "label_idx")
 
 
@@ -121,19 +121,19 @@ def q_dev_split(spark, sf_dir):
 
 @register("batches")
 def q_batches(spark, sf_dir):
-    p = Prepared(spark, sf_dir)
+    p = Prepared.get(spark, sf_dir)
     return bt.assign_batches(p.splits, p.plan, epoch=1).select("task", "split", "id", "pos", "batch_id")
 
 
 @register("lockstep")
 def q_lockstep(spark, sf_dir):
-    p = Prepared(spark, sf_dir)
+    p = Prepared.get(spark, sf_dir)
     return bt.zip_batches(bt.assign_batches(p.splits, p.plan, epoch=2))
 
 
 @register("submission_positions")
 def q_positions(spark, sf_dir):
-    p = Prepared(spark, sf_dir)
+    p = Prepared.get(spark, sf_dir)
     return bt.submission_positions(p.splits.filter(F.col("split") == "test").select("task", "id"))
 
 
@@ -154,7 +154,7 @@ def q_tokens(spark, sf_dir):
 
 @register("vocab")
 def q_vocab(spark, sf_dir):
-    return fe.build_vocab(Prepared(spark, sf_dir).splits).select(
+    return fe.build_vocab(Prepared.get(spark, sf_dir).splits).select(
         "token", "n", F.col("token_id").cast("bigint").alias("token_id"))
 
 
@@ -178,12 +178,12 @@ def _features_out(f):
 
 @register("features")
 def q_features(spark, sf_dir):
-    return _features_out(features_of(Prepared(spark, sf_dir))[1])
+    return _features_out(features_of(Prepared.get(spark, sf_dir))[1])
 
 
 @register("length_check")
 def q_length_check(spark, sf_dir):
-    return fe.check_lengths(features_of(Prepared(spark, sf_dir))[1])
+    return fe.check_lengths(features_of(Prepared.get(spark, sf_dir))[1])
 
 
 # --- step 5: array kit, heads, predictions ------------------------------------
@@ -196,3 +196,14 @@ for _name in ("array_kit", "centroids", "linear_scores", "pool_first", "pool_max
     register(_name)(getattr(vx, _name))
 for _name in ("nb_priors", "nb_logits", "nb_predictions", "ngram_features", "logreg_predictions"):
     register(_name)(getattr(tm, _name))
+
+
+# --- steps 6-8: losses, metrics, training log, weighting, monitor ---------------
+
+from . import training as trn  # noqa: E402
+
+for _name in ("cross_entropy", "focal", "dice", "batch_mean_loss", "loss_by_name",
+              "confusion", "accuracy", "per_class_f1", "macro_f1", "evaluate", "decoded_predictions",
+              "submission", "step_log", "dwa_weights", "dtp_weights", "uw_terms", "total_loss",
+              "running_f1", "running_loss", "best_so_far", "early_stop", "resume_point", "progress_log"):
+    register(_name)(getattr(trn, _name))

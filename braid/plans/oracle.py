@@ -356,7 +356,213 @@ SELECT kind, id, {",".join(grams)}
 FROM (SELECT kind, id, regexp_extract_all(lower(text_a), '{TOKEN_PATTERN}', 0) AS t FROM ex WHERE task = 'lang')"""
 
 
-_BUILDERS = [_step1, _step2, _step3, _step4, _step5, _step5b]
+SCORED = """
+rmax AS (SELECT task, split, id, max(logit) AS m FROM lg GROUP BY ALL),
+rl AS (SELECT lg.task, lg.split, lg.id, any_value(lg.label_idx) AS label_idx,
+              any_value(r.m) + ln(sum(exp(lg.logit - r.m))) AS lse,
+              sum(CASE WHEN lg.k = lg.label_idx THEN lg.logit END) AS ly, count(*) AS nk
+       FROM lg JOIN rmax r ON lg.task = r.task AND lg.split = r.split AND lg.id = r.id GROUP BY ALL),
+rowp AS (SELECT rl.task, rl.split, rl.id, rl.label_idx, rl.lse - rl.ly AS nll, p.pred_idx
+         FROM rl JOIN pred p ON rl.task = p.task AND rl.split = p.split AND rl.id = p.id),
+probs AS (SELECT lg.task, lg.split, lg.id, lg.label_idx, lg.k, lg.logit, exp(lg.logit - rl.lse) AS p
+          FROM lg JOIN rl ON lg.task = rl.task AND lg.split = rl.split AND lg.id = rl.id),
+lcw AS (SELECT task, label, count(*) AS n FROM lab GROUP BY ALL),
+cwi AS (SELECT c.task, d.label_idx, ln(sum(c.n) OVER (PARTITION BY c.task) / c.n) AS weight
+        FROM lcw c JOIN ldim d ON c.task = d.task AND c.label = d.label),
+alpha AS (SELECT task, label_idx, weight / sum(weight) OVER (PARTITION BY task) AS alpha FROM cwi),
+pt AS (SELECT task, split, id, any_value(label_idx) AS label_idx,
+              sum(CASE WHEN k = label_idx THEN p ELSE 0 END) + 1e-10 AS pt,
+              sum(CASE WHEN k = label_idx THEN 0.9 ELSE 0.1 END * p) + 1e-10 AS pts
+       FROM probs GROUP BY ALL),
+foc AS (SELECT pt.*, a.alpha, pow(1 - pt.pt, 2) * (-ln(pt.pt)) AS f, pow(1 - pt.pts, 2) * (-ln(pt.pts)) AS fs
+        FROM pt LEFT JOIN alpha a ON pt.task = a.task AND pt.label_idx = a.label_idx)
+"""
+
+STEPS = """
+ep AS (SELECT unnest(range(1, 4)) AS epoch),
+trp AS (SELECT r.task, r.id, r.label_idx, r.nll, r.pred_idx, ep.epoch,
+               row_number() OVER (PARTITION BY r.task, ep.epoch ORDER BY md5(r.id::VARCHAR || '|2020|' || ep.epoch), r.id) AS pos
+        FROM rowp r, ep WHERE r.split = 'train'),
+sp AS (SELECT 'nb' AS run_id, trp.epoch::BIGINT AS epoch, ((trp.pos - 1) // p.batch_size + 1)::BIGINT AS step,
+              trp.task, trp.id, trp.label_idx, trp.pred_idx, trp.nll
+       FROM trp JOIN plan2 p ON trp.task = p.task WHERE (trp.pos - 1) // p.batch_size + 1 <= p.train_batches),
+slog AS (SELECT run_id, epoch, step, task, avg(nll) AS loss, avg(CASE WHEN pred_idx = label_idx THEN 1.0 ELSE 0.0 END) AS acc,
+                count(*)::BIGINT AS n FROM sp GROUP BY ALL)
+"""
+
+MON = """
+evs AS (SELECT run_id, epoch, unnest(range(5, max(step) + 1, 5)) AS e FROM sp GROUP BY run_id, epoch),
+evt AS (SELECT sp.run_id, sp.epoch, sp.task, sp.step, sp.label_idx AS cls, 1 AS t, 0 AS p,
+               CASE WHEN sp.label_idx = sp.pred_idx THEN 1 ELSE 0 END AS tp FROM sp
+        UNION ALL
+        SELECT sp.run_id, sp.epoch, sp.task, sp.step, sp.pred_idx, 0, 1, 0 FROM sp),
+cum AS (SELECT evs.run_id, evs.epoch, evs.e AS step, evt.task, evt.cls, sum(evt.t) AS ct, sum(evt.p) AS cp,
+               sum(evt.tp) AS ctp
+        FROM evs JOIN evt ON evs.run_id = evt.run_id AND evs.epoch = evt.epoch AND evt.step <= evs.e GROUP BY ALL),
+rf1 AS (SELECT run_id, epoch, step, task, avg(2.0 * ctp / (ct + cp)) AS f1 FROM cum WHERE ct + cp > 0 GROUP BY ALL),
+tot AS (SELECT run_id, epoch, step, sum(loss) AS total FROM slog GROUP BY ALL),
+rls AS (SELECT *, avg(total) OVER (PARTITION BY run_id, epoch ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_loss FROM tot),
+ev AS (SELECT f.run_id, f.epoch, f.step, avg(f.f1) AS f1, any_value(r.running_loss) AS train_loss
+       FROM rf1 f LEFT JOIN rls r ON f.run_id = r.run_id AND f.epoch = r.epoch AND f.step = r.step GROUP BY ALL),
+best AS (SELECT *, greatest(coalesce(max(f1) OVER (PARTITION BY run_id ORDER BY epoch, step
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS prev_best FROM ev),
+best2 AS (SELECT *, f1 > prev_best AS improved, greatest(prev_best, f1) AS best_f1,
+                 CASE WHEN f1 > prev_best THEN '*' ELSE ' ' END AS flag FROM best)
+"""
+
+
+def _step6(q: dict[str, str]) -> None:
+    base = with_(*PREP, TOK, NB, SCORED)
+    q["cross_entropy"] = base + """
+SELECT r.task, count(*)::BIGINT AS n, round(avg(r.nll), 6) AS ce,
+       round(sum(c.weight * r.nll) / sum(c.weight), 6) AS weighted_ce
+FROM rowp r LEFT JOIN cwi c ON r.task = c.task AND r.label_idx = c.label_idx WHERE r.split = 'dev' GROUP BY r.task"""
+    q["focal"] = base + """
+SELECT task, 'paired' AS mode, 'mean' AS reduce, round(avg(alpha * f), 6) AS loss FROM foc WHERE split = 'dev' GROUP BY task
+UNION ALL SELECT task, 'paired', 'sum', round(sum(alpha * f), 6) FROM foc WHERE split = 'dev' GROUP BY task
+UNION ALL SELECT task, 'broadcast', 'mean', round(avg(alpha) * avg(f), 6) FROM foc WHERE split = 'dev' GROUP BY task
+UNION ALL SELECT task, 'broadcast', 'sum', round(sum(alpha) * sum(f), 6) FROM foc WHERE split = 'dev' GROUP BY task
+UNION ALL SELECT task, 'paired_smooth', 'mean', round(avg(alpha * fs), 6) FROM foc WHERE split = 'dev' GROUP BY task"""
+    dice_terms = """
+SELECT task, '{mode}' AS mode, k::BIGINT AS class_idx,
+       1 - avg(2 * ({x} * (CASE WHEN k = label_idx THEN 1.0 ELSE 0.0 END) + 1)
+               / ({x} + (CASE WHEN k = label_idx THEN 1.0 ELSE 0.0 END) + 1)) AS dice
+FROM probs WHERE split = 'dev' GROUP BY task, k"""
+    q["dice"] = base + f"""
+, dd AS ({dice_terms.format(mode='probs', x='p')}
+         UNION ALL {dice_terms.format(mode='raw', x='logit')})
+SELECT task, mode, class_idx, round(dice, 6) AS dice FROM dd
+UNION ALL
+SELECT dd.task, 'probs_weighted', -1::BIGINT, round(sum(dd.dice * c.weight), 6)
+FROM dd JOIN cwi c ON dd.task = c.task AND dd.class_idx = c.label_idx WHERE dd.mode = 'probs' GROUP BY dd.task"""
+    q["batch_mean_loss"] = with_(*PREP, TOK, NB, SCORED, BATCHES.format(epoch=1)) + """
+, bl AS (SELECT r.task, b.batch_id, avg(r.nll) AS bl, sum(r.nll) AS bs, count(*) AS bn
+         FROM rowp r JOIN bat b ON r.task = b.task AND r.id = b.id AND b.split = 'dev'
+         WHERE r.split = 'dev' GROUP BY ALL)
+SELECT task, round(avg(bl), 6) AS batch_mean, round(sum(bs) / sum(bn), 6) AS row_mean, count(*)::BIGINT AS n_batches
+FROM bl GROUP BY task"""
+    q["loss_by_name"] = base + """
+SELECT r.task, 'cross_entropy' AS loss_name, round(sum(c.weight * r.nll) / sum(c.weight), 6) AS loss
+FROM rowp r LEFT JOIN cwi c ON r.task = c.task AND r.label_idx = c.label_idx WHERE r.split = 'dev' GROUP BY r.task
+UNION ALL SELECT task, 'focal_loss', round(avg(alpha * f), 6) FROM foc WHERE split = 'dev' GROUP BY task
+UNION ALL SELECT task, 'dice_loss', round(sum(d), 6) FROM (
+  SELECT task, k, 1 - avg(2 * (logit * (CASE WHEN k = label_idx THEN 1.0 ELSE 0.0 END) + 1)
+                       / (logit + (CASE WHEN k = label_idx THEN 1.0 ELSE 0.0 END) + 1)) AS d
+  FROM probs WHERE split = 'dev' GROUP BY task, k) GROUP BY task"""
+
+    q["confusion"] = base + """
+SELECT task, split, label_idx::BIGINT AS label_idx, pred_idx::BIGINT AS pred_idx, count(*)::BIGINT AS n
+FROM pred WHERE split <> 'test' AND label_idx IS NOT NULL GROUP BY ALL"""
+    q["accuracy"] = base + """
+SELECT task, split, round(avg(CASE WHEN pred_idx = label_idx THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*)::BIGINT AS n
+FROM pred WHERE split <> 'test' AND label_idx IS NOT NULL GROUP BY ALL"""
+    pc = """
+, pcl AS (
+  SELECT c.task, {split_sel_c} c.k AS class_idx,
+         sum(CASE WHEN p.label_idx = c.k AND p.pred_idx = c.k THEN 1 ELSE 0 END) AS tp,
+         sum(CASE WHEN p.pred_idx = c.k THEN 1 ELSE 0 END) AS n_pred,
+         sum(CASE WHEN p.label_idx = c.k THEN 1 ELSE 0 END) AS n_true
+  FROM (SELECT DISTINCT task, {split_sel} label_idx AS k FROM pred WHERE {where}
+        UNION SELECT DISTINCT task, {split_sel} pred_idx FROM pred WHERE {where}) c
+  JOIN pred p ON p.task = c.task {split_join} AND {where_p}
+  GROUP BY ALL),
+pcf AS (SELECT *, CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0 END AS precision,
+               CASE WHEN n_true > 0 THEN tp / n_true ELSE 0 END AS recall,
+               CASE WHEN n_true + n_pred > 0 THEN 2.0 * tp / (n_true + n_pred) ELSE 0 END AS f1 FROM pcl)
+"""
+    q["per_class_f1"] = base + pc.format(split_sel="", split_sel_c="", where="split = 'dev'",
+                                         where_p="p.split = 'dev'", split_join="") + """
+SELECT task, class_idx::BIGINT AS class_idx, tp::BIGINT AS tp, n_pred::BIGINT AS n_pred, n_true::BIGINT AS n_true,
+       round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM pcf"""
+    pc2 = pc.format(split_sel="split,", split_sel_c="c.split,", where="split <> 'test'", where_p="p.split <> 'test'",
+                    split_join="AND p.split = c.split")
+    q["macro_f1"] = base + pc2 + """
+SELECT task, split, round(avg(f1), 6) AS macro_f1 FROM pcf GROUP BY task, split"""
+    pc3 = pc.format(split_sel="", split_sel_c="", where="split = 'dev'", where_p="p.split = 'dev'", split_join="")
+    q["evaluate"] = with_(*PREP, TOK, NB, SCORED, BATCHES.format(epoch=1)) + pc3 + """
+, bl AS (SELECT r.task, b.batch_id, avg(r.nll) AS bl FROM rowp r JOIN bat b ON r.task = b.task AND r.id = b.id AND b.split = 'dev'
+         WHERE r.split = 'dev' GROUP BY ALL),
+tl AS (SELECT task, avg(bl) AS loss FROM bl GROUP BY task),
+tf AS (SELECT task, avg(f1) AS f1 FROM pcf GROUP BY task)
+SELECT round(avg(tf.f1), 6) AS dev_f1, round(avg(tl.loss), 6) AS dev_loss, count(*)::BIGINT AS n_tasks
+FROM tf LEFT JOIN tl ON tf.task = tl.task"""
+    q["decoded_predictions"] = base + """
+SELECT p.task, p.id, p.pred_idx::BIGINT AS pred_idx, d.label AS pred_label
+FROM pred p LEFT JOIN ldim d ON p.task = d.task AND p.pred_idx = d.label_idx WHERE p.split = 'test'"""
+    q["submission"] = base + """
+SELECT p.task, json_object('id', (row_number() OVER (PARTITION BY p.task ORDER BY p.id) - 1)::BIGINT,
+                           'label', d.label)::VARCHAR AS line
+FROM pred p LEFT JOIN ldim d ON p.task = d.task AND p.pred_idx = d.label_idx WHERE p.split = 'test'"""
+
+
+def _step7(q: dict[str, str]) -> None:
+    base = with_(*PREP, TOK, NB, SCORED, STEPS)
+    q["step_log"] = base + """
+SELECT run_id, epoch, step, task, round(loss, 6) AS loss, round(acc, 6) AS acc, n FROM slog"""
+    q["dwa_weights"] = base + """
+, lw AS (SELECT *, lag(loss, 1) OVER w AS l1, lag(loss, 2) OVER w AS l2 FROM slog
+         WINDOW w AS (PARTITION BY run_id, task ORDER BY epoch, step)),
+e1 AS (SELECT run_id, task, step, CASE WHEN lag(loss) OVER (PARTITION BY run_id, task ORDER BY step) <> 0
+                THEN loss / lag(loss) OVER (PARTITION BY run_id, task ORDER BY step) END AS r1
+       FROM slog WHERE epoch = 1),
+e1last AS (SELECT e1.run_id, e1.task, e1.r1 AS rlast FROM e1
+           WHERE e1.step = (SELECT max(step) FROM e1 x WHERE x.run_id = e1.run_id AND x.task = e1.task)),
+rr AS (SELECT lw.run_id, lw.epoch, lw.step, lw.task, 'paper' AS mode, CASE WHEN lw.l2 <> 0 THEN lw.l1 / lw.l2 END AS r FROM lw
+       UNION ALL SELECT run_id, epoch, step, task, 'current', CASE WHEN l1 <> 0 THEN loss / l1 END FROM lw
+       UNION ALL SELECT s.run_id, s.epoch, s.step, s.task, 'reference',
+                        CASE WHEN s.step >= 2 THEN e1.r1 WHEN s.epoch >= 2 THEN el.rlast END
+                 FROM slog s LEFT JOIN e1 ON s.run_id = e1.run_id AND s.task = e1.task AND s.step = e1.step
+                 LEFT JOIN e1last el ON s.run_id = el.run_id AND s.task = el.task),
+rw AS (SELECT *, count(*) OVER g AS kk, sum(exp(r / 2.0)) OVER g AS se, count(r) OVER g AS nr FROM rr
+       WINDOW g AS (PARTITION BY run_id, epoch, step, mode))
+SELECT epoch, step, task, mode, round(CASE WHEN nr = kk THEN kk * exp(r / 2.0) / se ELSE 1.0 END, 6) AS weight FROM rw"""
+    q["dtp_weights"] = base + """
+SELECT epoch, step, task,
+       round(-pow(1 - least(greatest(acc, 0.1), 0.99), 0.5) * ln(least(greatest(acc, 0.1), 0.99)), 6) AS weight
+FROM slog"""
+    q["uw_terms"] = base + """
+SELECT epoch, step, task, 'init' AS mode, round(loss, 6) AS term FROM slog
+UNION ALL SELECT epoch, step, task, 'closed_form', round(CASE WHEN loss > 0 THEN 1 + ln(loss) END, 6) FROM slog"""
+    q["total_loss"] = base + """
+, lw AS (SELECT *, lag(loss, 1) OVER w AS l1, lag(loss, 2) OVER w AS l2 FROM slog
+         WINDOW w AS (PARTITION BY run_id, task ORDER BY epoch, step)),
+lw2 AS (SELECT *, CASE WHEN l2 <> 0 THEN l1 / l2 END AS r FROM lw),
+dw AS (SELECT *, count(*) OVER g AS kk, sum(exp(r / 2.0)) OVER g AS se, count(r) OVER g AS nr FROM lw2
+       WINDOW g AS (PARTITION BY run_id, epoch, step))
+SELECT epoch, step, 'none' AS strategy, round(sum(loss), 6) AS total FROM slog GROUP BY ALL
+UNION ALL SELECT epoch, step, 'uw', round(sum(loss), 6) FROM slog GROUP BY ALL
+UNION ALL SELECT epoch, step, 'dtp', round(sum(loss * -pow(1 - least(greatest(acc, 0.1), 0.99), 0.5)
+                                               * ln(least(greatest(acc, 0.1), 0.99))), 6) FROM slog GROUP BY ALL
+UNION ALL SELECT epoch, step, 'dwa', round(sum(loss * CASE WHEN nr = kk THEN kk * exp(r / 2.0) / se ELSE 1.0 END), 6)
+          FROM dw GROUP BY ALL"""
+    mbase = with_(*PREP, TOK, NB, SCORED, STEPS, MON)
+    q["running_f1"] = mbase + "SELECT run_id, epoch, step::BIGINT AS step, task, round(f1, 6) AS f1 FROM rf1"
+    q["running_loss"] = mbase + """
+SELECT run_id, epoch, step, round(total, 6) AS total, round(running_loss, 6) AS running_loss FROM rls"""
+    q["best_so_far"] = mbase + """
+SELECT run_id, epoch, step::BIGINT AS step, round(f1, 6) AS f1, round(best_f1, 6) AS best_f1, flag FROM best2"""
+    q["early_stop"] = mbase + """
+, spe AS (SELECT run_id, max(step) AS spe, max(epoch) AS ne FROM slog GROUP BY run_id),
+imp AS (SELECT b.run_id, (b.epoch - 1) * s.spe + b.step AS g FROM best2 b JOIN spe s ON b.run_id = s.run_id WHERE b.improved),
+gs AS (SELECT s.run_id, s.spe, unnest(range(1, s.spe * s.ne + 1)) AS g FROM spe s),
+ctr AS (SELECT gs.run_id, gs.spe, gs.g, max(imp.g) AS li FROM gs LEFT JOIN imp ON gs.run_id = imp.run_id AND imp.g <= gs.g
+        GROUP BY ALL),
+hit AS (SELECT run_id, spe, min(g) AS g FROM ctr WHERE CASE WHEN li IS NULL THEN g ELSE g - li + 1 END > 12 GROUP BY ALL)
+SELECT h.run_id, ((h.g - 1) // h.spe + 1)::BIGINT AS stop_epoch, (h.g - ((h.g - 1) // h.spe) * h.spe)::BIGINT AS stop_step,
+       h.g::BIGINT AS global_step,
+       coalesce((SELECT max(imp.g) FROM imp WHERE imp.run_id = h.run_id AND imp.g <= h.g), 0)::BIGINT AS last_improved
+FROM hit h"""
+    q["resume_point"] = base + """
+, pe AS (SELECT run_id, epoch, count(DISTINCT step) AS ns FROM slog GROUP BY ALL),
+fe AS (SELECT * FROM pe WHERE ns = (SELECT max(ns) FROM pe p2 WHERE p2.run_id = pe.run_id))
+SELECT run_id, max(epoch)::BIGINT AS last_epoch, (max(epoch) + 1)::BIGINT AS next_epoch,
+       max(epoch)::BIGINT AS restart_epoch_as_stored FROM fe GROUP BY run_id"""
+    q["progress_log"] = mbase + """
+SELECT run_id, epoch, step::BIGINT AS step,
+       printf('ITER:%d, TRAIN_LOSS:%.3f, TRAIN_F1:%.2f%%%s', step, train_loss, f1 * 100, flag) AS line FROM best2"""
+
+
+_BUILDERS = [_step1, _step2, _step3, _step4, _step5, _step5b, _step6, _step7]
 _sql_base = sql
 
 

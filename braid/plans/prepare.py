@@ -14,14 +14,30 @@ from ..operators.common import checked_broadcast, r6
 
 
 class Prepared:
-    """Lazily built tables of the prepare stage for one ``sf_dir``."""
+    """Tables of the prepare stage for one ``sf_dir``.
+
+    ``examples`` stays a lazy scan; the split table, plan, quotas and label
+    dictionary are materialised once (reliable checkpoints) because every
+    later stage reads them.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, batch_size: int = TOTAL_BATCH_SIZE,
-                 min_pct: float = MIN_DEV_PCT, seed: int = SPLIT_SEED):
+                 min_pct: float = MIN_DEV_PCT, seed: int = SPLIT_SEED, materialize: bool = True):
+        from .stages import materialize as mat
+        keep = mat if materialize else (lambda d: d)
         self.spark, self.sf_dir, self.seed = spark, sf_dir, seed
         self.examples = ex.load_examples(spark, sf_dir)
-        self.splits, self.plan, self.quota = sp.split_examples(self.examples, batch_size, min_pct, seed)
-        self.label_dim = ex.build_label_dim(self.examples)
+        splits, plan, quota = sp.split_examples(self.examples, batch_size, min_pct, seed)
+        self.plan = keep(plan)
+        self.quota = keep(quota)
+        self.label_dim = keep(ex.build_label_dim(self.examples))
+        self.splits = keep(splits)
+
+    @classmethod
+    def get(cls, spark: SparkSession, sf_dir: str) -> Prepared:
+        """Session-memoised default instance."""
+        from .stages import stage
+        return stage(spark, sf_dir, "prepared", lambda: cls(spark, sf_dir))
 
     def encoded_splits(self) -> DataFrame:
         """Split rows with ``label_idx`` (unknown labels -> null)."""
@@ -30,7 +46,7 @@ class Prepared:
 
 def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: rows per task x split x label with the label's class weight."""
-    p = Prepared(spark, sf_dir)
+    p = Prepared.get(spark, sf_dir)
     cw = st.class_weights(p.examples).select("task", "label", "weight")
     counts = p.splits.groupBy("task", "split", "label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     return (counts.join(checked_broadcast(cw), ["task", "label"], "left")

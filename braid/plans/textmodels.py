@@ -14,17 +14,32 @@ from .prepare import Prepared
 
 
 class NBScores:
-    """Logits of the per-task NB heads for every split row of ``p``."""
+    """Logits of the per-task NB heads for every split row of ``p``.
 
-    def __init__(self, p: Prepared):
+    The per-row token counts are persisted while the model is fitted and the
+    rows are scored (both read them); model, priors and logits are then
+    materialised and the counts released.
+    """
+
+    def __init__(self, p: Prepared, materialize: bool = True):
+        from .stages import materialize as mat
+        keep = mat if materialize else (lambda d: d)
         self.p = p
         enc = p.encoded_splits()
         self.rows = enc.select("task", "split", "id", "label_idx")
-        counts = hd.token_counts(enc)
+        counts = hd.token_counts(enc).persist(StorageLevel.MEMORY_AND_DISK)
         train = counts.filter(F.col("split") == "train")
-        self.model, self.prior = hd.fit_nb(train, self.rows.filter(F.col("split") == "train"), p.label_dim)
+        model, prior = hd.fit_nb(train, self.rows.filter(F.col("split") == "train"), p.label_dim)
+        self.model, self.prior = keep(model), keep(prior)
         self.max_classes = self._max_classes()
-        self.logits = hd.nb_score(self.rows, counts, self.model, self.prior, self.max_classes)
+        self.logits = keep(hd.nb_score(self.rows, counts, self.model, self.prior, self.max_classes))
+        if materialize:
+            counts.unpersist()
+
+    @classmethod
+    def get(cls, p: Prepared) -> NBScores:
+        from .stages import stage
+        return stage(p.spark, p.sf_dir, "nb", lambda: cls(p))
 
     def _max_classes(self) -> int:
         row = self.p.label_dim.agg(F.max("label_idx").alias("m")).first()
@@ -36,19 +51,19 @@ class NBScores:
 
 
 def nb_priors(spark, sf_dir):
-    s = NBScores(Prepared(spark, sf_dir))
+    s = NBScores.get(Prepared.get(spark, sf_dir))
     return s.prior.select("task", F.posexplode("log_prior").alias("class_idx", "lp")).select(
         "task", F.col("class_idx").cast("bigint").alias("class_idx"), r6("lp").alias("log_prior"))
 
 
 def nb_logits(spark, sf_dir):
-    s = NBScores(Prepared(spark, sf_dir))
+    s = NBScores.get(Prepared.get(spark, sf_dir))
     return s.logits.select("task", "split", "id", F.posexplode("logits").alias("class_idx", "logit")).select(
         "task", "split", "id", F.col("class_idx").cast("bigint").alias("class_idx"), r6("logit").alias("logit"))
 
 
 def nb_predictions(spark, sf_dir):
-    s = NBScores(Prepared(spark, sf_dir))
+    s = NBScores.get(Prepared.get(spark, sf_dir))
     return s.predictions().select("task", "split", "id", F.col("label_idx").cast("bigint").alias("label_idx"),
                                   F.col("pred_idx").cast("bigint").alias("pred_idx"))
 
@@ -75,7 +90,7 @@ def logreg_predictions(spark, sf_dir):
     from ..functions import text as tx
     from ..operators import stats as st
     from ..operators.common import checked_broadcast
-    p = Prepared(spark, sf_dir)
+    p = Prepared.get(spark, sf_dir)
     enc = p.encoded_splits()
     cw = checked_broadcast(st.class_weights(p.examples).select("task", "label", "weight"))
     df = (enc.filter(F.col("split") != "test").join(cw, ["task", "label"], "left")
