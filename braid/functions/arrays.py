@@ -14,10 +14,16 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` (a lambda-bound
+    variable), so expressions that use their input several times do not
+    copy the input expression into the plan."""
+    return F.element_at(F.transform(F.array(_c(value)), fn), 1)
+
+
 def argmax(arr) -> Column:
     """0-based index of the largest element; the first one on ties."""
-    a = _c(arr)
-    return (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    return let(arr, lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int"))
 
 
 def total(arr) -> Column:
@@ -26,18 +32,17 @@ def total(arr) -> Column:
 
 def softmax(arr) -> Column:
     """Max-shifted softmax."""
-    a = _c(arr)
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    s = total(e)
-    return F.transform(e, lambda x: x / s)
+    def f(a):
+        e0 = let(F.array_max(a), lambda m: F.transform(a, lambda x: F.exp(x - m)))
+        return let(e0, lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
+    return let(arr, f)
 
 
 def log_softmax(arr) -> Column:
-    a = _c(arr)
-    m = F.array_max(a)
-    lse = m + F.log(total(F.transform(a, lambda x: F.exp(x - m))))
-    return F.transform(a, lambda x: x - lse)
+    def f(a):
+        lse = let(F.array_max(a), lambda m: m + F.log(total(F.transform(a, lambda x: F.exp(x - m)))))
+        return let(lse, lambda c: F.transform(a, lambda x: x - c))
+    return let(arr, f)
 
 
 def one_hot(idx, n_classes) -> Column:
@@ -81,8 +86,8 @@ def sub(a, b) -> Column:
 
 def normalize(arr, floor: float = 0.0) -> Column:
     """``x / max(||x||, floor)``; a zero vector stays zero."""
-    n = F.greatest(l2(arr), F.lit(floor))
-    return F.transform(_c(arr), lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    return let(arr, lambda a: let(F.greatest(l2(a), F.lit(floor)), lambda n: F.transform(
+        a, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
 
 
 def lit_vector(values) -> Column:

@@ -118,8 +118,8 @@ class LinearModel:
 
     def logits(self, x) -> Column:
         """H9: ``W x + b`` as ARRAY<DOUBLE> (class order = ``classes``)."""
-        x = F.col(x) if isinstance(x, str) else x
-        return F.array(*[ar.dot(x, ar.lit_vector(w)) + F.lit(float(b)) for w, b in zip(self.W, self.b)])
+        return ar.let(x, lambda v: F.array(
+            *[ar.dot(v, ar.lit_vector(w)) + F.lit(float(b)) for w, b in zip(self.W, self.b)]))
 
     def grad(self, x, y_idx) -> Column:
         """Gradient of cross entropy w.r.t. x: ``sum_c (p_c - y_c) W_c``."""
@@ -128,8 +128,9 @@ class LinearModel:
         Wl = ar.lit_matrix(self.W)
         dim = len(self.W[0])
         zero = F.array_repeat(F.lit(0.0), dim)
-        return F.aggregate(F.arrays_zip(coef.alias("k"), Wl.alias("w")), zero,
-                           lambda acc, z: ar.add(acc, ar.scale(z["w"], z["k"])))
+        return ar.let(coef, lambda c: F.aggregate(
+            F.sequence(F.lit(1), F.size(c)), zero,
+            lambda acc, i: ar.add(acc, ar.scale(F.element_at(Wl, i), F.element_at(c, i)))))
 
     def label_index(self, label) -> Column:
         lab = F.col(label) if isinstance(label, str) else label

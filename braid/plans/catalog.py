@@ -207,3 +207,11 @@ for _name in ("cross_entropy", "focal", "dice", "batch_mean_loss", "loss_by_name
               "submission", "step_log", "dwa_weights", "dtp_weights", "uw_terms", "total_loss",
               "running_f1", "running_loss", "best_so_far", "early_stop", "resume_point", "progress_log"):
     register(_name)(getattr(trn, _name))
+
+
+# --- step 9: perturbations and robustness -------------------------------------
+
+from . import robustness as rb  # noqa: E402
+
+for _name in ("linear_grad", "fgm", "pgd", "freelb_init", "freelb", "robustness"):
+    register(_name)(getattr(rb, _name))

@@ -562,7 +562,117 @@ SELECT run_id, epoch, step::BIGINT AS step,
        printf('ITER:%d, TRAIN_LOSS:%.3f, TRAIN_F1:%.2f%%%s', step, train_loss, f1 * 100, flag) AS line FROM best2"""
 
 
-_BUILDERS = [_step1, _step2, _step3, _step4, _step5, _step5b, _step6, _step7]
+def _grad(src: str, i: str) -> str:
+    """Logits, probabilities and input gradient of the centroid head for the
+    long-form state ``src(vec_id, dim, v)``."""
+    return f"""
+L{i} AS (SELECT s.vec_id, cls.k, any_value(cls.label) AS clabel, sum(s.v * cen.c) + any_value(bias.b) AS logit
+        FROM {src} s JOIN cen ON s.dim = cen.dim JOIN bias ON cen.label = bias.label JOIN cls ON cen.label = cls.label
+        GROUP BY s.vec_id, cls.k),
+Z{i} AS (SELECT vec_id, max(logit) AS m FROM L{i} GROUP BY vec_id),
+ZZ{i} AS (SELECT l.vec_id, any_value(z.m) AS m, sum(exp(l.logit - z.m)) AS z FROM L{i} l JOIN Z{i} z ON l.vec_id = z.vec_id
+          GROUP BY l.vec_id),
+P{i} AS (SELECT l.vec_id, l.k, l.clabel, l.logit, exp(l.logit - z.m) / z.z AS p, l.logit - z.m - ln(z.z) AS lp
+         FROM L{i} l JOIN ZZ{i} z ON l.vec_id = z.vec_id),
+G{i} AS (SELECT p.vec_id, cen.dim, sum((p.p - CASE WHEN p.clabel = y.label THEN 1.0 ELSE 0.0 END) * cen.c) AS g
+         FROM P{i} p JOIN cen ON cen.label = p.clabel JOIN ylab y ON y.vec_id = p.vec_id GROUP BY p.vec_id, cen.dim)"""
+
+
+def _eval(i: str, method: str) -> str:
+    """Per-method loss, accuracy and macro-F1 from P{i}."""
+    return f"""
+PK{i} AS (SELECT vec_id, k AS pk FROM (
+            SELECT vec_id, k, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, k) AS rn FROM P{i})
+          WHERE rn = 1),
+E{i} AS (SELECT p.vec_id, any_value(y.k) AS yk, sum(CASE WHEN p.clabel = y.label THEN -p.lp END) AS nll,
+                any_value(pk.pk) AS pk
+         FROM P{i} p JOIN (SELECT ylab.vec_id, ylab.label, cls.k FROM ylab JOIN cls ON ylab.label = cls.label) y
+           ON p.vec_id = y.vec_id JOIN PK{i} pk ON pk.vec_id = p.vec_id GROUP BY p.vec_id),
+F{i} AS (SELECT c.k, sum(CASE WHEN e.yk = c.k AND e.pk = c.k THEN 1 ELSE 0 END) AS tp,
+                sum(CASE WHEN e.pk = c.k THEN 1 ELSE 0 END) AS np, sum(CASE WHEN e.yk = c.k THEN 1 ELSE 0 END) AS nt
+         FROM (SELECT DISTINCT yk AS k FROM E{i} UNION SELECT DISTINCT pk FROM E{i}) c, E{i} e GROUP BY c.k),
+R{i} AS (SELECT '{method}' AS method, (SELECT avg(nll) FROM E{i}) AS loss,
+                (SELECT avg(CASE WHEN yk = pk THEN 1.0 ELSE 0.0 END) FROM E{i}) AS accuracy,
+                (SELECT avg(2.0 * tp / (nt + np)) FROM F{i} WHERE nt + np > 0) AS macro_f1)"""
+
+
+def _pgd_chain(k: int = 3, alpha: float = 0.3, eps: float = 1.0) -> str:
+    parts = []
+    for i in range(k):
+        parts.append(_grad(f"X{i}", f"q{i}").strip())
+        parts.append(f"""
+N{i} AS (SELECT sqrt(sum(g * g)) AS n FROM Gq{i}),
+S{i} AS (SELECT x.vec_id, x.dim, x.v + CASE WHEN n.n > 0 THEN {alpha} * g.g / n.n ELSE 0 END AS v
+         FROM X{i} x JOIN Gq{i} g ON x.vec_id = g.vec_id AND x.dim = g.dim, N{i} n),
+RN{i} AS (SELECT sqrt(sum((s.v - o.v) * (s.v - o.v))) AS rn FROM S{i} s JOIN X0 o ON s.vec_id = o.vec_id AND s.dim = o.dim),
+X{i + 1} AS (SELECT o.vec_id, o.dim, o.v + (s.v - o.v) * CASE WHEN r.rn > {eps} THEN {eps} / r.rn ELSE 1.0 END AS v
+           FROM S{i} s JOIN X0 o ON s.vec_id = o.vec_id AND s.dim = o.dim, RN{i} r)""".strip())
+    return ",\n".join(parts)
+
+
+FREELB_SQL = """
+mem AS (SELECT vec_id // 8 AS seq_id, count(*) OVER (PARTITION BY vec_id // 8) AS nm, vec_id FROM ylab),
+D0 AS (SELECT x.vec_id, x.dim,
+              ((('0x' || substr(md5(x.vec_id::VARCHAR || '|' || x.dim::VARCHAR || '|2020'), 1, 8))::BIGINT
+                / 4294967295.0) * 2 - 1) * 1.0 / sqrt(m.nm * 64) AS d
+       FROM X0 x JOIN mem m ON x.vec_id = m.vec_id)
+"""
+
+
+def _freelb_chain(steps: int = 3, lr: float = 0.1, max_norm: float = 0.6) -> str:
+    parts = [FREELB_SQL.strip()]
+    for a in range(steps):
+        parts.append(f"""
+XA{a} AS (SELECT x.vec_id, x.dim, x.v + d.d AS v FROM X0 x JOIN D{a} d ON x.vec_id = d.vec_id AND x.dim = d.dim)""".strip())
+        parts.append(_grad(f"XA{a}", f"f{a}").strip())
+        parts.append(f"""
+LS{a} AS (SELECT m.seq_id, avg(-p.lp) AS loss FROM Pf{a} p JOIN ylab y ON p.vec_id = y.vec_id AND p.clabel = y.label
+          JOIN mem m ON m.vec_id = p.vec_id GROUP BY m.seq_id)""".strip())
+        if a < steps - 1:
+            parts.append(f"""
+GN{a} AS (SELECT m.seq_id, greatest(sqrt(sum(g.g * g.g)), 1e-8) AS den FROM Gf{a} g JOIN mem m ON g.vec_id = m.vec_id
+          GROUP BY m.seq_id),
+DU{a} AS (SELECT d.vec_id, d.dim, m.seq_id, d.d + {lr} * g.g / n.den AS d
+          FROM D{a} d JOIN Gf{a} g ON d.vec_id = g.vec_id AND d.dim = g.dim JOIN mem m ON m.vec_id = d.vec_id
+          JOIN GN{a} n ON n.seq_id = m.seq_id),
+DN{a} AS (SELECT seq_id, sqrt(sum(d * d)) AS dn FROM DU{a} GROUP BY seq_id),
+D{a + 1} AS (SELECT u.vec_id, u.dim, u.d * CASE WHEN {max_norm} > 0 AND n.dn > {max_norm} THEN {max_norm} / n.dn ELSE 1.0 END AS d
+           FROM DU{a} u JOIN DN{a} n ON u.seq_id = n.seq_id)""".strip())
+    return ",\n".join(parts)
+
+
+def _step9(q: dict[str, str]) -> None:
+    head = with_(VX, "ylab AS (SELECT vec_id, label FROM embeddings)",
+                 "X0 AS (SELECT vec_id, dim, v FROM x)", _grad("X0", "0"))
+    q["linear_grad"] = head + "SELECT vec_id, dim::BIGINT AS dim, round(g, 6) AS g FROM G0"
+    q["fgm"] = head + """
+, NF AS (SELECT sqrt(sum(g * g)) AS n FROM G0)
+SELECT x.vec_id, x.dim::BIGINT AS dim, round(x.v + CASE WHEN n.n > 0 THEN 1.0 * g.g / n.n ELSE 0 END, 6) AS x_adv
+FROM X0 x JOIN G0 g ON x.vec_id = g.vec_id AND x.dim = g.dim, NF n"""
+    q["pgd"] = head + ", " + _pgd_chain() + """
+SELECT vec_id, dim::BIGINT AS dim, round(v, 6) AS x_adv FROM X3"""
+    q["freelb_init"] = head + ", " + FREELB_SQL.strip() + """
+SELECT vec_id, dim::BIGINT AS dim, round(d, 6) AS delta FROM D0"""
+    q["freelb"] = head + ", " + _freelb_chain() + """
+SELECT l0.seq_id, round(n.dn2, 6) AS delta_norm, round((l0.loss + l1.loss + l2.loss) / 3, 6) AS tr_loss
+FROM LS0 l0 JOIN LS1 l1 ON l0.seq_id = l1.seq_id JOIN LS2 l2 ON l0.seq_id = l2.seq_id
+JOIN (SELECT m.seq_id, sqrt(sum(d.d * d.d)) AS dn2 FROM D2 d JOIN mem m ON d.vec_id = m.vec_id GROUP BY m.seq_id) n
+  ON n.seq_id = l0.seq_id"""
+    fg = """
+NF AS (SELECT sqrt(sum(g * g)) AS n FROM G0),
+XF AS (SELECT x.vec_id, x.dim, x.v + CASE WHEN n.n > 0 THEN 1.0 * g.g / n.n ELSE 0 END AS v
+       FROM X0 x JOIN G0 g ON x.vec_id = g.vec_id AND x.dim = g.dim, NF n),
+XL AS (SELECT vec_id, dim, v FROM XA2)
+"""
+    q["robustness"] = head + ", " + _freelb_chain() + ", " + _pgd_chain() + ", " + fg.strip() + ", " + ",\n".join([
+        _eval("0", "clean").strip(), _grad("XF", "fg").strip(), _eval("fg", "fgm").strip(),
+        _grad("X3", "pg").strip(), _eval("pg", "pgd").strip(),
+        _grad("XL", "fl").strip(), _eval("fl", "freelb").strip()]) + """
+SELECT method, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1
+FROM (SELECT * FROM R0 UNION ALL SELECT * FROM Rfg UNION ALL SELECT * FROM Rpg UNION ALL SELECT * FROM Rfl)"""
+
+
+_BUILDERS = [_step1, _step2, _step3, _step4, _step5, _step5b, _step6, _step7, _step9]
 _sql_base = sql
 
 
