@@ -215,3 +215,11 @@ from . import robustness as rb  # noqa: E402
 
 for _name in ("linear_grad", "fgm", "pgd", "freelb_init", "freelb", "robustness"):
     register(_name)(getattr(rb, _name))
+
+
+# --- step 10: streaming monitors, TSV/Parquet round trip -----------------------
+
+from . import streams as stq  # noqa: E402
+
+for _name in ("stream_confusion", "stream_scores", "written_splits"):
+    register(_name)(getattr(stq, _name))

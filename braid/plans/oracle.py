@@ -672,7 +672,18 @@ SELECT method, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy, round(mac
 FROM (SELECT * FROM R0 UNION ALL SELECT * FROM Rfg UNION ALL SELECT * FROM Rpg UNION ALL SELECT * FROM Rfl)"""
 
 
-_BUILDERS = [_step1, _step2, _step3, _step4, _step5, _step5b, _step6, _step7, _step9]
+def _step10(q: dict[str, str]) -> None:
+    q["stream_confusion"] = q["confusion"]
+    q["stream_scores"] = with_(VX) + """
+SELECT vec_id, class_idx::BIGINT AS pred_idx FROM (
+  SELECT vec_id, class_idx, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, class_idx) AS rn FROM lin)
+WHERE rn = 1"""
+    q["written_splits"] = with_(*PREP) + """
+SELECT task, id, label, split, length(text_a)::BIGINT AS len_a, md5(coalesce(text_a, '')) AS md5_a,
+       md5(coalesce(text_b, '')) AS md5_b FROM splits"""
+
+
+_BUILDERS = [_step1, _step2, _step3, _step4, _step5, _step5b, _step6, _step7, _step9, _step10]
 _sql_base = sql
 
 
