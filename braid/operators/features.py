@@ -13,7 +13,7 @@ Scale notes
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SPECIAL_TOKENS, TASKS, UNK_ID, VOCAB_MAX_SIZE
@@ -22,19 +22,26 @@ from .common import checked_broadcast
 
 
 def token_table(df: DataFrame) -> DataFrame:
-    """G1 per row: token arrays of both texts (whole texts)."""
+    """G1 per row: token arrays of both texts (whole texts).  A table that
+    already carries ``tokens_a``/``tokens_b`` is returned as is."""
+    if "tokens_a" in df.columns:
+        return df
     return (df.withColumn("tokens_a", tx.tokenize("text_a"))
             .withColumn("tokens_b", F.when(F.col("text_b").isNotNull(), tx.tokenize("text_b"))))
 
 
+def all_tokens(df: DataFrame) -> Column:
+    """Tokens of text_a followed by those of text_b (empty when absent)."""
+    t = token_table(df)
+    return F.concat(F.col("tokens_a"), F.coalesce(F.col("tokens_b"), F.array().cast("array<string>")))
+
+
 def build_vocab(splits: DataFrame, max_size: int = VOCAB_MAX_SIZE, min_count: int = 1,
                 split: str = "train") -> DataFrame:
     """(token, n, token_id); ids 0-3 are [PAD] [UNK] [CLS] [SEP], corpus
     tokens follow by count desc, token asc, capped at ``max_size``."""
-    src = splits.filter(F.col("split") == split) if split else splits
-    toks = src.select(F.explode(F.concat(tx.tokenize("text_a"),
-                                         F.coalesce(tx.tokenize("text_b"), F.array().cast("array<string>"))))
-                      .alias("token"))
+    src = token_table(splits.filter(F.col("split") == split) if split else splits)
+    toks = src.select(F.explode(all_tokens(src)).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     top = (counts.filter(F.col("n") >= min_count)
            .orderBy(F.col("n").desc(), F.col("token")).limit(max_size))

@@ -189,38 +189,45 @@ def ngram_features(df: DataFrame, sizes=(2, 3, 4, 5), buckets: int = 128) -> Dat
 
 def token_counts(rows: DataFrame, keys=("task", "split", "id", "label_idx")) -> DataFrame:
     """Tokens per row with multiplicity, whole texts (text_a and text_b)."""
+    from .features import all_tokens, token_table
     keys = [k for k in keys if k in rows.columns]
-    toks = F.concat(tx.tokenize("text_a"), F.coalesce(tx.tokenize("text_b"), F.array().cast("array<string>")))
-    return (rows.select(*keys, F.explode(toks).alias("token"))
+    rows = token_table(rows)
+    return (rows.select(*keys, F.explode(all_tokens(rows)).alias("token"))
             .groupBy(*keys, "token").agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
 
 
-def fit_nb(train_counts: DataFrame, train_rows: DataFrame, label_dim: DataFrame) -> tuple[DataFrame, DataFrame]:
+def fit_nb(train_counts: DataFrame, train_rows: DataFrame, label_dim: DataFrame,
+           max_classes: int) -> tuple[DataFrame, DataFrame]:
     """One multinomial NB head per task over the shared tokenizer.
 
     Returns ``(model, prior)``: ``model(task, token, ll ARRAY<DOUBLE>)`` with
     ``ll[c] = ln((n_wc + 1) / (N_c + V))`` and ``prior(task, log_prior
     ARRAY<DOUBLE>)`` with ``ln(n_c / n)``; class slots follow ``label_dim``
-    (task, label_idx).  All aggregates are partial (map-side combined).
+    (task, label_idx).
+
+    One partial aggregate per (task, token) produces all class counts at once
+    (a conditional sum per class slot), so a hot token is combined map-side
+    and no (token x class) grid is ever joined.  Per-task totals (N_c, V)
+    come from that table and have one row per task (broadcast).
     """
-    wc = train_counts.groupBy("task", "label_idx", "token").agg(F.sum("cnt").alias("n_wc"))
-    ntok = train_counts.groupBy("task", "label_idx").agg(F.sum("cnt").alias("n_tok"))
-    V = train_counts.groupBy("task").agg(F.countDistinct("token").alias("vsize"))
+    slots = [F.sum(F.when(F.col("label_idx") == k, F.col("cnt")).otherwise(0)).alias(f"_c{k}")
+             for k in range(max_classes)]
+    wc = (train_counts.groupBy("task", "token").agg(*slots)
+          .select("task", "token", F.array(*[F.col(f"_c{k}") for k in range(max_classes)]).alias("n_w")))
+    ncls = label_dim.groupBy("task").agg(F.count(F.lit(1)).cast("int").alias("n_cls"))
+    per_task = (wc.groupBy("task").agg(
+        F.count(F.lit(1)).alias("vsize"),
+        *[F.sum(F.element_at("n_w", k + 1)).alias(f"_N{k}") for k in range(max_classes)])
+        .select("task", "vsize", F.array(*[F.col(f"_N{k}") for k in range(max_classes)]).alias("n_tok"))
+        .join(ncls, "task"))
+    model = (wc.join(F.broadcast(per_task), "task")
+             .select("task", "token", F.transform(
+                 F.sequence(F.lit(1), F.col("n_cls")),
+                 lambda k: F.log((F.element_at("n_w", k) + 1) / (F.element_at("n_tok", k) + F.col("vsize"))))
+                 .alias("ll")))
     docs = train_rows.groupBy("task", "label_idx").agg(F.count(F.lit(1)).alias("n_docs"))
-    # One row per (task, class): bounded by the label dictionary; checked broadcast.
-    cls = checked_broadcast(
-        label_dim.select("task", "label_idx")
-        .join(ntok, ["task", "label_idx"], "left").join(docs, ["task", "label_idx"], "left")
-        .join(V, "task", "left")
-        .select("task", "label_idx", F.coalesce("n_tok", F.lit(0)).alias("n_tok"),
-                F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("vsize", F.lit(0)).alias("vsize")))
-    tokens = wc.select("task", "token").distinct()
-    grid = tokens.join(cls.select("task", "label_idx", "n_tok", "vsize"), "task")
-    ll = (grid.join(wc, ["task", "label_idx", "token"], "left")
-          .withColumn("ll", F.log((F.coalesce("n_wc", F.lit(0)) + 1) / (F.col("n_tok") + F.col("vsize")))))
-    model = (ll.groupBy("task", "token")
-             .agg(F.array_sort(F.collect_list(F.struct("label_idx", "ll"))).alias("_s"))
-             .select("task", "token", F.transform("_s", lambda s: s["ll"]).alias("ll")))
+    cls = (label_dim.select("task", "label_idx").join(docs, ["task", "label_idx"], "left")
+           .select("task", "label_idx", F.coalesce("n_docs", F.lit(0)).alias("n_docs")))
     tot = F.sum("n_docs").over(Window.partitionBy("task"))
     prior = (cls.select("task", "label_idx", F.log(F.col("n_docs") / tot).alias("lp"))
              .groupBy("task").agg(F.array_sort(F.collect_list(F.struct("label_idx", "lp"))).alias("_s"))

@@ -115,12 +115,19 @@ def stratified_split(examples: DataFrame, quota: DataFrame, seed: int = SPLIT_SE
 
 
 def split_examples(examples: DataFrame, batch_size: int = TOTAL_BATCH_SIZE,
-                   min_pct: float = MIN_DEV_PCT, seed: int = SPLIT_SEED):
+                   min_pct: float = MIN_DEV_PCT, seed: int = SPLIT_SEED, lcounts: DataFrame | None = None,
+                   keep=lambda d: d):
     """L1 steps 2-4: plan, quotas and the split of labelled rows; test rows
-    are appended with split = 'test'.  Returns (splits, plan, quota)."""
+    are appended with split = 'test'.  Returns (splits, plan, quota).
+
+    Everything small derives from one label-count aggregate (``lcounts``,
+    one scan); ``keep`` may materialise plan and quota before the split
+    reads them, so the split job does not recompute them."""
     spark = examples.sparkSession
-    plan = split_plan(task_counts(examples), task_dim(spark), batch_size, min_pct)
-    quota = label_quota(label_counts(examples), plan, seed)
+    lc = lcounts if lcounts is not None else label_counts(examples)
+    tc = lc.groupBy("task").agg(F.sum("n").cast("bigint").alias("n"))
+    plan = keep(split_plan(tc, task_dim(spark), batch_size, min_pct))
+    quota = keep(label_quota(lc, plan, seed))
     lab = stratified_split(examples, quota, seed)
     test = (examples.filter(F.col("kind") == "test").drop("kind")
             .withColumn("split", F.lit("test")))

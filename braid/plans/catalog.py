@@ -154,7 +154,7 @@ def q_tokens(spark, sf_dir):
 
 @register("vocab")
 def q_vocab(spark, sf_dir):
-    return fe.build_vocab(Prepared.get(spark, sf_dir).splits).select(
+    return fe.build_vocab(Prepared.get(spark, sf_dir).tokens()).select(
         "token", "n", F.col("token_id").cast("bigint").alias("token_id"))
 
 

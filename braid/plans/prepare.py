@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import MIN_DEV_PCT, SPLIT_SEED, TOTAL_BATCH_SIZE
@@ -27,10 +27,14 @@ class Prepared:
         keep = mat if materialize else (lambda d: d)
         self.spark, self.sf_dir, self.seed = spark, sf_dir, seed
         self.examples = ex.load_examples(spark, sf_dir)
-        splits, plan, quota = sp.split_examples(self.examples, batch_size, min_pct, seed)
-        self.plan = keep(plan)
-        self.quota = keep(quota)
-        self.label_dim = keep(ex.build_label_dim(self.examples))
+        # One scan of the labels gives the label histogram; the plan, the
+        # quotas and the label dictionary all derive from it.
+        self.label_counts = keep(st.label_counts(self.examples))
+        w = Window.partitionBy("task").orderBy("label")
+        self.label_dim = keep(self.label_counts.select(
+            "task", "label", (F.row_number().over(w) - 1).cast("int").alias("label_idx")))
+        splits, self.plan, self.quota = sp.split_examples(
+            self.examples, batch_size, min_pct, seed, lcounts=self.label_counts, keep=keep)
         self.splits = keep(splits)
 
     @classmethod
@@ -43,6 +47,18 @@ class Prepared:
         """Split rows with ``label_idx`` (unknown labels -> null)."""
         return ex.encode_labels(self.splits, checked_broadcast(self.label_dim))
 
+    def tokens(self) -> DataFrame:
+        """Split rows with whole-text token arrays instead of the texts,
+        tokenised once and materialised: the vocabulary, the features and the
+        NB heads all read it (the regex runs once per text)."""
+        from .stages import materialize, stage
+
+        def build():
+            from ..operators.features import token_table
+            t = token_table(self.encoded_splits())
+            return materialize(t.select("task", "split", "id", "label", "label_idx", "tokens_a", "tokens_b"))
+        return stage(self.spark, self.sf_dir, "tokens", build)
+
 
 def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: rows per task x split x label with the label's class weight."""
@@ -58,6 +74,7 @@ def features_of(p: Prepared, max_size: int | None = None):
     split row.  Returns (vocab, features)."""
     from ..config import VOCAB_MAX_SIZE
     from ..operators import features as fe
-    vocab = fe.build_vocab(p.splits, max_size or VOCAB_MAX_SIZE)
-    feats = fe.encode(p.encoded_splits(), vocab)
+    tok = p.tokens()
+    vocab = fe.build_vocab(tok, max_size or VOCAB_MAX_SIZE)
+    feats = fe.encode(tok, vocab)
     return vocab, feats

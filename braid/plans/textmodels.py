@@ -25,13 +25,14 @@ class NBScores:
         from .stages import materialize as mat
         keep = mat if materialize else (lambda d: d)
         self.p = p
-        enc = p.encoded_splits()
+        enc = p.tokens()
         self.rows = enc.select("task", "split", "id", "label_idx")
         counts = hd.token_counts(enc).persist(StorageLevel.MEMORY_AND_DISK)
         train = counts.filter(F.col("split") == "train")
-        model, prior = hd.fit_nb(train, self.rows.filter(F.col("split") == "train"), p.label_dim)
-        self.model, self.prior = keep(model), keep(prior)
         self.max_classes = self._max_classes()
+        model, prior = hd.fit_nb(train, self.rows.filter(F.col("split") == "train"), p.label_dim,
+                                 self.max_classes)
+        self.model, self.prior = keep(model), keep(prior)
         self.logits = keep(hd.nb_score(self.rows, counts, self.model, self.prior, self.max_classes))
         if materialize:
             counts.unpersist()
