@@ -115,7 +115,8 @@ def _seq_norm(arrs: Column) -> Column:
     return F.sqrt(F.aggregate(arrs, F.lit(0.0).cast("double"), lambda a, v: a + ar.sumsq(v)))
 
 
-def freelb(df: DataFrame, model: LinearModel, params=FREELB["quality"], seed: int = SPLIT_SEED) -> DataFrame:
+def freelb(df: DataFrame, model: LinearModel, params=FREELB["quality"], seed: int = SPLIT_SEED,
+           cut_lineage: bool = True) -> DataFrame:
     """FreeLB on sequences.  ``steps`` forward passes accumulate
     ``loss / steps``; between them (steps - 1 updates) the delta moves by
     ``lr * g / max(||g||, 1e-8)`` and, when ``max_norm > 0``, sequences whose
@@ -136,6 +137,10 @@ def freelb(df: DataFrame, model: LinearModel, params=FREELB["quality"], seed: in
             dn = _seq_norm(F.col("d"))
             fac = F.when(dn > max_norm, F.lit(max_norm) / dn).otherwise(F.lit(1.0))
             s = s.withColumn("d", ar.let(fac, lambda f: F.transform("d", lambda e: ar.scale(e, f))))
+        if cut_lineage:
+            # One ascent step per stage: keeps each generated projection small
+            # and a lost executor resumes from the last step.
+            s = checkpoint(s)
     return s.withColumn("delta_norm", _seq_norm(F.col("d")))
 
 
@@ -148,19 +153,18 @@ def freelb_rows(seqs: DataFrame) -> DataFrame:
 
 def report(scored: dict[str, DataFrame], model: LinearModel) -> DataFrame:
     """Loss, accuracy and macro-F1 of the head on each variant's
-    ``x_adv`` (the clean variant has ``x_adv = x``).  One row per method;
-    each is a partial aggregate over the rows plus the confusion-based F1."""
+    ``x_adv`` (the clean variant has ``x_adv = x``).  All variants are scored
+    in one union so a single aggregate (and one confusion table keyed by
+    method) produces the report."""
     from . import metrics as mt
-    out = None
-    for name, df in scored.items():
-        lg = (df.withColumn("logits", model.logits("x_adv"))
-              .select(F.lit(name).alias("task"), F.col("y_idx").alias("label_idx"),
-                      ar.argmax("logits").alias("pred_idx"),
-                      (-F.element_at(ar.log_softmax("logits"), F.col("y_idx") + 1)).alias("_nll")))
-        part = (lg.groupBy("task").agg(F.avg("_nll").alias("loss"),
-                                       F.avg((F.col("pred_idx") == F.col("label_idx")).cast("double"))
-                                       .alias("accuracy"))
-                .join(mt.macro_f1(lg), "task")
-                .withColumnRenamed("task", "method"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    parts = [df.select(F.lit(name).alias("task"), "y_idx", "x_adv") for name, df in scored.items()]
+    allv = parts[0]
+    for p in parts[1:]:
+        allv = allv.unionByName(p)
+    lg = (allv.withColumn("logits", model.logits("x_adv"))
+          .select("task", F.col("y_idx").alias("label_idx"), ar.argmax("logits").alias("pred_idx"),
+                  (-F.element_at(ar.log_softmax("logits"), F.col("y_idx") + 1)).alias("_nll")))
+    base = lg.groupBy("task").agg(
+        F.avg("_nll").alias("loss"),
+        F.avg((F.col("pred_idx") == F.col("label_idx")).cast("double")).alias("accuracy"))
+    return base.join(mt.macro_f1(lg), "task").withColumnRenamed("task", "method")

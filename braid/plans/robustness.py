@@ -60,12 +60,13 @@ def freelb(spark, sf_dir):
 
 def robustness(spark, sf_dir):
     r = Robust.get(spark, sf_dir)
+    from ..session import checkpoint
     clean = r.rows.withColumn("x_adv", F.col("x"))
     variants = {
         "clean": clean,
-        "fgm": pt.fgm(r.rows, r.model),
+        "fgm": checkpoint(pt.fgm(r.rows, r.model)),
         "pgd": pt.pgd(r.rows, r.model),
-        "freelb": pt.freelb_rows(pt.freelb(r.rows, r.model)),
+        "freelb": checkpoint(pt.freelb_rows(pt.freelb(r.rows, r.model))),
     }
     rep = pt.report(variants, r.model)
     return rep.select("method", r6("loss").alias("loss"), r6("accuracy").alias("accuracy"),
