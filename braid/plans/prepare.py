@@ -35,7 +35,7 @@ class Prepared:
             "task", "label", (F.row_number().over(w) - 1).cast("int").alias("label_idx")))
         splits, self.plan, self.quota = sp.split_examples(
             self.examples, batch_size, min_pct, seed, lcounts=self.label_counts, keep=keep)
-        self.splits = keep(splits)
+        self.splits = mat(splits, spread=True) if materialize else splits
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> Prepared:
@@ -56,7 +56,8 @@ class Prepared:
         def build():
             from ..operators.features import token_table
             t = token_table(self.encoded_splits())
-            return materialize(t.select("task", "split", "id", "label", "label_idx", "tokens_a", "tokens_b"))
+            return materialize(t.select("task", "split", "id", "label", "label_idx", "tokens_a", "tokens_b"),
+                               spread=True)
         return stage(self.spark, self.sf_dir, "tokens", build)
 
 

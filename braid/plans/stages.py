@@ -30,9 +30,21 @@ def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], objec
     return _MEMO[k]
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (eager) in the shared checkpoint folder."""
-    return checkpoint(df)
+def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
+    """Reliable checkpoint (eager) in the shared checkpoint folder.
+
+    With ``spread``, a table that came out in fewer partitions than the
+    cluster has task slots (a small input file gives one scan partition) is
+    hash-redistributed once so later per-row work (regexes, vector math) runs
+    in parallel.  A large input already has many partitions and is left as
+    it is -- no extra shuffle at scale.
+    """
+    out = checkpoint(df)
+    if spread:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        if out.rdd.getNumPartitions() < par:
+            out = checkpoint(out.repartition(par))
+    return out
 
 
 def clear() -> None:

@@ -22,20 +22,23 @@ class NBScores:
     """
 
     def __init__(self, p: Prepared, materialize: bool = True):
+        from ..operators.features import all_tokens
         from .stages import materialize as mat
         keep = mat if materialize else (lambda d: d)
         self.p = p
-        enc = p.tokens()
-        self.rows = enc.select("task", "split", "id", "label_idx")
-        counts = hd.token_counts(enc).persist(StorageLevel.MEMORY_AND_DISK)
-        train = counts.filter(F.col("split") == "train")
+        tok = p.tokens()
+        self.rows = tok.select("task", "split", "id", "label_idx")
+        # Exploded tokens with multiplicity 1: the fit and the scoring both
+        # aggregate them map-side (per (task, token) and per row), so no
+        # per-row token-count table is shuffled or kept.
+        occ = tok.select("task", "split", "id", "label_idx", F.explode(all_tokens(tok)).alias("token"),
+                         F.lit(1).cast("bigint").alias("cnt"))
+        train = occ.filter(F.col("split") == "train")
         self.max_classes = self._max_classes()
         model, prior = hd.fit_nb(train, self.rows.filter(F.col("split") == "train"), p.label_dim,
                                  self.max_classes)
         self.model, self.prior = keep(model), keep(prior)
-        self.logits = keep(hd.nb_score(self.rows, counts, self.model, self.prior, self.max_classes))
-        if materialize:
-            counts.unpersist()
+        self.logits = keep(hd.nb_score(self.rows, occ, self.model, self.prior, self.max_classes))
 
     @classmethod
     def get(cls, p: Prepared) -> NBScores:
