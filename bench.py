@@ -23,7 +23,6 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     from braid.plans import robustness as rb
     from braid.plans import stages
-    from braid.plans import training as trn
     from braid.plans.catalog import queries
     from braid.session import build_session
 
@@ -53,7 +52,6 @@ def main() -> None:
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "pipeline_wall_time", "value": total, "unit": "sec", "queries": times,
                       "sf": sf, "cpus": int(cpus)}))
-    _ = trn
     spark.stop()
 
 

@@ -24,11 +24,6 @@ def plain_sum(log: DataFrame) -> DataFrame:
     return log.groupBy("run_id", "epoch", "step").agg(F.sum("loss").alias("total"))
 
 
-def _gstep(log: DataFrame) -> DataFrame:
-    """Global step order across epochs (epoch, step)."""
-    return log.withColumn("_g", F.struct("epoch", "step"))
-
-
 def dwa(log: DataFrame, T: float = DWA_T, mode: str = "paper") -> DataFrame:
     """``w_t = K * softmax_t(r_t / T)``.
 

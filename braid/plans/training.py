@@ -9,20 +9,17 @@ all inputs are the driver's tables.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import SPLIT_SEED
-from ..functions import arrays as ar
 from ..operators import losses as ls
 from ..operators import metrics as mt
 from ..operators import monitor as mo
 from ..operators import stats as st
 from ..operators import weighting as wt
-from ..operators.common import checked_broadcast, r6
+from ..operators.common import order_key, r6
 from ..plans.ranking import hex_bucket, two_stage_rank
-from ..operators.common import order_key
 from .prepare import Prepared
 from .textmodels import NBScores
 
@@ -211,10 +208,6 @@ def submission(spark, sf_dir):
 
 # --- training log, weighting, monitor (steps 7-8) ----------------------------------
 
-def _log_out(df: DataFrame, *cols) -> DataFrame:
-    return df.select(*cols)
-
-
 def step_log(spark, sf_dir):
     t = _t(spark, sf_dir)
     return t.step_log().select("run_id", "epoch", "step", "task", r6("loss").alias("loss"),
