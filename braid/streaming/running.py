@@ -46,8 +46,17 @@ def run_running_confusion(spark: SparkSession, source_dir: str, schema, out_dir:
     def sink(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out_dir)
 
-    q = (running_confusion(stream).writeStream.outputMode("complete").foreachBatch(sink)
-         .option("checkpointLocation", ckpt_dir).trigger(availableNow=True).start())
+    # The state has one row per confusion cell (tasks x classes^2), so it needs
+    # few state partitions; the count is fixed when the query first starts
+    # (and kept in its checkpoint), so set it for the start only.
+    conf = spark.conf
+    old = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    try:
+        q = (running_confusion(stream).writeStream.outputMode("complete").foreachBatch(sink)
+             .option("checkpointLocation", ckpt_dir).trigger(availableNow=True).start())
+    finally:
+        conf.set("spark.sql.shuffle.partitions", old)
     q.awaitTermination()
 
 
