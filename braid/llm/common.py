@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver did."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table of ``sf_dir`` (any file system Spark can read)."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -26,3 +39,27 @@ def stored(df: DataFrame) -> DataFrame:
 def blocks_for(rows: int, per_block: int, least: int = 1) -> int:
     """Number of blocks of about ``per_block`` rows."""
     return max(least, -(-rows // per_block))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Connected components of the graph of ``edges`` (``a``, ``b``): one row
+    (``v``, ``label``) per vertex with an edge, the label being the smallest
+    vertex it can reach.
+
+    Every round takes the smallest label among the neighbours and then follows
+    the label's own label, so chains shorten by halves; each round is stored.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = stored(both.filter("a <> b").distinct())
+    labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m"))
+                    .select("v", F.least("v", "m").alias("label")))
+    while True:
+        near = (both.join(labels.select(F.col("v").alias("b"), "label"), "b")
+                .groupBy(F.col("a").alias("v")).agg(F.min("label").alias("m")))
+        step = stored(labels.join(near, "v").select("v", F.col("label").alias("old"),
+                                                    F.least("label", "m").alias("label")))
+        jump = step.select(F.col("v").alias("label"), F.col("label").alias("far"))
+        new = stored(step.join(jump, "label").select("v", "old", F.col("far").alias("label")))
+        if new.filter("label <> old").isEmpty():
+            return new.select("v", "label")
+        labels = new.select("v", "label")

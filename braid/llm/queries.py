@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, topk
+from . import chat, mixing, ngram_join, topk
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,38 @@ FROM n GROUP BY conv_id
 """
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.ngram_join(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+    return joined.select("doc_id", "n_shingles", "component_id")
+
+
+OP3_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') AS w
+  FROM documents
+), g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []
+         WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+         ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g
+  FROM w
+), s AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS x FROM g
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id
+       AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), e AS (
+  SELECT a, b FROM p UNION ALL SELECT b, a FROM p
+), r(doc_id, reach) AS (
+  SELECT doc_id, doc_id FROM g UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reach = e.a
+)
+SELECT g.doc_id, CAST(len(g.g) AS BIGINT) AS n_shingles, min(r.reach) AS component_id
+FROM g JOIN r ON g.doc_id = r.doc_id GROUP BY g.doc_id, g.g
+"""
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = topk.quantise(read_table(spark, sf_dir, "embeddings"))
     return topk.top_k(rows, rows.filter(F.col("id") % 100 == 0), k=10)
@@ -121,6 +153,7 @@ FROM q LEFT JOIN g ON q.row = g.row
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op3_ngram_join": op3_ngram_join,
         "op4_exact_top_k": op4_exact_top_k,
         "op6_mix_sources": op6_mix_sources,
     }
@@ -129,6 +162,7 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": OP1_SQL,
+        "op3_ngram_join": OP3_SQL,
         "op4_exact_top_k": OP4_SQL,
         "op6_mix_sources": OP6_SQL,
     }
