@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, ngram_join, topk
+from . import chat, fingerprints, mixing, ngram_join, topk
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,10 @@ FROM n GROUP BY conv_id
 """
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_neighbours(read_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = ngram_join.ngram_join(read_table(spark, sf_dir, "documents"), words=4, percent=85)
     return joined.select("doc_id", "n_shingles", "component_id")
@@ -153,6 +157,7 @@ FROM q LEFT JOIN g ON q.row = g.row
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
+        "op2_fingerprints": op2_fingerprints,
         "op3_ngram_join": op3_ngram_join,
         "op4_exact_top_k": op4_exact_top_k,
         "op6_mix_sources": op6_mix_sources,
