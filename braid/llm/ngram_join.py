@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, stored
-from .shards import ask, bucket_edges, compress, decompress, each_shard, pack, with_answers
+from .shards import LEAST_BUCKETS, ask, bucket_edges, each_shard, pack, squeeze, unsqueeze, with_answers
 from .textkernel import distinct_sorted, shingles
 
 # Rounds of pivot comparisons before the rest of the pairs is verified.
@@ -44,18 +44,6 @@ PIVOT_ROUNDS = 4
 BROADCAST_PAIRS = 1_000_000
 # Members of one list and component that are handled as one array.
 LIST_CHUNK = 512
-LEAST_BUCKETS = 32
-
-
-def _squeeze(values: np.ndarray) -> bytes:
-    """Sorted 32-bit numbers as compressed byte planes of their differences."""
-    gaps = np.diff(values.astype(np.uint32), prepend=np.uint32(0))
-    return compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes())
-
-
-def _unsqueeze(blob: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(decompress(blob, 4 * n), np.uint8).reshape(4, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
 def _sets(shard, words: int):
@@ -81,14 +69,14 @@ def _shared_ngrams(shards: DataFrame, words: int) -> DataFrame:
         for b in range(buckets):
             lo, hi = edge[b], edge[b + 1]
             if lo < hi:
-                out.append((b, shard.number, int(hi - lo), _squeeze(u[lo:hi] >> np.uint64(32)),
+                out.append((b, shard.number, int(hi - lo), squeeze(u[lo:hi] >> np.uint64(32)),
                             np.packbits(count[lo:hi] > 1).tobytes()))
         if out:
             yield pd.DataFrame(out, columns=["bucket", "shard", "n", "keys", "many"])
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         n = rows["n"].to_numpy(np.int64)
-        keys = np.concatenate([_unsqueeze(k, m) for k, m in zip(rows["keys"], n, strict=True)])
+        keys = np.concatenate([unsqueeze(k, m) for k, m in zip(rows["keys"], n, strict=True)])
         many = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=m)
                                for x, m in zip(rows["many"], n, strict=True)])
         u, inverse = np.unique(keys, return_inverse=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, ngram_join, topk
+from . import chat, fingerprints, mixing, ngram_join, repeats, topk
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +154,13 @@ FROM q LEFT JOIN g ON q.row = g.row
 """
 
 
+def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.repeated_spans(read_table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -161,6 +168,7 @@ def queries() -> dict[str, Query]:
         "op3_ngram_join": op3_ngram_join,
         "op4_exact_top_k": op4_exact_top_k,
         "op6_mix_sources": op6_mix_sources,
+        "op9_repeat_removal": op9_repeat_removal,
     }
 
 

@@ -23,6 +23,7 @@ from .common import stored
 
 SHARD_BYTES = 4 << 20
 SHARD_ROWS = 1 << 16
+LEAST_BUCKETS = 32
 # A shard number leaves room for the row numbers of its texts in one long.
 ROW_BITS = 17
 SCHEMA = "shard long, ids binary, nulls binary, lens binary, data binary"
@@ -66,6 +67,17 @@ def decompress(blob: bytes, size: int) -> bytes:
     return pa.decompress(blob, size, codec="zstd", asbytes=True) if size else b""
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as compressed byte planes of their differences."""
+    gaps = np.diff(values.astype(np.uint32), prepend=np.uint32(0))
+    return compress(np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unsqueeze(blob: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(decompress(blob, 4 * n), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 class Shard:
     """The texts of one shard: ``number``, ``ids``, ``null`` (id is null),
     ``buf`` (all bytes) and ``offs``."""
