@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, ngram_join, repeats, topk
+from . import chat, fingerprints, mixing, ngram_join, packing, repeats, topk
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -154,6 +154,13 @@ FROM q LEFT JOIN g ON q.row = g.row
 """
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    pieces = packing.tokenise(docs).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.pack(pieces, docs.count())
+
+
 def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeats.repeated_spans(read_table(spark, sf_dir, "documents"), length=50)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -168,6 +175,7 @@ def queries() -> dict[str, Query]:
         "op3_ngram_join": op3_ngram_join,
         "op4_exact_top_k": op4_exact_top_k,
         "op6_mix_sources": op6_mix_sources,
+        "op7_packing": op7_packing,
         "op9_repeat_removal": op9_repeat_removal,
     }
 
