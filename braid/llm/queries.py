@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, mixing, ngram_join, packing, repeats, topk
+from . import chat, fingerprints, html_text, mixing, ngram_join, packing, repeats, topk
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,6 +168,12 @@ def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    rows = html_text.extract(pages, html_text.fit(pages))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -177,6 +183,7 @@ def queries() -> dict[str, Query]:
         "op6_mix_sources": op6_mix_sources,
         "op7_packing": op7_packing,
         "op9_repeat_removal": op9_repeat_removal,
+        "op10_html_text": op10_html_text,
     }
 
 
