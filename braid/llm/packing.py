@@ -31,25 +31,70 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import blocks_for
+from .textkernel import LOWER, prefix_hash, span_hash, words
 
 CAPACITY = 4096
 END_ID = 2
 DOCS_PER_GROUP = 2048
-# Entries of a worker's word tables; a full table is emptied.
-MOST_WORDS = 600_000
+# Entries of a worker's word tables (about 30 bytes each); a full table is emptied.
+MOST_WORDS, RECENT_WORDS = 1_000_000, 60_000
+ENCODE_AT_ONCE = 4096
 CHUNK = 1 << 20
-# ASCII marks but the apostrophe, which can belong to a word's token.
+# Bytes that texts are split at, and ASCII marks but the apostrophe, which can belong to a word's token.
+BREAKS = np.zeros(256, bool)
+BREAKS[[0x20, 0x0A]] = True
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _encoders: dict[str, Encoder] = {}
 
 
-class _Numbered(dict):
-    """Gives every new key the next number."""
+class _IdTable:
+    """Token ids by the 64-bit hash of a word, in sorted arrays: a large one and
+    a small one of recent words.  Emptied when it holds too many words."""
 
-    def __missing__(self, key):
-        self[key] = number = len(self)
-        return number
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.ids = [np.empty(0, np.uint32)]
+        self.used = 0
+        self.tiers = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)) for _ in range(2)]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first id, number of ids) of each key; -1 for unknown ones."""
+        start, size = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        for known, first, many in self.tiers:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                start[hit], size[hit] = first[at[hit]], many[at[hit]]
+        return start, size
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """New keys, each once, with their ids laid end to end."""
+        new = (keys, self.used + np.cumsum(size) - size, size)
+        self.ids.append(ids)
+        self.used += len(ids)
+        large, recent = self.tiers
+        recent = self._merged(recent, new)
+        if len(recent[0]) > RECENT_WORDS:
+            large, recent = self._merged(large, recent), tuple(x[:0] for x in recent)
+        self.tiers = [large, recent]
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
+
+    def __len__(self) -> int:
+        return sum(len(t[0]) for t in self.tiers)
+
+    def gather(self, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        if len(self.ids) > 1:
+            self.ids = [np.concatenate(self.ids)]
+        skip = np.repeat(start - (np.cumsum(size) - size), size)
+        return self.ids[0][skip + np.arange(len(skip))]
 
 
 class Encoder:
@@ -59,8 +104,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.pieces = _Numbered(), {}
-        self.ids, self.start = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        self.words, self.parts = _IdTable(), _IdTable()
 
     @staticmethod
     def for_path(path: str) -> Encoder:
@@ -68,44 +112,51 @@ class Encoder:
             _encoders[path] = Encoder(path)
         return _encoders[path]
 
-    def _learn(self, words: list[str]) -> None:
-        """Appends the ids of new words: word and trailing marks on their own where that is the same."""
+    def _part_ids(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Place in ``self.parts`` of strings the tokenizer treats on their own."""
+        keys = np.fromiter(map(hash, parts), np.int64, len(parts)).view(np.uint64)
+        start, size = self.parts.find(keys)
+        lost = np.flatnonzero(start < 0)
+        if len(lost):
+            _, first = np.unique(keys[lost], return_index=True)
+            lost = lost[first]
+            for a in range(0, len(lost), ENCODE_AT_ONCE):
+                some = lost[a:a + ENCODE_AT_ONCE]
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast([parts[k] for k in some], add_special_tokens=False)]
+                self.parts.add(keys[some], np.array([i for x in ids for i in x], np.uint32),
+                               np.array([len(x) for x in ids], np.int64))
+            start, size = self.parts.find(keys)
+        return start, size
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Ids of new words: a word of letters and its trailing marks one by one, as the tokenizer splits them."""
         parts = []
         for w in words:
             core = w.rstrip(MARKS)
-            parts.append((core, w[len(core):]) if core.isalpha() else (w, ""))
-        new = list({p for pair in parts for p in pair if p and p not in self.pieces})
-        if len(self.pieces) + len(new) > MOST_WORDS:
-            self.pieces.clear()
-            new = list({p for pair in parts for p in pair if p})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.pieces[p] = np.array(e.ids, np.uint32).tobytes()
-        blobs = [self.pieces.get(a, b"") + self.pieces.get(b, b"") for a, b in parts]
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(blobs), np.uint32)])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(b) // 4 for b in blobs])])
+            parts += (core, w[len(core):]) if core.isalpha() else (w, "")
+        start, size = self._part_ids(parts)
+        self.words.add(keys, self.parts.gather(start, size), size.reshape(-1, 2).sum(axis=1))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self.words) > MOST_WORDS:
-            self.words.clear()
-            self.ids, self.start = self.ids[:0], self.start[:1]
-        known, found, counts = len(self.words), [], []
-        for t in texts:
-            # Capitals are lower-cased by the tokenizer anyway; not before an accent of its own, which it joins first.
-            if b"\xcc" not in t and b"\xcd" not in t:
-                t = t.lower()
-            words = t.decode().replace("\n", " ").split(" ")
-            found.append(np.fromiter(map(self.words.__getitem__, words), np.int64, len(words)))
-            counts.append(len(words))
-        if len(self.words) > known:
-            self._learn(list(self.words)[known:] if known * 2 < len(self.words) else
-                        [w for w, _ in zip(reversed(self.words), range(len(self.words) - known), strict=False)][::-1])
-        found = np.concatenate(found)
-        size = self.start[found + 1] - self.start[found]
-        skip = np.repeat(self.start[found] - (np.cumsum(size) - size), size)
-        ids = self.ids[skip + np.arange(len(skip))]
-        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum(counts)]
-        return ids, np.diff(ends, prepend=0)
+        for table in (self.words, self.parts):
+            if len(table) > MOST_WORDS:
+                table.clear()
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        # The tokenizer lower-cases after joining letters with accents, so only texts without such accents go first.
+        if not np.isin(buf, (0xCC, 0xCD)).any():
+            buf = LOWER[buf]
+        offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        start, end, at = words(buf, offs, BREAKS)
+        keys, first, inverse = np.unique(span_hash(prefix_hash(buf), start, end), return_index=True, return_inverse=True)
+        place, size = self.words.find(keys)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            raw = buf.tobytes()
+            self._learn(keys[new], [raw[start[k]:end[k]].decode() for k in first[new]])
+            place, size = self.words.find(keys)
+        counts = np.concatenate([[0], np.cumsum(size[inverse])])[at]
+        return self.words.gather(place[inverse], size[inverse]), np.diff(counts)
 
 
 def default_path() -> str:

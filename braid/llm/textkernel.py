@@ -61,10 +61,10 @@ def span_hash(p: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix64((p[end] - p[start]) * inv[start] + (end - start).astype(U))
 
 
-def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, offs: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end) of every word in order, and the index of the first word of
-    each text (one more entry than texts)."""
-    inside = ~SPACE[buf]
+    each text (one more entry than texts).  ``breaks``: the bytes between words."""
+    inside = ~breaks[buf]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
