@@ -36,6 +36,21 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Rows of a table of keys and small numbers (well under 100 bytes each) that may be broadcast.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (stored, narrow) marked for broadcasting if it has few rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def row_key() -> list:
+    """Columns ``_id`` and ``_digest`` that tell the rows of a document table apart by id and text; never null."""
+    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("_id"),
+            F.md5(F.coalesce("text", F.lit(""))).alias("_digest")]
+
+
 def blocks_for(rows: int, per_block: int, least: int = 1) -> int:
     """Number of blocks of about ``per_block`` rows."""
     return max(least, -(-rows // per_block))

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, html_text, mixing, ngram_join, packing, repeats, topk
+import corpus_pipeline
+
+from . import chat, fingerprints, html_text, langid, mixing, ngram_join, packing, repeats, secret_scan, topk
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +112,11 @@ SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 1
 """
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start", "end", F.sha2("value", 256).alias("value_sha256"), "score")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(
         "doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
@@ -161,6 +168,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, docs.count())
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op9_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repeats.repeated_spans(read_table(spark, sf_dir, "documents"), length=50)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
@@ -180,10 +194,13 @@ def queries() -> dict[str, Query]:
         "op2_fingerprints": op2_fingerprints,
         "op3_ngram_join": op3_ngram_join,
         "op4_exact_top_k": op4_exact_top_k,
+        "op5_secret_scan": op5_secret_scan,
         "op6_mix_sources": op6_mix_sources,
         "op7_packing": op7_packing,
+        "op8_language_id": op8_language_id,
         "op9_repeat_removal": op9_repeat_removal,
         "op10_html_text": op10_html_text,
+        "pipeline": corpus_pipeline.run,
     }
 
 
