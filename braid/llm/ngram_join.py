@@ -12,9 +12,11 @@
    prefix lists hold groups.
 5. *Group pairs* pass the size and position filters, are expanded to members
    and verified on the whole sets.  In each list a pivot is first compared with
-   the members outside its component, for a few rounds; then every remaining
-   pair of a list whose two documents are not connected yet is verified.  So a
-   large group of near copies costs a few comparisons a member, and no link
+   the members outside its component, for a few rounds.  Then what is not
+   connected yet is verified: all such pairs of a short list, and for long lists
+   (large groups of near copies) all such pairs of the documents that the lists
+   join, block against block, where a task counts common n-grams through a
+   local index and returns only links that connect something.  So no link
    between components is missed: what is never compared is connected already.
 
 N-grams are 64-bit hashes.  Defined results.  Null or blank text: an empty set,
@@ -39,11 +41,12 @@ from .shards import LEAST_BUCKETS, ask, bucket_edges, each_shard, pack, squeeze,
 from .textkernel import distinct_sorted, shingles
 
 # Rounds of pivot comparisons before the rest of the pairs is verified.
-PIVOT_ROUNDS = 4
+PIVOT_ROUNDS = 2
 # Pairs (two longs each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
-# Members of one list and component that are handled as one array.
-LIST_CHUNK = 512
+# Longer lists are handled in blocks of so many documents.
+SHORT_LIST = 64
+BLOCK = 512
 
 
 def _sets(shard, words: int):
@@ -91,7 +94,7 @@ def _shared_ngrams(shards: DataFrame, words: int) -> DataFrame:
 
 
 def _ngram_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """``rid``, ``doc_id``, ``n`` of every document; ``grams`` and ``sig`` of those that may have a partner."""
+    """``rid``, ``doc_id``, ``n``, ``digest`` of every document; ``grams`` and ``sig`` of those that may have a partner."""
     shards = pack(docs)
     buckets = max(LEAST_BUCKETS, shards.count())
 
@@ -111,10 +114,11 @@ def _ngram_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
         ids[shard.null] = pd.NA
         yield pd.DataFrame({
             "rid": shard.rids, "doc_id": ids, "n": n.astype(np.int64), "grams": grams,
-            "sig": [None if g is None else hashlib.md5(g.tobytes()).hexdigest() for g in grams]})
+            "sig": [None if g is None else hashlib.md5(g.tobytes()).hexdigest() for g in grams],
+            "digest": [hashlib.md5(shard.buf[a:b]).hexdigest() for a, b in zip(shard.offs[:-1], shard.offs[1:], strict=True)]})
 
     return stored(_shared_ngrams(shards, words).mapInPandas(
-        each_shard(keep, ""), "rid long, doc_id long, n long, grams array<long>, sig string"))
+        each_shard(keep, ""), "rid long, doc_id long, n long, grams array<long>, sig string, digest string"))
 
 
 def _need(a: Column, percent: int) -> Column:
@@ -141,9 +145,8 @@ def _prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return stored(posts), groups.select("gid", "rid")
 
 
-def _may_link(percent: int, a: str = "", b: str = "2") -> Column:
+def _may_link(percent: int, n1: Column, p1: Column, n2: Column, p2: Column) -> Column:
     """Size filter, and position filter for the first n-gram two prefixes have in common."""
-    n1, n2, p1, p2 = (F.col(c) for c in (f"n{a}", f"n{b}", f"pos{a}", f"pos{b}"))
     overlap = F.floor(((n1 + n2) * percent + 99 + percent) / (100 + percent))
     return ((n1 * 100 >= n2 * percent) & (n2 * 100 >= n1 * percent)
             & (F.least(n1 - p1, n2 - p2) + 1 >= overlap))
@@ -179,8 +182,8 @@ def _links(posts: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
         pivots = (now.groupBy("gram").agg(F.min(order).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
                   .filter("lo <> hi").select("gram", F.col("p.rid").alias("rid2"), F.col("p.n").alias("n2"),
                                              F.col("p.pos").alias("pos2"), F.col("p.comp").alias("comp2")))
-        pairs = (now.join(pivots, "gram").filter("comp <> comp2").filter(_may_link(percent))
-                 .select(*_ordered("rid", "rid2")).distinct().join(tried, ["a", "b"], "left_anti"))
+        pairs = (now.join(pivots, "gram").filter("comp <> comp2")
+                 .filter(_may_link(percent, *map(F.col, ("n", "pos", "n2", "pos2")))).select(*_ordered("rid", "rid2")).distinct().join(tried, ["a", "b"], "left_anti"))
         pairs = stored(pairs)
         if pairs.isEmpty():
             break
@@ -192,31 +195,76 @@ def _links(posts: DataFrame, members: DataFrame, sets: DataFrame, percent: int)
     comp = components(links)
     now = lists.join(comp.select(F.col("v").alias("rid"), "label"), "rid", "left").withColumn(
         "comp", F.coalesce("label", "rid")).drop("label")
-    mixed = now.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    now = stored(now.join(mixed.select("gram"), "gram", "left_semi"))
-    sizes = now.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("c"))
-    chunk = F.pmod(F.xxhash64("rid"), F.floor((F.col("c") - 1) / LIST_CHUNK) + 1)
-    runs = (now.join(sizes, ["gram", "comp"]).withColumn("chunk", chunk).groupBy("gram", "comp", "chunk")
-            .agg(F.collect_list(F.struct("rid", "n", "pos")).alias("m")))
-    other = runs.select("gram", F.col("comp").alias("comp2"), F.col("m").alias("m2"))
-    cross = (runs.join(other, "gram").filter("comp < comp2").select(F.explode("m").alias("x"), "m2")
-             .select("x.*", F.explode("m2").alias("y"))
-             .select("rid", "n", "pos", F.col("y.rid").alias("rid2"), F.col("y.n").alias("n2"),
-                     F.col("y.pos").alias("pos2")))
-    pairs = stored(cross.filter(_may_link(percent)).select(*_ordered("rid", "rid2")).distinct()
+    mixed = (now.groupBy("gram").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+             .filter("lo <> hi").select("gram", "c"))
+    now = stored(now.join(mixed, "gram"))
+    short = (now.filter(F.col("c") <= SHORT_LIST).groupBy("gram")
+             .agg(F.collect_list(F.struct("rid", "n", "pos", "comp")).alias("m")))
+    found = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (
+        (x["rid"] < y["rid"]) & (x["comp"] != y["comp"])
+        & _may_link(percent, x["n"], x["pos"], y["n"], y["pos"]))),
+        lambda y: F.struct(x["rid"].alias("a"), y["rid"].alias("b")))))
+    pairs = stored(short.select(F.explode(found).alias("p")).select("p.*").distinct()
                    .join(tried, ["a", "b"], "left_anti"))
-    return links.unionByName(_verify(pairs, sets, percent))
+    links = links.unionByName(_verify(pairs, sets, percent))
+    long = now.filter(F.col("c") > SHORT_LIST).select("gram", "rid", "comp")
+    return links if long.isEmpty() else links.unionByName(_block_links(long, sets, percent))
+
+
+def _block_links(lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that connect components (``comp``) among the documents of long
+    ``lists`` (``gram``, ``rid``, ``comp``): documents that lists join are a cluster, dealt into
+    blocks, and every two blocks of a cluster meet in one task."""
+    first = lists.groupBy("gram").agg(F.min("rid").alias("b"))
+    cluster = components(lists.join(first, "gram").select(F.col("rid").alias("a"), "b"))
+    docs = lists.select("rid", "comp").distinct().join(cluster.withColumnRenamed("v", "rid"), "rid")
+    sizes = docs.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
+    docs = docs.join(sizes, "label").withColumn("blocks", F.floor((F.col("m") - 1) / BLOCK) + 1)
+    docs = docs.withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")))
+    met = docs.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("rid", "comp", "label", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def verify(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rid", ignore_index=True)
+        root = {c: c for c in rows["comp"]}
+
+        def find(c):
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+        n = rows["grams"].map(len).to_numpy()
+        at = np.concatenate([[0], np.cumsum(n)])
+        grams, inverse, count = np.unique(np.concatenate(rows["grams"].to_numpy()), return_inverse=True,
+                                          return_counts=True)
+        owner = np.repeat(np.arange(len(n)), n)[np.argsort(inverse, kind="stable")]
+        ends = np.cumsum(count)
+        rid, comp, out = rows["rid"].to_numpy(), rows["comp"].to_numpy(), []
+        for i in range(len(n)):
+            # How many n-grams each document has in common with this one.
+            own = inverse[at[i]:at[i + 1]]
+            c = count[own]
+            holders = owner[np.repeat(ends[own] - np.cumsum(c), c) + np.arange(c.sum())]
+            both = np.bincount(holders, minlength=len(n))
+            for j in np.flatnonzero(both * 100 >= (n + n[i] - both) * percent):
+                if j > i and find(comp[i]) != find(comp[j]):
+                    root[find(comp[i])] = find(comp[j])
+                    out.append((rid[i], rid[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    return (met.join(sets.select("rid", "grams"), "rid").groupBy("label", "x", "y")
+            .applyInPandas(verify, "a long, b long"))
 
 
 def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per document of ``docs`` (``doc_id``, ``text``): ``doc_id``,
     ``n_shingles`` (set size), ``component_id`` (smallest id it reaches by
-    links) and ``rid`` (row number, unique).  Two documents link when
+    links), ``component`` (a number of the component, also where ids are null
+    or repeated) and ``digest`` (MD5 of the text).  Two documents link when
     100 * intersection >= percent * union of their sets of ``words``-grams."""
     rows = _ngram_sets(docs, words, percent)
     may = rows.filter("sig IS NOT NULL")
     reps = stored(may.groupBy("sig", "n").agg(F.min("rid").alias("rep")))
-    sets = may.join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi").select("rid", "n", "grams")
+    ids = stored(reps.select(F.col("rep").alias("rid")))
+    sets = may.join(ids, "rid", "left_semi").select("rid", "n", "grams")
     posts, members = _prefixes(sets, percent)
     sets = stored(sets.join(members.select("rid"), "rid", "left_semi"))
     comp = components(_links(posts, members, sets, percent))
@@ -225,7 +273,7 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
           .select("rid", "doc_id", F.coalesce("label", "rep").alias("label")))
     of = stored(of)
     least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    comp_of = of.select("rid", "label").join(least, "label").select("rid", "component_id")
-    return (rows.select("rid", "doc_id", "n").join(comp_of, "rid", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"),
-                    F.coalesce("component_id", "doc_id").alias("component_id"), "rid"))
+    comp_of = of.select("rid", "label").join(least, "label").select("rid", "label", "component_id")
+    return (rows.select("rid", "doc_id", "n", "digest").join(comp_of, "rid", "left")
+            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+                    F.coalesce("label", "rid").alias("component"), "digest"))
