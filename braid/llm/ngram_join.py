@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stored
+from .common import components, small_side, stored
 from .shards import LEAST_BUCKETS, ask, bucket_edges, each_shard, pack, squeeze, unsqueeze, with_answers
 from .textkernel import distinct_sorted, shingles
 
@@ -264,9 +264,9 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     may = rows.filter("sig IS NOT NULL")
     reps = stored(may.groupBy("sig", "n").agg(F.min("rid").alias("rep")))
     ids = stored(reps.select(F.col("rep").alias("rid")))
-    sets = may.join(ids, "rid", "left_semi").select("rid", "n", "grams")
+    sets = may.join(small_side(ids), "rid", "left_semi").select("rid", "n", "grams")
     posts, members = _prefixes(sets, percent)
-    sets = stored(sets.join(members.select("rid"), "rid", "left_semi"))
+    sets = stored(sets.join(small_side(stored(members.select("rid"))), "rid", "left_semi"))
     comp = components(_links(posts, members, sets, percent))
     of = (may.select("rid", "doc_id", "sig", "n").join(reps, ["sig", "n"])
           .join(comp.select(F.col("v").alias("rep"), "label"), "rep", "left")
