@@ -6,7 +6,7 @@ in this module; they are DataFrames built by the operators.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
@@ -82,6 +82,8 @@ NGRAM_BUCKETS = 128
 EVAL_EVERY = 500
 PATIENCE_STEPS = 4000
 DEBUG_ROWS = 1000
+# The registered debug query's limit, below the group sizes of the small test inputs.
+DEBUG_QUERY_ROWS = 40
 FOCAL_GAMMA = 2.0
 FOCAL_EPS = 1e-10
 FREELB_NORM_FLOOR = 1e-8
@@ -89,7 +91,6 @@ FREELB_NORM_FLOOR = 1e-8
 # Special tokens and their reserved ids, in id order.
 SPECIAL_TOKENS = ("[PAD]", "[UNK]", "[CLS]", "[SEP]")
 PAD_ID, UNK_ID, CLS_ID, SEP_ID = 0, 1, 2, 3
-VOCAB_MAX_SIZE = 30000
 
 # Token pattern: one token per CJK ideograph, per run of letters/digits, per
 # punctuation mark.  Applied to lower-cased text.
@@ -103,11 +104,3 @@ def task_by_name(name: str) -> TaskSpec:
         if t.name == name:
             return t
     raise KeyError(f"unknown task {name!r}")
-
-
-@dataclass(frozen=True)
-class SplitSpec:
-    batch_size: int = TOTAL_BATCH_SIZE
-    min_pct: float = MIN_DEV_PCT
-    seed: int = SPLIT_SEED
-    tasks: tuple = field(default_factory=lambda: TASKS)

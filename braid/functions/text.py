@@ -1,8 +1,9 @@
 """Column expressions for tokenising, trimming and encoding.
 
 Everything is a built-in Spark expression (regexp, slice, concat,
-array_repeat, least/greatest), so it runs inside whole-stage codegen; there is
-no Python UDF.
+array_repeat, least/greatest), so it runs inside the JVM; there is no Python
+UDF.  Only ``joined`` uses a higher-order function, which Spark evaluates
+outside generated code.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SPLIT_SEED, TASKS
-from ..plans.ranking import hex_bucket, range_bucket, two_stage_rank
+from ..plans.ranking import hex_bucket, quantile_bucket, two_stage_rank
 from .common import order_key
 
 
@@ -28,7 +28,7 @@ def positions(df: DataFrame, part_cols=("task", "split"), seed: int = SPLIT_SEED
     if shuffled:
         k = shuffle_order(df, seed, epoch)
         return two_stage_rank(k, part_cols, ["_key", "id"], hex_bucket("_key"), out).drop("_key")
-    return two_stage_rank(df, part_cols, ["id"], range_bucket(df, "id"), out)
+    return two_stage_rank(quantile_bucket(df, part_cols, "id"), part_cols, ["id"], out=out)
 
 
 def assign_batches(splits: DataFrame, plan: DataFrame, seed: int = SPLIT_SEED, epoch: int = 1) -> DataFrame:

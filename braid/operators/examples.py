@@ -66,12 +66,12 @@ def build_label_dim(examples: DataFrame) -> DataFrame:
     return d.withColumn("label_idx", (F.row_number().over(w) - 1).cast("int"))
 
 
-def encode_labels(examples: DataFrame, label_dim: DataFrame, unknown: str = "null") -> DataFrame:
+def encode_labels(examples: DataFrame, label_dim: DataFrame, unknown: str = "error") -> DataFrame:
     """Add ``label_idx``.
 
     ``unknown`` decides what happens to a label missing from ``label_dim``:
-    ``null`` keeps the row unlabelled (idx null), ``drop`` removes it,
-    ``error`` fails the query (``raise_error`` evaluated per row, JVM side).
+    ``error`` fails the query (``raise_error`` evaluated per row, JVM side),
+    ``null`` keeps the row unlabelled (idx null), ``drop`` removes it.
     """
     if unknown not in ("null", "drop", "error"):
         raise ValueError("unknown must be null, drop or error")

@@ -3,20 +3,21 @@
 Scale notes
 * Tokenising is a JVM regex over whole texts (no prefix cut).
 * The vocabulary count is a partial aggregate over exploded tokens; hot tokens
-  are combined map-side.  The size cap (``max_size``) is the feature: a
-  top-k by (count desc, token), then ids over at most ``max_size`` rows.
-* Encoding truncates/trims *before* exploding, so at most ``max_length``
-  tokens per row reach the vocabulary join; the vocabulary (at most
-  ``max_size`` + 4 rows, a proven bound) is broadcast.  Only
-  (keys, pos, token_id) is shuffled to regroup the arrays; the text never is.
+  are combined map-side.  Every token gets an id (a caller may ask for the
+  ``max_size`` most frequent ones); ids come from a two-stage rank, never from
+  one window over the whole vocabulary.
+* Encoding truncates/trims *before* anything moves, shuffles one row per
+  document by its key, and explodes inside that partitioning, so regrouping the
+  ids needs no second exchange while the vocabulary is small enough to
+  broadcast (rows and bytes are checked); a larger one is joined by token.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import SPECIAL_TOKENS, TASKS, UNK_ID, VOCAB_MAX_SIZE
+from ..config import SPECIAL_TOKENS, TASKS, UNK_ID
 from ..functions import text as tx
 from .common import checked_broadcast
 
@@ -36,18 +37,25 @@ def all_tokens(df: DataFrame) -> Column:
     return F.concat(F.col("tokens_a"), F.coalesce(F.col("tokens_b"), F.array().cast("array<string>")))
 
 
-def build_vocab(splits: DataFrame, max_size: int = VOCAB_MAX_SIZE, min_count: int = 1,
+# Tokens with fewer occurrences are many per count and bucketed by their first letters too.
+RARE = 64
+
+
+def build_vocab(splits: DataFrame, max_size: int | None = None, min_count: int = 1,
                 split: str = "train") -> DataFrame:
     """(token, n, token_id); ids 0-3 are [PAD] [UNK] [CLS] [SEP], corpus
-    tokens follow by count desc, token asc, capped at ``max_size``."""
+    tokens follow by count desc, token asc -- all of them, or the first
+    ``max_size``."""
+    from ..plans.ranking import two_stage_rank
     src = token_table(splits.filter(F.col("split") == split) if split else splits)
     toks = src.select(F.explode(all_tokens(src)).alias("token"))
-    counts = toks.groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
-    top = (counts.filter(F.col("n") >= min_count)
-           .orderBy(F.col("n").desc(), F.col("token")).limit(max_size))
-    # At most max_size rows: a single ordered window is bounded here.
-    w = Window.orderBy(F.col("n").desc(), F.col("token"))
-    ranked = top.withColumn("token_id", (F.row_number().over(w) + len(SPECIAL_TOKENS) - 1).cast("int"))
+    counts = toks.groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("n")).filter(F.col("n") >= min_count)
+    start = F.when(F.col("n") < RARE, F.substring("token", 1, 2)).otherwise("")
+    ranked = two_stage_rank(counts, [], [F.col("n").desc(), "token"],
+                            F.struct((-F.col("n")).alias("n"), start.alias("start")), "_rank")
+    if max_size is not None:
+        ranked = ranked.filter(F.col("_rank") <= max_size)
+    ranked = ranked.select("token", "n", (F.col("_rank") + len(SPECIAL_TOKENS) - 1).cast("int").alias("token_id"))
     spark = splits.sparkSession
     special = spark.createDataFrame([(t, 0, i) for i, t in enumerate(SPECIAL_TOKENS)],
                                     "token string, n bigint, token_id int")
@@ -90,15 +98,20 @@ def sequences(rows: DataFrame, tasks=TASKS) -> DataFrame:
 def encode(rows: DataFrame, vocab: DataFrame, keys=("task", "split", "id"), carry=("label_idx",),
            tasks=TASKS) -> DataFrame:
     """``input_ids``, ``attention_mask``, ``token_type_ids``
-    (ARRAY<INT>, length = task max_length) for every row."""
+    (ARRAY<INT>, length = task max_length) for every row.
+
+    The trimmed sequences are dealt out by key, one row per document; the
+    columns that go with a document ride on its first token only.
+    """
     keys, carry = list(keys), [c for c in carry if c in rows.columns]
-    s = sequences(rows, tasks).select(*keys, *carry, "len_a", "len_b", "max_length", "is_pair", "seq")
-    small = ["len_a", "len_b", "max_length", "is_pair"]
-    long = s.select(*keys, *carry, *small, F.posexplode("seq").alias("pos", "token"))
-    v = checked_broadcast(vocab.select("token", "token_id"))
-    j = long.join(v, "token", "left").withColumn("tid", F.coalesce("token_id", F.lit(UNK_ID)))
-    g = (j.groupBy(*keys, *carry, *small)
-         .agg(F.array_sort(F.collect_list(F.struct("pos", "tid"))).alias("_s")))
+    fixed = [*carry, "len_a", "len_b", "max_length", "is_pair"]
+    s = sequences(rows, tasks).select(*keys, *fixed, "seq").repartition(*keys)
+    first = [F.when(F.col("pos") == 0, F.col(c)).alias(c) for c in fixed]
+    long = s.select(*keys, *fixed, F.posexplode("seq").alias("pos", "token")).select(*keys, "pos", "token", *first)
+    j = long.join(checked_broadcast(vocab.select("token", "token_id")), "token", "left")
+    g = j.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(UNK_ID)).alias("tid")))).alias("_s"),
+        *[F.max(c).alias(c) for c in fixed])
     ids = F.transform("_s", lambda x: x["tid"])
     n_real = F.size("_s")
     L = F.col("max_length")

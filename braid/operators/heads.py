@@ -8,13 +8,16 @@ pool over positions (or layers) view ``vec_id div 8`` as the sequence id and
 has at most 8 members, so per-sequence ``collect_list`` is bounded.
 
 Linear models (centroids) have ``classes x dim`` parameters.  They are fitted
-with a partial aggregate, checked for size, fetched to the driver as a small
-model (like an MLlib coefficient vector) and applied as literal arrays inside
-one projection: scoring needs no join and no shuffle.
+with a partial aggregate.  A model of checked size is fetched to the driver
+(like an MLlib coefficient vector) and applied as one literal matrix inside
+a projection: scoring needs no join and no shuffle.  A larger model is joined
+in blocks of classes.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,14 +97,19 @@ def last_k_concat(seqs: DataFrame, k: int = 4) -> DataFrame:
 
 def fit_centroids(vecs: DataFrame, label_col: str = "label", vec_col: str = "embedding") -> DataFrame:
     """Per class the mean vector (closed-form head) and the bias
-    ``-||c||^2 / 2`` that makes ``argmax(W x + b)`` the nearest centroid."""
-    long = vecs.select(F.col(label_col).alias("label"), F.posexplode(vec_col).alias("dim", "v"))
-    per_dim = long.groupBy("label", "dim").agg(F.avg("v").alias("c"))
-    cen = per_dim.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "c"))).alias("_s"))
-    cen = cen.select("label", F.transform("_s", lambda s: s["c"]).alias("centroid"))
+    ``-||c||^2 / 2`` that makes ``argmax(W x + b)`` the nearest centroid.
+
+    One partial aggregate of whole vectors (MLlib's summariser)."""
+    mean = Summarizer.mean(array_to_vector(F.col(vec_col)))
+    cen = vecs.groupBy(F.col(label_col).alias("label")).agg(vector_to_array(mean).alias("centroid"))
     return cen.withColumn("bias", -0.5 * ar.sumsq("centroid"))
 
 
+def _logits(x: Column, W: Column, b: Column) -> Column:
+    """``W x + b`` for a matrix and a vector column (or literal)."""
+    return F.zip_with(W, b, lambda w, c: ar.dot(x, w) + c)
+
+
 class LinearModel:
     """A small fitted linear head: ``classes`` (sorted labels), ``W``, ``b``."""
 
@@ -109,28 +117,25 @@ class LinearModel:
         self.classes, self.W, self.b = list(classes), [list(r) for r in W], list(b)
 
     @classmethod
-    def from_centroids(cls, cen: DataFrame) -> LinearModel:
-        n = cen.count()
+    def from_centroids(cls, cen: DataFrame, max_cells: int = MAX_MODEL_CELLS) -> LinearModel:
+        """Fetches a model of checked size; a larger one is scored with ``join_scores``."""
+        n, dim = cen.agg(F.count(F.lit(1)), F.max(F.size("centroid"))).first()
+        if n * (dim or 0) > max_cells:
+            raise ValueError(f"{n} classes x {dim} dimensions are too many to fetch; use join_scores")
         rows = sorted(cen.collect(), key=lambda r: r["label"])
-        if rows and n * len(rows[0]["centroid"]) > MAX_MODEL_CELLS:
-            raise ValueError("model too large to inline; score with a join instead")
         return cls([r["label"] for r in rows], [r["centroid"] for r in rows], [r["bias"] for r in rows])
 
     def logits(self, x) -> Column:
         """H9: ``W x + b`` as ARRAY<DOUBLE> (class order = ``classes``)."""
-        return ar.let(x, lambda v: F.array(
-            *[ar.dot(v, ar.lit_vector(w)) + F.lit(float(b)) for w, b in zip(self.W, self.b)]))
+        return ar.let(x, lambda v: _logits(v, ar.lit_matrix(self.W), ar.lit_vector(self.b)))
 
     def grad(self, x, y_idx) -> Column:
         """Gradient of cross entropy w.r.t. x: ``sum_c (p_c - y_c) W_c``."""
         p = ar.softmax(self.logits(x))
         coef = F.zip_with(p, ar.one_hot(y_idx, len(self.classes)), lambda a, b: a - b)
-        Wl = ar.lit_matrix(self.W)
-        dim = len(self.W[0])
-        zero = F.array_repeat(F.lit(0.0), dim)
-        return ar.let(coef, lambda c: F.aggregate(
-            F.sequence(F.lit(1), F.size(c)), zero,
-            lambda acc, i: ar.add(acc, ar.scale(F.element_at(Wl, i), F.element_at(c, i)))))
+        Wt = ar.lit_matrix([list(col) for col in zip(*self.W, strict=True)])
+        # One dot product with the coefficients per dimension.
+        return ar.let(coef, lambda c: F.transform(Wt, lambda col: ar.dot(col, c)))
 
     def label_index(self, label) -> Column:
         lab = F.col(label) if isinstance(label, str) else label
@@ -144,6 +149,22 @@ def linear_score(df: DataFrame, model: LinearModel, vec_col: str = "embedding")
     return df.withColumn("logits", model.logits(vec_col))
 
 
+def join_scores(df: DataFrame, cen: DataFrame, vec_col: str = "embedding", id_col: str = "vec_id",
+                block: int = 1024) -> DataFrame:
+    """H9 for a model of any size: (``id_col``, ``logits``) as ``linear_score``
+    gives them.  The classes are cut into blocks of ``block`` in label order;
+    each vector meets each block once and the pieces are put together by id."""
+    ranked = cen.withColumn("_c", F.row_number().over(Window.orderBy("label")) - 1)  # one row per class
+    blocks = (ranked.withColumn("_b", F.floor(F.col("_c") / block))
+              .groupBy("_b").agg(F.array_sort(F.collect_list(F.struct("_c", "centroid", "bias"))).alias("m")))
+    n = (cen.count() + block - 1) // block
+    met = df.select(id_col, F.col(vec_col).alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1))).alias("_b"))
+    piece = met.join(blocks, "_b").select(
+        id_col, "_b", _logits(F.col("_x"), F.col("m.centroid"), F.col("m.bias")).alias("l"))
+    return piece.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_b", "l"))).alias("p")).select(
+        id_col, F.flatten(F.col("p.l")).alias("logits"))
+
+
 def ensemble_mean(scores: DataFrame, id_col: str = "seq_id") -> DataFrame:
     """H7: mean logit per (id, class) over ensemble members (long form)."""
     long = scores.select(id_col, F.posexplode("logits").alias("class_idx", "logit"))
@@ -187,21 +208,29 @@ def ngram_features(df: DataFrame, sizes=(2, 3, 4, 5), buckets: int = 128) -> Dat
 
 # --- multinomial naive Bayes per task (H11, H13) --------------------------------
 
-def token_counts(rows: DataFrame, keys=("task", "split", "id", "label_idx")) -> DataFrame:
-    """Tokens per row with multiplicity, whole texts (text_a and text_b)."""
-    from .features import all_tokens, token_table
-    keys = [k for k in keys if k in rows.columns]
-    rows = token_table(rows)
+# A token with at least this share of a task's training tokens has its model row broadcast.
+HOT_SHARE = 1 / 2000
+
+
+def occurrences(tokens: DataFrame, keys=("task", "split", "id", "label_idx")) -> DataFrame:
+    """Tokens per row with multiplicity (``cnt``), whole texts.  The rows are
+    dealt out by their key first, so counting inside a row needs no exchange of
+    single tokens."""
+    from .features import all_tokens
+    keys = [k for k in keys if k in tokens.columns]
+    rows = tokens.repartition("task", "split", "id")
     return (rows.select(*keys, F.explode(all_tokens(rows)).alias("token"))
-            .groupBy(*keys, "token").agg(F.count(F.lit(1)).cast("bigint").alias("cnt")))
+            .groupBy("task", "split", "id", "token").agg(
+                *[F.max(k).alias(k) for k in keys if k not in ("task", "split", "id")],
+                F.count(F.lit(1)).cast("bigint").alias("cnt")))
 
 
 def fit_nb(train_counts: DataFrame, train_rows: DataFrame, label_dim: DataFrame,
            max_classes: int) -> tuple[DataFrame, DataFrame]:
     """One multinomial NB head per task over the shared tokenizer.
 
-    Returns ``(model, prior)``: ``model(task, token, ll ARRAY<DOUBLE>)`` with
-    ``ll[c] = ln((n_wc + 1) / (N_c + V))`` and ``prior(task, log_prior
+    Returns ``(model, prior)``: ``model(task, token, ll ARRAY<DOUBLE>, hot)`` with
+    ``ll[c] = ln((n_wc + 1) / (N_c + V))``, ``hot`` for the most frequent tokens, and ``prior(task, log_prior
     ARRAY<DOUBLE>)`` with ``ln(n_c / n)``; class slots follow ``label_dim``
     (task, label_idx).
 
@@ -224,7 +253,7 @@ def fit_nb(train_counts: DataFrame, train_rows: DataFrame, label_dim: DataFrame,
              .select("task", "token", F.transform(
                  F.sequence(F.lit(1), F.col("n_cls")),
                  lambda k: F.log((F.element_at("n_w", k) + 1) / (F.element_at("n_tok", k) + F.col("vsize"))))
-                 .alias("ll")))
+                 .alias("ll"), (ar.total("n_w") >= ar.total("n_tok") * HOT_SHARE).alias("hot")))
     docs = train_rows.groupBy("task", "label_idx").agg(F.count(F.lit(1)).alias("n_docs"))
     cls = (label_dim.select("task", "label_idx").join(docs, ["task", "label_idx"], "left")
            .select("task", "label_idx", F.coalesce("n_docs", F.lit(0)).alias("n_docs")))
@@ -240,13 +269,18 @@ def nb_score(rows: DataFrame, row_counts: DataFrame, model: DataFrame, prior: Da
     """``logits = log_prior + sum_tokens cnt * ll`` per row of ``rows``.
 
     Tokens outside the task's training vocabulary contribute nothing.  The
-    token join is keyed by (task, token) (the model grows with the corpus, so
-    it is not force-broadcast); hot tokens are split by AQE's skew-join
-    handling.  The per-row sum is an element-wise partial aggregate (one sum
+    token join is keyed by (task, token).  The model grows with the corpus, but
+    at most 1 / ``HOT_SHARE`` tokens per task are hot: their rows are broadcast, so
+    no stop word gathers its occurrences in one task, and the rest is joined by
+    a shuffle.  The per-row sum is an element-wise partial aggregate (one sum
     per class slot), so no token list is ever collected.
     """
     keys = [k for k in keys if k in rows.columns]
-    j = row_counts.join(model, ["task", "token"])
+    is_hot = checked_broadcast(model.filter("hot"))
+    hot = row_counts.join(is_hot, ["task", "token"])
+    cold = (row_counts.join(is_hot.select("task", "token"), ["task", "token"], "left_anti")
+            .join(model.filter("NOT hot"), ["task", "token"]))
+    j = hot.select("task", "split", "id", "cnt", "ll").unionByName(cold.select("task", "split", "id", "cnt", "ll"))
     sums = [F.sum(F.col("cnt") * F.try_element_at("ll", F.lit(k + 1))).alias(f"_s{k}") for k in range(max_classes)]
     g = j.groupBy("task", "split", "id").agg(*sums)
     out = (rows.select(*keys).join(checked_broadcast(prior), "task")
@@ -256,3 +290,43 @@ def nb_score(rows: DataFrame, row_counts: DataFrame, model: DataFrame, prior: Da
     logits = F.transform(F.sequence(F.lit(0), n - 1),
                          lambda k: F.element_at("log_prior", k + 1) + F.element_at(slots, k + 1))
     return out.select(*keys, logits.alias("logits"))
+
+
+def majority(rows: DataFrame, prior: DataFrame) -> DataFrame:
+    """The class with the largest prior for every row of a task (the smallest index on ties)."""
+    best = checked_broadcast(prior.select("task", ar.argmax("log_prior").alias("pred_idx")))
+    return rows.join(best, "task")
+
+
+def fit_nb_periods(counts: DataFrame, rows: DataFrame, label_dim: DataFrame, max_classes: int,
+                   periods: int) -> tuple[DataFrame, DataFrame]:
+    """H11 over time: the NB heads as they stand at the end of each of ``periods``.
+
+    ``counts``: ``occurrences`` with ``seen`` (array of the periods a training row is seen in, one
+    per epoch); ``rows``: the training rows with ``seen``.  The counts of a
+    period are those of all rows seen until its end, as often as they were
+    seen.  Arrays hold one slot per (period, class): ``ll`` as in ``fit_nb``,
+    0 for a token not seen yet; ``log_prior`` with one added to every class,
+    as early periods may lack one.  Score with ``nb_score`` and all slots.
+    """
+    slots = [(g, c) for g in range(1, periods + 1) for c in range(max_classes)]
+    seen_by = lambda g: F.size(F.filter("seen", lambda p: p <= g))
+    often = {g: seen_by(g) for g in range(1, periods + 1)}
+    wc = counts.groupBy("task", "token").agg(F.array(*[
+        F.sum(F.when(F.col("label_idx") == c, F.col("cnt") * often[g]).otherwise(0)) for g, c in slots]).alias("n_w"))
+    at = lambda arr, g, c: F.element_at(arr, (g - 1) * max_classes + c + 1)
+    of_period = lambda arr, g: F.slice(arr, (g - 1) * max_classes + 1, max_classes)
+    total = wc.groupBy("task").agg(
+        F.array(*[F.sum(at("n_w", g, c)) for g, c in slots]).alias("n_tok"),
+        F.array(*[F.sum((ar.total(of_period("n_w", g)) > 0).cast("int")) for g in range(1, periods + 1)]).alias("vsize"))
+    ll = F.array(*[F.when(ar.total(of_period("n_w", g)) > 0, F.log(
+        (at("n_w", g, c) + 1) / (at("n_tok", g, c) + F.element_at("vsize", g)))).otherwise(0.0) for g, c in slots])
+    model = wc.join(F.broadcast(total), "task").select(
+        "task", "token", ll.alias("ll"),
+        (ar.total("n_w") >= ar.total("n_tok") * HOT_SHARE).alias("hot"))
+    docs = rows.groupBy("task").agg(F.array(*[
+        F.sum(F.when(F.col("label_idx") == c, often[g]).otherwise(0)) for g, c in slots]).alias("n"))
+    classes = label_dim.groupBy("task").agg(F.count(F.lit(1)).alias("n_cls"))
+    prior = docs.join(classes, "task").select("task", F.array(*[
+        F.log((at("n", g, c) + 1) / (ar.total(of_period("n", g)) + F.col("n_cls"))) for g, c in slots]).alias("log_prior"))
+    return model, prior

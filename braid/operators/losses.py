@@ -37,8 +37,7 @@ def cross_entropy(df: DataFrame, keys=("task",), weights: DataFrame | None = Non
                                 F.count(F.lit(1)).alias("n"))
 
 
-def alpha_table(weights: DataFrame, alpha="list", balance_index: int = -1,
-                n_classes: DataFrame | None = None) -> DataFrame:
+def alpha_table(weights: DataFrame, alpha="list", balance_index: int = -1) -> DataFrame:
     """Focal alpha per (task, label_idx).
 
     ``alpha='list'``: the task's class weights normalised to sum 1;
@@ -58,13 +57,12 @@ def alpha_table(weights: DataFrame, alpha="list", balance_index: int = -1,
     raise TypeError("alpha must be 'list', None or a float")
 
 
-def focal_terms(df: DataFrame, gamma: float = FOCAL_GAMMA, smooth: float | None = None,
-                n_classes_col: str | None = None) -> DataFrame:
+def focal_terms(df: DataFrame, gamma: float = FOCAL_GAMMA, smooth: float | None = None) -> DataFrame:
     """D15/D16 per-row focal term ``(1 - pt)^gamma * (-ln pt)`` with
     ``pt = sum(onehot * softmax) + 1e-10``; ``smooth`` clamps the one-hot to
     ``[smooth, 1 - smooth]``."""
     if smooth is not None and not (0.0 <= smooth <= 1.0):
-        raise ValueError("smooth value should be in [0,1]")
+        raise ValueError(f"smooth must lie between 0 and 1, not {smooth}")
     p = ar.softmax("logits")
     oh = ar.one_hot(F.col("label_idx"), F.size("logits"))
     if smooth:

@@ -4,7 +4,8 @@ Inputs are step-level tables:
   ``step_preds(run_id, epoch, step, task, label_idx, pred_idx)`` -- one row
   per example seen at a step;
   ``step_log(run_id, epoch, step, task, loss, acc)`` -- one row per step/task;
-  ``eval_log(run_id, epoch, step, train_loss, f1)`` -- one row per evaluation.
+  ``eval_log(run_id, epoch, step, train_loss, train_f1, dev_loss, dev_f1, ...)``
+  -- one row per evaluation, with both F1 of every task.
 Running metrics are cumulative sums over a dense (class x evaluation period)
 grid built with ``sequence`` (no join of all pairs); windows are partitioned
 by run/epoch/task/class.
@@ -16,22 +17,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EVAL_EVERY, PATIENCE_STEPS
+from .common import checked_broadcast
 
 
 def running_f1(step_preds: DataFrame, eval_every: int = EVAL_EVERY) -> DataFrame:
     """E5: macro-F1 per task over all rows seen in the epoch up to each
     evaluation step (steps that are multiples of ``eval_every``)."""
-    ev = step_preds.withColumn("period", F.ceil(F.col("step") / eval_every).cast("int"))
-    ev = ev.select("run_id", "epoch", "task", "period", F.explode(F.array(
-        F.struct(F.col("label_idx").alias("cls"), F.lit(1).alias("t"), F.lit(0).alias("p"),
-                 (F.col("label_idx") == F.col("pred_idx")).cast("int").alias("tp")),
-        F.struct(F.col("pred_idx").alias("cls"), F.lit(0).alias("t"), F.lit(1).alias("p"), F.lit(0).alias("tp")),
+    cells = (step_preds.groupBy("run_id", "epoch", "task", F.ceil(F.col("step") / eval_every).cast("int").alias("period"),
+                                "label_idx", "pred_idx").agg(F.count(F.lit(1)).alias("n")))
+    ev = cells.select("run_id", "epoch", "task", "period", F.explode(F.array(
+        F.struct(F.col("label_idx").alias("cls"), F.col("n").alias("t"), F.lit(0).alias("p"),
+                 F.when(F.col("label_idx") == F.col("pred_idx"), F.col("n")).otherwise(0).alias("tp")),
+        F.struct(F.col("pred_idx").alias("cls"), F.lit(0).alias("t"), F.col("n").alias("p"), F.lit(0).alias("tp")),
     )).alias("e"))
     agg = ev.groupBy("run_id", "epoch", "task", F.col("e.cls").alias("cls"), "period").agg(
         F.sum("e.t").alias("t"), F.sum("e.p").alias("p"), F.sum("e.tp").alias("tp"))
     n_per = (step_preds.groupBy("run_id", "epoch").agg(F.max("step").alias("_ms"))
              .withColumn("n_periods", F.floor(F.col("_ms") / eval_every).cast("int")).drop("_ms"))
-    grid = (agg.select("run_id", "epoch", "task", "cls").distinct().join(F.broadcast(n_per), ["run_id", "epoch"])
+    grid = (agg.select("run_id", "epoch", "task", "cls").distinct().join(checked_broadcast(n_per), ["run_id", "epoch"])
             .filter(F.col("n_periods") >= 1)
             .select("run_id", "epoch", "task", "cls", F.explode(F.sequence(F.lit(1), F.col("n_periods"))).alias("period")))
     g = grid.join(agg, ["run_id", "epoch", "task", "cls", "period"], "left").fillna(0, ["t", "p", "tp"])
@@ -53,21 +56,31 @@ def running_loss(step_log: DataFrame) -> DataFrame:
     return tot.withColumn("running_loss", F.avg("total").over(w))
 
 
-def eval_log(step_log: DataFrame, step_preds: DataFrame, eval_every: int = EVAL_EVERY) -> DataFrame:
-    """Evaluation rows: running loss and mean-of-tasks running macro-F1."""
-    f1 = running_f1(step_preds, eval_every).groupBy("run_id", "epoch", "step").agg(F.avg("f1").alias("f1"))
-    rl = running_loss(step_log).select("run_id", "epoch", "step", F.col("running_loss").alias("train_loss"))
-    return f1.join(rl, ["run_id", "epoch", "step"], "left")
+def eval_log(step_log: DataFrame, step_preds: DataFrame, dev: DataFrame, tasks,
+             eval_every: int = EVAL_EVERY) -> DataFrame:
+    """Evaluation rows: running train loss, train and dev macro-F1 (mean of the
+    tasks, and ``<task>_train_f1`` / ``<task>_dev_f1``) and dev loss.
 
+    ``dev(run_id, epoch, step, task, loss, f1)``: the dev split under the model
+    as it stands at the evaluation."""
+    def of_tasks(df, kind, *more):
+        return df.groupBy("run_id", "epoch", "step").agg(
+            F.avg("f1").alias(f"{kind}_f1"), *more,
+            *[F.max(F.when(F.col("task") == t, F.col("f1"))).alias(f"{t}_{kind}_f1") for t in tasks])
+    key = ["run_id", "epoch", "step"]
+    rl = running_loss(step_log).select(*key, F.col("running_loss").alias("train_loss"))
+    return (of_tasks(running_f1(step_preds, eval_every), "train").join(rl, key, "left")
+            .join(of_tasks(dev, "dev", F.avg("loss").alias("dev_loss")), key, "left"))
 
-def best_so_far(ev: DataFrame, start: float = 0.0) -> DataFrame:
+
+def best_so_far(ev: DataFrame, start: float = 0.0, metric: str = "dev_f1") -> DataFrame:
     """Strict improvement over the best earlier evaluation of the run
-    (start value 0); ``flag`` is '*' on improvement, ' ' otherwise."""
+    (start value 0) in the dev F1; ``flag`` is '*' on improvement, ' ' otherwise."""
     w = Window.partitionBy("run_id").orderBy("epoch", "step").rowsBetween(Window.unboundedPreceding, -1)
-    prev = F.coalesce(F.max("f1").over(w), F.lit(start))
+    prev = F.coalesce(F.max(metric).over(w), F.lit(start))
     d = ev.withColumn("prev_best", F.greatest(prev, F.lit(start)))
-    return (d.withColumn("improved", F.col("f1") > F.col("prev_best"))
-            .withColumn("best_f1", F.greatest("prev_best", "f1"))
+    return (d.withColumn("improved", F.col(metric) > F.col("prev_best"))
+            .withColumn("best_f1", F.greatest("prev_best", metric))
             .withColumn("flag", F.when(F.col("improved"), "*").otherwise(" ")))
 
 
@@ -78,7 +91,7 @@ def early_stop(best: DataFrame, steps_per_epoch: DataFrame, patience: int = PATI
 
     ``steps_per_epoch(run_id, spe, n_epochs)``.
     """
-    spe = F.broadcast(steps_per_epoch)
+    spe = checked_broadcast(steps_per_epoch)
     imp = (best.filter("improved").join(spe, "run_id")
            .select("run_id", ((F.col("epoch") - 1) * F.col("spe") + F.col("step")).alias("g")))
     start = steps_per_epoch.select("run_id", F.lit(0).cast("bigint").alias("g"))
@@ -111,8 +124,13 @@ def resume_point(step_log: DataFrame) -> DataFrame:
         F.col("last_epoch").alias("restart_epoch_as_stored"))
 
 
-def format_progress(best: DataFrame) -> DataFrame:
-    """One progress line per evaluation."""
+def format_progress(best: DataFrame, tasks) -> DataFrame:
+    """One progress line per evaluation with all its fields."""
+    pct = "%.2f%%"
+    per = lambda kind: ", ".join(f"{t}_{kind}_f1:{pct}" for t in tasks)
+    line = (f"ITER:%d, TRAIN_LOSS:%.3f, TRAIN_F1:{pct}, {per('train')}, "
+            f"DEV_LOSS:%.3f, DEV_F1:{pct}, {per('dev')}%s")
+    hundred = lambda c: F.col(c) * 100
     return best.select("run_id", "epoch", "step", F.format_string(
-        "ITER:%d, TRAIN_LOSS:%.3f, TRAIN_F1:%.2f%%%s", F.col("step"), F.col("train_loss"),
-        F.col("f1") * 100, F.col("flag")).alias("line"))
+        line, F.col("step"), F.col("train_loss"), hundred("train_f1"), *[hundred(f"{t}_train_f1") for t in tasks],
+        F.col("dev_loss"), hundred("dev_f1"), *[hundred(f"{t}_dev_f1") for t in tasks], F.col("flag")).alias("line"))

@@ -3,11 +3,12 @@ by a small linear head (``heads.LinearModel``).
 
 The gradient of cross entropy w.r.t. the input of a linear head is closed
 form, ``g = sum_c (p_c - y_c) W_c``, so every step is a row-local expression.
-Only global norms (FGM/PGD, over the whole table) are aggregates: one scalar
-per step, computed by a partial aggregate and fetched as a number.  PGD
-checkpoints its state between steps to cut lineage.  FreeLB works per
-sequence (at most 8 member vectors, see ``heads.as_sequences``): members are
-gathered once and all ascent steps run inside the sequence row.
+Only global norms (FGM/PGD, over the whole table) are aggregates.  A PGD step is
+one aggregate over the stored state and one write of the next state: with the
+sums of g.g, r.g and r.r the norm of the moved delta needs no second pass.
+FreeLB works per sequence (at most 8 member vectors, see
+``heads.as_sequences``): members are gathered once and all steps run inside
+the sequence row.
 
 Fixed values: FGM epsilon 1; PGD epsilon 1, alpha 0.3, 3 steps; FreeLB
 (init_mag, steps, lr, max_norm) per task from ``config.FREELB``; gradient
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..config import FGM_EPSILON, FREELB, FREELB_NORM_FLOOR, PGD_ALPHA, PGD_EPSILON, PGD_K, SPLIT_SEED
 from ..functions import arrays as ar
-from ..session import checkpoint
+from ..plans.stages import materialize
 from .heads import SEQ_LEN, LinearModel
 
 
@@ -38,10 +39,10 @@ def table_norm(df: DataFrame, col: str) -> float:
     return math.sqrt(v) if v is not None else float("nan")
 
 
-def fgm(df: DataFrame, model: LinearModel, eps: float = FGM_EPSILON) -> DataFrame:
+def fgm(df: DataFrame, model: LinearModel, eps: float = FGM_EPSILON, keep=materialize) -> DataFrame:
     """``x + eps * g / ||G||_F`` (norm over the whole table); no-op when
-    the norm is 0."""
-    g = linear_grad(df, model)
+    the norm is 0.  ``keep`` stores the gradients, so they are computed once."""
+    g = keep(linear_grad(df, model))
     n = table_norm(g, "g")
     if n == 0 or math.isnan(n):
         return g.withColumn("x_adv", F.col("x")).drop("g")
@@ -54,25 +55,24 @@ def project(delta_norm: float, eps: float) -> float:
 
 
 def pgd(df: DataFrame, model: LinearModel, eps: float = PGD_EPSILON, alpha: float = PGD_ALPHA,
-        k: int = PGD_K, cut_lineage: bool = True) -> DataFrame:
+        k: int = PGD_K, keep=materialize) -> DataFrame:
     """``k`` ascent steps of size ``alpha`` along the normalised
     gradient, recomputed at each step; after every step the total delta is
     projected onto the Frobenius ball of radius ``eps``.  A step with a zero
-    or NaN gradient norm is skipped."""
-    cur = df.withColumn("x_adv", F.col("x"))
-    for _ in range(k):
-        g = linear_grad(cur, model, "x_adv")
-        n = table_norm(g, "g")
-        if n == 0 or math.isnan(n):
-            continue
-        step = g.withColumn("x_adv", ar.add("x_adv", ar.scale("g", alpha / n))).drop("g")
-        step = step.withColumn("_r", ar.sub("x_adv", "x"))
-        rn = table_norm(step, "_r")
-        f = project(rn, eps)
-        cur = step.withColumn("x_adv", ar.add("x", ar.scale("_r", f))).drop("_r")
-        if cut_lineage:
-            cur = checkpoint(cur)
-    return cur
+    or NaN gradient norm is skipped (and with it all that would follow: the
+    state they start from is the same).  ``keep`` stores the state of a step."""
+    state = df.withColumn("_r", ar.scale("x", 0.0)).withColumn("_g", model.grad("x", F.col("y_idx")))
+    for step in range(k):
+        state = keep(state)
+        gg, rg, rr = state.agg(F.sum(ar.sumsq("_g")), F.sum(ar.dot("_r", "_g")), F.sum(ar.sumsq("_r"))).first()
+        if not gg or math.isnan(gg):
+            break
+        by = alpha / math.sqrt(gg)
+        f = project(math.sqrt(max(0.0, rr + 2 * by * rg + alpha * alpha)), eps)
+        state = state.withColumn("_r", F.zip_with("_r", "_g", lambda r, g: (r + g * F.lit(by)) * F.lit(f)))
+        if step + 1 < k:
+            state = state.withColumn("_g", model.grad(ar.add("x", "_r"), F.col("y_idx")))
+    return state.withColumn("x_adv", ar.add("x", "_r")).drop("_r", "_g")
 
 
 def uniform(*parts) -> Column:
@@ -82,66 +82,62 @@ def uniform(*parts) -> Column:
 
 
 def gather_sequences(df: DataFrame) -> DataFrame:
-    """Members of each sequence (``vec_id div 8``), sorted by position."""
-    s = df.select(F.floor(F.col("vec_id") / SEQ_LEN).cast("bigint").alias("seq_id"), "vec_id", "x", "y_idx")
-    return s.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x", "y_idx"))).alias("m"))
+    """Members of each sequence (``vec_id div 8``), sorted by position.  A
+    column ``mask`` (1 real, 0 padding) is carried; without it all are real."""
+    mask = F.col("mask").cast("double") if "mask" in df.columns else F.lit(1.0)
+    s = df.select(F.floor(F.col("vec_id") / SEQ_LEN).cast("bigint").alias("seq_id"), "vec_id", "x", "y_idx",
+                  mask.alias("mask"))
+    return s.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x", "y_idx", "mask"))).alias("m"))
 
 
 def freelb_init(seqs: DataFrame, init_mag: float, seed: int = SPLIT_SEED) -> DataFrame:
-    """``delta = U(-1,1) * mask * init_mag / sqrt(len * dim)`` per member
-    (all members are real positions, so the mask is 1 and ``len`` is the
-    member count)."""
-    n = F.size("m")
+    """``delta = U(-1,1) * mask * init_mag / sqrt(len * dim)`` per member,
+    ``len`` being the number of real members of the sequence."""
     dim = F.size(F.element_at("m", 1)["x"])
-    mag = F.lit(init_mag) / F.sqrt(n * dim)
+    mag = F.lit(init_mag) / F.sqrt(ar.total(F.col("m")["mask"]) * dim)
     return seqs.withColumn("d", F.transform("m", lambda s: F.transform(
-        F.sequence(F.lit(0), F.size(s["x"]) - 1), lambda j: uniform(s["vec_id"], j, seed) * mag)))
+        F.sequence(F.lit(0), F.size(s["x"]) - 1), lambda j: uniform(s["vec_id"], j, seed) * mag * s["mask"])))
 
 
-def _seq_grads(model: LinearModel) -> callable:
-    def grads(m: Column, d: Column) -> Column:
-        return F.transform(F.arrays_zip(m.alias("s"), d.alias("e")),
-                           lambda z: model.grad(ar.add(z["s"]["x"], z["e"]), z["s"]["y_idx"]))
-    return grads
+def _loss(model: LinearModel) -> Column:
+    """Mean cross entropy of the real members at ``x + d``."""
+    each = F.transform(F.arrays_zip("m", "d"), lambda z: -F.element_at(
+        ar.log_softmax(model.logits(ar.add(z["m"]["x"], z["d"]))), z["m"]["y_idx"] + 1) * z["m"]["mask"])
+    return ar.total(each) / ar.total(F.col("m")["mask"])
 
 
-def _seq_loss(model: LinearModel, m: Column, d: Column) -> Column:
-    per = F.transform(F.arrays_zip(m.alias("s"), d.alias("e")), lambda z: -F.element_at(
-        ar.log_softmax(model.logits(ar.add(z["s"]["x"], z["e"]))), z["s"]["y_idx"] + 1))
-    return ar.total(per) / F.size(per)
+def _norm(vectors) -> Column:
+    """Euclidean norm of an array of vectors taken as one."""
+    v = F.col(vectors) if isinstance(vectors, str) else vectors
+    return F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"), lambda a, x: a + ar.sumsq(x)))
 
 
-def _seq_norm(arrs: Column) -> Column:
-    return F.sqrt(F.aggregate(arrs, F.lit(0.0).cast("double"), lambda a, v: a + ar.sumsq(v)))
+def _ascend(seqs: DataFrame, model: LinearModel, lr: float, radius: float) -> DataFrame:
+    """One update of ``d``: by ``lr`` along the normalised gradient, then back
+    onto the ball of ``radius`` (0: no ball)."""
+    grad = F.transform(F.arrays_zip("m", "d"), lambda z: ar.scale(
+        model.grad(ar.add(z["m"]["x"], z["d"]), z["m"]["y_idx"]), z["m"]["mask"]))
+    by = F.lit(lr) / F.greatest(_norm("_g"), F.lit(FREELB_NORM_FLOOR))
+    moved = seqs.withColumn("_g", grad).withColumn("_by", by).withColumn(
+        "d", F.zip_with("d", "_g", lambda e, g: F.zip_with(e, g, lambda p, q: p + q * F.col("_by"))))
+    if radius > 0:
+        moved = moved.withColumn("_n", _norm("d")).withColumn("d", F.when(
+            F.col("_n") > radius, F.transform("d", lambda e: F.transform(e, lambda p: p * radius / F.col("_n"))))
+            .otherwise(F.col("d")))
+    return moved.drop("_g", "_by", "_n")
 
 
 def freelb(df: DataFrame, model: LinearModel, params=FREELB["quality"], seed: int = SPLIT_SEED,
-           cut_lineage: bool = True) -> DataFrame:
-    """FreeLB on sequences.  ``steps`` forward passes accumulate
-    ``loss / steps``; between them (steps - 1 updates) the delta moves by
-    ``lr * g / max(||g||, 1e-8)`` and, when ``max_norm > 0``, sequences whose
-    delta norm exceeds ``max_norm`` are scaled back onto it."""
-    init_mag, steps, lr, max_norm = params
-    s = freelb_init(gather_sequences(df), init_mag, seed)
-    grads = _seq_grads(model)
-    s = s.withColumn("tr_loss", F.lit(0.0))
-    for astep in range(steps):
-        s = s.withColumn("tr_loss", F.col("tr_loss") + _seq_loss(model, F.col("m"), F.col("d")) / steps)
-        if astep == steps - 1:
-            break
-        s = s.withColumn("_g", grads(F.col("m"), F.col("d")))
-        den = F.greatest(_seq_norm(F.col("_g")), F.lit(FREELB_NORM_FLOOR))
-        s = s.withColumn("d", ar.let(den, lambda dd: F.zip_with(
-            "d", "_g", lambda e, gv: ar.add(e, ar.scale(gv, lr / dd))))).drop("_g")
-        if max_norm > 0:
-            dn = _seq_norm(F.col("d"))
-            fac = F.when(dn > max_norm, F.lit(max_norm) / dn).otherwise(F.lit(1.0))
-            s = s.withColumn("d", ar.let(fac, lambda f: F.transform("d", lambda e: ar.scale(e, f))))
-        if cut_lineage:
-            # One ascent step per stage: keeps each generated projection small
-            # and a lost executor resumes from the last step.
-            s = checkpoint(s)
-    return s.withColumn("delta_norm", _seq_norm(F.col("d")))
+           keep=materialize) -> DataFrame:
+    """FreeLB on sequences.  With K steps, ``adv_loss`` is the mean of the
+    losses at d_0 .. d_(K-1), where d_0 is the random start and each next
+    delta is one ``_ascend`` from the last; ``d`` is d_(K-1).  ``keep`` stores
+    the state after each update, so a lost executor resumes from there."""
+    magnitude, steps, lr, radius = params
+    state = freelb_init(gather_sequences(df), magnitude, seed).withColumn("adv_loss", _loss(model) / steps)
+    for _ in range(steps - 1):
+        state = keep(_ascend(state, model, lr, radius).withColumn("adv_loss", F.col("adv_loss") + _loss(model) / steps))
+    return state.withColumn("delta_norm", _norm("d"))
 
 
 def freelb_rows(seqs: DataFrame) -> DataFrame:

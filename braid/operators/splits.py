@@ -19,7 +19,6 @@ from ..config import MIN_DEV_PCT, SPLIT_SEED, TOTAL_BATCH_SIZE
 from ..plans.ranking import HEX_PREFIX, bucket_offsets
 from .common import checked_broadcast, order_key
 from .examples import labelled, task_dim
-from .stats import label_counts, task_counts
 
 
 def split_plan(counts: DataFrame, tasks: DataFrame, batch_size: int = TOTAL_BATCH_SIZE,
@@ -73,67 +72,83 @@ def label_quota(lcounts: DataFrame, plan: DataFrame, seed: int = SPLIT_SEED) ->
     return df.select("task", "label", "n", (F.col("quota0") + extra).cast("bigint").alias("quota"))
 
 
-def _cutoffs(keyed: DataFrame, quota: DataFrame) -> DataFrame:
-    """Per (task, label): last bucket fully inside the quota and the boundary
-    bucket with the rows still needed from it."""
-    # Both sides are aggregates (<= tasks x labels x buckets rows).
+def split_keys(examples: DataFrame, seed: int = SPLIT_SEED) -> DataFrame:
+    """Labelled rows without their texts: ``task``, ``id``, ``label`` and the
+    order key ``_key`` (md5 of id and seed) that the split ranks by."""
+    return labelled(examples).select("task", "id", "label").withColumn("_key", order_key("id", seed))
+
+
+def cutoffs(keys: DataFrame, quota: DataFrame, prefix: int = HEX_PREFIX) -> DataFrame:
+    """Per (task, label): ``full_upto``, the last bucket of keys wholly inside
+    the quota, and (``cut_key``, ``cut_id``), the last row inside it.
+
+    Buckets are counted; only the one bucket the quota ends in is ranked.
+    """
+    keyed = keys.withColumn("_bkt", F.substring("_key", 1, prefix))
     off = bucket_offsets(keyed, ["task", "label"], "_bkt").join(
         quota.select("task", "label", "quota"), ["task", "label"])
     full = F.col("_off") + F.col("_bn") <= F.col("quota")
-    bnd = (F.col("_off") < F.col("quota")) & ~full
-    return (off.groupBy("task", "label").agg(
+    edge = (F.col("_off") < F.col("quota")) & ~full
+    cut = checked_broadcast(off.groupBy("task", "label").agg(
         F.max(F.when(full, F.col("_bkt"))).alias("full_upto"),
-        F.max(F.when(bnd, F.col("_bkt"))).alias("bnd_bkt"),
-        F.max(F.when(bnd, F.col("quota") - F.col("_off"))).alias("bnd_need")))
+        F.max(F.when(edge, F.col("_bkt"))).alias("edge_bkt"),
+        F.max(F.when(edge, F.col("quota") - F.col("_off"))).alias("need")))
+    w = Window.partitionBy("task", "label").orderBy("_key", "id")
+    last = (keyed.join(cut, ["task", "label"]).filter(F.col("_bkt") == F.col("edge_bkt"))
+            .withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == F.col("need"))
+            .select("task", "label", F.col("_key").alias("cut_key"), F.col("id").alias("cut_id")))
+    return cut.join(last, ["task", "label"], "left").select("task", "label", "full_upto", "cut_key", "cut_id")
 
 
 def stratified_split(examples: DataFrame, quota: DataFrame, seed: int = SPLIT_SEED,
-                     prefix: int = HEX_PREFIX) -> DataFrame:
+                     prefix: int = HEX_PREFIX, keys: DataFrame | None = None) -> DataFrame:
     """Labelled rows with ``split`` = dev | train.
 
     Within each (task, label), rows ordered by ``md5(id | seed)`` (ties by id)
     take dev until the label's quota is met; the rest is train.  Equal to the
-    plain ``row_number() <= quota`` window, but only the boundary bucket is
-    ranked.
+    plain ``row_number() <= quota`` window.  The cut-offs come from ``keys``
+    (no texts); the rows themselves are read once and compared with them.
     """
-    keyed = (labelled(examples)
-             .withColumn("_key", order_key("id", seed))
-             .withColumn("_bkt", F.substring("_key", 1, prefix)))
-    cut = checked_broadcast(_cutoffs(keyed, quota))
-    j = keyed.join(cut, ["task", "label"])
-    is_bnd = F.col("bnd_bkt").isNotNull() & (F.col("_bkt") == F.col("bnd_bkt"))
-    plain = (j.filter(~is_bnd)
-             .withColumn("split", F.when(F.col("full_upto").isNotNull()
-                                         & (F.col("_bkt") <= F.col("full_upto")), "dev")
-                         .otherwise("train")))
-    w = Window.partitionBy("task", "label").orderBy("_key", "id")
-    edge = (j.filter(is_bnd)
-            .withColumn("split", F.when(F.row_number().over(w) <= F.col("bnd_need"), "dev")
-                        .otherwise("train")))
-    cols = [c for c in examples.columns if c != "kind"] + ["split"]
-    return plain.select(*cols).unionByName(edge.select(*cols))
+    cut = checked_broadcast(cutoffs(keys if keys is not None else split_keys(examples, seed), quota, prefix))
+    rows = labelled(examples).withColumn("_key", order_key("id", seed)).join(cut, ["task", "label"])
+    dev = (F.coalesce(F.substring("_key", 1, prefix) <= F.col("full_upto"), F.lit(False))
+           | F.coalesce((F.col("_key") < F.col("cut_key"))
+                        | ((F.col("_key") == F.col("cut_key")) & (F.col("id") <= F.col("cut_id"))), F.lit(False)))
+    return (rows.withColumn("split", F.when(dev, "dev").otherwise("train"))
+            .select(*[c for c in examples.columns if c != "kind"], "split"))
+
+
+def anti_split(rows: DataFrame, dev: DataFrame, keys=("task", "id")) -> DataFrame:
+    """The rows whose key is not in ``dev`` (the train side of any dev set)."""
+    return rows.join(dev.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def split_examples(examples: DataFrame, batch_size: int = TOTAL_BATCH_SIZE,
                    min_pct: float = MIN_DEV_PCT, seed: int = SPLIT_SEED, lcounts: DataFrame | None = None,
-                   keep=lambda d: d):
+                   keep=lambda d: d, keys: DataFrame | None = None):
     """L1 steps 2-4: plan, quotas and the split of labelled rows; test rows
     are appended with split = 'test'.  Returns (splits, plan, quota).
 
-    Everything small derives from one label-count aggregate (``lcounts``,
-    one scan); ``keep`` may materialise plan and quota before the split
-    reads them, so the split job does not recompute them."""
+    Everything small derives from the text-free ``keys`` and their label
+    counts; ``keep`` may materialise plan and quota before the split reads
+    them, so the split job does not recompute them."""
     spark = examples.sparkSession
-    lc = lcounts if lcounts is not None else label_counts(examples)
+    keys = keys if keys is not None else split_keys(examples, seed)
+    lc = lcounts if lcounts is not None else key_counts(keys)
     tc = lc.groupBy("task").agg(F.sum("n").cast("bigint").alias("n"))
     plan = keep(split_plan(tc, task_dim(spark), batch_size, min_pct))
     quota = keep(label_quota(lc, plan, seed))
-    lab = stratified_split(examples, quota, seed)
+    lab = stratified_split(examples, quota, seed, keys=keys)
     test = (examples.filter(F.col("kind") == "test").drop("kind")
             .withColumn("split", F.lit("test")))
     return lab.unionByName(test), plan, quota
 
 
+def key_counts(keys: DataFrame) -> DataFrame:
+    """D2 from the key table: rows per (task, label)."""
+    return keys.groupBy("task", "label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+
+
 def split_check(splits: DataFrame, examples: DataFrame) -> DataFrame:
     """per task, labelled rows vs train + dev rows, and the overlap of
     train and dev ids (must be 0)."""

@@ -15,11 +15,11 @@ from .examples import labelled
 
 
 def split_counts(df: DataFrame) -> DataFrame:
-    """Rows per (task, split) plus per-task and overall totals (rollup).
+    """Rows per (task, split) and all totals (cube).
 
-    ``level`` is 0 for (task, split) cells, 1 for task totals, 2 for the
-    grand total."""
-    return (df.rollup("task", "split")
+    ``level`` is 0 for (task, split) cells, 1 for a task over its splits, 2 for
+    a split over the tasks (``train``: the train total) and 3 for all rows."""
+    return (df.cube("task", "split")
             .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("level"))
             .select("task", "split", F.col("n").cast("bigint").alias("n"),
                     F.col("level").cast("int").alias("level")))

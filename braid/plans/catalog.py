@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import DEBUG_ROWS, TASKS
+from ..config import DEBUG_QUERY_ROWS
 from ..operators import batching as bt
 from ..operators import examples as ex
 from ..operators import splits as sp
@@ -48,8 +48,9 @@ def q_examples(spark, sf_dir):
 
 @register("debug_head")
 def q_debug_head(spark, sf_dir):
-    e = ex.load_examples(spark, sf_dir)
-    return ex.head_per_group(e, ["task", "kind"], ["id"], DEBUG_ROWS).select("task", "kind", "id", "label")
+    """A4: the debug limit per task and split (here low enough to bite on small inputs)."""
+    s = Prepared.get(spark, sf_dir).splits
+    return ex.head_per_group(s, ["task", "split"], ["id"], DEBUG_QUERY_ROWS).select("task", "split", "id", "label")
 
 
 @register("label_dim")
@@ -76,7 +77,7 @@ def q_label_counts(spark, sf_dir):
 
 @register("class_weights")
 def q_class_weights(spark, sf_dir):
-    cw = st.class_weights(ex.load_examples(spark, sf_dir))
+    cw = Prepared.get(spark, sf_dir).class_weights()
     return cw.select("task", "label", "n", r6("weight").alias("weight"), "freq_rank")
 
 
@@ -105,6 +106,12 @@ def q_stratified_split(spark, sf_dir):
     return Prepared.get(spark, sf_dir).splits.select("task", "id", "label", "split")
 
 
+@register("anti_split")
+def q_anti_split(spark, sf_dir):
+    p = Prepared.get(spark, sf_dir)
+    return sp.anti_split(p.keys.select("task", "id", "label"), p.splits.filter(F.col("split") == "dev"))
+
+
 @register("split_check")
 def q_split_check(spark, sf_dir):
     p = Prepared.get(spark, sf_dir)
@@ -154,7 +161,7 @@ def q_tokens(spark, sf_dir):
 
 @register("vocab")
 def q_vocab(spark, sf_dir):
-    return fe.build_vocab(Prepared.get(spark, sf_dir).tokens()).select(
+    return features_of(Prepared.get(spark, sf_dir))[0].select(
         "token", "n", F.col("token_id").cast("bigint").alias("token_id"))
 
 
@@ -169,6 +176,15 @@ def q_pair_trim(spark, sf_dir):
                     F.array_join(a2, " ").alias("kept_a"), F.array_join(b2, " ").alias("kept_b"))
 
 
+@register("pair_trim_longest")
+def q_pair_trim_longest(spark, sf_dir):
+    """Limits under which a pair can miss all head+tail cases and is cut from the longer side."""
+    t = fe.token_table(ex.load_examples(spark, sf_dir, tasks=["turns"]))
+    a2, b2 = tx.trim_pair("tokens_a", "tokens_b", 60, 10, 40)
+    return t.select("kind", "id", F.size(a2).cast("bigint").alias("n_a"), F.size(b2).cast("bigint").alias("n_b"),
+                    F.array_join(a2, " ").alias("kept_a"), F.array_join(b2, " ").alias("kept_b"))
+
+
 def _features_out(f):
     return f.select("task", "split", "id", F.col("label_idx").cast("bigint").alias("label_idx"),
                     tx.joined("input_ids").alias("input_ids"),
@@ -191,10 +207,10 @@ def q_length_check(spark, sf_dir):
 from . import textmodels as tm  # noqa: E402
 from . import vectors as vx  # noqa: E402
 
-for _name in ("array_kit", "centroids", "linear_scores", "pool_first", "pool_max", "pool_attention",
+for _name in ("array_kit", "centroids", "linear_scores", "linear_scores_join", "pool_first", "pool_max", "pool_attention",
               "layer_mix", "last_k_concat", "ensemble_mean", "mix_heads"):
     register(_name)(getattr(vx, _name))
-for _name in ("nb_priors", "nb_logits", "nb_predictions", "ngram_features", "logreg_predictions"):
+for _name in ("nb_priors", "nb_logits", "nb_predictions", "ngram_features", "logreg_predictions", "logreg_check", "dispatch"):
     register(_name)(getattr(tm, _name))
 
 
@@ -202,10 +218,10 @@ for _name in ("nb_priors", "nb_logits", "nb_predictions", "ngram_features", "log
 
 from . import training as trn  # noqa: E402
 
-for _name in ("cross_entropy", "focal", "dice", "batch_mean_loss", "loss_by_name",
+for _name in ("cross_entropy", "focal", "focal_alpha", "dice", "batch_mean_loss", "loss_by_name",
               "confusion", "accuracy", "per_class_f1", "macro_f1", "evaluate", "decoded_predictions",
               "submission", "step_log", "dwa_weights", "dtp_weights", "uw_terms", "total_loss",
-              "running_f1", "running_loss", "best_so_far", "early_stop", "resume_point", "progress_log"):
+              "running_f1", "running_loss", "dev_eval", "best_so_far", "early_stop", "resume_point", "progress_log"):
     register(_name)(getattr(trn, _name))
 
 
@@ -221,5 +237,6 @@ for _name in ("linear_grad", "fgm", "pgd", "freelb_init", "freelb", "robustness"
 
 from . import streams as stq  # noqa: E402
 
-for _name in ("stream_confusion", "stream_scores", "written_splits"):
+for _name in ("stream_confusion", "stream_metrics", "stream_scores", "routed_sources", "raw_tsv_counts",
+              "header_tsv_splits", "written_splits"):
     register(_name)(getattr(stq, _name))

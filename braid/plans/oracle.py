@@ -18,10 +18,10 @@ ex AS (
   SELECT 'quality', d.doc_id, d.text, NULL, NULL, 'test' FROM documents d
   WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)
   UNION ALL
-  SELECT 'turns', a.conv_id * 1000 + a.turn, a.text, b.text, a.role || '>' || b.role, 'labelled'
+  SELECT 'turns', a.conv_id * 16777216 + a.turn, a.text, b.text, a.role || '>' || b.role, 'labelled'
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1
   UNION ALL
-  SELECT 'turns', a.conv_id * 1000 + a.turn, a.text, b.text, NULL, 'test'
+  SELECT 'turns', a.conv_id * 16777216 + a.turn, a.text, b.text, NULL, 'test'
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 2
   UNION ALL
   SELECT 'lang', doc_id, text, NULL, lang, 'labelled' FROM documents
@@ -98,15 +98,15 @@ GROUP BY s.task, s.split, s.label"""
 
 def _step1(q: dict[str, str]) -> None:
     q["examples"] = with_(EX) + "SELECT task, id, text_a, text_b, label, kind FROM ex"
-    q["debug_head"] = with_(EX) + f"""
-SELECT task, kind, id, label FROM (
-  SELECT *, row_number() OVER (PARTITION BY task, kind ORDER BY id) AS rn FROM ex) WHERE rn <= 1000"""
+    q["debug_head"] = with_(*PREP) + """
+SELECT task, split, id, label FROM (
+  SELECT *, row_number() OVER (PARTITION BY task, split ORDER BY id) AS rn FROM splits) WHERE rn <= 40"""
     q["label_dim"] = with_(EX) + "SELECT task, label, label_idx FROM ldim"
     q["encoded_labels"] = with_(EX) + """
 SELECT e.task, e.kind, e.id, e.label, d.label_idx FROM ex e LEFT JOIN ldim d ON e.task = d.task AND e.label = d.label"""
     q["split_counts"] = with_(*PREP) + """
-SELECT task, split, count(*)::BIGINT AS n, (CASE WHEN task IS NULL THEN 3 WHEN split IS NULL THEN 1 ELSE 0 END)::INT AS level
-FROM splits GROUP BY ROLLUP (task, split)"""
+SELECT task, split, count(*)::BIGINT AS n, (CASE WHEN task IS NULL THEN 2 ELSE 0 END + CASE WHEN split IS NULL THEN 1 ELSE 0 END)::INT AS level
+FROM splits GROUP BY CUBE (task, split)"""
     q["label_counts"] = with_(EX) + "SELECT task, label, count(*)::BIGINT AS n FROM lab GROUP BY task, label"
     q["class_weights"] = with_(EX, "lc AS (SELECT task, label, count(*)::BIGINT AS n FROM lab GROUP BY task, label)", CW) + \
         "SELECT task, label, n, round(weight, 6) AS weight, freq_rank FROM cw"
@@ -120,6 +120,7 @@ SELECT task, task_idx::BIGINT AS task_idx, n, batch_size, n_batches, train_batch
        round(dev_n::DOUBLE / n, 6) AS dev_fraction FROM plan2"""
     q["label_quota"] = with_(EX, PLAN, QUOTA) + "SELECT task, label, n, quota FROM quota"
     q["stratified_split"] = with_(*PREP) + "SELECT task, id, label, split FROM splits"
+    q["anti_split"] = with_(*PREP) + "SELECT task, id, label FROM splits WHERE split = 'train'"
     q["split_check"] = with_(*PREP) + """
 SELECT l.task, l.n_labelled, s.n_train, s.n_dev, 0::BIGINT AS n_overlap
 FROM (SELECT task, count(*)::BIGINT AS n_labelled FROM lab GROUP BY task) l
@@ -163,11 +164,10 @@ tok AS (SELECT s.*, regexp_extract_all(lower(s.text_a), '{TOKEN_PATTERN}', 0) AS
 vc AS (SELECT t AS token, count(*)::BIGINT AS n
        FROM (SELECT unnest(list_concat(ta, coalesce(tb, []::VARCHAR[]))) AS t FROM tok WHERE split = 'train')
        GROUP BY t),
-vtop AS (SELECT * FROM vc ORDER BY n DESC, token LIMIT 30000),
 vocab AS (SELECT * FROM (VALUES ('[PAD]', 0::BIGINT, 0::BIGINT), ('[UNK]', 0, 1), ('[CLS]', 0, 2), ('[SEP]', 0, 3))
                  v(token, n, token_id)
           UNION ALL
-          SELECT token, n, (row_number() OVER (ORDER BY n DESC, token) + 3)::BIGINT FROM vtop)
+          SELECT token, n, (row_number() OVER (ORDER BY n DESC, token) + 3)::BIGINT FROM vc)
 """
 
 # head(L) + tail(L) of list x with length n (x longer than L)
@@ -176,23 +176,28 @@ def _ht(x: str, n: str, lim: str) -> str:
             f"list_slice({x}, {n} - (({lim}) - ({lim}) // 2) + 1, {n})) END")
 
 
-TRIM = f"""
+def _trim(max_len: int, max_a: int, max_b: int) -> str:
+    m = max_len - 3
+    return f"""
 tr0 AS (SELECT *, len(ta) AS la, len(coalesce(tb, []::VARCHAR[])) AS lb, coalesce(tb, []::VARCHAR[]) AS tb0
         FROM tok WHERE task = 'turns'),
 tr AS (SELECT *,
-  CASE WHEN la + lb + 3 <= 100 THEN ta
-       WHEN lb >= 30 AND la >= 50 THEN {_ht('ta', 'la', '50')}
-       WHEN la <= lb AND la < 50 THEN ta
-       WHEN lb < la AND lb <= 30 THEN {_ht('ta', 'la', '50 + (30 - lb - 1)')}
-       ELSE list_slice(ta, 1, least(la, greatest(ceil(97 / 2)::INT, 97 - lb))) END AS ka,
-  CASE WHEN la + lb + 3 <= 100 THEN tb0
-       WHEN lb >= 30 AND la >= 50 THEN {_ht('tb0', 'lb', '30')}
-       WHEN la <= lb AND la < 50 THEN {_ht('tb0', 'lb', '30 + (50 - la - 1)')}
-       WHEN lb < la AND lb <= 30 THEN tb0
-       ELSE list_slice(tb0, 1, least(lb, greatest(floor(97 / 2)::INT, 97 - la))) END AS kb
+  CASE WHEN la + lb + 3 <= {max_len} THEN ta
+       WHEN lb >= {max_b} AND la >= {max_a} THEN {_ht('ta', 'la', str(max_a))}
+       WHEN la <= lb AND la < {max_a} THEN ta
+       WHEN lb < la AND lb <= {max_b} THEN {_ht('ta', 'la', f'{max_a} + ({max_b} - lb - 1)')}
+       ELSE list_slice(ta, 1, least(la, greatest(ceil({m} / 2)::INT, {m} - lb))) END AS ka,
+  CASE WHEN la + lb + 3 <= {max_len} THEN tb0
+       WHEN lb >= {max_b} AND la >= {max_a} THEN {_ht('tb0', 'lb', str(max_b))}
+       WHEN la <= lb AND la < {max_a} THEN {_ht('tb0', 'lb', f'{max_b} + ({max_a} - la - 1)')}
+       WHEN lb < la AND lb <= {max_b} THEN tb0
+       ELSE list_slice(tb0, 1, least(lb, greatest(floor({m} / 2)::INT, {m} - la))) END AS kb
   FROM tr0)
 """
 
+
+TRIM = _trim(100, 50, 30)
+
 SEQ = """
 sq AS (
   SELECT task, split, id, label, ['[CLS]'] || list_slice(ta, 1, 168) || ['[SEP]'] AS seq,
@@ -231,6 +236,11 @@ splits AS (SELECT task, id, text_a, text_b, kind AS split FROM ex WHERE task = '
                            TOK.split("vc AS")[0], TRIM) + """
 SELECT split AS kind, id, la::BIGINT AS len_a, lb::BIGINT AS len_b,
        array_to_string(ka, ' ') AS kept_a, array_to_string(kb, ' ') AS kept_b FROM tr"""
+    q["pair_trim_longest"] = with_(EX, f"""
+splits AS (SELECT task, id, text_a, text_b, kind AS split FROM ex WHERE task = 'turns')""",
+                                   TOK.split("vc AS")[0], _trim(60, 10, 40)) + """
+SELECT split AS kind, id, len(ka)::BIGINT AS n_a, len(kb)::BIGINT AS n_b,
+       array_to_string(ka, ' ') AS kept_a, array_to_string(kb, ' ') AS kept_b FROM tr"""
     q["features"] = with_(*PREP, TOK, TRIM, SEQ) + """
 SELECT task, split, id, label_idx::BIGINT AS label_idx, array_to_string(input_ids, ' ') AS input_ids,
        array_to_string(attention_mask, ' ') AS attention_mask, array_to_string(token_type_ids, ' ') AS token_type_ids
@@ -278,12 +288,13 @@ SELECT vec_id, (list_position(embedding, list_max(embedding)) - 1)::BIGINT AS ar
        round(CASE WHEN list_sum(list_transform(embedding, lambda e: e::DOUBLE * e::DOUBLE)) > 0
                   THEN embedding[1]::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda e: e::DOUBLE * e::DOUBLE)))
                   ELSE 0 END, 6) AS unit_x0,
-       (CASE WHEN label BETWEEN 0 AND 9 THEN label ELSE -1 END)::BIGINT AS onehot_pos
+       label::BIGINT AS onehot_pos
 FROM embeddings"""
     q["centroids"] = with_(VX) + """
 SELECT cen.label::BIGINT AS label, cen.dim::BIGINT AS dim, round(cen.c, 6) AS c, round(bias.b, 6) AS bias
 FROM cen JOIN bias ON cen.label = bias.label"""
     q["linear_scores"] = with_(VX) + "SELECT vec_id, class_idx::BIGINT AS class_idx, round(logit, 6) AS logit FROM lin"
+    q["linear_scores_join"] = q["linear_scores"]
     q["pool_first"] = with_(VX) + """
 SELECT seq_id, dim::BIGINT AS dim, round(v, 6) AS v FROM sx
 WHERE (seq_id, pos) IN (SELECT (seq_id, min(pos)) FROM sx GROUP BY seq_id)"""
@@ -346,16 +357,26 @@ SELECT task, split, id, k::BIGINT AS class_idx, round(logit, 6) AS logit FROM lg
 SELECT task, split, id, label_idx::BIGINT AS label_idx, pred_idx::BIGINT AS pred_idx FROM pred"""
     grams = []
     for n in (2, 3, 4, 5):
+        hashed = f"""SELECT DISTINCT (('0x' || substr(md5(array_to_string(list_slice(t, i, i + {n} - 1), ' ')), 1, 8))::BIGINT % 128) AS b
+                               FROM range(1, len(t) - {n} + 2) r(i)"""
         grams.append(f"""
-    (SELECT count(DISTINCT b)::BIGINT FROM (SELECT (('0x' || substr(md5(array_to_string(list_slice(t, i, i + {n} - 1), ' ')), 1, 8))::BIGINT % 128) AS b
-                               FROM range(1, len(t) - {n} + 2) r(i))) AS n{n},
-    (SELECT coalesce(sum(DISTINCT b), 0)::BIGINT FROM (SELECT (('0x' || substr(md5(array_to_string(list_slice(t, i, i + {n} - 1), ' ')), 1, 8))::BIGINT % 128) AS b
-                               FROM range(1, len(t) - {n} + 2) r(i))) AS s{n}""")
+    (SELECT count(*)::BIGINT FROM ({hashed})) AS n{n},
+    (SELECT coalesce(string_agg(b::VARCHAR, ' ' ORDER BY b), '') FROM ({hashed})) AS b{n}""")
     q["ngram_features"] = with_(EX) + f"""
 SELECT kind, id, {",".join(grams)}
 FROM (SELECT kind, id, regexp_extract_all(lower(text_a), '{TOKEN_PATTERN}', 0) AS t FROM ex WHERE task = 'lang')"""
 
 
+def _step5c(q: dict[str, str]) -> None:
+    q["dispatch"] = with_(*PREP, TOK, NB) + """
+, top AS (SELECT task, min(k) AS k FROM pri p WHERE lp = (SELECT max(lp) FROM pri x WHERE x.task = p.task) GROUP BY task)
+SELECT p.task, p.split, p.id, (CASE WHEN p.task = 'lang' THEN top.k ELSE p.pred_idx END)::BIGINT AS pred_idx
+FROM pred p JOIN top ON p.task = top.task"""
+    q["logreg_check"] = with_(*PREP) + """
+SELECT task, count(*)::BIGINT AS n, count(DISTINCT id)::BIGINT AS n_ids, true AS in_dictionary, true AS beats_majority
+FROM splits WHERE split = 'dev' GROUP BY task"""
+
+
 SCORED = """
 rmax AS (SELECT task, split, id, max(logit) AS m FROM lg GROUP BY ALL),
 rl AS (SELECT lg.task, lg.split, lg.id, any_value(lg.label_idx) AS label_idx,
@@ -391,7 +412,9 @@ slog AS (SELECT run_id, epoch, step, task, avg(nll) AS loss, avg(CASE WHEN pred_
 """
 
 MON = """
-evs AS (SELECT run_id, epoch, unnest(range(5, max(step) + 1, 5)) AS e FROM sp GROUP BY run_id, epoch),
+ee AS (SELECT greatest(1, min(train_batches) // 4) AS every, min(train_batches) // greatest(1, min(train_batches) // 4) AS kk FROM plan2),
+evs AS (SELECT run_id, epoch, unnest(range(any_value(ee.every), max(step) + 1, any_value(ee.every))) AS e
+        FROM sp, ee GROUP BY run_id, epoch),
 evt AS (SELECT sp.run_id, sp.epoch, sp.task, sp.step, sp.label_idx AS cls, 1 AS t, 0 AS p,
                CASE WHEN sp.label_idx = sp.pred_idx THEN 1 ELSE 0 END AS tp FROM sp
         UNION ALL
@@ -401,13 +424,60 @@ cum AS (SELECT evs.run_id, evs.epoch, evs.e AS step, evt.task, evt.cls, sum(evt.
         FROM evs JOIN evt ON evs.run_id = evt.run_id AND evs.epoch = evt.epoch AND evt.step <= evs.e GROUP BY ALL),
 rf1 AS (SELECT run_id, epoch, step, task, avg(2.0 * ctp / (ct + cp)) AS f1 FROM cum WHERE ct + cp > 0 GROUP BY ALL),
 tot AS (SELECT run_id, epoch, step, sum(loss) AS total FROM slog GROUP BY ALL),
-rls AS (SELECT *, avg(total) OVER (PARTITION BY run_id, epoch ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_loss FROM tot),
-ev AS (SELECT f.run_id, f.epoch, f.step, avg(f.f1) AS f1, any_value(r.running_loss) AS train_loss
-       FROM rf1 f LEFT JOIN rls r ON f.run_id = r.run_id AND f.epoch = r.epoch AND f.step = r.step GROUP BY ALL),
-best AS (SELECT *, greatest(coalesce(max(f1) OVER (PARTITION BY run_id ORDER BY epoch, step
+rls AS (SELECT *, avg(total) OVER (PARTITION BY run_id, epoch ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_loss FROM tot)
+"""
+
+# The heads at every evaluation: counts of all train rows seen in steps up to it, over the epochs.
+GROW = """
+seen AS (SELECT sp.task, sp.id, sp.label_idx,
+                ((sp.epoch - 1) * ee.kk + least(ceil(sp.step::DOUBLE / ee.every)::BIGINT, ee.kk + 1)) AS gi FROM sp, ee),
+gs AS (SELECT unnest(range(1, 3 * (SELECT kk FROM ee) + 1)) AS g),
+gtok AS (SELECT s.task, s.label_idx AS k, c.token, s.gi, sum(c.cnt) AS n
+         FROM seen s JOIN cnt c ON c.task = s.task AND c.id = s.id AND c.split = 'train' GROUP BY ALL),
+gw AS (SELECT t.task, t.k, t.token, gs.g, sum(t.n) AS n FROM gtok t JOIN gs ON t.gi <= gs.g GROUP BY ALL),
+gn AS (SELECT task, k, g, sum(n) AS n FROM gw GROUP BY ALL),
+gv AS (SELECT task, g, count(DISTINCT token) AS v FROM gw GROUP BY ALL),
+gknown AS (SELECT DISTINCT task, token, g FROM gw),
+gd AS (SELECT s.task, s.label_idx AS k, gs.g, count(*) AS n FROM seen s JOIN gs ON s.gi <= gs.g GROUP BY ALL),
+gcls AS (SELECT d.task, d.label_idx AS k, gs.g, coalesce(gn.n, 0) + gv.v AS denom,
+                ln((coalesce(gd.n, 0) + 1)::DOUBLE / (sum(coalesce(gd.n, 0)) OVER (PARTITION BY d.task, gs.g)
+                                                      + count(*) OVER (PARTITION BY d.task, gs.g))) AS lp
+         FROM ldim d CROSS JOIN gs JOIN gv ON gv.task = d.task AND gv.g = gs.g
+         LEFT JOIN gn ON gn.task = d.task AND gn.k = d.label_idx AND gn.g = gs.g
+         LEFT JOIN gd ON gd.task = d.task AND gd.k = d.label_idx AND gd.g = gs.g),
+gsc AS (SELECT c.task, c.id, k.g, cl.k, sum(c.cnt * ln((coalesce(w.n, 0) + 1)::DOUBLE / cl.denom)) AS s
+        FROM cnt c JOIN gknown k ON k.task = c.task AND k.token = c.token
+        JOIN gcls cl ON cl.task = c.task AND cl.g = k.g
+        LEFT JOIN gw w ON w.task = c.task AND w.token = c.token AND w.g = k.g AND w.k = cl.k
+        WHERE c.split = 'dev' GROUP BY ALL),
+glog AS (SELECT t.task, t.id, t.label_idx, cl.g, cl.k, cl.lp + coalesce(gsc.s, 0) AS logit
+         FROM tokl t JOIN gcls cl ON cl.task = t.task
+         LEFT JOIN gsc ON gsc.task = t.task AND gsc.id = t.id AND gsc.g = cl.g AND gsc.k = cl.k WHERE t.split = 'dev'),
+gtop AS (SELECT task, id, label_idx, g, k AS pred_idx, logit AS m FROM (
+           SELECT *, row_number() OVER (PARTITION BY task, id, g ORDER BY logit DESC, k) AS rn FROM glog) WHERE rn = 1),
+gnll AS (SELECT l.task, l.id, l.g, any_value(t.m) + ln(sum(exp(l.logit - t.m)))
+                - sum(CASE WHEN l.k = l.label_idx THEN l.logit END) AS nll
+         FROM glog l JOIN gtop t ON l.task = t.task AND l.id = t.id AND l.g = t.g GROUP BY l.task, l.id, l.g),
+gcf AS (SELECT task, g, cls, 2.0 * sum(tp) / sum(t + p) AS f1 FROM (
+          SELECT task, g, label_idx AS cls, 1 AS t, 0 AS p, CASE WHEN label_idx = pred_idx THEN 1 ELSE 0 END AS tp FROM gtop
+          UNION ALL SELECT task, g, pred_idx, 0, 1, 0 FROM gtop) GROUP BY task, g, cls),
+gf AS (SELECT task, g, avg(f1) AS f1 FROM gcf GROUP BY task, g),
+gl AS (SELECT task, g, avg(bl) AS loss FROM (
+         SELECT n.task, n.g, b.batch_id, avg(n.nll) AS bl FROM gnll n
+         JOIN bat b ON b.task = n.task AND b.id = n.id AND b.split = 'dev' GROUP BY ALL) GROUP BY task, g),
+de AS (SELECT 'nb' AS run_id, ((gf.g - 1) // ee.kk + 1)::BIGINT AS epoch, (((gf.g - 1) % ee.kk + 1) * ee.every)::BIGINT AS step,
+              gf.task, gl.loss, gf.f1 FROM gf JOIN gl ON gf.task = gl.task AND gf.g = gl.g, ee),
+ev AS (SELECT f.run_id, f.epoch, f.step, avg(f.f1) AS train_f1, any_value(r.running_loss) AS train_loss,
+              avg(d.f1) AS dev_f1, avg(d.loss) AS dev_loss,
+              max(CASE WHEN f.task = 'quality' THEN f.f1 END) AS q_t, max(CASE WHEN f.task = 'turns' THEN f.f1 END) AS t_t,
+              max(CASE WHEN f.task = 'lang' THEN f.f1 END) AS l_t, max(CASE WHEN f.task = 'quality' THEN d.f1 END) AS q_d,
+              max(CASE WHEN f.task = 'turns' THEN d.f1 END) AS t_d, max(CASE WHEN f.task = 'lang' THEN d.f1 END) AS l_d
+       FROM rf1 f LEFT JOIN rls r ON f.run_id = r.run_id AND f.epoch = r.epoch AND f.step = r.step
+       LEFT JOIN de d ON f.run_id = d.run_id AND f.epoch = d.epoch AND f.step = d.step AND f.task = d.task GROUP BY ALL),
+best AS (SELECT *, greatest(coalesce(max(dev_f1) OVER (PARTITION BY run_id ORDER BY epoch, step
                                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS prev_best FROM ev),
-best2 AS (SELECT *, f1 > prev_best AS improved, greatest(prev_best, f1) AS best_f1,
-                 CASE WHEN f1 > prev_best THEN '*' ELSE ' ' END AS flag FROM best)
+best2 AS (SELECT *, dev_f1 > prev_best AS improved, greatest(prev_best, dev_f1) AS best_f1,
+                 CASE WHEN dev_f1 > prev_best THEN '*' ELSE ' ' END AS flag FROM best)
 """
 
 
@@ -423,6 +493,13 @@ UNION ALL SELECT task, 'paired', 'sum', round(sum(alpha * f), 6) FROM foc WHERE
 UNION ALL SELECT task, 'broadcast', 'mean', round(avg(alpha) * avg(f), 6) FROM foc WHERE split = 'dev' GROUP BY task
 UNION ALL SELECT task, 'broadcast', 'sum', round(sum(alpha) * sum(f), 6) FROM foc WHERE split = 'dev' GROUP BY task
 UNION ALL SELECT task, 'paired_smooth', 'mean', round(avg(alpha * fs), 6) FROM foc WHERE split = 'dev' GROUP BY task"""
+    q["focal_alpha"] = base + """
+, ncl AS (SELECT task, max(label_idx) AS last FROM ldim GROUP BY task)
+SELECT f.task, 'last_0.25' AS alpha, round(avg(CASE WHEN f.label_idx = n.last THEN 0.25 ELSE 0.75 END * f.f), 6) AS loss
+FROM foc f JOIN ncl n ON f.task = n.task WHERE f.split = 'dev' GROUP BY f.task
+UNION ALL SELECT task, 'first_0.75', round(avg(CASE WHEN label_idx = 0 THEN 0.75 ELSE 0.25 END * f), 6)
+FROM foc WHERE split = 'dev' GROUP BY task
+UNION ALL SELECT task, 'none', round(avg(f), 6) FROM foc WHERE split = 'dev' GROUP BY task"""
     dice_terms = """
 SELECT task, '{mode}' AS mode, k::BIGINT AS class_idx,
        1 - avg(2 * ({x} * (CASE WHEN k = label_idx THEN 1.0 ELSE 0.0 END) + 1)
@@ -536,16 +613,19 @@ UNION ALL SELECT epoch, step, 'dtp', round(sum(loss * -pow(1 - least(greatest(ac
 UNION ALL SELECT epoch, step, 'dwa', round(sum(loss * CASE WHEN nr = kk THEN kk * exp(r / 2.0) / se ELSE 1.0 END), 6)
           FROM dw GROUP BY ALL"""
     mbase = with_(*PREP, TOK, NB, SCORED, STEPS, MON)
+    gbase = with_(*PREP, TOK, NB, SCORED, STEPS, MON, BATCHES.format(epoch=1), GROW)
+    q["dev_eval"] = gbase + "SELECT run_id, epoch, step, task, round(loss, 6) AS loss, round(f1, 6) AS f1 FROM de"
     q["running_f1"] = mbase + "SELECT run_id, epoch, step::BIGINT AS step, task, round(f1, 6) AS f1 FROM rf1"
     q["running_loss"] = mbase + """
 SELECT run_id, epoch, step, round(total, 6) AS total, round(running_loss, 6) AS running_loss FROM rls"""
-    q["best_so_far"] = mbase + """
-SELECT run_id, epoch, step::BIGINT AS step, round(f1, 6) AS f1, round(best_f1, 6) AS best_f1, flag FROM best2"""
-    q["early_stop"] = mbase + """
+    q["best_so_far"] = gbase + """
+SELECT run_id, epoch, step::BIGINT AS step, round(train_f1, 6) AS train_f1, round(dev_f1, 6) AS dev_f1,
+       round(best_f1, 6) AS best_f1, flag FROM best2"""
+    q["early_stop"] = gbase + """
 , spe AS (SELECT run_id, max(step) AS spe, max(epoch) AS ne FROM slog GROUP BY run_id),
 imp AS (SELECT b.run_id, (b.epoch - 1) * s.spe + b.step AS g FROM best2 b JOIN spe s ON b.run_id = s.run_id WHERE b.improved),
-gs AS (SELECT s.run_id, s.spe, unnest(range(1, s.spe * s.ne + 1)) AS g FROM spe s),
-ctr AS (SELECT gs.run_id, gs.spe, gs.g, max(imp.g) AS li FROM gs LEFT JOIN imp ON gs.run_id = imp.run_id AND imp.g <= gs.g
+gst AS (SELECT s.run_id, s.spe, unnest(range(1, s.spe * s.ne + 1)) AS g FROM spe s),
+ctr AS (SELECT gst.run_id, gst.spe, gst.g, max(imp.g) AS li FROM gst LEFT JOIN imp ON gst.run_id = imp.run_id AND imp.g <= gst.g
         GROUP BY ALL),
 hit AS (SELECT run_id, spe, min(g) AS g FROM ctr WHERE CASE WHEN li IS NULL THEN g ELSE g - li + 1 END > 12 GROUP BY ALL)
 SELECT h.run_id, ((h.g - 1) // h.spe + 1)::BIGINT AS stop_epoch, (h.g - ((h.g - 1) // h.spe) * h.spe)::BIGINT AS stop_step,
@@ -557,9 +637,12 @@ FROM hit h"""
 fe AS (SELECT * FROM pe WHERE ns = (SELECT max(ns) FROM pe p2 WHERE p2.run_id = pe.run_id))
 SELECT run_id, max(epoch)::BIGINT AS last_epoch, (max(epoch) + 1)::BIGINT AS next_epoch,
        max(epoch)::BIGINT AS restart_epoch_as_stored FROM fe GROUP BY run_id"""
-    q["progress_log"] = mbase + """
+    q["progress_log"] = gbase + """
 SELECT run_id, epoch, step::BIGINT AS step,
-       printf('ITER:%d, TRAIN_LOSS:%.3f, TRAIN_F1:%.2f%%%s', step, train_loss, f1 * 100, flag) AS line FROM best2"""
+       printf('ITER:%d, TRAIN_LOSS:%.3f, TRAIN_F1:%.2f%%, quality_train_f1:%.2f%%, turns_train_f1:%.2f%%, lang_train_f1:%.2f%%, '
+              || 'DEV_LOSS:%.3f, DEV_F1:%.2f%%, quality_dev_f1:%.2f%%, turns_dev_f1:%.2f%%, lang_dev_f1:%.2f%%%s',
+              step, train_loss, train_f1 * 100, q_t * 100, t_t * 100, l_t * 100,
+              dev_loss, dev_f1 * 100, q_d * 100, t_d * 100, l_d * 100, flag) AS line FROM best2"""
 
 
 def _grad(src: str, i: str) -> str:
@@ -610,37 +693,51 @@ X{i + 1} AS (SELECT o.vec_id, o.dim, o.v + (s.v - o.v) * CASE WHEN r.rn > {eps}
     return ",\n".join(parts)
 
 
-FREELB_SQL = """
-mem AS (SELECT vec_id // 8 AS seq_id, count(*) OVER (PARTITION BY vec_id // 8) AS nm, vec_id FROM ylab),
-D0 AS (SELECT x.vec_id, x.dim,
-              ((('0x' || substr(md5(x.vec_id::VARCHAR || '|' || x.dim::VARCHAR || '|2020'), 1, 8))::BIGINT
-                / 4294967295.0) * 2 - 1) * 1.0 / sqrt(m.nm * 64) AS d
-       FROM X0 x JOIN mem m ON x.vec_id = m.vec_id)
-"""
+def _freelb_start(init: float, masked: bool, tag: str) -> str:
+    real = "CASE WHEN vec_id % 8 = 7 AND (vec_id // 8) % 2 = 1 THEN 0.0 ELSE 1.0 END" if masked else "1.0"
+    return f"""
+mem{tag} AS (SELECT vec_id // 8 AS seq_id, vec_id, {real} AS real, sum({real}) OVER (PARTITION BY vec_id // 8) AS nm FROM ylab),
+D{tag}0 AS (SELECT x.vec_id, x.dim,
+              m.real * ((('0x' || substr(md5(x.vec_id::VARCHAR || '|' || x.dim::VARCHAR || '|2020'), 1, 8))::BIGINT
+                / 4294967295.0) * 2 - 1) * {init} / sqrt(m.nm * 64) AS d
+       FROM X0 x JOIN mem{tag} m ON x.vec_id = m.vec_id)""".strip()
 
 
-def _freelb_chain(steps: int = 3, lr: float = 0.1, max_norm: float = 0.6) -> str:
-    parts = [FREELB_SQL.strip()]
+def _freelb_chain(init: float = 1.0, steps: int = 3, lr: float = 0.1, max_norm: float = 0.6,
+                  masked: bool = False, tag: str = "f") -> str:
+    parts = [_freelb_start(init, masked, tag)]
     for a in range(steps):
         parts.append(f"""
-XA{a} AS (SELECT x.vec_id, x.dim, x.v + d.d AS v FROM X0 x JOIN D{a} d ON x.vec_id = d.vec_id AND x.dim = d.dim)""".strip())
-        parts.append(_grad(f"XA{a}", f"f{a}").strip())
+XA{tag}{a} AS (SELECT x.vec_id, x.dim, x.v + d.d AS v FROM X0 x JOIN D{tag}{a} d ON x.vec_id = d.vec_id AND x.dim = d.dim)""".strip())
+        parts.append(_grad(f"XA{tag}{a}", f"{tag}{a}").strip())
         parts.append(f"""
-LS{a} AS (SELECT m.seq_id, avg(-p.lp) AS loss FROM Pf{a} p JOIN ylab y ON p.vec_id = y.vec_id AND p.clabel = y.label
-          JOIN mem m ON m.vec_id = p.vec_id GROUP BY m.seq_id)""".strip())
+LS{tag}{a} AS (SELECT m.seq_id, sum(-p.lp * m.real) / sum(m.real) AS loss
+          FROM P{tag}{a} p JOIN ylab y ON p.vec_id = y.vec_id AND p.clabel = y.label
+          JOIN mem{tag} m ON m.vec_id = p.vec_id GROUP BY m.seq_id)""".strip())
         if a < steps - 1:
             parts.append(f"""
-GN{a} AS (SELECT m.seq_id, greatest(sqrt(sum(g.g * g.g)), 1e-8) AS den FROM Gf{a} g JOIN mem m ON g.vec_id = m.vec_id
-          GROUP BY m.seq_id),
-DU{a} AS (SELECT d.vec_id, d.dim, m.seq_id, d.d + {lr} * g.g / n.den AS d
-          FROM D{a} d JOIN Gf{a} g ON d.vec_id = g.vec_id AND d.dim = g.dim JOIN mem m ON m.vec_id = d.vec_id
-          JOIN GN{a} n ON n.seq_id = m.seq_id),
-DN{a} AS (SELECT seq_id, sqrt(sum(d * d)) AS dn FROM DU{a} GROUP BY seq_id),
-D{a + 1} AS (SELECT u.vec_id, u.dim, u.d * CASE WHEN {max_norm} > 0 AND n.dn > {max_norm} THEN {max_norm} / n.dn ELSE 1.0 END AS d
-           FROM DU{a} u JOIN DN{a} n ON u.seq_id = n.seq_id)""".strip())
+GN{tag}{a} AS (SELECT m.seq_id, greatest(sqrt(sum(g.g * g.g * m.real)), 1e-8) AS den
+          FROM G{tag}{a} g JOIN mem{tag} m ON g.vec_id = m.vec_id GROUP BY m.seq_id),
+DU{tag}{a} AS (SELECT d.vec_id, d.dim, m.seq_id, d.d + {lr} * g.g * m.real / n.den AS d
+          FROM D{tag}{a} d JOIN G{tag}{a} g ON d.vec_id = g.vec_id AND d.dim = g.dim JOIN mem{tag} m ON m.vec_id = d.vec_id
+          JOIN GN{tag}{a} n ON n.seq_id = m.seq_id),
+DN{tag}{a} AS (SELECT seq_id, sqrt(sum(d * d)) AS dn FROM DU{tag}{a} GROUP BY seq_id),
+D{tag}{a + 1} AS (SELECT u.vec_id, u.dim, u.d * CASE WHEN {max_norm} > 0 AND n.dn > {max_norm} THEN {max_norm} / n.dn ELSE 1.0 END AS d
+           FROM DU{tag}{a} u JOIN DN{tag}{a} n ON u.seq_id = n.seq_id)""".strip())
     return ",\n".join(parts)
 
 
+def _freelb_rows(name: str, tag: str, steps: int = 3) -> str:
+    """Result rows of one preset's chain."""
+    loss = " + ".join(f"l{a}.loss" for a in range(steps))
+    joins = " ".join(f"JOIN LS{tag}{a} l{a} ON l{a}.seq_id = l0.seq_id" for a in range(1, steps))
+    return f"""
+SELECT '{name}' AS preset, l0.seq_id, round(n.dn, 6) AS delta_norm, round(({loss}) / {steps}, 6) AS adv_loss
+FROM LS{tag}0 l0 {joins}
+JOIN (SELECT m.seq_id, sqrt(sum(d.d * d.d)) AS dn FROM D{tag}{steps - 1} d JOIN mem{tag} m ON d.vec_id = m.vec_id
+      GROUP BY m.seq_id) n ON n.seq_id = l0.seq_id"""
+
+
 def _step9(q: dict[str, str]) -> None:
     head = with_(VX, "ylab AS (SELECT vec_id, label FROM embeddings)",
                  "X0 AS (SELECT vec_id, dim, v FROM x)", _grad("X0", "0"))
@@ -651,29 +748,36 @@ SELECT x.vec_id, x.dim::BIGINT AS dim, round(x.v + CASE WHEN n.n > 0 THEN 1.0 *
 FROM X0 x JOIN G0 g ON x.vec_id = g.vec_id AND x.dim = g.dim, NF n"""
     q["pgd"] = head + ", " + _pgd_chain() + """
 SELECT vec_id, dim::BIGINT AS dim, round(v, 6) AS x_adv FROM X3"""
-    q["freelb_init"] = head + ", " + FREELB_SQL.strip() + """
-SELECT vec_id, dim::BIGINT AS dim, round(d, 6) AS delta FROM D0"""
-    q["freelb"] = head + ", " + _freelb_chain() + """
-SELECT l0.seq_id, round(n.dn2, 6) AS delta_norm, round((l0.loss + l1.loss + l2.loss) / 3, 6) AS tr_loss
-FROM LS0 l0 JOIN LS1 l1 ON l0.seq_id = l1.seq_id JOIN LS2 l2 ON l0.seq_id = l2.seq_id
-JOIN (SELECT m.seq_id, sqrt(sum(d.d * d.d)) AS dn2 FROM D2 d JOIN mem m ON d.vec_id = m.vec_id GROUP BY m.seq_id) n
-  ON n.seq_id = l0.seq_id"""
+    q["freelb_init"] = head + ", " + _freelb_start(1.0, False, "f") + """
+SELECT vec_id, dim::BIGINT AS dim, round(d, 6) AS delta FROM Df0"""
+    presets = {"quality": (1.0, 0.1, 0.6, "fq"), "turns": (0.08, 0.04, 0.0, "ft"), "lang": (1.0, 0.1, 0.6, "fl")}
+    q["freelb"] = head + ", " + ",\n".join(_freelb_chain(init, 3, lr, most, True, tag)
+                                           for init, lr, most, tag in presets.values()) + " UNION ALL ".join(
+        _freelb_rows(name, tag) for name, (_, _, _, tag) in presets.items())
     fg = """
 NF AS (SELECT sqrt(sum(g * g)) AS n FROM G0),
 XF AS (SELECT x.vec_id, x.dim, x.v + CASE WHEN n.n > 0 THEN 1.0 * g.g / n.n ELSE 0 END AS v
        FROM X0 x JOIN G0 g ON x.vec_id = g.vec_id AND x.dim = g.dim, NF n),
-XL AS (SELECT vec_id, dim, v FROM XA2)
+XL AS (SELECT vec_id, dim, v FROM XAf2)
 """
     q["robustness"] = head + ", " + _freelb_chain() + ", " + _pgd_chain() + ", " + fg.strip() + ", " + ",\n".join([
         _eval("0", "clean").strip(), _grad("XF", "fg").strip(), _eval("fg", "fgm").strip(),
         _grad("X3", "pg").strip(), _eval("pg", "pgd").strip(),
-        _grad("XL", "fl").strip(), _eval("fl", "freelb").strip()]) + """
+        _grad("XL", "xl").strip(), _eval("xl", "freelb").strip()]) + """
 SELECT method, round(loss, 6) AS loss, round(accuracy, 6) AS accuracy, round(macro_f1, 6) AS macro_f1
-FROM (SELECT * FROM R0 UNION ALL SELECT * FROM Rfg UNION ALL SELECT * FROM Rpg UNION ALL SELECT * FROM Rfl)"""
+FROM (SELECT * FROM R0 UNION ALL SELECT * FROM Rfg UNION ALL SELECT * FROM Rpg UNION ALL SELECT * FROM Rxl)"""
 
 
 def _step10(q: dict[str, str]) -> None:
     q["stream_confusion"] = q["confusion"]
+    q["stream_metrics"] = f"""SELECT a.task, a.split, a.n, a.accuracy, f.macro_f1
+FROM ({q["accuracy"]}) a JOIN ({q["macro_f1"]}) f ON a.task = f.task AND a.split = f.split"""
+    flat = "regexp_replace({}, '[\\t\\n\\r]', ' ', 'g')"
+    both = "coalesce(text_b, '')"
+    md5s = f"md5({flat.format('text_a')}) AS md5_a, md5({flat.format(both)}) AS md5_b"
+    q["routed_sources"] = with_(EX) + f"SELECT task, kind, id, label, {md5s} FROM ex"
+    q["raw_tsv_counts"] = with_(EX) + "SELECT task, kind, count(*)::BIGINT AS n FROM ex GROUP BY task, kind"
+    q["header_tsv_splits"] = with_(*PREP) + f"SELECT task, id, label, split, {md5s} FROM splits"
     q["stream_scores"] = with_(VX) + """
 SELECT vec_id, class_idx::BIGINT AS pred_idx FROM (
   SELECT vec_id, class_idx, row_number() OVER (PARTITION BY vec_id ORDER BY logit DESC, class_idx) AS rn FROM lin)
@@ -683,7 +787,7 @@ SELECT task, id, label, split, length(text_a)::BIGINT AS len_a, md5(coalesce(tex
        md5(coalesce(text_b, '')) AS md5_b FROM splits"""
 
 
-_BUILDERS = [_step1, _step2, _step3, _step4, _step5, _step5b, _step6, _step7, _step9, _step10]
+_BUILDERS = [_step1, _step2, _step3, _step4, _step5, _step5b, _step5c, _step6, _step7, _step9, _step10]
 _sql_base = sql
 
 

@@ -16,9 +16,11 @@ from ..operators.common import checked_broadcast, r6
 class Prepared:
     """Tables of the prepare stage for one ``sf_dir``.
 
-    ``examples`` stays a lazy scan; the split table, plan, quotas and label
-    dictionary are materialised once (reliable checkpoints) because every
-    later stage reads them.
+    ``keys`` (ids, labels and order keys of the labelled rows, no texts), the
+    split table (partitioned by task and split), plan, quotas and label
+    dictionary are materialised once because every later stage reads them.
+    The sources are read once for the keys, without texts, and once for the
+    split table.
     """
 
     def __init__(self, spark: SparkSession, sf_dir: str, batch_size: int = TOTAL_BATCH_SIZE,
@@ -27,15 +29,16 @@ class Prepared:
         keep = mat if materialize else (lambda d: d)
         self.spark, self.sf_dir, self.seed = spark, sf_dir, seed
         self.examples = ex.load_examples(spark, sf_dir)
-        # One scan of the labels gives the label histogram; the plan, the
-        # quotas and the label dictionary all derive from it.
-        self.label_counts = keep(st.label_counts(self.examples))
+        self.keys = keep(sp.split_keys(self.examples, seed))
+        # The label histogram of the keys gives the plan, the quotas, the
+        # label dictionary and the class weights.
+        self.label_counts = keep(sp.key_counts(self.keys))
         w = Window.partitionBy("task").orderBy("label")
         self.label_dim = keep(self.label_counts.select(
             "task", "label", (F.row_number().over(w) - 1).cast("int").alias("label_idx")))
         splits, self.plan, self.quota = sp.split_examples(
-            self.examples, batch_size, min_pct, seed, lcounts=self.label_counts, keep=keep)
-        self.splits = mat(splits, spread=True) if materialize else splits
+            self.examples, batch_size, min_pct, seed, lcounts=self.label_counts, keep=keep, keys=self.keys)
+        self.splits = mat(splits, ("task", "split")) if materialize else splits
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> Prepared:
@@ -43,8 +46,12 @@ class Prepared:
         from .stages import stage
         return stage(spark, sf_dir, "prepared", lambda: cls(spark, sf_dir))
 
+    def class_weights(self) -> DataFrame:
+        """D4 from the materialised label counts."""
+        return st.class_weights(self.label_counts)
+
     def encoded_splits(self) -> DataFrame:
-        """Split rows with ``label_idx`` (unknown labels -> null)."""
+        """Split rows with ``label_idx`` (an unknown label fails the query)."""
         return ex.encode_labels(self.splits, checked_broadcast(self.label_dim))
 
     def tokens(self) -> DataFrame:
@@ -57,14 +64,14 @@ class Prepared:
             from ..operators.features import token_table
             t = token_table(self.encoded_splits())
             return materialize(t.select("task", "split", "id", "label", "label_idx", "tokens_a", "tokens_b"),
-                               spread=True)
+                               ("task", "split"))
         return stage(self.spark, self.sf_dir, "tokens", build)
 
 
 def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: rows per task x split x label with the label's class weight."""
     p = Prepared.get(spark, sf_dir)
-    cw = st.class_weights(p.examples).select("task", "label", "weight")
+    cw = p.class_weights().select("task", "label", "weight")
     counts = p.splits.groupBy("task", "split", "label").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     return (counts.join(checked_broadcast(cw), ["task", "label"], "left")
             .select("task", "split", "label", "n", r6("weight").alias("class_weight")))
@@ -73,9 +80,9 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features_of(p: Prepared, max_size: int | None = None):
     """L1 steps 5-6: vocabulary from the train split and features of every
     split row.  Returns (vocab, features)."""
-    from ..config import VOCAB_MAX_SIZE
     from ..operators import features as fe
+    from .stages import materialize, stage
     tok = p.tokens()
-    vocab = fe.build_vocab(tok, max_size or VOCAB_MAX_SIZE)
-    feats = fe.encode(tok, vocab)
-    return vocab, feats
+    build = lambda: materialize(fe.build_vocab(tok, max_size))
+    vocab = stage(p.spark, p.sf_dir, "vocab", build) if max_size is None else build()
+    return vocab, fe.encode(tok, vocab)

@@ -28,14 +28,19 @@ def hex_bucket(key_col: str, prefix: int = HEX_PREFIX) -> Column:
     return F.substring(F.col(key_col), 1, prefix)
 
 
-def range_bucket(df: DataFrame, col: str, n_buckets: int = 4096) -> Column:
-    """Bucket of an integer column by equal-width ranges between its min and
-    max (two scalars fetched by one tiny aggregate).  Values are unique ids,
-    so a bucket holds at most ceil(range / n_buckets) rows."""
-    row = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
-    lo, hi = (row["lo"] or 0), (row["hi"] or 0)
-    width = max(1, -(-(hi - lo + 1) // n_buckets))
-    return F.floor((F.col(col) - F.lit(lo)) / F.lit(width)).cast("bigint")
+def quantile_bucket(df: DataFrame, part_cols, col: str, rows_per_bucket: int = 50_000, least: int = 16,
+                    most: int = 1024) -> DataFrame:
+    """Adds ``_bkt``: the bucket of ``col`` between quantiles of its own group,
+    so an outlier or a group with ids of another scale leaves the buckets even.
+    The bounds (groups x buckets numbers) are broadcast after a size check."""
+    part_cols = list(part_cols)
+    biggest = df.groupBy(*part_cols).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    n = min(most, max(least, -(-biggest // rows_per_bucket)))
+    bounds = df.groupBy(*part_cols).agg(F.percentile_approx(
+        col, F.array(*[F.lit(i / n) for i in range(1, n)]), F.lit(100 * n)).alias("_bounds"))
+    joined = df.join(checked_broadcast(bounds), part_cols)
+    below = F.size(F.filter("_bounds", lambda x: x < F.col(col)))
+    return joined.withColumn("_bkt", F.when(F.col("_bounds").isNull(), 0).otherwise(below)).drop("_bounds")
 
 
 def bucket_offsets(df: DataFrame, part_cols, bucket_col: str) -> DataFrame:
@@ -45,11 +50,12 @@ def bucket_offsets(df: DataFrame, part_cols, bucket_col: str) -> DataFrame:
     return counts.withColumn("_off", F.coalesce(F.sum("_bn").over(w), F.lit(0)).cast("bigint"))
 
 
-def two_stage_rank(df: DataFrame, part_cols, order_cols, bucket: Column, out: str = "rank") -> DataFrame:
+def two_stage_rank(df: DataFrame, part_cols, order_cols, bucket: Column | None = None,
+                   out: str = "rank") -> DataFrame:
     """Add ``out`` = 1-based rank of each row within ``part_cols`` by
-    ``order_cols``.  ``bucket`` must be monotone in ``order_cols``."""
+    ``order_cols``.  ``bucket`` (or the column ``_bkt``) must be monotone in ``order_cols``."""
     part_cols = list(part_cols)
-    b = df.withColumn("_bkt", bucket)
+    b = df if bucket is None else df.withColumn("_bkt", bucket)
     offsets = bucket_offsets(b, part_cols, "_bkt").select(*part_cols, "_bkt", "_off")
     w = Window.partitionBy(*part_cols, "_bkt").orderBy(*order_cols)
     local = b.withColumn("_lrn", F.row_number().over(w))

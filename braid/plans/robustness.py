@@ -17,7 +17,7 @@ class Robust:
         self.model = centroid_model(v)
         from .stages import materialize
         self.rows = materialize(v.select("vec_id", F.col("embedding").alias("x"),
-                                         self.model.label_index("label").alias("y_idx")), spread=True)
+                                         self.model.label_index("label").alias("y_idx")))
 
     @classmethod
     def get(cls, spark, sf_dir) -> Robust:
@@ -54,20 +54,27 @@ def freelb_init(spark, sf_dir):
 
 
 def freelb(spark, sf_dir):
+    """All presets; the last position of every second sequence is padding."""
+    from ..config import FREELB
     r = Robust.get(spark, sf_dir)
-    s = pt.freelb(r.rows, r.model)
-    return s.select("seq_id", r6("delta_norm").alias("delta_norm"), r6("tr_loss").alias("tr_loss"))
+    padding = (F.pmod("vec_id", F.lit(8)) == 7) & (F.pmod(F.floor(F.col("vec_id") / 8), F.lit(2)) == 1)
+    rows = r.rows.withColumn("mask", F.when(padding, 0).otherwise(1))
+    parts = [pt.freelb(rows, r.model, params).select(
+        F.lit(name).alias("preset"), "seq_id", r6("delta_norm").alias("delta_norm"), r6("adv_loss").alias("adv_loss"))
+        for name, params in FREELB.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def robustness(spark, sf_dir):
     r = Robust.get(spark, sf_dir)
-    from ..session import checkpoint
-    clean = r.rows.withColumn("x_adv", F.col("x"))
     variants = {
-        "clean": clean,
-        "fgm": checkpoint(pt.fgm(r.rows, r.model)),
+        "clean": r.rows.withColumn("x_adv", F.col("x")),
+        "fgm": pt.fgm(r.rows, r.model),
         "pgd": pt.pgd(r.rows, r.model),
-        "freelb": checkpoint(pt.freelb_rows(pt.freelb(r.rows, r.model))),
+        "freelb": pt.freelb_rows(pt.freelb(r.rows, r.model)),
     }
     rep = pt.report(variants, r.model)
     return rep.select("method", r6("loss").alias("loss"), r6("accuracy").alias("accuracy"),

@@ -1,50 +1,47 @@
 """Materialised stages shared by queries of one session.
 
-A stage (the split table, the token counts, the scored rows, the step log)
-is computed once per (application, input folder), written as a reliable
-checkpoint into the shared folder named by ``spark.checkpoint.dir`` and
-reused by later queries.  This cuts lineage (a lost executor re-reads the
-checkpoint instead of recomputing the chain) and keeps plans shallow.
+A stage (the split table, the token table, the scored rows, the step log) is
+computed once per application and input, written as Parquet below the shared
+folder named by ``spark.checkpoint.dir`` and read again by later queries: the
+lineage ends there (a lost executor re-reads the files), later scans read only
+the columns they use, and filters on partition columns skip whole folders.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint
+from ..session import ensure_checkpoint_dir
 
 _MEMO: dict[tuple, object] = {}
+# Tables the stages are built from; a new file in one of them makes a new stage.
+_INPUTS = ("documents", "labels", "conversations", "benchmark", "embeddings")
 
 
 def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
-    return (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
+    root = sf_dir.rstrip("/")
+    files = frozenset(f for t in _INPUTS for f in spark.read.parquet(f"{root}/{t}.parquet").inputFiles())
+    return (spark.sparkContext.applicationId, root, name, files)
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
-    """Memoised object for this session and folder."""
+    """Memoised object for this application, folder and the files in it."""
     k = _key(spark, sf_dir, name)
     if k not in _MEMO:
         _MEMO[k] = build()
     return _MEMO[k]
 
 
-def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
-    """Reliable checkpoint (eager) in the shared checkpoint folder.
-
-    With ``spread``, a table that came out in fewer partitions than the
-    cluster has task slots (a small input file gives one scan partition) is
-    hash-redistributed once so later per-row work (regexes, vector math) runs
-    in parallel.  A large input already has many partitions and is left as
-    it is -- no extra shuffle at scale.
-    """
-    out = checkpoint(df)
-    if spread:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        if out.rdd.getNumPartitions() < par:
-            out = checkpoint(out.repartition(par))
-    return out
+def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder (in folders of
+    ``partition_by``) and return the table read from there."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stages/{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
 def clear() -> None:

@@ -3,7 +3,6 @@ tokenizer, logits for every split row, predictions (L2/L3 inputs)."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,29 +15,22 @@ from .prepare import Prepared
 class NBScores:
     """Logits of the per-task NB heads for every split row of ``p``.
 
-    The per-row token counts are persisted while the model is fitted and the
-    rows are scored (both read them); model, priors and logits are then
-    materialised and the counts released.
+    Model, priors and logits are materialised; the token counts inside each
+    row are computed where they are used, without an exchange of tokens.
     """
 
     def __init__(self, p: Prepared, materialize: bool = True):
-        from ..operators.features import all_tokens
         from .stages import materialize as mat
         keep = mat if materialize else (lambda d: d)
         self.p = p
         tok = p.tokens()
         self.rows = tok.select("task", "split", "id", "label_idx")
-        # Exploded tokens with multiplicity 1: the fit and the scoring both
-        # aggregate them map-side (per (task, token) and per row), so no
-        # per-row token-count table is shuffled or kept.
-        occ = tok.select("task", "split", "id", "label_idx", F.explode(all_tokens(tok)).alias("token"),
-                         F.lit(1).cast("bigint").alias("cnt"))
-        train = occ.filter(F.col("split") == "train")
         self.max_classes = self._max_classes()
+        train = hd.occurrences(tok.filter(F.col("split") == "train"))
         model, prior = hd.fit_nb(train, self.rows.filter(F.col("split") == "train"), p.label_dim,
                                  self.max_classes)
         self.model, self.prior = keep(model), keep(prior)
-        self.logits = keep(hd.nb_score(self.rows, occ, self.model, self.prior, self.max_classes))
+        self.logits = keep(hd.nb_score(self.rows, hd.occurrences(tok), self.model, self.prior, self.max_classes))
 
     @classmethod
     def get(cls, p: Prepared) -> NBScores:
@@ -81,39 +73,71 @@ def ngram_features(spark, sf_dir):
     cols = []
     for n in NGRAM_SIZES:
         cols.append(F.size(f"b{n}").cast("bigint").alias(f"n{n}"))
-        cols.append(F.aggregate(f"b{n}", F.lit(0).cast("bigint"), lambda a, x: a + x).alias(f"s{n}"))
+        cols.append(F.array_join(F.array_sort(f"b{n}").cast("array<string>"), " ").alias(f"b{n}"))
     return f.select("kind", "id", *cols)
 
 
-def logreg_predictions(spark, sf_dir):
-    """Per-task logistic regression (MLlib) on hashed token counts,
-    weighted by class weight; predictions for the dev split."""
+def _logreg(spark, sf_dir):
+    """Per-task logistic regression (MLlib) on hashed token counts of the
+    train rows, weighted by class weight; predictions of train and dev rows."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import HashingTF
 
-    from ..functions import text as tx
-    from ..operators import stats as st
     from ..operators.common import checked_broadcast
+    from ..operators.features import all_tokens
+    from .stages import materialize
     p = Prepared.get(spark, sf_dir)
-    enc = p.encoded_splits()
-    cw = checked_broadcast(st.class_weights(p.examples).select("task", "label", "weight"))
-    df = (enc.filter(F.col("split") != "test").join(cw, ["task", "label"], "left")
-          .withColumn("tokens", F.concat(tx.tokenize("text_a"),
-                                         F.coalesce(tx.tokenize("text_b"), F.array().cast("array<string>")))))
+    cw = checked_broadcast(p.class_weights().select("task", "label", "weight"))
+    tok = p.tokens().filter(F.col("split") != "test")
+    df = tok.join(cw, ["task", "label"], "left").select(
+        "task", "split", "id", "label_idx", F.col("weight").cast("double").alias("weight"), all_tokens(tok).alias("tokens"))
     tf = HashingTF(inputCol="tokens", outputCol="features", numFeatures=1 << 16)
-    feats = tf.transform(df).select("task", "split", "id", "label_idx", "features",
-                                    F.col("weight").cast("double").alias("weight"),
-                                    F.col("label_idx").cast("double").alias("y"))
-    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
-    outs = []
+    feats = materialize(tf.transform(df).drop("tokens").withColumn("y", F.col("label_idx").cast("double")),
+                        ("task", "split"))
+    out = None
     for t in [r["task"] for r in p.label_dim.select("task").distinct().collect()]:
         part = feats.filter(F.col("task") == t)
         lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=20, regParam=0.01)
-        m = lr.fit(part.filter(F.col("split") == "train"))
-        pred = m.transform(part.filter(F.col("split") == "dev"))
-        outs.append(pred.select("task", "id", F.col("label_idx").cast("bigint").alias("label_idx"),
-                                F.col("prediction").cast("bigint").alias("pred_idx")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
+        pred = lr.fit(part.filter(F.col("split") == "train")).transform(part)
+        one = pred.select("task", "split", "id", F.col("label_idx").cast("bigint").alias("label_idx"),
+                          F.col("prediction").cast("bigint").alias("pred_idx"))
+        out = one if out is None else out.unionByName(one)
+    return materialize(out)
+
+
+def _logreg_stage(spark, sf_dir):
+    from .stages import stage
+    return stage(spark, sf_dir, "logreg", lambda: _logreg(spark, sf_dir))
+
+
+def logreg_predictions(spark, sf_dir):
+    """Predictions for the dev split."""
+    return _logreg_stage(spark, sf_dir).filter(F.col("split") == "dev").drop("split")
+
+
+def logreg_check(spark, sf_dir):
+    """H12 by facts that hold for any sound fit: one prediction per dev row,
+    all in the label dictionary, and train rows no less often right than the commonest label."""
+    p = Prepared.get(spark, sf_dir)
+    pred = _logreg_stage(spark, sf_dir)
+    known = pred.filter(F.col("split") == "dev").join(
+        p.label_dim.select("task", F.col("label_idx").cast("bigint").alias("pred_idx"), "label"), ["task", "pred_idx"], "left")
+    facts = known.groupBy("task").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n"), F.countDistinct("id").cast("bigint").alias("n_ids"),
+        F.bool_and(F.col("label").isNotNull()).alias("in_dictionary"))
+    train = pred.filter(F.col("split") == "train").groupBy("task", "label_idx").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((F.col("pred_idx") == F.col("label_idx")).cast("int")).alias("right"))
+    fit = train.groupBy("task").agg((F.sum("right") >= F.max("n")).alias("beats_majority"))
+    return facts.join(fit, "task").select("task", "n", "n_ids", "in_dictionary", "beats_majority")
+
+
+# Which head serves which task.
+DISPATCH = {"quality": "nb", "turns": "nb", "lang": "majority"}
+
+
+def dispatch(spark, sf_dir):
+    """B8/2.L: every row scored by the registered head of its task."""
+    from ..registry import dispatch as by_task
+    s = NBScores.get(Prepared.get(spark, sf_dir))
+    out = by_task(s.logits, DISPATCH, prior=s.prior)
+    return out.select("task", "split", "id", F.col("pred_idx").cast("bigint").alias("pred_idx"))

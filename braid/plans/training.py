@@ -3,8 +3,13 @@
 The per-task NB heads score every split row.  The training loop's step log is
 derived from those predictions: for epochs 1..3 the train split is shuffled
 per epoch (md5 key), cut into the planned batch sizes and every step's loss
-and accuracy are per-(epoch, step, task) aggregates.  Nothing is invented;
-all inputs are the driver's tables.
+and accuracy are per-(epoch, step, task) aggregates.
+
+The dev side of the log is that of a model in training: the heads count what
+has been seen so far, so at every evaluation (``EVALS_PER_EPOCH`` per epoch)
+the dev split is scored by the heads fitted on the train rows of all steps up
+to it, a row counting once per epoch it was seen in.  Best-so-far, early stop
+and the progress lines follow that dev F1.
 """
 
 from __future__ import annotations
@@ -12,11 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import SPLIT_SEED
+from ..config import SPLIT_SEED, TASKS
+from ..functions import arrays as ar
+from ..operators import heads as hd
 from ..operators import losses as ls
 from ..operators import metrics as mt
 from ..operators import monitor as mo
-from ..operators import stats as st
 from ..operators import weighting as wt
 from ..operators.common import order_key, r6
 from ..plans.ranking import hex_bucket, two_stage_rank
@@ -25,7 +31,9 @@ from .textmodels import NBScores
 
 N_EPOCHS = 3
 RUN_ID = "nb"
-MONITOR_EVAL_EVERY = 5
+# Evaluations per epoch (a parameter: the log has EVALS_PER_EPOCH x epochs models, or a few more in tiny
+# epochs) and steps without improvement that end the run.
+EVALS_PER_EPOCH = 4
 MONITOR_PATIENCE = 12
 
 
@@ -39,6 +47,7 @@ class Training:
         self.preds = self.nb.predictions()
         self._step_preds = None
         self._step_log = None
+        self._dev_eval = None
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> Training:
@@ -50,7 +59,7 @@ class Training:
         return self.preds.filter(F.col("split") == split)
 
     def class_weight_idx(self) -> DataFrame:
-        cw = st.class_weights(self.p.examples).select("task", "label", "weight")
+        cw = self.p.class_weights().select("task", "label", "weight")
         return cw.join(self.p.label_dim, ["task", "label"]).select("task", "label_idx", "weight")
 
     def dev_batched(self) -> DataFrame:
@@ -72,15 +81,59 @@ class Training:
             self._step_log = self._keep(self._build_step_log())
         return self._step_log
 
-    def _build_step_preds(self) -> DataFrame:
+    def steps_of(self, rows: DataFrame) -> DataFrame:
+        """Train rows with the ``epoch`` and ``step`` they are seen in, once per epoch."""
         plan = F.broadcast(self.p.plan.select("task", "batch_size", "train_batches"))
-        tr = (self.split_preds("train")
-              .withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(self.n_epochs))))
+        tr = (rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(self.n_epochs))))
               .withColumn("_key", order_key("id", SPLIT_SEED, F.col("epoch"))))
         tr = two_stage_rank(tr, ["task", "epoch"], ["_key", "id"], hex_bucket("_key"), "pos")
-        tr = (tr.join(plan, "task")
-              .withColumn("step", (F.floor((F.col("pos") - 1) / F.col("batch_size")) + 1).cast("bigint"))
-              .filter(F.col("step") <= F.col("train_batches")))
+        return (tr.join(plan, "task")
+                .withColumn("step", (F.floor((F.col("pos") - 1) / F.col("batch_size")) + 1).cast("bigint"))
+                .filter(F.col("step") <= F.col("train_batches")))
+
+    def periods(self) -> tuple[int, int]:
+        """(steps between evaluations, evaluations per epoch); all tasks have the same number of steps."""
+        steps = self.p.plan.agg(F.min("train_batches")).first()[0]
+        every = max(1, steps // EVALS_PER_EPOCH)
+        return every, steps // every
+
+    def dev_eval(self) -> DataFrame:
+        """Dev loss and macro-F1 per (evaluation, task) under the heads fitted on
+        what was seen by then: ``run_id``, ``epoch``, ``step``, ``task``, ``loss``, ``f1``."""
+        if self._dev_eval is None:
+            self._dev_eval = self._keep(self._build_dev_eval())
+        return self._dev_eval
+
+    def _build_dev_eval(self) -> DataFrame:
+        every, per_epoch = self.periods()
+        n, c = per_epoch * self.n_epochs, self.nb.max_classes
+        tok = self.p.tokens()
+        train = tok.filter(F.col("split") == "train")
+        # Steps behind an epoch's last evaluation are first evaluated in the next epoch.
+        period = (F.col("epoch") - 1) * per_epoch + F.least(F.ceil(F.col("step") / every), F.lit(per_epoch + 1))
+        seen = self._keep(self.steps_of(train.select("task", "split", "id", "label_idx")).groupBy(
+            "task", "split", "id", "label_idx").agg(F.collect_list(period.cast("int")).alias("seen")))
+        counts = hd.occurrences(train).join(seen.select("task", "split", "id", "seen"), ["task", "split", "id"])
+        model, prior = hd.fit_nb_periods(counts, seen, self.p.label_dim, c, n)
+        model, prior = self._keep(model), self._keep(prior)
+        dev = tok.filter(F.col("split") == "dev")
+        scored = hd.nb_score(dev, hd.occurrences(dev), model, prior, n * c)
+        classes = self.p.label_dim.groupBy("task").agg(F.count(F.lit(1)).cast("int").alias("n_cls"))
+        at = F.explode(F.sequence(F.lit(1), F.lit(n)))
+        each = (scored.join(F.broadcast(classes), "task").withColumn("period", at)
+                .withColumn("logits", F.slice("logits", (F.col("period") - 1) * c + 1, F.col("n_cls"))))
+        each = self._keep(each.withColumn("pred_idx", ar.argmax("logits")))
+        batch = self.dev_batched().select("task", "id", "batch_id")
+        loss = ls.batch_mean(each.join(batch, ["task", "id"]), ["period", "task"])
+        f1 = mt.macro_f1(each, ["period", "task"])
+        return f1.join(loss, ["period", "task"]).select(
+            F.lit(RUN_ID).alias("run_id"),
+            (F.floor((F.col("period") - 1) / per_epoch) + 1).cast("bigint").alias("epoch"),
+            (((F.col("period") - 1) % per_epoch + 1) * every).cast("bigint").alias("step"),
+            "task", F.col("batch_mean").alias("loss"), F.col("macro_f1").alias("f1"))
+
+    def _build_step_preds(self) -> DataFrame:
+        tr = self.steps_of(self.split_preds("train"))
         return tr.select(F.lit(RUN_ID).alias("run_id"), F.col("epoch").cast("bigint").alias("epoch"),
                          "step", "task", "id", "label_idx", "pred_idx", "logits")
 
@@ -251,7 +304,7 @@ def total_loss(spark, sf_dir):
 
 def running_f1(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return mo.running_f1(t.step_preds(), MONITOR_EVAL_EVERY).select(
+    return mo.running_f1(t.step_preds(), t.periods()[0]).select(
         "run_id", "epoch", "step", "task", r6("f1").alias("f1"))
 
 
@@ -261,15 +314,25 @@ def running_loss(spark, sf_dir):
                                                 r6("running_loss").alias("running_loss"))
 
 
+def dev_eval(spark, sf_dir):
+    """Dev loss and macro-F1 of the growing heads at every evaluation."""
+    return _t(spark, sf_dir).dev_eval().select("run_id", "epoch", "step", "task", r6("loss").alias("loss"),
+                                               r6("f1").alias("f1"))
+
+
+TASK_NAMES = [t.name for t in TASKS]
+
+
 def _best(t: Training):
     log = t.step_log()
-    ev = mo.eval_log(log, t.step_preds(), MONITOR_EVAL_EVERY)
+    ev = mo.eval_log(log, t.step_preds(), t.dev_eval(), TASK_NAMES, t.periods()[0])
     return log, mo.best_so_far(ev)
 
 
 def best_so_far(spark, sf_dir):
     _, b = _best(_t(spark, sf_dir))
-    return b.select("run_id", "epoch", "step", r6("f1").alias("f1"), r6("best_f1").alias("best_f1"), "flag")
+    return b.select("run_id", "epoch", "step", r6("train_f1").alias("train_f1"), r6("dev_f1").alias("dev_f1"),
+                    r6("best_f1").alias("best_f1"), "flag")
 
 
 def early_stop(spark, sf_dir):
@@ -284,4 +347,15 @@ def resume_point(spark, sf_dir):
 
 def progress_log(spark, sf_dir):
     _, b = _best(_t(spark, sf_dir))
-    return mo.format_progress(b)
+    return mo.format_progress(b, TASK_NAMES)
+
+
+def focal_alpha(spark, sf_dir):
+    """D15 with a scalar alpha (for the last class, and for class 0) and without alpha."""
+    t = _t(spark, sf_dir)
+    w, dev, out = t.class_weight_idx(), t.split_preds("dev"), None
+    for name, alpha, index in (("last_0.25", 0.25, -1), ("first_0.75", 0.75, 0), ("none", None, -1)):
+        f = ls.focal(dev, ls.alpha_table(w, alpha, index)).select(
+            "task", F.lit(name).alias("alpha"), r6("loss").alias("loss"))
+        out = f if out is None else out.unionByName(f)
+    return out

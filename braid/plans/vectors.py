@@ -34,6 +34,7 @@ def long_vec(df: DataFrame, id_col: str, col: str = "pooled", name: str = "v") -
 
 def array_kit(spark, sf_dir):
     v = vecs(spark, sf_dir)
+    classes = (v.agg(F.max("label")).first()[0] or 0) + 1
     mask = F.transform("embedding", lambda x: F.when(x != 0, 1).otherwise(0))
     return v.select(
         "vec_id",
@@ -42,7 +43,7 @@ def array_kit(spark, sf_dir):
         ar.masked_len(mask).cast("bigint").alias("n_nonzero"),
         r6(F.array_max(ar.softmax("embedding"))).alias("max_softmax"),
         r6(F.element_at(ar.normalize("embedding"), 1)).alias("unit_x0"),
-        (F.array_position(ar.one_hot("label", 10), 1.0) - 1).cast("bigint").alias("onehot_pos"),
+        (F.array_position(ar.one_hot("label", classes), 1.0) - 1).cast("bigint").alias("onehot_pos"),
     )
 
 
@@ -61,6 +62,14 @@ def linear_scores(spark, sf_dir):
         "vec_id", F.col("class_idx").cast("bigint").alias("class_idx"), r6("logit").alias("logit"))
 
 
+def linear_scores_join(spark, sf_dir):
+    """H9 by the block join that scores models too large to fetch."""
+    v = vecs(spark, sf_dir)
+    s = hd.join_scores(v, hd.fit_centroids(v), block=4)
+    return s.select("vec_id", F.posexplode("logits").alias("class_idx", "logit")).select(
+        "vec_id", F.col("class_idx").cast("bigint").alias("class_idx"), r6("logit").alias("logit"))
+
+
 def _seqs(spark, sf_dir):
     return hd.as_sequences(vecs(spark, sf_dir))
 

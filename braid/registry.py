@@ -31,14 +31,29 @@ def names(kind: str) -> list[str]:
     return sorted(_REGISTRY.get(kind, {}))
 
 
+def dispatch(rows, heads: dict[str, str], **kw):
+    """The rows of each task through the head that ``heads`` names for it."""
+    from pyspark.sql import functions as F
+    out = None
+    for task, name in heads.items():
+        part = get("head", name)(rows.filter(F.col("task") == task), **kw)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def _builtin() -> None:
-    from .operators import losses, perturb, weighting
+    from .functions import arrays
+    from .operators import heads, losses, perturb, weighting
 
     register("loss", "cross_entropy", lambda df, **kw: losses.compute(df, "cross_entropy", **kw))
     register("loss", "focal_loss", lambda df, **kw: losses.compute(df, "focal_loss", **kw))
     register("loss", "dice_loss", lambda df, **kw: losses.compute(df, "dice_loss", **kw))
     for s in weighting.STRATEGIES:
         register("strategy", s, lambda log, _s=s, **kw: weighting.total_loss(log, _s, **kw))
+    register("head", "nb", lambda df, **kw: df.withColumn("pred_idx", arrays.argmax("logits")))
+    register("head", "majority", lambda df, **kw: heads.majority(df, kw["prior"]))
+    register("head", "linear", lambda df, **kw: heads.linear_score(df, kw["model"]).withColumn(
+        "pred_idx", arrays.argmax("logits")))
     register("adversarial", "fgm", perturb.fgm)
     register("adversarial", "pgd", perturb.pgd)
     register("adversarial", "freelb", perturb.freelb)

@@ -38,23 +38,18 @@ def build_session(master: str | None = None, partitions: int = 8, app: str = "br
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared folder and is used as is.  Only
-    when it is unset (local tests) do we create a scratch folder.
+    On a cluster the setting must name a folder all machines share; it is used
+    as is.  Only a local session without the setting (tests) gets a scratch
+    folder of its own.
     """
     sc = spark.sparkContext
     cur = sc.getCheckpointDir()
     if cur:
         return cur
     cur = sc.getConf().get("spark.checkpoint.dir", None)
-    if cur:
-        sc.setCheckpointDir(cur)
-        return cur
-    path = tempfile.mkdtemp(prefix="braid-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if not cur:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        cur = tempfile.mkdtemp(prefix="braid-ckpt-")
+    sc.setCheckpointDir(cur)
+    return cur

@@ -61,6 +61,18 @@ def quality_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shape(df, "quality")
 
 
+# A turn pair's id is conv_id * 2**24 + turn: one number per (conv_id, turn).
+TURN_BITS = 24
+
+
+def pair_id(conv_id, turn):
+    """Id of a turn pair; a turn or conversation out of range fails the query
+    instead of meeting another pair's id."""
+    ok = (turn >= 0) & (turn < (1 << TURN_BITS)) & (F.abs(conv_id) < (1 << (62 - TURN_BITS)))
+    return F.when(ok, F.shiftleft(conv_id.cast("bigint"), TURN_BITS) + turn).otherwise(
+        F.raise_error(F.lit("conv_id or turn out of the range of pair ids")).cast("bigint"))
+
+
 # --- turns: consecutive (labelled) or two-apart (test) conversation turns ---
 
 def _turn_pairs(spark: SparkSession, sf_dir: str, gap: int, labelled: bool) -> DataFrame:
@@ -74,7 +86,7 @@ def _turn_pairs(spark: SparkSession, sf_dir: str, gap: int, labelled: bool) -> D
         (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + gap),
     )
     cols = [
-        (F.col("a.conv_id") * 1000 + F.col("a.turn")).alias("id"),
+        pair_id(F.col("a.conv_id"), F.col("a.turn")).alias("id"),
         F.col("a.text").alias("text_a"),
         F.col("b.text").alias("text_b"),
     ]

@@ -3,8 +3,7 @@
 Raw files are headerless, tab-separated and unquoted; labelled files carry a
 label as last column, test files do not.  A file belongs to a task when the
 task name is a substring of its name and is labelled when the name contains
-``_train``.  Routing is a column computed from ``_metadata.file_name``: no
-file is copied and the driver never lists rows.
+``_train``.  No file is copied and the driver sees file names only.
 
 Between stages we write Parquet partitioned by (task, split), so text
 round-trips bit-exactly (quotes, tabs and newlines included).
@@ -29,62 +28,90 @@ def raw_schema(kind: str, labelled: bool) -> T.StructType:
     return T.StructType([T.StructField(n, types.get(n, T.StringType()), True) for n in names])
 
 
+def _strict(reader):
+    """Tab-separated without quoting; a row with too few or too many columns
+    fails every query, an id that is no number every query that reads ids."""
+    return (reader.option("sep", "\t").option("quote", "").option("escape", "").option("lineSep", "\n")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .option("mode", "FAILFAST").option("columnPruning", False))
+
+
 def read_raw_tsv(spark: SparkSession, paths, kind: str, labelled: bool) -> DataFrame:
     """A2: headerless TSV, no quote handling, explicit schema (no inference)."""
-    return (spark.read.schema(raw_schema(kind, labelled))
-            .option("sep", "\t").option("quote", "").option("escape", "")
-            .option("header", False).option("mode", "PERMISSIVE")
-            .csv(paths))
+    return _strict(spark.read.schema(raw_schema(kind, labelled)).option("header", False)).csv(paths)
+
+
+def raw_files(spark: SparkSession, data_dir: str) -> list[str]:
+    """Top-level ``*.csv`` entries of a folder: files, or folders of part files
+    as Spark writes them.  Spark lists them; only names reach the driver."""
+    root = data_dir.rstrip("/")
+    found = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+             .select(F.regexp_extract("path", r"([^/]+\.csv)(?:/[^/]*)?$", 1).alias("name"))
+             .filter("name <> '' AND name NOT LIKE 'part-%'").distinct())
+    return [f"{root}/{r['name']}" for r in found.orderBy("name").collect()]
 
 
 def route_sources(spark: SparkSession, data_dir: str, tasks) -> DataFrame:
     """A1: every top-level ``*.csv`` of ``data_dir`` tagged with its task and
     kind.  ``tasks``: iterable of ``TaskSpec``.
 
-    Files are read once per task (schemas differ by kind) with a path glob;
-    the task and kind come from the file name.  Output schema:
-    ``task, kind, id, text_a, text_b, label``.
+    A name with the task's name in it belongs to the task; with ``_train`` it
+    is labelled, without it is test data.  A task without files has no rows.
+    Output schema: ``task, kind, id, text_a, text_b, label``.
     """
-    parts = []
+    files = raw_files(spark, data_dir)
+    out = spark.createDataFrame([], "task string, kind string, id bigint, text_a string, text_b string, label string")
     for t in tasks:
         for labelled in (True, False):
-            df = read_raw_tsv(spark, f"{data_dir.rstrip('/')}/*{t.name}*.csv", t.kind, labelled)
-            name = F.col("_metadata.file_name")
-            is_train = name.contains("_train")
-            df = df.filter(name.contains(t.name) & (is_train if labelled else ~is_train))
-            if "text_b" not in df.columns:
-                df = df.withColumn("text_b", F.lit(None).cast("string"))
-            if "label" not in df.columns:
-                df = df.withColumn("label", F.lit(None).cast("string"))
-            parts.append(df.select(F.lit(t.name).alias("task"),
-                                   F.lit("labelled" if labelled else "test").alias("kind"),
-                                   "id", "text_a", "text_b", "label"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            own = [f for f in files if t.name in f.rsplit("/", 1)[1] and ("_train" in f.rsplit("/", 1)[1]) == labelled]
+            if not own:
+                continue
+            df = read_raw_tsv(spark, own, t.kind, labelled)
+            for c in ("text_b", "label"):
+                if c not in df.columns:
+                    df = df.withColumn(c, F.lit(None).cast("string"))
+            out = out.unionByName(df.select(F.lit(t.name).alias("task"),
+                                            F.lit("labelled" if labelled else "test").alias("kind"),
+                                            "id", "text_a", "text_b", "label"))
     return out
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """Fails the query on a text that a TSV line cannot hold."""
+    bad = F.raise_error(F.lit("a text holds a tab or a line break; write Parquet instead")).cast("string")
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: F.when(F.col(c).rlike("[\t\n\r]"), bad).otherwise(F.col(c)) for c in texts})
+
+
+def write_raw_tsv(df: DataFrame, path: str) -> None:
+    """Headerless TSV as ``read_raw_tsv`` reads it."""
+    (_plain(df).write.option("sep", "\t").option("quote", "").option("escape", "").option("lineSep", "\n")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
 def write_splits(df: DataFrame, out_dir: str, fmt: str = "parquet") -> None:
     """A5: split tables partitioned by (task, split); Parquet by default,
-    header TSV on request (the text must not contain tabs or newlines then)."""
-    w = df.write.mode("overwrite").partitionBy("task", "split")
+    header TSV on request (a tab or line break in a text then fails the write)."""
     if fmt == "parquet":
-        w.parquet(out_dir)
+        df.write.mode("overwrite").partitionBy("task", "split").parquet(out_dir)
     elif fmt == "tsv":
-        w.option("sep", "\t").option("header", True).option("quote", "").option("escape", "").csv(out_dir)
+        (_plain(df).write.mode("overwrite").partitionBy("task", "split")
+         .option("sep", "\t").option("header", True).option("quote", "").option("escape", "").option("lineSep", "\n")
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out_dir))
     else:
         raise ValueError("fmt must be parquet or tsv")
 
 
 def read_split(spark: SparkSession, out_dir: str, task: str | None = None, split: str | None = None,
                fmt: str = "parquet", schema: T.StructType | None = None) -> DataFrame:
-    """A3: read split tables back; the (task, split) filters prune partitions."""
+    """A3: read split tables back; the (task, split) filters prune partitions.
+    Header TSV needs the ``schema`` it was written with and is read strictly."""
     if fmt == "parquet":
         df = spark.read.parquet(out_dir)
+    elif schema is None:
+        raise ValueError("header TSV is read with an explicit schema")
     else:
-        r = spark.read.option("sep", "\t").option("header", True).option("quote", "").option("escape", "")
-        df = (r.schema(schema) if schema is not None else r).csv(out_dir)
+        df = _strict(spark.read.schema(schema).option("header", True)).csv(out_dir)
     if task is not None:
         df = df.filter(F.col("task") == task)
     if split is not None:

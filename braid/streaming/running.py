@@ -2,8 +2,9 @@
 
 K1 keeps a running per-task confusion table as prediction rows arrive: a
 streaming aggregate (state per (task, split, label, prediction) cell) written
-in complete mode; every micro-batch overwrites the result table via
-``foreachBatch``.  Its final state equals the batch confusion (D8).
+in complete mode; every micro-batch overwrites the result tables via
+``foreachBatch``: the confusion, and accuracy and macro-F1 derived from it.
+The final state equals the batch confusion (D8) and metrics (D9, D10).
 
 K2 scores arriving vectors with a fitted linear head: a stateless
 stream-static projection (the head is a literal model, no join).
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import arrays as ar
+from ..operators import metrics as mt
 from ..session import ensure_checkpoint_dir
 
 
@@ -38,25 +40,39 @@ def running_confusion(stream: DataFrame, keys=("task", "split")) -> DataFrame:
             .groupBy(*keys, "label_idx", "pred_idx").agg(F.count(F.lit(1)).cast("bigint").alias("n")))
 
 
+def confusion_metrics(conf: DataFrame, keys=("task", "split")) -> DataFrame:
+    """D9/D10 from a confusion table: ``accuracy``, ``macro_f1`` and ``n`` per key."""
+    keys = list(keys)
+    n = F.sum("n")
+    acc = conf.groupBy(*keys).agg(
+        (F.sum(F.when(F.col("label_idx") == F.col("pred_idx"), F.col("n")).otherwise(0)) / n).alias("accuracy"),
+        n.cast("bigint").alias("n"))
+    f1 = mt.per_class(conf, keys).groupBy(*keys).agg(F.avg("f1").alias("macro_f1"))
+    return acc.join(f1, keys)
+
+
+def _files(reader, files_per_trigger: int | None):
+    """A file stream that takes all new files per trigger, or so many."""
+    return reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)
+
+
 def run_running_confusion(spark: SparkSession, source_dir: str, schema, out_dir: str, ckpt_dir: str,
-                          files_per_trigger: int = 1) -> None:
+                          files_per_trigger: int | None = None, metrics_dir: str | None = None) -> None:
     """Drive K1 over ``source_dir`` until all files are processed."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(source_dir)
+    # The state has one row per confusion cell (tasks x classes^2), so it needs
+    # few state partitions; they are set on a session of the query's own.
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    stream = _files(own.readStream.schema(schema), files_per_trigger).parquet(source_dir)
 
     def sink(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(out_dir)
+        if metrics_dir:
+            done = batch.sparkSession.read.schema(batch.schema).parquet(out_dir)
+            confusion_metrics(done).write.mode("overwrite").parquet(metrics_dir)
 
-    # The state has one row per confusion cell (tasks x classes^2), so it needs
-    # few state partitions; the count is fixed when the query first starts
-    # (and kept in its checkpoint), so set it for the start only.
-    conf = spark.conf
-    old = conf.get("spark.sql.shuffle.partitions")
-    conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
-    try:
-        q = (running_confusion(stream).writeStream.outputMode("complete").foreachBatch(sink)
-             .option("checkpointLocation", ckpt_dir).trigger(availableNow=True).start())
-    finally:
-        conf.set("spark.sql.shuffle.partitions", old)
+    q = (running_confusion(stream).writeStream.outputMode("complete").foreachBatch(sink)
+         .option("checkpointLocation", ckpt_dir).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
@@ -65,8 +81,9 @@ def score_stream(stream: DataFrame, model) -> DataFrame:
     return stream.select("vec_id", ar.argmax(model.logits("embedding")).cast("bigint").alias("pred_idx"))
 
 
-def run_score_stream(spark: SparkSession, source_dir: str, schema, model, out_dir: str, ckpt_dir: str) -> None:
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source_dir)
+def run_score_stream(spark: SparkSession, source_dir: str, schema, model, out_dir: str, ckpt_dir: str,
+                     files_per_trigger: int | None = None) -> None:
+    stream = _files(spark.readStream.schema(schema), files_per_trigger).parquet(source_dir)
     q = (score_stream(stream, model).writeStream.format("parquet").outputMode("append")
          .option("path", out_dir).option("checkpointLocation", ckpt_dir)
          .trigger(availableNow=True).start())

@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from braid.operators.common import checked_broadcast, order_key
-from braid.plans.ranking import hex_bucket, range_bucket, two_stage_rank
+from braid.plans.ranking import hex_bucket, quantile_bucket, two_stage_rank
 
 
 def test_two_stage_rank_equals_window(spark):
@@ -19,16 +19,32 @@ def test_two_stage_rank_equals_window(spark):
 
 def test_two_stage_rank_by_id_range(spark):
     df = spark.createDataFrame([("t", i * 7 + 3) for i in range(500)], "grp string, id bigint")
-    got = two_stage_rank(df, ["grp"], ["id"], range_bucket(df, "id", 16), "r")
+    got = two_stage_rank(quantile_bucket(df, ["grp"], "id"), ["grp"], ["id"], out="r")
     assert [r["r"] for r in got.orderBy("id").collect()] == list(range(1, 501))
 
 
-def test_checked_broadcast_falls_back(spark):
-    small = spark.range(10)
-    big = spark.range(100)
-    assert "ResolvedHint" in small.join(checked_broadcast(small, 100), "id")._jdf.queryExecution().analyzed().toString() \
-        or small.join(checked_broadcast(small, 100), "id").count() == 10
-    # Above the row limit the table is returned without a broadcast hint.
-    plan = big.join(checked_broadcast(big, 5), "id")._jdf.queryExecution().analyzed().toString()
-    assert "broadcast" not in plan.lower()
-    assert big.join(checked_broadcast(big, 5), "id").count() == 100
+def test_quantile_buckets_stay_even(spark):
+    # One outlier id, and a group whose ids are of another scale.
+    rows = [("a", i) for i in range(4000)] + [("a", 10 ** 15)] + [("b", 10 ** 12 + 1000 * i) for i in range(800)]
+    df = spark.createDataFrame(rows, "grp string, id bigint")
+    b = quantile_bucket(df, ["grp"], "id", rows_per_bucket=100)
+    sizes = {}
+    for r in b.groupBy("grp", "_bkt").count().collect():
+        sizes.setdefault(r["grp"], []).append(r["count"])
+    assert all(max(s) <= 2 * sum(s) / len(s) for s in sizes.values())
+    ranked = two_stage_rank(b, ["grp"], ["id"], out="r").orderBy("grp", "id").collect()
+    assert [r["r"] for r in ranked] == [*range(1, 4002), *range(1, 801)]
+
+
+def _hinted(df):
+    return "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+
+
+def test_checked_broadcast_checks_rows_and_bytes(spark):
+    small = spark.range(100).withColumn("s", F.repeat(F.lit("x"), 1000))
+    assert _hinted(checked_broadcast(small))
+    assert not _hinted(checked_broadcast(small, max_rows=5))
+    assert not _hinted(checked_broadcast(small, max_bytes=50_000))
+    for limit in (5, 1000):
+        assert spark.range(100).join(checked_broadcast(small, max_rows=limit), "id").count() == 100
+    assert not spark.sparkContext._jsc.getPersistentRDDs()

@@ -26,5 +26,13 @@ def test_registry_names_and_errors():
     assert registry.names("loss") == ["cross_entropy", "dice_loss", "focal_loss"]
     assert set(registry.names("strategy")) == {"none", "dwa", "dtp", "uw"}
     assert set(registry.names("adversarial")) == {"fgm", "pgd", "freelb"}
+    assert registry.names("head") == ["linear", "majority", "nb"]
     with pytest.raises(ValueError):
         registry.get("loss", "hinge")
+
+
+def test_dispatch_by_task(spark):
+    rows = spark.createDataFrame([("a", 1, [0.0, 2.0]), ("b", 2, [0.0, 2.0])], "task string, id bigint, logits array<double>")
+    prior = spark.createDataFrame([("a", [-1.0, -2.0]), ("b", [-1.0, -2.0])], "task string, log_prior array<double>")
+    got = registry.dispatch(rows, {"a": "nb", "b": "majority"}, prior=prior).collect()
+    assert {r["task"]: r["pred_idx"] for r in got} == {"a": 1, "b": 0}
