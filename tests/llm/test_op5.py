@@ -1,0 +1,80 @@
+"""Secret scans: candidates by regular expressions, held-out findings, exact redaction."""
+
+import hashlib
+import re
+
+from braid.llm import secret_scan as ss
+from braid.llm.queries import op5_secret_scan
+
+SF = "/root/testdata/sf0.1"
+SCHEMA = "doc_id long, source string, text string, n_chars long, digest string, start int"
+
+
+def runs(text):
+    """(start, end) in code points of every candidate."""
+    return [m.span() for m in re.finditer(r"[A-Za-z0-9_+/-]+", text or "")
+            if len(m[0]) >= ss.LONG or len(m[0]) >= ss.LEAST and re.search("[0-9]", m[0])]
+
+
+def test_candidates_and_dictionary(spark, monkeypatch):
+    monkeypatch.setattr(ss, "CHUNK", 500)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    words = {}
+    for r in rows:
+        for w in re.findall(r"(?<![A-Za-z])[A-Za-z]{3,4}(?![A-Za-z])", r.text or ""):
+            words[w.lower()] = words.get(w.lower(), 0) + 1
+    got = ss.dictionary(docs, 50)
+    least = min(words[w] for w in got)
+    assert len(got) == 50 and all(n <= least or w in got for w, n in words.items())
+    found = ss.candidates(docs, got).collect()
+    assert sorted((r.doc_id, r.start, r.end) for r in found) == sorted(
+        (r.doc_id, a, b) for r in rows for a, b in runs(r.text))
+    text = {r.doc_id: r.text for r in rows}
+    assert all(text[r.doc_id][r.start:r.end] == r.value
+               and r.digest == hashlib.md5(text[r.doc_id].encode()).hexdigest() for r in found)
+
+
+def test_held_out_findings(spark):
+    """Trained on half of the findings, the forest judges the other half."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = ss.stored(ss.candidates(docs, ss.dictionary(docs)))
+    half = "pmod(xxhash64(value), 2) = {}"
+    rest = ss.judge(found.filter(half.format(1)), ss.train(found.filter(half.format(0)))).collect()
+    positives = [r for r in rest if r.label == 1]
+    assert len(positives) > 50 and len(rest) - len(positives) > 100
+    right = sum((r.score > 0.5) == (r.label == 1) for r in rest)
+    assert right / len(rest) > 0.98
+
+
+def test_query(spark):
+    """All strings assigned to a secret's name are found, and little else."""
+    rows = {(r.doc_id, r.start, r.end): r for r in op5_secret_scan(spark, SF).collect()}
+    want = {}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        for m in re.finditer(r"(?i)token = \"([0-9a-f]{40})\"|password=([0-9a-f]{18})", d.text or ""):
+            k = 1 if m[1] else 2
+            want[d.doc_id, m.start(k), m.end(k)] = hashlib.sha256(m[k].encode()).hexdigest()
+    assert all(rows[k].value_sha256 == v for k, v in want.items() if k in rows)
+    assert len(want.keys() & rows.keys()) >= 0.98 * len(want) and len(rows) <= 1.02 * len(want)
+
+
+def test_edges(spark):
+    secret = "0a1b2c3d4e5f60718293a4b5c6d7e8f901234567"
+    long = "wörd " * 40_000 + f'token = "{secret}" ' + "end " * 10
+    rows = [(1, "s", f'é token = "{secret}" and password={secret[:18]}.', 5, "d", 1), (2, None, None, 0, "d", 1),
+            (3, "s", "", 0, "d", 1), (4, None, long, 1, "d", 1), (None, "s", f'token="{secret}"', 1, "d", 1),
+            (1, "s", f'é token = "{secret}" and password={secret[:18]}.', 5, "d", 1), (1, "s", "other text 4929963689861572", 5, "d", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = ss.stored(ss.candidates(df, ["and"]))
+    assert ss.train(found.filter("label = 1")) is None and ss.train(found.limit(0)) is None
+    judged = ss.judge(found, None).filter("score > 0.5")
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.value) for r in judged.collect()) == sorted(
+        [(False, 1, secret), (False, 1, secret[:18])] * 2 + [(False, 4, secret), (True, 0, secret)])
+    red = {(r.doc_id, r.n_chars, r.text) for r in ss.redact(df, judged).collect()}
+    one = f'é token = "{ss.MASK}" and password={ss.MASK}.'
+    assert red == {(1, len(one), one), (2, 0, None), (3, 0, ""), (1, 5, "other text 4929963689861572"),
+                   (None, len(f'token="{ss.MASK}"'), f'token="{ss.MASK}"'),
+                   (4, len(long) - len(secret) + len(ss.MASK), long.replace(secret, ss.MASK))}
+    assert ss.redact(df, judged).columns == df.columns and ss.redact(df, judged).count() == len(rows)
+    assert ss.scan(df.limit(0)).count() == 0 and ss.redact(df.limit(0), judged).count() == 0
