@@ -35,9 +35,9 @@ SAMPLE_ROWS, LEAST_PER_LANGUAGE = 3000, 50
 BUCKETS = 4096
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.05, 5
 MOST_EXHAUSTIVE, RANDOM_BITS = 7, 40
-AMBIGUOUS = 0.1
+AMBIGUOUS = 0.02
 UNKNOWN = "und"
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 # Bytes as read: small letters for capitals, one mark for all that is no letter
 # in ASCII; bytes of other characters stay.
@@ -198,7 +198,7 @@ def _identifier(model: Model | None, names: list[str]):
             for k, t in enumerate(texts):
                 part.append(t.as_py() or b"")
                 size += len(part[-1])
-                if size > CHUNK or len(part) == 1024 or k + 1 == b.num_rows:
+                if size > CHUNK or len(part) == 256 or k + 1 == b.num_rows:
                     for o, x in zip(out, predict(part), strict=True):
                         o.extend(x)
                     part, size = [], 0

@@ -90,7 +90,7 @@ class Shard:
         self.buf = np.frombuffer(decompress(row.data, int(self.offs[-1])), np.uint8)
         self.rids = (self.number << ROW_BITS) + np.arange(len(self.ids), dtype=np.int64)
 
-    def parts(self, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def parts(self, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first, last text, bytes, offsets) in runs of about ``limit`` bytes."""
         a = 0
         while a < len(self.ids):
