@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, small_side, stored
-from .shards import LEAST_BUCKETS, ask, bucket_edges, each_shard, pack, squeeze, unsqueeze, with_answers
+from .shards import LEAST_BUCKETS, ask, bucket_runs, each_shard, pack, placed, squeeze, unsqueeze, with_answers
 from .textkernel import distinct_sorted, shingles
 
 # Rounds of pivot comparisons before the rest of the pairs is verified.
@@ -67,13 +67,10 @@ def _shared_ngrams(shards: DataFrame, words: int) -> DataFrame:
     def question(shard, _):
         h, _ = _sets(shard, words)
         u, count = np.unique(h, return_counts=True)
-        edge = bucket_edges(u, buckets)
-        out = []
-        for b in range(buckets):
-            lo, hi = edge[b], edge[b + 1]
-            if lo < hi:
-                out.append((b, shard.number, int(hi - lo), squeeze(u[lo:hi] >> np.uint64(32)),
-                            np.packbits(count[lo:hi] > 1).tobytes()))
+        here, edge = bucket_runs(u, buckets)
+        out = [(b, shard.number, int(hi - lo), squeeze(u[lo:hi] >> np.uint64(32)),
+                np.packbits(count[lo:hi] > 1).tobytes())
+               for b, lo, hi in zip(here.tolist(), edge[:-1], edge[1:], strict=True)]
         if out:
             yield pd.DataFrame(out, columns=["bucket", "shard", "n", "keys", "many"])
 
@@ -101,11 +98,7 @@ def _ngram_sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     def keep(shard, row):
         h, at = _sets(shard, words)
         u, inverse = np.unique(h, return_inverse=True)
-        edge = bucket_edges(u, buckets)
-        shared = np.zeros(len(u), bool)
-        for x in row.answers if row.answers is not None else ():
-            lo, hi = edge[x["bucket"]], edge[x["bucket"] + 1]
-            shared[lo:hi] = np.unpackbits(np.frombuffer(x["answer"], np.uint8), count=hi - lo)
+        shared = placed(u, buckets, row.answers)
         total = np.concatenate([[0], np.cumsum(shared[inverse])])
         n, s = np.diff(at), total[at[1:]] - total[at[:-1]]
         may = (n > 0) & (100 * s >= percent * n)

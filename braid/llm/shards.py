@@ -6,6 +6,8 @@ them in rows of (bucket, shard, payload), one per bucket of item hashes; the
 task of a bucket sees all shards' payloads of its hash range and answers in
 rows of (shard, bucket, answer).  Shuffled rows are large and few, items cost a
 few bytes each, and an item that many documents share is sent once per shard.
+A bucket holds about as many items as a shard, or a fixed part of it, however
+large the table is.
 """
 
 from __future__ import annotations
@@ -126,6 +128,22 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def bucket_edges(sorted_h: np.ndarray, buckets: int) -> np.ndarray:
-    """First index of every bucket in sorted hashes, and the length."""
-    return np.searchsorted(bucket_of(sorted_h, buckets), np.arange(buckets + 1))
+def bucket_runs(sorted_h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets that sorted hashes lie in, and the first index of each (one
+    more entry: the length).  Empty buckets cost nothing."""
+    if not len(sorted_h):
+        return np.empty(0, np.int64), np.zeros(1, np.int64)
+    of = bucket_of(sorted_h, buckets)
+    first = np.flatnonzero(np.diff(of, prepend=of[0] - 1))
+    return of[first], np.append(first, len(of))
+
+
+def placed(sorted_h: np.ndarray, buckets: int, answers) -> np.ndarray:
+    """Bits of the answers (rows of bucket and packed bits, or None) in the order of the hashes."""
+    out = np.zeros(len(sorted_h), bool)
+    here, edge = bucket_runs(sorted_h, buckets)
+    for x in answers if answers is not None else ():
+        k = np.searchsorted(here, x["bucket"])
+        lo, hi = edge[k], edge[k + 1]
+        out[lo:hi] = np.unpackbits(np.frombuffer(x["answer"], np.uint8), count=hi - lo)
+    return out
