@@ -175,7 +175,7 @@ def with_next(docs: DataFrame, fn: Callable[[list, list[str]], pa.RecordBatch],
     dealt = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         deal, "block long, tail boolean, doc_id long, text string")
     order = ["block", "tail", F.col("doc_id").asc_nulls_last(), "text"]
-    return dealt.repartition("block").sortWithinPartitions(*order).mapInArrow(run, schema)
+    return dealt.repartition(blocks, "block").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
