@@ -38,7 +38,12 @@ class Prepared:
             "task", "label", (F.row_number().over(w) - 1).cast("int").alias("label_idx")))
         splits, self.plan, self.quota = sp.split_examples(
             self.examples, batch_size, min_pct, seed, lcounts=self.label_counts, keep=keep, keys=self.keys)
-        self.splits = mat(splits, ("task", "split")) if materialize else splits
+        if materialize:
+            from ..sources.tables import read_table
+            from .stages import spread
+            splits = mat(spread(splits, *(read_table(spark, sf_dir, t).select(c) for t, c in (
+                ("documents", "doc_id"), ("conversations", "conv_id")))), ("task", "split"))
+        self.splits = splits
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> Prepared:

@@ -15,9 +15,9 @@ class Robust:
     def __init__(self, spark, sf_dir):
         v = vecs(spark, sf_dir)
         self.model = centroid_model(v)
-        from .stages import materialize
-        self.rows = materialize(v.select("vec_id", F.col("embedding").alias("x"),
-                                         self.model.label_index("label").alias("y_idx")))
+        from .stages import materialize, spread
+        rows = v.select("vec_id", F.col("embedding").alias("x"), self.model.label_index("label").alias("y_idx"))
+        self.rows = materialize(spread(rows, v.select("vec_id")))
 
     @classmethod
     def get(cls, spark, sf_dir) -> Robust:

@@ -44,6 +44,14 @@ def materialize(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def spread(df: DataFrame, *scans: DataFrame) -> DataFrame:
+    """``df`` dealt out over all task slots if each of the plain table ``scans``
+    it comes from has fewer partitions than that (one small file); an input
+    with more partitions is left as it is, without a shuffle."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df if any(s.rdd.getNumPartitions() >= slots for s in scans) else df.repartition(slots)
+
+
 def clear() -> None:
     """Forget memoised stages (the bench measures every stage from scratch)."""
     _MEMO.clear()

@@ -15,8 +15,8 @@ from .prepare import Prepared
 class NBScores:
     """Logits of the per-task NB heads for every split row of ``p``.
 
-    Model, priors and logits are materialised; the token counts inside each
-    row are computed where they are used, without an exchange of tokens.
+    The token counts inside each row (``occ``), model, priors and logits are
+    materialised; fitting, scoring and the growing heads of the training log read the counts.
     """
 
     def __init__(self, p: Prepared, materialize: bool = True):
@@ -26,11 +26,12 @@ class NBScores:
         tok = p.tokens()
         self.rows = tok.select("task", "split", "id", "label_idx")
         self.max_classes = self._max_classes()
-        train = hd.occurrences(tok.filter(F.col("split") == "train"))
+        self.occ = keep(hd.occurrences(tok))
+        train = self.occ.filter(F.col("split") == "train")
         model, prior = hd.fit_nb(train, self.rows.filter(F.col("split") == "train"), p.label_dim,
                                  self.max_classes)
         self.model, self.prior = keep(model), keep(prior)
-        self.logits = keep(hd.nb_score(self.rows, hd.occurrences(tok), self.model, self.prior, self.max_classes))
+        self.logits = keep(hd.nb_score(self.rows, self.occ, self.model, self.prior, self.max_classes))
 
     @classmethod
     def get(cls, p: Prepared) -> NBScores:

@@ -107,17 +107,21 @@ class Training:
     def _build_dev_eval(self) -> DataFrame:
         every, per_epoch = self.periods()
         n, c = per_epoch * self.n_epochs, self.nb.max_classes
-        tok = self.p.tokens()
-        train = tok.filter(F.col("split") == "train")
+        rows, occ = self.nb.rows, self.nb.occ
+        train = rows.filter(F.col("split") == "train")
         # Steps behind an epoch's last evaluation are first evaluated in the next epoch.
         period = (F.col("epoch") - 1) * per_epoch + F.least(F.ceil(F.col("step") / every), F.lit(per_epoch + 1))
-        seen = self._keep(self.steps_of(train.select("task", "split", "id", "label_idx")).groupBy(
+        seen = self._keep(self.steps_of(train).groupBy(
             "task", "split", "id", "label_idx").agg(F.collect_list(period.cast("int")).alias("seen")))
-        counts = hd.occurrences(train).join(seen.select("task", "split", "id", "seen"), ["task", "split", "id"])
-        model, prior = hd.fit_nb_periods(counts, seen, self.p.label_dim, c, n)
+        counts = (occ.filter(F.col("split") == "train")
+                  .join(seen.select("task", "split", "id", "seen"), ["task", "split", "id"]))
+        is_dev = F.col("split") == "dev"
+        # Sorted, so that rows seen in the same periods are one group.
+        counts = counts.withColumn("seen", F.array_sort("seen"))
+        model, prior = hd.fit_nb_periods(counts, seen, self.p.label_dim, c, n,
+                                         occ.filter(is_dev).select("task", "token").distinct())
         model, prior = self._keep(model), self._keep(prior)
-        dev = tok.filter(F.col("split") == "dev")
-        scored = hd.nb_score(dev, hd.occurrences(dev), model, prior, n * c)
+        scored = hd.nb_score(rows.filter(is_dev), occ.filter(is_dev), model, prior, n * c)
         classes = self.p.label_dim.groupBy("task").agg(F.count(F.lit(1)).cast("int").alias("n_cls"))
         at = F.explode(F.sequence(F.lit(1), F.lit(n)))
         each = (scored.join(F.broadcast(classes), "task").withColumn("period", at)
