@@ -24,13 +24,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_for, stored
+from .common import stored
 
 # A word: a run of anything but space and the control characters from tab to carriage return.
 WORD = "[^\\x20\\x09-\\x0D]+"
 SEED = "mix-1"
 MAX_REPEATS = 3
-ROWS_PER_PIECE = 4096
+ROWS_PER_PIECE = 512
+# Ranges of the finish time per level, and packets of one range that are ranked at once.
+RANGES, RANKED_ROWS = 1024, 4096
 
 
 def word_count(text: Column) -> Column:
@@ -70,6 +72,31 @@ def targets(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
             .drop("_level", "_limited", "_rank"))
 
 
+def _cut(packets: DataFrame, budget: int) -> DataFrame:
+    """The packets that fit the budget in the order of finish time (then source, row, round).
+
+    Sizes are summed over ranges of the finish time.  The range in which the
+    budget ends is cut into ranges again, until few packets are left to rank.
+    """
+    base, scale, room, left, taken = 0.0, float(RANGES), budget, packets, packets.limit(0)
+    while True:
+        slot = F.floor((F.least(F.col("vft"), F.lit(8.0)) - F.lit(base)) * F.lit(scale))
+        sums = left.groupBy(slot.alias("slot")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+        to = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)  # at most 8 * RANGES rows
+        cut = (sums.withColumn("run", F.sum("size").over(to)).filter(F.col("run") > room)
+               .orderBy("slot").limit(1).collect())
+        if not cut:
+            return taken.unionByName(left)
+        edge = cut[0]["slot"]
+        taken, left = taken.unionByName(left.filter(slot < edge)), left.filter(slot == edge)
+        room -= cut[0]["run"] - cut[0]["size"]
+        if cut[0]["n"] <= RANKED_ROWS or scale > 1e13:
+            break
+        base, scale = base + edge / scale, scale * RANGES
+    run = F.sum("size").over(Window.orderBy("vft", "s", "row", "round").rowsBetween(Window.unboundedPreceding, 0))
+    return taken.unionByName(left.withColumn("run", run).filter(F.col("run") <= room).drop("run"))
+
+
 def mix(docs: DataFrame, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
     """``docs``: ``doc_id``, ``source``, ``size``.  Returns one row per document:
     ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``rounds``
@@ -99,21 +126,8 @@ def mix(docs: DataFrame, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> Da
     packets = (queue.filter("size > 0").select("row", "size", "source_size", "target", "before", "done",
                                                "s", rounds.alias("round"))
                .withColumn("vft", sent / F.col("target")))
-    # Everything that ends well before time 1 is in and everything well after
-    # is out; the exact cut is the running sum over ranges of the finish time.
-    per_range = blocks_for(n * max_repeats, ROWS_PER_PIECE)
-    packets = stored(packets.select("row", "s", "round", "size", "vft",
-                                    F.floor(F.least(F.col("vft"), F.lit(1e6)) * per_range).alias("slot")))
-    slots = packets.groupBy("slot").agg(F.sum("size").alias("slot_size"))
-    cut = (slots.withColumn("before", F.coalesce(F.sum("slot_size").over(
-        Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .filter(F.col("before") + F.col("slot_size") > budget).orderBy("slot").limit(1).collect())
-    taken = packets
-    if cut:
-        edge, room = cut[0]["slot"], budget - cut[0]["before"]
-        run = F.sum("size").over(Window.orderBy("vft", "s", "row", "round").rowsBetween(Window.unboundedPreceding, 0))
-        last = packets.filter(F.col("slot") == edge).withColumn("run", run).filter(F.col("run") <= room).drop("run")
-        taken = packets.filter(F.col("slot") < edge).unionByName(last)
+    packets = stored(packets.select("row", "s", "round", "size", "vft"))
+    taken = _cut(packets, budget)
     got = taken.groupBy("row").agg(F.count(F.lit(1)).alias("rounds"))
     return (queue.join(got, "row", "left")
             .withColumn("rounds", F.coalesce("rounds", F.lit(0)).cast("long"))

@@ -49,6 +49,8 @@ def brute(rows):
 @pytest.mark.parametrize("seed", range(3))
 def test_random(spark, monkeypatch, seed):
     monkeypatch.setattr(mixing, "ROWS_PER_PIECE", 8)
+    monkeypatch.setattr(mixing, "RANGES", 4)
+    monkeypatch.setattr(mixing, "RANKED_ROWS", 5)
     g = random.Random(seed)
     rows = [(i, g.choice(["a", "a", "a", "b", "é", "Z", None, "a\u0000", ""]), g.choice([0, 1, 5, 40, 900])) for i in range(400)]
     df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, source string, size long, row int, key string")
