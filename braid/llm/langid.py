@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 SAMPLE_ROWS, LEAST_PER_LANGUAGE = 3000, 50
 BUCKETS = 4096
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.05, 5
@@ -159,7 +161,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_ROWS) -> Model | None:
                         if has_letters(r[0])), key=lambda r: (r[1], r[0]))
         model = train([t for t, _ in found], [x for _, x in found])
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model and vars(model))]})
-    row = rows.filter(place < limit).select("text", "lang").repartition(1).mapInArrow(run, "model binary").first()
+    row = rows.filter(place < limit).select("text", "lang").repartition(1).mapInArrow(tidy(run), "model binary").first()
     state = pickle.loads(bytes(row.model)) if row else None
     if not state:
         return None
@@ -173,7 +175,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     (replacing columns of these names)."""
     docs = docs.drop("lang_pred", "score", "ambiguous")
     names = [f.name for f in docs.schema.fields]
-    return docs.mapInArrow(_identifier(model, names), _schema(docs))
+    return docs.mapInArrow(tidy(_identifier(model, names)), _schema(docs))
 
 
 def _schema(docs: DataFrame):

@@ -36,7 +36,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, small_side, stored
+from .common import row_key, small_side, stored, tidy
 
 LEAST, LONG = 8, 24
 SAMPLE = 8000
@@ -104,7 +104,7 @@ def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:
                 total += np.bincount(code, minlength=27 ** 4)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"code": some, "n": total[some]})
-    counts = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(tidy(run), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     best = counts.orderBy(F.col("n").desc(), "code").limit(words).collect()
 
     def word(code: int) -> str:
@@ -177,7 +177,7 @@ def candidates(docs: DataFrame, known_words: list[str]) -> DataFrame:
                         o.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=names)
     return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), "text").mapInArrow(
-        run, "doc_id long, digest string, start long, end long, value string, label double, features array<double>")
+        tidy(run), "doc_id long, digest string, start long, end long, value string, label double, features array<double>")
 
 
 def train(found: DataFrame, sample: int = SAMPLE) -> RandomForestClassificationModel | None:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, tidy
 
 SHARD_BYTES = 4 << 20
 SHARD_ROWS = 1 << 16
@@ -58,7 +58,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
                 size += len(t)
         if texts:
             yield row()
-    return stored(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SCHEMA))
+    return stored(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(tidy(run), SCHEMA))
 
 
 def compress(data: bytes) -> bytes:
@@ -110,7 +110,7 @@ def each_shard(fn, schema: str):
         for f in frames:
             for row in f.itertuples(index=False):
                 yield from fn(Shard(row), row)
-    return run
+    return tidy(run)
 
 
 def ask(shards: DataFrame, fn, schema: str) -> DataFrame:
