@@ -265,8 +265,9 @@ def ngram_join(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
           .join(comp.select(F.col("v").alias("rep"), "label"), "rep", "left")
           .select("rid", "doc_id", F.coalesce("label", "rep").alias("label")))
     of = stored(of)
-    least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    comp_of = of.select("rid", "label").join(least, "label").select("rid", "label", "component_id")
+    least = stored(of.groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    # Broadcast while small, so the members of a large component need not meet.
+    comp_of = of.select("rid", "label").join(small_side(least), "label").select("rid", "label", "component_id")
     return (rows.select("rid", "doc_id", "n", "digest").join(comp_of, "rid", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
                     F.coalesce("label", "rid").alias("component"), "digest"))
