@@ -33,9 +33,17 @@ def _give_back() -> None:
         trim(0)
 
 
-def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A mapInArrow or mapInPandas function that leaves its worker small."""
+# What operators keep in a worker between tasks: name, and how to drop it.
+kept: dict[str, Callable[[], None]] = {}
+
+
+def tidy(run: Callable[[Iterator], Iterator], own: str = "") -> Callable[[Iterator], Iterator]:
+    """A mapInArrow or mapInPandas function that leaves its worker small and
+    drops what other operators (not ``own``) have kept there."""
     def wrapped(batches: Iterator) -> Iterator:
+        for name, drop in kept.items():
+            if name != own:
+                drop()
         try:
             yield from run(batches)
         finally:

@@ -30,14 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import blocks_for, tidy
+from .common import blocks_for, kept, tidy
 from .textkernel import LOWER, prefix_hash, span_hash, words
 
 CAPACITY = 4096
 END_ID = 2
 DOCS_PER_GROUP = 2048
 # Entries of a worker's word tables (about 30 bytes each); a full table is emptied.
-MOST_WORDS, RECENT_WORDS = 700_000, 40_000
+MOST_WORDS, RECENT_WORDS = 400_000, 30_000
 ENCODE_AT_ONCE = 4096
 CHUNK = 1 << 18
 # Bytes that texts are split at, and ASCII marks but the apostrophe, which can belong to a word's token.
@@ -46,6 +46,7 @@ BREAKS[[0x20, 0x0A]] = True
 MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _encoders: dict[str, Encoder] = {}
+kept["packing"] = _encoders.clear
 
 
 class _IdTable:
@@ -199,7 +200,7 @@ def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
             if texts:
                 yield pieces(encoder, doc_ids, texts)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        tidy(run), "doc_id long, start long, length long, doc_tokens long, ids binary")
+        tidy(run, "packing"), "doc_id long, start long, length long, doc_tokens long, ids binary")
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

@@ -24,18 +24,27 @@ from pyspark.sql import functions as F
 from braid.llm import langid, mixing, ngram_join, packing, secret_scan
 from braid.llm.common import read_table, row_key, ship_package, small_side, stored
 
+# Rows of whole texts and packed shards are large: so many bytes at a time between Spark and its
+# Python workers, on top of the usual number of rows.
+ARROW_BYTES = 4 << 20
 # Five-word shingles and a similarity of 0.8.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Settings the stages run under."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepare(spark)
     told = langid.identify(docs, langid.fit(docs))
     return told.filter(~F.col("ambiguous")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     joined = stored(ngram_join.ngram_join(docs, NEAR_WORDS, NEAR_PERCENT).select(
         "component", F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest").alias("row")))
     groups = joined.groupBy("component").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -51,7 +60,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return secret_scan.redact(docs, secret_scan.scan(docs))
 
 
@@ -70,7 +79,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return packing.pack(packing.tokenise(docs), docs.count())
 
 
