@@ -13,9 +13,12 @@ with other container names, and with notices, forms, adverts, sidebars and
 comments made of other pages' paragraphs, so the labels do not hang on one
 template.  Prediction sees no label and reads every page whole.
 
-Defined results.  Null or empty html: empty text.  Comments, scripts, styles
-and the head hold no blocks.  An unclosed comment, script or tag runs to the end
-of the page.  Equal html, equal text.  Repeated rows stay.  Extra columns are
+Defined results.  Null or empty html: empty text.  Comments, scripts, styles,
+titles, text areas, frames, templates, objects and drawings hold no blocks.  The
+head ends where its last possible child does, closed or not.  An unclosed comment,
+script, style or tag runs to the end of the page; any other of these elements that
+is self-closed or never closed hides nothing, and an open drawing ends at the first
+HTML element that cannot be part of it.  Equal html, equal text.  Repeated rows stay.  Extra columns are
 ignored; the empty table gives an empty result.
 """
 
@@ -47,17 +50,25 @@ BLOCK_TAGS = set("""address article aside blockquote body button caption center
     optgroup option p pre section select summary table tbody td tfoot th thead tr ul""".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID_TAGS = set("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_TAGS = "script style head title noscript template textarea iframe svg math object"
+# Their content is raw text up to their end tag; the first two run to the end of the page without one.
+RAW_TAGS = "script style title textarea iframe noscript".split()
+HIDDEN_TAGS = {"template", "object"}  # these nest
+FOREIGN_TAGS = {"svg", "math"}
+# What ends an open drawing or formula, as browsers do; none of these is an element of theirs.
+BREAKOUT_TAGS = BLOCK_TAGS | set("""b big br code em embed head i img listing meta nobr ruby s small span strong
+    strike sub sup tt u var""".split())
 CONTENT = ("article", "main", "content", "post", "entry", "story", "body-text")
 CLUTTER = ("nav", "header", "footer", "aside", "form", "menu", "sidebar", "notice", "ad", "ads", "advert", "cookie",
            "banner", "comment", "comments", "related", "share", "promo", "newsletter", "breadcrumb", "popup",
            "subscribe", "widget", "sponsored", "consent", "reply", "login", "search", "button", "select", "label")
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<skip>" + "|".join(SKIPPED_TAGS.split())
-    + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=skip)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
-    re.S | re.I)
+    re.S)
+# The next end tag of a raw element; of all but scripts and styles, or the next start tag, which it cannot hold.
+_RAW_END = {t: re.compile(rf"<(?P<end>/{'' if t in RAW_TAGS[:2] else '?'}){t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW_TAGS}
+_UNQUOTED = re.compile(r"=\s*[^\s\"'=]*/\Z")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
@@ -68,6 +79,39 @@ def _element(tag: str, attrs: str) -> tuple[str, ...]:
     return (tag, *filter(None, _SPLIT.split(names)))
 
 
+def _self_closed(attrs: str) -> bool:
+    """Ends with a slash that is no part of an unquoted value."""
+    return attrs.endswith("/") and not _UNQUOTED.search(attrs)
+
+
+def _tokens(page: str) -> list[tuple[re.Match, str, int]]:
+    """(tag or comment, small name, place behind it and the raw text it opens) in order."""
+    out, at = [], 0
+    while m := _TOKEN.search(page, at):
+        tag, at = (m["tag"] or "").lower(), m.end()
+        if tag in _RAW_END and not m["end"] and not _self_closed(m["attrs"]):
+            stop = _RAW_END[tag].search(page, at)
+            if stop and stop["end"]:
+                at = stop.end()
+            elif tag in RAW_TAGS[:2]:
+                at = len(page)
+        out.append((m, tag, at))
+    return out
+
+
+def _hidden(tokens: list[tuple[re.Match, str, int]]) -> dict[int, int]:
+    """Start tag → end tag of every closed element of ``HIDDEN_TAGS``, as places in ``tokens``."""
+    out, opened = {}, {t: [] for t in HIDDEN_TAGS}
+    for k, (m, tag, _) in enumerate(tokens):
+        if tag in HIDDEN_TAGS:
+            if not m["end"]:
+                if not _self_closed(m["attrs"]):
+                    opened[tag].append(k)
+            elif opened[tag]:
+                out[opened[tag].pop()] = k
+    return out
+
+
 def blocks(page: str) -> list[tuple[tuple, str, int]]:
     """(tag path, text, characters inside links) of every leaf block, in order;
     character references decoded, white space runs turned into one space."""
@@ -91,13 +135,34 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
             parts.append(text)
             if any(t == "a" for _, t in stack):
                 linked += len(text)
-    for m in _TOKEN.finditer(page):
-        add(page[at:m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if not tag:
+    tokens = _tokens(page)
+    hidden, skip, foreign = _hidden(tokens), -1, []  # foreign: open drawings, formulas and HTML inside of them
+    for k, (m, tag, behind) in enumerate(tokens):
+        if k <= skip:
+            at = behind
+            continue
+        if not foreign or foreign[-1] not in FOREIGN_TAGS:
+            add(page[at:m.start()])
+        at = behind
+        if tag in HIDDEN_TAGS:
+            skip = hidden.get(k, -1)
+            continue
+        if not tag or tag in _RAW_END or tag == "head" and not foreign:
+            continue
+        if tag in FOREIGN_TAGS or tag == "foreignobject" and foreign:
+            if not m["end"]:
+                if not m["attrs"].endswith("/"):
+                    foreign.append(tag)
+            elif tag in foreign:
+                del foreign[len(foreign) - 1 - foreign[::-1].index(tag):]
             continue
-        tag = tag.lower()
+        if foreign and foreign[-1] in FOREIGN_TAGS:
+            if tag not in ("p", "br") and not any(t == tag for _, t in stack) if m["end"] else tag not in BREAKOUT_TAGS:
+                continue
+            while foreign and foreign[-1] in FOREIGN_TAGS:
+                foreign.pop()
+            if tag == "head":
+                continue
         block = tag in BLOCK_TAGS
         if tag == "br":
             parts.append(" ")
@@ -115,7 +180,8 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
             if block and tag != "body":
                 _close_implied(stack, tag)
             stack.append((_element(tag, m["attrs"]), tag))
-    add(page[at:])
+    if not foreign or foreign[-1] not in FOREIGN_TAGS:
+        add(page[at:])
     flush()
     return out
 

@@ -43,6 +43,26 @@ def test_blocks():
         ht.blocks(odd)
 
 
+def test_blocks_keep_what_is_no_clutter():
+    """Elements that hide text end where they end in a browser, or hide nothing."""
+    texts = lambda page: [t for _, t, _ in ht.blocks(page)]
+    assert texts("<head><title>t</title><body><article><p>one</p><p>two</p></article>") == ["one", "two"]
+    assert texts("<head><meta charset=x><style>p{}</style><link href=y><p>one<p>two") == ["one", "two"]
+    assert texts("<head><title>t</title></head><p>one") == ["one"]
+    assert texts("<p>one</p><svg class=i /> <p>two</p>") == ["one", "two"]
+    assert texts("<p>one</p><math/><p>two</p><svg/><p>three") == ["one", "two", "three"]
+    assert texts("<p>one <svg class='i'><title>x</title><g><text>no</text></g></svg>two") == ["one two"]
+    assert texts("<p>one</p><svg><path d=z><p>two</p><div><svg></div>three") == ["one", "two", "three"]
+    assert texts("<svg><foreignObject><p>one</p></foreignObject><text>no</text></svg>two") == ["one", "two"]
+    assert texts("<svg><text>no</text>") == []
+    for tag in ("iframe", "object", "noscript", "template", "textarea", "title"):
+        assert texts(f"<p>one</p><{tag}>no</{tag}><p>two</p>") == ["one", "two"]
+        assert texts(f"<p>one</p><{tag} /><p>two</p><{tag}>no</{tag}>") == ["one", "two"]
+        assert texts(f"<p>one</p><{tag} id=x><p>two</p>") == ["one", "two"]
+        assert texts(f"<p>one</p><{tag}-bar>two</{tag}-bar>") == ["one", "two"]
+    assert texts("<object><object>no</object>no</object>one<script src=/a/>no</script><script src='b'/> two") == ["one two"]
+
+
 def test_gradients():
     g = np.random.default_rng(0)
     lab = ht.Labeller()
