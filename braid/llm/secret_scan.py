@@ -1,8 +1,10 @@
 """Secret scans: candidate strings judged by a random forest.
 
 A candidate is a run of letters, digits and ``_ + / -`` with a digit and at
-least ``LEAST`` characters, or of ``LONG`` characters with or without a digit.
-The forest (MLlib) removes the false positives among them.  Its features are
+least ``LEAST`` characters, or of ``LONG`` characters with or without a digit;
+any value assigned to a name of ``NAMES``, of any length, to its closing quote on the
+line or, if there is none, to white space (less closing punctuation); and any string of a known shape (``SHAPES``).
+What overlaps is one candidate.  The forest (MLlib) removes the false positives among them.  Its features are
 
 * the candidate's length, its character classes and how often neighbouring
   characters change class, its distinct characters and entropy;
@@ -12,7 +14,9 @@ The forest (MLlib) removes the false positives among them.  Its features are
 * hashed neighbouring words, two before and one after, and the marks between.
 
 It is trained on labelled findings: a candidate is labelled a secret if the text
-assigns it to a name of ``NAMES``, else a false positive.  At most about ``SAMPLE``
+assigns it to a name of ``NAMES`` or it has a known shape, else a false positive.
+A labelled secret is one for sure, as its form tells it; the forest judges the others,
+and so finds what stands alone or behind other names.  At most about ``SAMPLE``
 findings, half of each kind if there are so many, chosen by a hash, are learnt
 from; every candidate of every text is judged, whole texts are scanned.
 
@@ -50,7 +54,23 @@ MASK = "<secret>"
 # Names that secrets are assigned to.
 NAMES = ("token", "password", "passwd", "pwd", "secret", "api_key", "apikey", "access_key", "auth", "bearer",
          "credential", "private_key")
-_ASSIGNED = re.compile(rb"(?:" + "|".join(NAMES).encode() + rb")[\"']?\s{0,3}[:=]\s{0,3}[\"']?$", re.I)
+_NAMED = re.compile(rb"(?:" + "|".join(NAMES).encode() + rb")[\"']?\s{0,3}$", re.I)
+_GAP = re.compile(rb"[:=]{1,3}>?\s{0,3}")
+# A value to the closing quote on its line (a backslash takes the next character along), or to white space.
+_VALUE = re.compile(rb"\"((?:[^\"\\\r\n]|\\.)+)\"|'((?:[^'\\\r\n]|\\.)+)'|[\"']?([^\s\"']\S*)")
+_CLOSING = b".,;:)]}>\"'`"
+# Known shapes, each with the literal strings it begins with; the group is the secret.
+SHAPES = [
+    ((b"AKIA", b"ASIA"), rb"((?:AKIA|ASIA)[A-Z0-9]{16})(?![A-Za-z0-9])"),
+    ((b"ghp_", b"gho_", b"ghu_", b"ghs_", b"ghr_"), rb"(gh[pousr]_[A-Za-z0-9]{16,})"),
+    ((b"github_pat_",), rb"(github_pat_[A-Za-z0-9_]{16,})"),
+    ((b"eyJ",), rb"(eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_=-]+){0,4})"),
+    ((b"Bearer", b"bearer", b"BEARER"),
+     rb"(?:Bearer|bearer|BEARER)[ \t]+((?=[A-Za-z._~+/=-]*[0-9])[A-Za-z0-9._~+/=-]{8,}|[A-Za-z0-9._~+/=-]{20,})"),
+    ((b"-----BEGIN ",), rb"(-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----).)*-----END [A-Z0-9 ]*PRIVATE KEY"
+                        rb"(?: BLOCK)?-----|(?:\s+[A-Za-z0-9+/=]{16,})*))"),
+]
+SHAPES = [(first, re.compile(shape, re.S)) for first, shape in SHAPES]
 _WORD = re.compile(rb"[^\s\"'=:,;()<>]+")
 
 RUN = np.zeros(256, bool)
@@ -87,6 +107,32 @@ def _runs(inside: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
+def _told(raw: bytes, marks: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of the values assigned to secrets' names and of strings of known shapes;
+    ``marks``: the places of ``:`` and ``=``."""
+    out = []
+    for k, r in zip(marks.tolist(), (np.searchsorted(offs, marks, "right") - 1).tolist(), strict=True):
+        lo, hi = int(offs[r]), int(offs[r + 1])
+        if not _NAMED.search(raw[max(lo, k - 24):k]):
+            continue
+        if m := _VALUE.match(raw, _GAP.match(raw, k, hi).end(), hi):
+            start, end = m.span(m.lastindex)
+            if m.lastindex == 3:
+                end = start + (len(m[3].rstrip(_CLOSING)) or len(m[3]))
+            out.append((start, end))
+    for first, shape in SHAPES:
+        for literal in first:
+            at = raw.find(literal)
+            while at >= 0:
+                r = np.searchsorted(offs, at, "right")
+                lo, hi = int(offs[r - 1]), int(offs[r])
+                m = None if at > lo and raw[at - 1:at].isalnum() else shape.match(raw, at, hi)
+                if m:
+                    out.append((m.start(1), m.start(1) + len(m[1].rstrip(_CLOSING))))
+                at = raw.find(literal, m.end() if m else at + 1)
+    return out
+
+
 def dictionary(docs: DataFrame, words: int = DICTIONARY_WORDS) -> list[str]:
     """The most frequent words of three or four ASCII letters, small and capital alike, over all texts
     (``words`` of them; ties to the smaller word)."""
@@ -137,7 +183,7 @@ def _features(value: bytes, before: bytes, after: bytes, path: str, known: set[s
     hexadecimal = sum(c in b"0123456789abcdefABCDEF" for c in value) / n
     two, one = _WORD.findall(before)[-2:], _WORD.findall(after)[:1]
     return [float(n), *share.tolist(), float((kind[1:] != kind[:-1]).mean()) if n > 1 else 0.0, len(count) / n,
-            float(-(p * np.log2(p)).sum()), hexadecimal, _covered(value.decode(), known),
+            float(-(p * np.log2(p)).sum()), hexadecimal, _covered(value.decode("latin-1"), known),
             float(b"=" in before[-4:]), float(before[-1:] in (b'"', b"'")), float(after[:1] in (b'"', b"'")),
             float(before[-1:] in (b"@", b".", b"+")), float(after[:1] in (b"@", b".")),
             *_hashed(two[-1:], WORD_BUCKETS), *_hashed(two[:-1], WORD_BUCKETS), *_hashed(one, WORD_BUCKETS),
@@ -159,20 +205,29 @@ def candidates(docs: DataFrame, known_words: list[str]) -> DataFrame:
                 start, end = _runs(RUN[buf], offs)
                 digits = np.concatenate([[0], np.cumsum(DIGIT[buf])])
                 ok = (end - start >= LONG) | ((end - start >= LEAST) & (digits[end] > digits[start]))
-                start, end = start[ok], end[ok]
+                start, end, raw = start[ok], end[ok], buf.tobytes()
+                told = np.array(_told(raw, np.flatnonzero((buf == 0x3A) | (buf == 0x3D)), offs), np.int64).reshape(-1, 2)
+                sure = np.concatenate([np.zeros(len(start), bool), np.ones(len(told), bool)])
+                start, end = np.concatenate([start, told[:, 0]]), np.concatenate([end, told[:, 1]])
                 if not len(start):
                     continue
+                order = np.argsort(start, kind="stable")
+                start, end, sure = start[order], end[order], sure[order]
+                new = np.ones(len(start), bool)  # what overlaps is one candidate
+                new[1:] = start[1:] >= np.maximum.accumulate(end)[:-1]
+                new = np.flatnonzero(new)
+                start, end, sure = start[new], np.maximum.reduceat(end, new), np.logical_or.reduceat(sure, new)
                 row = np.searchsorted(offs, start, "right") - 1
                 points = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])  # code points before each byte
                 out = [[] for _ in names]
-                raw, digest = buf.tobytes(), {}
-                for s, e, r in zip(start.tolist(), end.tolist(), row.tolist(), strict=True):
+                digest = {}
+                for s, e, r, told in zip(start.tolist(), end.tolist(), row.tolist(), sure.tolist(), strict=True):
                     lo, hi = int(offs[r]), int(offs[r + 1])
                     if r not in digest:
                         digest[r] = hashlib.md5(raw[lo:hi]).hexdigest()
                     value, before, after = raw[s:e], raw[max(lo, s - 48):s], raw[e:min(hi, e + 24)]
                     for o, v in zip(out, (ids[a + r], digest[r], int(points[s] - points[lo]), int(points[e] - points[lo]),
-                                          value.decode(), float(bool(_ASSIGNED.search(before))),
+                                          value.decode(errors="replace"), float(told),
                                           _features(value, before, after, sources[a + r] or "", known)), strict=True):
                         o.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=names)
@@ -207,7 +262,8 @@ def judge(found: DataFrame, forest: RandomForestClassificationModel | None) -> D
 def scan(docs: DataFrame) -> DataFrame:
     """Secrets of ``docs``: ``doc_id``, ``digest``, ``start``, ``end``, ``value``, ``score`` (above one half)."""
     found = stored(candidates(docs, dictionary(docs)))
-    return judge(found, train(found)).filter("score > 0.5").drop("features", "label")
+    scored = judge(found, train(found)).withColumn("score", F.greatest("score", "label"))
+    return scored.filter("score > 0.5").drop("features", "label")
 
 
 def redact(docs: DataFrame, secrets: DataFrame) -> DataFrame:
