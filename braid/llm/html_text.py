@@ -6,7 +6,8 @@ classes and ids of all open elements), hashed words, and a few lengths.  A
 bidirectional LSTM in numpy reads the whole sequence of a page and classifies
 every block; the blocks it calls content are joined.
 
-The labeller is trained here, on a bounded sample of the pages (``SAMPLE_PAGES``).
+The labeller is trained here, on a bounded sample of different pages (``SAMPLE_PAGES``),
+each from its first block to its last, in pieces of ``PIECE_BLOCKS``.
 Blocks of these are labelled by their containers: inside one of ``CONTENT`` and
 inside none of ``CLUTTER``.  Every sampled page is also laid out anew a few times,
 with other container names, and with notices, forms, adverts, sidebars and
@@ -39,6 +40,7 @@ from .textkernel import BYTE_LOWER, prefix_hash, span_hash, words
 
 SAMPLE_PAGES = 240
 LAYOUTS = 8  # new layouts of each sampled page
+PIECE_BLOCKS = 200  # longer pages are learnt in pieces
 PATH, WORD, HIDDEN = 512, 32, 16
 EPOCHS, BATCH, RATE, SEED = 16, 32, 0.02, 11
 PAGES_AT_ONCE = 256
@@ -417,8 +419,8 @@ def _layout(g: np.random.Generator, paragraphs: list[str], others: list[str]) ->
     return "<html><body>" + "".join(before) + article + "".join(after) + "</body></html>"
 
 
-def train(pages: list[str]) -> Labeller:
-    """A labeller for a sample of pages."""
+def train(pages: list[str], piece: int = PIECE_BLOCKS) -> Labeller:
+    """A labeller for a sample of pages, learnt in pieces of at most ``piece`` blocks."""
     g = np.random.default_rng(SEED)
     parsed = [b for b in map(blocks, pages) if b]
     others = [t for b in parsed for _, t, _ in b if len(t) < 2000] or ["text"]
@@ -428,11 +430,10 @@ def train(pages: list[str]) -> Labeller:
         for _ in range(LAYOUTS):
             cut = own[:int(g.integers(1, len(own) + 1))]
             train_on.append(blocks(_layout(g, cut, others)))
-    # A page of great length teaches no more than its beginning; predictions read whole pages.
-    train_on = [b[:200] for b in train_on if b]
+    train_on = [b[a:a + piece] for b in train_on for a in range(0, len(b), piece)]
     if not train_on:
         return Labeller()
-    return Labeller().fit([vectors(b).astype(np.float64) for b in train_on], [labels_of(b) for b in train_on])
+    return Labeller().fit([vectors(b) for b in train_on], [labels_of(b) for b in train_on])
 
 
 def main_text(labeller: Labeller, pages: list[str]) -> list[str]:
@@ -444,12 +445,15 @@ def main_text(labeller: Labeller, pages: list[str]) -> list[str]:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Labeller:
-    """Trains, in one task, on the ``sample`` pages whose html has the smallest
+    """Trains, in one task, on the ``sample`` different pages whose html has the smallest
     hashes (the same for the same table)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [h for b in batches for h in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(train(found).p)]})
-    chosen = pages.filter("html IS NOT NULL").select("html").orderBy(F.xxhash64("html"), "html").limit(sample)
+    keyed = pages.filter("html IS NOT NULL").select("html", F.xxhash64("html").alias("_hash"))
+    # Hashes first: copies meet as numbers, and only pages with a chosen hash move.
+    least = keyed.select("_hash").distinct().orderBy("_hash").limit(sample)
+    chosen = keyed.join(F.broadcast(least), "_hash", "left_semi").distinct().orderBy("_hash", "html").limit(sample).select("html")
     row = chosen.mapInArrow(run, "model binary").first()
     labeller = Labeller()
     if row:

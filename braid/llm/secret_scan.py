@@ -17,8 +17,8 @@ It is trained on labelled findings: a candidate is labelled a secret if the text
 assigns it to a name of ``NAMES`` or it has a known shape, else a false positive.
 A labelled secret is one for sure, as its form tells it; the forest judges the others,
 and so finds what stands alone or behind other names.  At most about ``SAMPLE``
-findings, half of each kind if there are so many, chosen by a hash, are learnt
-from; every candidate of every text is judged, whole texts are scanned.
+different findings (text, place and value), half of each kind if there are so many, chosen by
+a hash, are learnt from; every candidate of every text is judged, whole texts are scanned.
 
 Defined results.  Null or empty text: no candidates.  Null source: a path of
 its own.  Without labelled findings of both kinds there is no forest, and the
@@ -236,17 +236,19 @@ def candidates(docs: DataFrame, known_words: list[str]) -> DataFrame:
 
 
 def train(found: DataFrame, sample: int = SAMPLE) -> RandomForestClassificationModel | None:
-    """A forest of about ``sample`` labelled ``candidates`` (half of either kind if there are
-    so many); none if a kind is missing."""
-    sizes = {r.label: r.n for r in found.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """A forest of about ``sample`` different labelled ``candidates`` (half of either kind if there
+    are so many); none if a kind is missing."""
+    finding = F.xxhash64("value", "digest", "start")
+    sizes = {r.label: r.n for r in found.select("label", finding.alias("finding")).distinct()
+             .groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return None
-    place = F.pmod(F.xxhash64("value", "digest", "start"), F.lit(1 << 40))
+    place = F.pmod(finding, F.lit(1 << 40))
     limit = F.when(F.col("label") == 1, F.lit(min(1 << 40, (1 << 39) * sample // sizes[1.0]))).otherwise(
         F.lit(min(1 << 40, (1 << 39) * sample // sizes[0.0])))
     # In an order of its own: the forest's own sampling follows the rows.
-    rows = found.filter(place < limit).orderBy("digest", "start", "value").coalesce(1)
-    rows = stored(rows.select("label", "features")).withColumn("x", array_to_vector("features"))
+    rows = found.filter(place < limit).groupBy("digest", "start", "value", "label").agg(F.min("features").alias("features"))
+    rows = stored(rows.orderBy("digest", "start", "value").coalesce(1).select("label", "features")).withColumn("x", array_to_vector("features"))
     return RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED,
                                   featureSubsetStrategy="onethird").fit(rows)
 

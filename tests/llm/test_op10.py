@@ -107,3 +107,20 @@ def test_edges(spark, pages):
     assert len(got) == 7 and by[1] == by[2] == by[6] == "" and by[4] == by[None] == article(pages[0][1])
     assert by[5].startswith("word 0 word 1 ") and len(by[5].split()) == 6000
     assert ht.extract(df.limit(0), ht.fit(df.limit(0))).count() == 0
+
+
+def test_sample_of_different_pages(spark, pages, monkeypatch):
+    """Copies of the page with the smallest hash take one place, and whole pages are learnt."""
+    monkeypatch.setattr(ht, "train", lambda found: type("Seen", (), {"p": sorted(found)})())
+    some = spark.createDataFrame([(h,) for _, h in pages[:20]], "html string")
+    first = some.orderBy(ht.F.xxhash64("html")).first().html
+    copies = some.unionAll(spark.createDataFrame([(first,)] * 50 + [(None,)], "html string"))
+    assert ht.fit(copies, 10).p == ht.fit(some, 10).p and len(ht.fit(some, 10).p) == 10
+
+
+def test_learns_whole_pages(monkeypatch):
+    sizes = []
+    monkeypatch.setattr(ht.Labeller, "fit", lambda lab, found, labels: sizes.append([len(x) for x in found]) or lab)
+    monkeypatch.setattr(ht, "LAYOUTS", 0)
+    ht.train(["<article>" + "<p>word</p>" * 450 + "</article>", "<p>x"])
+    assert sizes == [[200, 200, 50, 1]]

@@ -80,6 +80,17 @@ def test_forms_not_in_the_sample_are_found(spark):
     assert all(text[-1 - k] == t.replace(v, ss.MASK) for k, (t, v) in enumerate(FORMS) if v)
 
 
+def test_sample_of_different_findings(spark, monkeypatch):
+    """A thousand copies of a text bring its findings into the sample once."""
+    one = [(k, "s", f"token = \"{hashlib.sha1(str(k).encode()).hexdigest()}\" and 4929963689861572{k}", 1, "d", 1)
+           for k in range(200)]
+    found = ss.stored(ss.candidates(spark.createDataFrame(one + one[:20] * 50, SCHEMA), []))
+    kept = []
+    monkeypatch.setattr(ss, "stored", lambda df: kept.append(df) or df)
+    assert ss.train(found) is not None and kept.pop().count() == 400
+    assert ss.train(found, 100) is not None and 50 < kept.pop().count() < 150
+
+
 def test_query(spark):
     """All strings assigned to a secret's name are found, and little else."""
     rows = {(r.doc_id, r.start, r.end): r for r in op5_secret_scan(spark, SF).collect()}
