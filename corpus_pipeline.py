@@ -43,20 +43,30 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return told.filter(~F.col("ambiguous")).select(*docs.columns)
 
 
+def first_of(rows: DataFrame, keys: list[str], repeated: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` of ``rows``; of those that share one of the ``repeated`` keys only the
+    first in the order of the columns.  Other rows are not shuffled."""
+    if repeated.isEmpty():
+        return rows.select(*columns)
+    repeated = small_side(repeated)
+    first = rows.join(repeated, keys, "left_semi").groupBy(*keys).agg(F.min(F.struct(*columns)).alias("_row"))
+    return rows.join(repeated, keys, "left_anti").select(*columns).unionByName(first.select("_row.*"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     joined = stored(ngram_join.ngram_join(docs, NEAR_WORDS, NEAR_PERCENT).select(
-        "component", F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest").alias("row")))
+        "component", "n_shingles", F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "digest").alias("row")))
     groups = joined.groupBy("component").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     gone = (joined.join(groups, "component").filter("row <> first")
             .select(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")).alias("_id"),
                     F.col("row.digest").alias("_digest")))
     kept = docs.select("*", *row_key()).join(small_side(stored(gone.distinct())), ["_id", "_digest"], "left_anti")
-    # Of rows with equal id and text, one stays; texts are only shuffled for this where there are such rows.
-    again = joined.groupBy("component", "row").count().filter("count > 1")
-    if not again.isEmpty():
-        kept = kept.dropDuplicates(["_id", "_digest"])
-    return kept.select(*docs.columns)
+    # Of rows with equal id and text, one stays; those without words are linked with nothing and all stay.
+    again = (joined.filter("n_shingles > 0").groupBy("row").count().filter("count > 1")
+             .select(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null")).alias("_id"),
+                     F.col("row.digest").alias("_digest")))
+    return first_of(kept, ["_id", "_digest"], stored(again), docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,8 +82,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
              .agg(F.sum("rounds").alias("_rounds"), F.count(F.lit(1)).alias("_same")))
     taken = stored(taken)
     keyed = keyed.withColumn("_key", F.concat_ws("|", "_id", "_digest"))
-    if not taken.filter("_same > 1").isEmpty():  # rows alike stand for each other
-        keyed = keyed.dropDuplicates(["_key"])
+    # Rows alike stand for each other.
+    keyed = first_of(keyed, ["_key"], taken.filter("_same > 1").select("_key"), [*docs.columns, "_key"])
     chosen = keyed.join(small_side(taken.filter("_rounds > 0").select("_key", "_rounds")), "_key")
     return chosen.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_rounds").cast("int"))).alias("_round")).drop("_round")
 

@@ -83,6 +83,17 @@ def test_one_of_each_group_stays(spark, docs):
         assert not set(kept) - set(rows)
 
 
+def test_repeated_rows_without_words_stay(spark):
+    """Whether some row with words is repeated changes nothing for the others; which one stays is fixed."""
+    words = " ".join(f"w{i}" for i in range(30))
+    same = [(3, words, "en", "s2", 5), (3, words, "de", "s1", 5), (3, words, "de", "s0", 5)]
+    plain = [(20, "", "en", "s1", 0), (20, "", "en", "s1", 0), (None, None, None, None, None), (None, "", "en", "s0", 0),
+             (None, "", "en", "s0", 0), (5, words.upper()[:60] + " other words here at all", "en", "s0", 1)]
+    for order in (same, same[::-1]):
+        d = stored(spark.createDataFrame(order + plain, SCHEMA).repartition(3))
+        assert rows_of(cp.near_duplicates(spark, d, SF)) == collections.Counter([*plain, same[2]])
+
+
 def test_secrets_are_masked_and_no_document_goes(spark, docs):
     before = {r.doc_id: r.text for r in docs.collect()}
     after = {r.doc_id: r for r in cp.secrets(spark, docs, SF).collect()}
