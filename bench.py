@@ -3,7 +3,7 @@ losses/metrics -> training log/weighting -> robustness) on one folder.
 
 Each stage reuses the stages before it (materialised once, as in a real run)
 and is timed separately; ``value`` is the end-to-end total.  ``replicated`` has
-the heavy stages again on ``BENCH_REPLICATE`` (4) copies of the tables, with
+the heavy stages again on ``BENCH_REPLICATE`` (10) copies of the tables, with
 rows a second.  Prints one JSON line.
 
     BENCH_SF_DIR=/root/testdata/sf0.1 BENCH_CPUS=8 python bench.py
@@ -24,6 +24,10 @@ def full(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+# Copies of the tables for the scale figures.
+REPLICATE = 10
+
+
 def replicate(spark, sf_dir: str, times: int) -> str:
     """The text tables ``times`` over, each copy with ids of its own, in the shared scratch folder."""
     from pyspark.sql import functions as F
@@ -70,7 +74,7 @@ def main() -> None:
     times["robustness"] = run(lambda: rb.robustness(spark, sf_dir).collect())
     total = round(sum(times.values()), 3)
     scaled = {}
-    factor = int(os.environ.get("BENCH_REPLICATE", "4"))
+    factor = int(os.environ.get("BENCH_REPLICATE", str(REPLICATE)))
     if factor > 1:  # the same stages on copies of the tables: time per row should not grow
         big = replicate(spark, sf_dir, factor)
         rows = q["examples"](spark, big).count()
