@@ -34,7 +34,7 @@ def replicate(spark, sf_dir: str, times: int) -> str:
 
     from braid.streaming.running import scratch
     out = scratch(spark, f"bench-x{times}")
-    copy = F.explode(F.sequence(F.lit(0), F.lit(times - 1)))
+    copy = F.explode(F.sequence(F.lit(0), F.lit(times - 1)).cast("array<bigint>"))
     for table, key in (("documents", "doc_id"), ("labels", "doc_id"), ("conversations", "conv_id"),
                        ("benchmark", "item_id"), ("embeddings", "vec_id")):
         df = spark.read.parquet(f"{sf_dir}/{table}.parquet").withColumn("_copy", copy)

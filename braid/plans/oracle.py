@@ -355,16 +355,16 @@ def _step5b(q: dict[str, str]) -> None:
 SELECT task, split, id, k::BIGINT AS class_idx, round(logit, 6) AS logit FROM lg"""
     q["nb_predictions"] = with_(*PREP, TOK, NB) + """
 SELECT task, split, id, label_idx::BIGINT AS label_idx, pred_idx::BIGINT AS pred_idx FROM pred"""
-    grams = []
+    hashed, columns = [], []
     for n in (2, 3, 4, 5):
-        hashed = f"""SELECT DISTINCT (('0x' || substr(md5(array_to_string(list_slice(t, i, i + {n} - 1), ' ')), 1, 8))::BIGINT % 128) AS b
-                               FROM range(1, len(t) - {n} + 2) r(i)"""
-        grams.append(f"""
-    (SELECT count(*)::BIGINT FROM ({hashed})) AS n{n},
-    (SELECT coalesce(string_agg(b::VARCHAR, ' ' ORDER BY b), '') FROM ({hashed})) AS b{n}""")
+        words = " || ' ' || ".join(f"t[i + {k}]" if k else "t[i]" for k in range(n))
+        hashed.append(f"""list_sort(list_distinct(list_transform(range(1, len(t) - {n} + 2),
+            lambda i: ('0x' || substr(md5({words}), 1, 8))::BIGINT % 128))) AS l{n}""")
+        columns.append(f"len(l{n})::BIGINT AS n{n}, array_to_string(l{n}, ' ') AS b{n}")
     q["ngram_features"] = with_(EX) + f"""
-SELECT kind, id, {",".join(grams)}
-FROM (SELECT kind, id, regexp_extract_all(lower(text_a), '{TOKEN_PATTERN}', 0) AS t FROM ex WHERE task = 'lang')"""
+, toks AS MATERIALIZED (SELECT kind, id, regexp_extract_all(lower(text_a), '{TOKEN_PATTERN}', 0) AS t FROM ex WHERE task = 'lang'),
+grams AS MATERIALIZED (SELECT kind, id, {", ".join(hashed)} FROM toks)
+SELECT kind, id, {", ".join(columns)} FROM grams"""
 
 
 def _step5c(q: dict[str, str]) -> None:
