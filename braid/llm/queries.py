@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, fingerprints, html_text, langid, mixing, ngram_join, packing, repeats, secret_scan, topk
+from . import chat, fingerprints, html_text, langid, manifest, mixing, ngram_join, packing, repeats, secret_scan, topk
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,6 +188,77 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.audit(read_table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = """
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8),
+         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), d AS (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, concat(
+           coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+           coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head,
+         text, CASE WHEN doc_id IS NULL THEN 1 ELSE xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+           lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8), 4294967295), 4294967295) % 3 END AS kept
+  FROM documents, tab
+), leaf AS (
+  SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS node,
+         CASE WHEN kept = 0 THEN sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other
+  FROM d
+), l0 AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, node) - 1 AS pos FROM leaf
+), nodes(step, tree, pos, node) AS (
+  SELECT 0, tree, pos, node FROM l0
+  UNION ALL
+  SELECT step + 1, tree, pos // 8, sha256(string_agg(node, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM nodes) WHERE n > 1 GROUP BY step, tree, pos // 8
+), tops AS (
+  SELECT tree, max(step) AS steps, arg_max(node, step) AS subroot FROM nodes GROUP BY tree
+), f0 AS (
+  SELECT *, row_number() OVER (ORDER BY tree) - 1 AS pos FROM tops
+), over(step, pos, node) AS (
+  SELECT 0, pos, subroot FROM f0
+  UNION ALL
+  SELECT step + 1, pos // 8, sha256(string_agg(node, '' ORDER BY pos))
+  FROM (SELECT *, count(*) OVER () AS n FROM over) WHERE n > 1 GROUP BY step, pos // 8
+), top AS (
+  SELECT max(step) AS steps, arg_max(node, step) AS root FROM over
+), below AS (
+  SELECT a.tree, a.step, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.step = b.step AND a.pos // 8 = b.pos // 8
+  GROUP BY a.tree, a.step, a.pos
+), above AS (
+  SELECT a.step, a.pos, coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l,
+         coalesce(string_agg(b.node, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM over a JOIN over b ON a.step = b.step AND a.pos // 8 = b.pos // 8 GROUP BY a.step, a.pos
+), path AS (
+  SELECT l0.tree, l0.pos, b.step AS k, b.l, b.r FROM l0 JOIN tops USING (tree)
+  JOIN below b ON b.tree = l0.tree AND b.step < tops.steps AND b.pos = l0.pos // (8 ** b.step)::BIGINT
+  UNION ALL
+  SELECT l0.tree, l0.pos, 1000 + a.step, a.l, a.r FROM l0 JOIN f0 USING (tree)
+  JOIN above a ON a.step < (SELECT steps FROM top) AND a.pos = f0.pos // (8 ** a.step)::BIGINT
+), steps AS (
+  SELECT tree, pos, list({'l': l, 'r': r} ORDER BY k) AS p FROM path GROUP BY tree, pos
+), folded(tree, pos, i, node) AS (
+  SELECT tree, pos, 1, coalesce(other, node) FROM l0
+  UNION ALL
+  SELECT f.tree, f.pos, i + 1, sha256(p[i].l || f.node || p[i].r)
+  FROM folded f JOIN steps s ON f.tree = s.tree AND f.pos = s.pos WHERE i <= len(p)
+), last AS (
+  SELECT tree, pos, arg_max(node, i) AS folded_root FROM folded GROUP BY tree, pos
+)
+SELECT l0.doc_id, l0.node AS leaf, subroot, root,
+       sha256(coalesce(array_to_string(list_transform(p, lambda x: x.l || x.r), ''), '')) AS proof_sha256,
+       folded_root, folded_root = root AS verified
+FROM l0 JOIN tops USING (tree) CROSS JOIN top JOIN last ON last.tree = l0.tree AND last.pos = l0.pos
+LEFT JOIN steps s ON s.tree = l0.tree AND s.pos = l0.pos
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -200,6 +271,7 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_repeat_removal": op9_repeat_removal,
         "op10_html_text": op10_html_text,
+        "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -210,4 +282,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_ngram_join": OP3_SQL,
         "op4_exact_top_k": OP4_SQL,
         "op6_mix_sources": OP6_SQL,
+        "op13_merkle_manifest": OP13_SQL,
     }
