@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, fingerprints, html_text, langid, manifest, mixing, ngram_join, packing, repeats, secret_scan, topk
+from . import chat, divergence, fingerprints, html_text, langid, manifest, mixing, ngram_join, packing, repeats, secret_scan, topk
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,6 +188,47 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read_table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 10
+), v AS (
+  SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), cnt AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN kept USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), gn AS (
+  SELECT g.lang, g.source, coalesce(v, 0)::HUGEINT AS v, coalesce(total, 0)::HUGEINT AS total
+  FROM g LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM cnt GROUP BY ALL) USING (lang, source)
+), p AS (
+  SELECT gn.lang, gn.source, kept.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (total + 2 * v) AS p
+  FROM gn JOIN kept ON gn.lang = kept.lang LEFT JOIN cnt ON cnt.lang = gn.lang AND cnt.source = gn.source AND cnt.term = kept.term
+), q AS (
+  SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 2) // (any_value(t) + 2 * any_value(v)) AS q
+  FROM cnt JOIN (SELECT lang, sum(total) AS t, any_value(v) AS v FROM gn GROUP BY lang) USING (lang) GROUP BY lang, term
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+  UNION ALL
+  SELECT a.lang, a.source, 'pair', b.source, 0 FROM gn a JOIN gn b ON a.lang = b.lang AND a.source <> b.source WHERE a.v = 0
+  UNION ALL
+  SELECT p.lang, p.source, 'term', p.term, (p - q) * (p - q) // (p + q) FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r
+)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM k WHERE part = 'pair' OR rank <= 10
+"""
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(read_table(spark, sf_dir, "documents"))
 
@@ -271,6 +312,7 @@ def queries() -> dict[str, Query]:
         "op8_language_id": op8_language_id,
         "op9_repeat_removal": op9_repeat_removal,
         "op10_html_text": op10_html_text,
+        "op11_source_divergence": op11_source_divergence,
         "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
@@ -282,5 +324,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_ngram_join": OP3_SQL,
         "op4_exact_top_k": OP4_SQL,
         "op6_mix_sources": OP6_SQL,
+        "op11_source_divergence": OP11_SQL,
         "op13_merkle_manifest": OP13_SQL,
     }
