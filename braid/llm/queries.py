@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import chat, divergence, fingerprints, html_text, langid, manifest, mixing, ngram_join, packing, repeats, secret_scan, topk
+from . import chat, divergence, fingerprints, html_text, langid, manifest, mixing, ngram_join, packing, quality, repeats, secret_scan, topk
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,6 +229,13 @@ SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM
 """
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality.held_out(F.col("doc_id"))
+    model = quality.fit(docs.filter(~held_out), read_table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit(read_table(spark, sf_dir, "documents"))
 
@@ -313,6 +320,7 @@ def queries() -> dict[str, Query]:
         "op9_repeat_removal": op9_repeat_removal,
         "op10_html_text": op10_html_text,
         "op11_source_divergence": op11_source_divergence,
+        "op12_quality_classifier": op12_quality_classifier,
         "op13_merkle_manifest": op13_merkle_manifest,
         "pipeline": corpus_pipeline.run,
     }
