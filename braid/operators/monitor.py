@@ -7,8 +7,8 @@ Inputs are step-level tables:
   ``eval_log(run_id, epoch, step, train_loss, train_f1, dev_loss, dev_f1, ...)``
   -- one row per evaluation, with both F1 of every task.
 Running metrics are cumulative sums over a dense (class x evaluation period)
-grid built with ``sequence`` (no join of all pairs); windows are partitioned
-by run/epoch/task/class.
+grid built with ``sequence`` (no join of all pairs).  What runs over the steps or evaluation periods
+of a log goes block by block (``scan``).
 """
 
 from __future__ import annotations
@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EVAL_EVERY, PATIENCE_STEPS
+from . import scan
 from .common import checked_broadcast
 
 
-def running_f1(step_preds: DataFrame, eval_every: int = EVAL_EVERY) -> DataFrame:
+def running_f1(step_preds: DataFrame, eval_every: int = EVAL_EVERY, block: int = scan.BLOCK) -> DataFrame:
     """E5: macro-F1 per task over all rows seen in the epoch up to each
     evaluation step (steps that are multiples of ``eval_every``)."""
     cells = (step_preds.groupBy("run_id", "epoch", "task", F.ceil(F.col("step") / eval_every).cast("int").alias("period"),
@@ -38,22 +39,23 @@ def running_f1(step_preds: DataFrame, eval_every: int = EVAL_EVERY) -> DataFrame
             .filter(F.col("n_periods") >= 1)
             .select("run_id", "epoch", "task", "cls", F.explode(F.sequence(F.lit(1), F.col("n_periods"))).alias("period")))
     g = grid.join(agg, ["run_id", "epoch", "task", "cls", "period"], "left").fillna(0, ["t", "p", "tp"])
-    w = (Window.partitionBy("run_id", "epoch", "task", "cls").orderBy("period")
-         .rowsBetween(Window.unboundedPreceding, 0))
-    g = g.select("run_id", "epoch", "task", "cls", "period",
-                 F.sum("t").over(w).alias("ct"), F.sum("p").over(w).alias("cp"), F.sum("tp").over(w).alias("ctp"))
+    last = step_preds.agg(F.max("step")).first()[0] or 0
+    g = scan.running(g, ["run_id", "epoch", "task", "cls"], "period",
+                     {"ct": ("sum", "t"), "cp": ("sum", "p"), "ctp": ("sum", "tp")}, last // eval_every, block)
     seen = g.filter(F.col("ct") + F.col("cp") > 0)
     return (seen.groupBy("run_id", "epoch", "task", "period")
             .agg(F.avg(2 * F.col("ctp") / (F.col("ct") + F.col("cp"))).alias("f1"))
             .select("run_id", "epoch", (F.col("period") * eval_every).cast("bigint").alias("step"), "task", "f1"))
 
 
-def running_loss(step_log: DataFrame) -> DataFrame:
+def running_loss(step_log: DataFrame, block: int = scan.BLOCK) -> DataFrame:
     """``total_loss / step`` -- running mean of the per-step summed loss
-    within an epoch."""
+    within an epoch, block by block (``scan``)."""
+    largest = step_log.agg(F.max("step")).first()[0] or 0
     tot = step_log.groupBy("run_id", "epoch", "step").agg(F.sum("loss").alias("total"))
-    w = Window.partitionBy("run_id", "epoch").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    return tot.withColumn("running_loss", F.avg("total").over(w))
+    tot = tot.withColumn("_one", F.when(F.col("total").isNotNull(), 1).otherwise(0).cast("bigint"))
+    run = scan.running(tot, ["run_id", "epoch"], "step", {"_sum": ("sum", "total"), "_n": ("sum", "_one")}, largest, block)
+    return run.select("run_id", "epoch", "step", "total", F.try_divide("_sum", "_n").alias("running_loss"))
 
 
 def eval_log(step_log: DataFrame, step_preds: DataFrame, dev: DataFrame, tasks,

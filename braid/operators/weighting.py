@@ -2,8 +2,8 @@
 loss, acc)`` (I1-I4, E4, D20).
 
 All operators work on the per-step log (one row per step and task), never on
-example rows.  Windows are partitioned by (run_id, task) or (run_id, epoch,
-step); a step has one row per task.
+example rows.  Windows are partitioned by (run_id, epoch, step), of which a step has
+one row per task; lags over a run go block by block (``scan``).
 
 Fixed values: DWA temperature 2; DTP gamma 0.5 with the accuracy clamped to
 [0.1, 0.99]; uncertainty weights start at s = 0.
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DTP_GAMMA, DTP_KPI_MAX, DTP_KPI_MIN, DWA_T
+from . import scan
 
 STRATEGIES = ("none", "dwa", "dtp", "uw")
 
@@ -24,7 +25,7 @@ def plain_sum(log: DataFrame) -> DataFrame:
     return log.groupBy("run_id", "epoch", "step").agg(F.sum("loss").alias("total"))
 
 
-def dwa(log: DataFrame, T: float = DWA_T, mode: str = "paper") -> DataFrame:
+def dwa(log: DataFrame, T: float = DWA_T, mode: str = "paper", block: int = scan.BLOCK) -> DataFrame:
     """``w_t = K * softmax_t(r_t / T)``.
 
     A ratio with a zero denominator is undefined; a step with any undefined
@@ -39,19 +40,20 @@ def dwa(log: DataFrame, T: float = DWA_T, mode: str = "paper") -> DataFrame:
     """
     if mode not in ("paper", "current", "reference"):
         raise ValueError("mode must be paper, current or reference")
-    w_task = Window.partitionBy("run_id", "task").orderBy("epoch", "step")
-    if mode == "paper":
-        r = F.try_divide(F.lag("loss", 1).over(w_task), F.lag("loss", 2).over(w_task))
-        d = log.withColumn("_r", r)
-    elif mode == "current":
-        d = log.withColumn("_r", F.try_divide(F.col("loss"), F.lag("loss", 1).over(w_task)))
+    key, ends = ["run_id", "task"], log.agg(F.max("epoch"), F.max("step")).first()
+    ends = tuple(x or 0 for x in ends)
+    if mode in ("paper", "current"):
+        d = scan.place(log, key, "epoch", "step", "_g", ends, block)
+        back = 2 if mode == "paper" else 1
+        d = scan.lagged(d, key, "_g", {"_l1": ("loss", 1), "_l2": ("loss", back)}, block)
+        r = F.try_divide("_l1", "_l2") if mode == "paper" else F.try_divide("loss", "_l1")
+        d = d.withColumn("_r", r).drop("_g", "_l1", "_l2")
     else:
-        first = log.filter(F.col("epoch") == F.lit(1)).select(
-            "run_id", "task", "step", F.col("loss").alias("_l1"))
-        w1 = Window.partitionBy("run_id", "task").orderBy("step")
-        first = first.withColumn("_r1", F.try_divide(F.col("_l1"), F.lag("_l1", 1).over(w1)))
+        first = log.filter(F.col("epoch") == F.lit(1)).select("run_id", "task", "epoch", "step", F.col("loss").alias("_l1"))
+        first = scan.lagged(scan.place(first, key, "epoch", "step", "_g", (1, ends[1]), block), key, "_g", {"_l0": ("_l1", 1)}, block)
+        first = first.select("run_id", "task", "step", F.try_divide("_l1", "_l0").alias("_r1"))
         last = first.groupBy("run_id", "task").agg(F.max_by("_r1", "step").alias("_rlast"))
-        d = (log.join(first.select("run_id", "task", "step", "_r1"), ["run_id", "task", "step"], "left")
+        d = (log.join(first, ["run_id", "task", "step"], "left")
              .join(last, ["run_id", "task"], "left")
              .withColumn("_r", F.when(F.col("step") >= 2, F.col("_r1"))
                          .when(F.col("epoch") >= 2, F.col("_rlast"))))
