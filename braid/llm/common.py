@@ -25,6 +25,15 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
 
 
+# Rows of whole texts and packed arrays are large: so many bytes at a time between Spark and its
+# Python workers, on top of the usual number of rows.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
 def _give_back() -> None:
     """Returns the memory a task has freed to the system; a worker waits for its next task with little."""
     pa.default_memory_pool().release_unused()

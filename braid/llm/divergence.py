@@ -7,9 +7,10 @@
    a key's slot being the rank of the first bit it has for itself) and its keys in slot order.
 3. ``recount``: the parts are broadcast, ``SLICE_BYTES`` at a time (a larger vocabulary is counted in
    several passes).  A task looks the distinct terms of a few texts up, compares the
-   key stored in the slot byte by byte, and adds to dense slots of its (language, source) groups.
-4. ``divergence``: smoothed shares of the groups, compared in tiles of slots: for
-   every two sources of a language, and of each source with its language term by term.
+   key stored in the slot byte by byte, and adds to dense slots of its (language, source) groups; the tasks' slots are
+   sent packed, a row per group and part, and added up.
+4. ``divergence``: smoothed shares of the groups, compared part by part in blocks of sources: every
+   two sources of a language, and each source with its language term by term.
 
 64-bit hashes only find places: occurrences are compared with a first one of their hash, and that one with the
 stored key, so equal hashes of different terms change nothing.  All figures are integers.
@@ -28,22 +29,23 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship_package, small_side, stored, tidy
+from .common import ship_package, small_batches, small_side, stored, tidy
 from .textkernel import BYTE_LOWER, LOWER, PLACE, mix64, prefix_hash, span_hash, words
 
 LEAST_DOCS, TOP_TERMS, SCALE = 10, 10, 1_000_000_000
 CHUNK = 1 << 20
-PART_BYTES, SLICE_BYTES = 1 << 20, 32 << 20
+PART_BYTES, SLICE_BYTES = 64 << 10, 32 << 20
 # Besides its bytes a stored key costs its length and its share of the bit arrays.
 KEY_COST = 16
 LEVELS, ROOM = 32, 2
 # Dense counters of a task (eight bytes each).
 MOST_CELLS = 4 << 20
-# A tile of the comparison: so many slots and two blocks of so many sources.
-TILE_SLOTS, TILE_SOURCES = 8192, 128
+# Sources in a block; two blocks are compared in a task.
+BLOCK_SOURCES = 128
 
 # Terms are letters of ASCII and everything beyond ASCII; all other bytes part them.
 BREAKS = np.ones(256, bool)
@@ -156,6 +158,7 @@ def counted(codes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def read(docs: DataFrame) -> DataFrame:
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     return docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], "text")
 
 
@@ -292,26 +295,24 @@ def perfect_hashes(kept: DataFrame, part_bytes: int = PART_BYTES, hashing: Hash
     return stored(dealt.groupBy("lang", "part").applyInPandas(hashed, "lang string, part long, parts long, size long, state binary"))
 
 
-def slot_terms(parts: DataFrame) -> DataFrame:
-    """Stored ``lang``, ``part``, ``slot``, ``term`` of all kept terms."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples(index=False):
-                terms = pickle.loads(r.state).strings()
-                yield pd.DataFrame({"lang": r.lang, "part": r.part, "slot": np.arange(len(terms)), "term": terms})
-    return stored(parts.select("lang", "part", "state").mapInPandas(tidy(run), "lang string, part long, slot long, term string"))
+COUNTS = "lang string, source string, part long, total long, slots binary, counts binary"
 
 
-def tiles_of(parts: DataFrame, tile_slots: int) -> DataFrame:
-    """``lang``, ``part``, ``tile``, ``slots``: runs of ``tile_slots`` slots, the last one of a part shorter."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for r in f.itertuples(index=False):
-                n = pickle.loads(r.state).index.n
-                first = np.arange(0, n, tile_slots)
-                yield pd.DataFrame({"lang": r.lang, "part": r.part, "tile": first // tile_slots,
-                                    "slots": np.minimum(n - first, tile_slots)})
-    return parts.select("lang", "part", "state").mapInPandas(tidy(run), "lang string, part long, tile long, slots long")
+def packed(slot: np.ndarray, n: np.ndarray) -> tuple[int, bytes, bytes]:
+    """(sum, slots, counts) of sorted slots; what ``unpacked`` reads."""
+    return int(n.sum()), compress(slot.astype("<u4").tobytes()), compress(n.astype("<i8").tobytes())
+
+
+def unpacked(slots: bytes, counts: bytes, size: int | None = None) -> np.ndarray:
+    """Dense counts of ``size`` slots, or of as many as it takes."""
+    slot, n = (np.frombuffer(zstandard.decompress(x), kind) for x, kind in ((slots, "<u4"), (counts, "<i8")))
+    out = np.zeros(int(slot[-1]) + 1 if size is None else size, np.int64)
+    out[slot] = n
+    return out
+
+
+def compress(data: bytes) -> bytes:
+    return zstandard.compress(data, 1)
 
 
 class Counters:
@@ -360,13 +361,13 @@ class Counters:
                 yield from self._rows(label, s[order], c[order])
 
     def _rows(self, label: tuple, slot: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-        lang, source = label
+        lang, out = label[0], []
         for part, (before, held) in self.parts[lang].items():
             a, b = np.searchsorted(slot, [before, before + held.index.n])
             if b > a:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(lang, b - a), pa.repeat(source, b - a), pa.repeat(int(part), b - a),
-                     pa.array(slot[a:b] - before), pa.array(n[a:b])], names=["lang", "source", "part", "slot", "n"])
+                out.append((*label, int(part), *packed(slot[a:b] - before, n[a:b])))
+        if out:
+            yield counts_batch(out)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """All counts above 0 of the dense slots."""
@@ -375,6 +376,37 @@ class Counters:
             yield from self._rows(label, slot, dense[slot])
 
 
+def counts_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)],
+                                      names=["lang", "source", "part", "total", "slots", "counts"])
+
+
+def added_up(rows: DataFrame) -> DataFrame:
+    """One row per (lang, source, part), the counts of all its rows added.  Rows come sorted, so a task holds one part's slots."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, dense = None, np.zeros(0, np.int64)
+
+        def row():
+            slot = np.flatnonzero(dense)
+            return counts_batch([(*key, *packed(slot, dense[slot]))])
+        for b in batches:
+            for *label, _, slots, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                more = unpacked(slots, counts)
+                if label != key:
+                    if key is not None:
+                        yield row()
+                    key, dense = label, more
+                    continue
+                if len(more) > len(dense):
+                    dense, more = more, dense
+                dense[:len(more)] += more
+        if key is not None:
+            yield row()
+    keys = ["lang", "source", "part"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), COUNTS)
+
+
 def recount(docs: DataFrame, parts: DataFrame, slice_bytes: int = SLICE_BYTES, limit: int = CHUNK,
             most: int = MOST_CELLS, hashing: Hash = term_hash) -> DataFrame:
     """Stored ``lang``, ``source``, ``part``, ``slot``, ``n``: how often each kept term occurs in each group that has it."""
@@ -394,45 +426,64 @@ def recount(docs: DataFrame, parts: DataFrame, slice_bytes: int = SLICE_BYTES, l
                 if texts:
                     yield from counters.add(groups, group, Terms(texts, hashing))
             yield from counters.rows()
-        counts = read(docs).mapInArrow(tidy(run), "lang string, source string, part long, slot long, n long")
-        counts = stored(counts.groupBy("lang", "source", "part", "slot").agg(F.sum("n").alias("n")))
+        counts = stored(added_up(read(docs).mapInArrow(tidy(run), COUNTS)))
         held.unpersist()
         out = counts if out is None else out.unionByName(counts)
-    empty = "lang string, source string, part long, slot long, n long"
-    return spark.createDataFrame([], empty) if out is None else out
-
-
-def share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(SCALE * (n + 2) / (total + 2 * terms)), exactly."""
-    return F.call_function("div", (n + 2).cast("decimal(20,0)") * F.lit(SCALE).cast("decimal(10,0)"),
-                           (total + 2 * terms).cast("decimal(20,0)")) + 1
-
-
-def gap(p: Column, q: Column) -> Column:
-    return F.call_function("div", (p - q) * (p - q), p + q)
-
-
-def pair_sums(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sums of the gaps over one tile, for every two sources of its two blocks.  Rows with a slot of -n say that
-    the tile has n slots and give a source's share of an absent term."""
-    base = rows[rows["slot"] < 0].sort_values("source_no")
-    numbers, block = base["source_no"].to_numpy(), base["block"].to_numpy()
-    held = rows[rows["slot"] >= 0]
-    p = np.repeat(base["p"].to_numpy()[:, None], -base["slot"].iloc[0], axis=1)
-    p[np.searchsorted(numbers, held["source_no"].to_numpy()), held["slot"].to_numpy()] = held["p"].to_numpy()
-    lo, hi = rows["lo"].iloc[0], rows["hi"].iloc[0]
-    out = []
-    for a in np.flatnonzero(block == lo):
-        others = np.flatnonzero((block == hi) & (numbers > numbers[a]))
-        d = p[others] - p[a]
-        value = (d * d // (p[others] + p[a])).sum(axis=1)
-        out.append(pd.DataFrame({"lang": rows["lang"].iloc[0], "a": numbers[a], "b": numbers[others], "value": value}))
-    return pd.concat(out) if out else pd.DataFrame({"lang": [], "a": [], "b": [], "value": []})
+    return spark.createDataFrame([], COUNTS) if out is None else out
+
+
+def share(n: np.ndarray, total: int, terms: int) -> np.ndarray:
+    """1 + floor(SCALE * (n + 2) / (total + 2 * terms)), exactly: three digits at a time, as SCALE has nine."""
+    whole = total + 2 * terms
+    out, rest = np.divmod(n + 2, whole)
+    for _ in range(3):
+        digits, rest = np.divmod(rest * 1000, whole)
+        out = out * 1000 + digits
+    return out + 1
+
+
+def gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) ** 2 // (p + q)
+
+
+FOUND = "lang string, kind string, a long, b long, item string, value long"
+
+
+def compared(sources: pd.DataFrame, sides: pd.DataFrame, top: int) -> pd.DataFrame:
+    """Of one part of a language: for every two sources of two blocks the sum of their gaps, and for the sources of a block
+    met with itself the ``top`` terms used more than by the language.  ``sources``: a row each; ``sides``: one row."""
+    side, out = sides.iloc[0], []
+    held: Part = pickle.loads(side["state"])
+    sources = sources.sort_values("source_no")
+    number, block = sources["source_no"].to_numpy(), sources["block"].to_numpy()
+    counts = [unpacked(r.slots, r.counts, held.index.n) if r.slots is not None else np.zeros(held.index.n, np.int64)
+              for r in sources.itertuples(index=False)]
+    p = np.array([share(n, int(t), int(side["terms"])) for n, t in zip(counts, sources["group_total"], strict=True)])
+    for k in np.flatnonzero(block == side["lo"]):
+        others = np.flatnonzero((block == side["hi"]) & (number > number[k]))
+        if len(others):
+            out.append(pd.DataFrame({"kind": "pair", "a": number[k], "b": number[others], "item": "",
+                                     "value": gap(p[others], p[k]).sum(axis=1)}))
+    if side["lo"] == side["hi"]:
+        whole = unpacked(side["all_slots"], side["all_counts"], held.index.n)
+        q, terms = share(whole, int(side["lang_total"]), int(side["terms"])), held.strings()
+        for k in range(len(number)):
+            used = np.flatnonzero((counts[k] > 0) & (p[k] > q))
+            value = gap(p[k][used], q[used])
+            if len(used) > top:  # all that are not below the last of the first ones
+                some = value >= np.partition(value, -top)[-top]
+                used, value = used[some], value[some]
+            best = sorted(zip(-value, (terms[s].encode() for s in used), strict=True))[:top]
+            if best:
+                out.append(pd.DataFrame({"kind": "term", "a": number[k], "b": -1, "item": [t.decode() for _, t in best],
+                                         "value": [-int(v) for v, _ in best]}))
+    columns = ["lang", "kind", "a", "b", "item", "value"]
+    return pd.concat(out).assign(lang=side["lang"])[columns] if out else pd.DataFrame(columns=columns)
 
 
 def divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS, limit: int = CHUNK, part_bytes: int = PART_BYTES,
-               slice_bytes: int = SLICE_BYTES, most: int = MOST_CELLS, tile_slots: int = TILE_SLOTS,
-               tile_sources: int = TILE_SOURCES, hashing: Hash = term_hash) -> DataFrame:
+               slice_bytes: int = SLICE_BYTES, most: int = MOST_CELLS, block_sources: int = BLOCK_SOURCES,
+               hashing: Hash = term_hash) -> DataFrame:
     """``lang``, ``source``, ``part`` (``pair`` or ``term``), ``item``, ``value``, ``rank``: for every
     (language, source) of ``docs`` all other sources of the language by the sum of the gaps between their shares,
     and the ``top`` terms it uses more than its language does."""
@@ -441,45 +492,45 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCS, top: int = TOP_TERMS, l
     counts = recount(docs, parts, slice_bytes, limit, most, hashing)
 
     sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = counts.groupBy("lang", "source").agg(F.sum("total").alias("group_total"))
     lang = Window.partitionBy("lang")
-    groups = (read(docs).select("lang", "source").distinct().join(sizes, "lang", "left").join(totals, ["lang", "source"], "left")
-              .fillna(0, ["terms", "total"])
-              .withColumn("lang_total", F.sum("total").over(lang))
-              .withColumn("source_no", F.row_number().over(lang.orderBy("source")) - 1)
-              .withColumn("blocks", F.ceil(F.count(F.lit(1)).over(lang) / F.lit(tile_sources)))
-              .withColumn("block", F.floor(F.col("source_no") / F.lit(tile_sources))))
-    groups = stored(groups)
-    named = counts.join(small_side(groups), ["lang", "source"])
-
-    # Terms a source uses more than its language.
-    whole = Window.partitionBy("lang", "part", "slot")
-    q = share(F.sum("n").over(whole), F.col("lang_total"), F.col("terms"))
-    term = (named.withColumn("q", q).withColumn("p", share(F.col("n"), F.col("total"), F.col("terms"))).filter("p > q")
-            .join(slot_terms(parts), ["lang", "part", "slot"])
-            .select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), gap(F.col("p"), F.col("q")).alias("value")))
-    by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    term = term.withColumn("rank", F.row_number().over(by_value)).filter(F.col("rank") <= top)
-
-    # Every two sources: tiles of slots x blocks of sources.
-    tile, inside = F.floor(F.col("slot") / F.lit(tile_slots)).alias("tile"), (F.col("slot") % tile_slots).alias("slot")
-    cells = named.select("lang", "part", tile, inside, "source_no", "block", "blocks", share(F.col("n"), F.col("total"), F.col("terms")).alias("p"))
-    absent = share(F.lit(0), F.col("total"), F.col("terms")).alias("p")
-    base = tiles_of(parts, tile_slots).join(small_side(groups), "lang").select(
-        "lang", "part", "tile", (-F.col("slots")).alias("slot"), "source_no", "block", "blocks", absent)
-    met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("with")
-    dealt = cells.unionByName(base).select("*", met).select(
-        "lang", "part", "tile", "slot", "source_no", "block", "p", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"))
-    sums = (dealt.groupBy("lang", "part", "tile", "lo", "hi").applyInPandas(pair_sums, "lang string, a long, b long, value long")
-            .groupBy("lang", "a", "b").agg(F.sum("value").alias("value")))
-    # Languages without kept terms have no tiles.
-    no_terms = groups.filter("terms = 0").select("lang", F.col("source_no").cast("long").alias("a"))
+    groups = stored(
+        read(docs).select("lang", "source").distinct().join(sizes, "lang", "left").join(totals, ["lang", "source"], "left")
+        .fillna(0, ["terms", "group_total"])
+        .withColumn("lang_total", F.sum("group_total").over(lang))
+        .withColumn("source_no", F.row_number().over(lang.orderBy("source")).cast("long") - 1)
+        .withColumn("blocks", F.ceil(F.count(F.lit(1)).over(lang) / F.lit(block_sources)))
+        .withColumn("block", F.floor(F.col("source_no") / F.lit(block_sources))))
+
+    # Every part of a language meets every two blocks of its sources.
+    meets = lambda a, b: (F.explode(F.sequence(F.col(a), F.col(b))))
+    langs = groups.groupBy("lang").agg(*[F.first(c).alias(c) for c in ("terms", "lang_total", "blocks")])
+    whole = added_up(counts.withColumn("source", F.lit(""))).select(
+        "lang", "part", F.col("slots").alias("all_slots"), F.col("counts").alias("all_counts"))
+    sides = (parts.join(small_side(langs), "lang").join(whole, ["lang", "part"])
+             .withColumn("_last", F.col("blocks") - 1).withColumn("_zero", F.lit(0).cast("long"))
+             .withColumn("lo", meets("_zero", "_last")).withColumn("hi", meets("lo", "_last"))
+             .select(*[F.col(c).alias(c) for c in ("lang", "part", "lo", "hi", "terms", "lang_total", "state", "all_slots", "all_counts")]))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("_other")
+    rows = (parts.select("lang", "part").join(small_side(groups), "lang").join(counts.drop("total"), ["lang", "part", "source"], "left")
+            .select("lang", "part", "source_no", "block", "group_total", "slots", "counts", other)
+            .withColumn("lo", F.least("block", "_other")).withColumn("hi", F.greatest("block", "_other")).drop("_other"))
+    key = ["lang", "part", "lo", "hi"]
+    found = stored(rows.groupBy(*key).cogroup(sides.groupBy(*key)).applyInPandas(lambda a, b: compared(a, b, top), FOUND))
+
+    sums = found.filter("kind = 'pair'").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
+    # Languages without kept terms have no parts.
+    no_terms = groups.filter("terms = 0").select("lang", F.col("source_no").alias("a"))
     zero = no_terms.join(no_terms.withColumnRenamed("a", "b"), "lang").filter("a < b").withColumn("value", F.lit(0).cast("long"))
-    both = sums.unionByName(zero)
-    both = both.select("lang", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")),
-                                                 F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "value")
+    both = sums.unionByName(zero).select(
+        "lang", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")),
+                                  F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e"), "value")
     name = lambda no, as_: small_side(groups.select("lang", F.col("source_no").alias(no), F.col("source").alias(as_)))
     pair = (both.select("lang", F.col("e.x").alias("x"), F.col("e.y").alias("y"), "value")
-            .join(name("x", "source"), ["lang", "x"]).join(name("y", "item"), ["lang", "y"])
-            .select("lang", "source", F.lit("pair").alias("part"), "item", "value").withColumn("rank", F.row_number().over(by_value)))
-    return pair.unionByName(term)
+            .join(name("x", "source"), ["lang", "x"]).join(name("y", "item"), ["lang", "y"]))
+    term = found.filter("kind = 'term'").withColumnRenamed("a", "x").join(name("x", "source"), ["lang", "x"])
+    by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+
+    def ranked(df: DataFrame, part: str) -> DataFrame:
+        return df.select("lang", "source", F.lit(part).alias("part"), "item", "value").withColumn("rank", F.row_number().over(by_value))
+    return ranked(pair, "pair").unionByName(ranked(term, "term").filter(F.col("rank") <= top))

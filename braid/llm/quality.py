@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from .common import ship_package, stored, tidy
+from .common import ship_package, small_batches, stored, tidy
 
 SAMPLE_TEXTS, SAMPLE_WINDOWS = 3000, 64
 WINDOW, LEAST_WINDOW = 512, 128
@@ -175,6 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_TEXTS, most: in
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Adds ``score`` (0 to 1) and ``predicted`` (1 from ``GOOD`` on) to every row, from its ``text`` alone."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     names = docs.columns
 

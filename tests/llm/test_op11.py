@@ -60,7 +60,7 @@ def run(spark, rows, **kw):
 @pytest.mark.parametrize("kw", [
     {},
     # Small texts at a time, parts, slices, few counters, small tiles: every path is taken.
-    dict(limit=40, part_bytes=60, slice_bytes=1500, most=30, tile_slots=3, tile_sources=2),
+    dict(limit=40, part_bytes=60, slice_bytes=1500, most=30, block_sources=2),
 ])
 def test_against_plain(spark, kw):
     rows = rows_of(260)
@@ -106,6 +106,11 @@ def test_foreign_terms_have_no_slot():
     assert sorted([found[b"abc"], found[b"abd"], found["é".encode()]]) == [0, 1, 2]
 
 
+def test_shares_are_exact():
+    for n, total, terms in ((0, 0, 1), (7, 11, 3), (10**13, 3 * 10**13, 10**8), (9, 10**15, 5)):
+        assert divergence.share(np.array([n]), total, terms)[0] == 1 + 10**9 * (n + 2) // (total + 2 * terms)
+
+
 def test_long_text_is_cut_between_terms():
     text = ("abc déf " * 500 + "x" * 900 + ".tail").encode()
     pieces = list(divergence.cut(text, 100))
