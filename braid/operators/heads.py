@@ -296,47 +296,3 @@ def majority(rows: DataFrame, prior: DataFrame) -> DataFrame:
     """The class with the largest prior for every row of a task (the smallest index on ties)."""
     best = checked_broadcast(prior.select("task", ar.argmax("log_prior").alias("pred_idx")))
     return rows.join(best, "task")
-
-
-def fit_nb_periods(counts: DataFrame, rows: DataFrame, label_dim: DataFrame, max_classes: int,
-                   periods: int, needed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """H11 over time: the NB heads as they stand at the end of each of ``periods``.
-
-    ``counts``: ``occurrences`` with ``seen`` (array of the periods a training row is seen in, one
-    per epoch); ``rows``: the training rows with ``seen``; ``needed``: the (task, token) to
-    make model rows for, or all.  The counts of a period are those of all rows
-    seen until its end, as often as they were seen.  Arrays hold one slot per
-    (period, class): ``ll`` as in ``fit_nb``, 0 for a token not seen yet;
-    ``log_prior`` with one added to every class, as early periods may lack one.
-    Score with ``nb_score`` and all slots.
-
-    Totals come from sums per (label, seen), of which there are few, and from
-    each token's first period; arrays of slots are only made for needed tokens.
-    """
-    slots = [(g, c) for g in range(1, periods + 1) for c in range(max_classes)]
-    seen_by = lambda g: F.size(F.filter("seen", lambda p: p <= g))
-    often = {g: seen_by(g) for g in range(1, periods + 1)}
-    at = lambda arr, g, c: F.element_at(arr, (g - 1) * max_classes + c + 1)
-    of_period = lambda arr, g: F.slice(arr, (g - 1) * max_classes + 1, max_classes)
-
-    def by_slot(n):
-        return F.array(*[F.sum(F.when(F.col("label_idx") == c, F.col(n) * often[g]).otherwise(0)) for g, c in slots])
-    n_tok = (counts.groupBy("task", "label_idx", "seen").agg(F.sum("cnt").alias("n"))
-             .groupBy("task").agg(by_slot("n").alias("n_tok")))
-    first = counts.groupBy("task", "token").agg(F.min(F.array_min("seen")).alias("first"))
-    vsize = (first.groupBy("task", "first").agg(F.count(F.lit(1)).alias("n")).groupBy("task").agg(F.array(*[
-        F.sum(F.when(F.col("first") <= g, F.col("n")).otherwise(0)) for g in range(1, periods + 1)]).alias("vsize")))
-    total = n_tok.join(vsize, "task")  # one row per task
-    some = counts if needed is None else counts.join(needed, ["task", "token"], "left_semi")
-    wc = some.groupBy("task", "token").agg(by_slot("cnt").alias("n_w"))
-    ll = F.array(*[F.when(ar.total(of_period("n_w", g)) > 0, F.log(
-        (at("n_w", g, c) + 1) / (at("n_tok", g, c) + F.element_at("vsize", g)))).otherwise(0.0) for g, c in slots])
-    model = wc.join(F.broadcast(total), "task").select(
-        "task", "token", ll.alias("ll"),
-        (ar.total("n_w") >= ar.total("n_tok") * HOT_SHARE).alias("hot"))
-    docs = (rows.groupBy("task", "label_idx", "seen").agg(F.count(F.lit(1)).alias("n"))
-            .groupBy("task").agg(by_slot("n").alias("n")))
-    classes = label_dim.groupBy("task").agg(F.count(F.lit(1)).alias("n_cls"))
-    prior = docs.join(classes, "task").select("task", F.array(*[
-        F.log((at("n", g, c) + 1) / (ar.total(of_period("n", g)) + F.col("n_cls"))) for g, c in slots]).alias("log_prior"))
-    return model, prior

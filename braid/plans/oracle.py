@@ -81,7 +81,7 @@ cw AS (SELECT task, label, n, ln(sum(n) OVER (PARTITION BY task) / n) AS weight,
 
 
 def with_(*parts: str) -> str:
-    return "WITH " + ",\n".join(p.strip().rstrip(",") for p in parts) + "\n"
+    return ("WITH RECURSIVE " if STEPS in parts else "WITH ") + ",\n".join(p.strip().rstrip(",") for p in parts) + "\n"
 
 
 PREP = (EX, PLAN, QUOTA, SPLITS)
@@ -399,20 +399,56 @@ foc AS (SELECT pt.*, a.alpha, pow(1 - pt.pt, 2) * (-ln(pt.pt)) AS f, pow(1 - pt.
         FROM pt LEFT JOIN alpha a ON pt.task = a.task AND pt.label_idx = a.label_idx)
 """
 
+# The gradient heads: every train row's features, block and step, and the heads before each block.  A block's
+# heads come from those of the block before; ``cell`` holds what a cell has moved by, and is, after block b.
 STEPS = """
+ee AS (SELECT greatest(1, min(train_batches) // 4) AS every, min(train_batches) // greatest(1, min(train_batches) // 4) AS kk FROM plan2),
 ep AS (SELECT unnest(range(1, 4)) AS epoch),
-trp AS (SELECT r.task, r.id, r.label_idx, r.nll, r.pred_idx, ep.epoch,
+trp AS (SELECT r.task, r.id, r.label_idx, ep.epoch,
                row_number() OVER (PARTITION BY r.task, ep.epoch ORDER BY md5(r.id::VARCHAR || '|2020|' || ep.epoch), r.id) AS pos
-        FROM rowp r, ep WHERE r.split = 'train'),
-sp AS (SELECT 'nb' AS run_id, trp.epoch::BIGINT AS epoch, ((trp.pos - 1) // p.batch_size + 1)::BIGINT AS step,
-              trp.task, trp.id, trp.label_idx, trp.pred_idx, trp.nll
-       FROM trp JOIN plan2 p ON trp.task = p.task WHERE (trp.pos - 1) // p.batch_size + 1 <= p.train_batches),
+        FROM tokl r, ep WHERE r.split = 'train'),
+tst AS MATERIALIZED (SELECT trp.epoch::BIGINT AS epoch, ((trp.pos - 1) // p.batch_size + 1)::BIGINT AS step, trp.task, trp.id, trp.label_idx,
+               ((trp.epoch - 1) * ee.kk + least(ceil(((trp.pos - 1) // p.batch_size + 1)::DOUBLE / ee.every)::BIGINT, ee.kk + 1)) AS blk
+        FROM trp JOIN plan2 p ON trp.task = p.task, ee WHERE (trp.pos - 1) // p.batch_size + 1 <= p.train_batches),
+fv AS MATERIALIZED (SELECT c.task, c.split, c.id, ('0x' || substr(md5(c.token), 1, 8))::BIGINT % 16384 AS f,
+              c.cnt::DOUBLE / sqrt(sum(c.cnt * c.cnt) OVER (PARTITION BY c.task, c.split, c.id)) AS v
+       FROM cnt c WHERE c.split <> 'test'
+       UNION ALL SELECT task, split, id, 16384, 1.0 FROM tokl WHERE split <> 'test'),
+bn AS (SELECT task, blk, count(*)::DOUBLE AS n FROM tst GROUP BY ALL),
+cell(b, task, f, k, w, m) AS (
+  SELECT 0::BIGINT, task, 16384::BIGINT, label_idx, 0.0::DOUBLE, 0.0::DOUBLE FROM ldim
+  UNION ALL
+  SELECT b + 1, task, f, k, sum(w) + 0.7 * sum(m) - 2.0 * sum(g), 0.7 * sum(m) - 2.0 * sum(g)
+  FROM (
+    SELECT b, task, f, k, w, m, 0.0 AS g FROM cell
+    UNION ALL
+    SELECT s.b, s.task, x.f, s.k, 0.0, 0.0,
+           (exp(s.z - s.top) / s.esum - CASE WHEN s.k = s.label_idx THEN 1 ELSE 0 END) * x.v / s.n
+    FROM (
+      SELECT *, sum(exp(z - top)) OVER (PARTITION BY task, id, epoch) AS esum FROM (
+        SELECT *, max(z) OVER (PARTITION BY task, id, epoch) AS top FROM (
+          SELECT bb.b, t.task, t.id, t.epoch, t.label_idx, d.label_idx AS k, any_value(bn.n) AS n, coalesce(sum(x.v * c.w), 0) AS z
+          FROM (SELECT max(b) AS b FROM cell) bb JOIN tst t ON t.blk = bb.b + 1 JOIN bn ON bn.task = t.task AND bn.blk = t.blk
+          JOIN ldim d ON d.task = t.task JOIN fv x ON x.task = t.task AND x.id = t.id AND x.split = 'train'
+          LEFT JOIN cell c ON c.task = t.task AND c.f = x.f AND c.k = d.label_idx
+          GROUP BY bb.b, t.task, t.id, t.epoch, t.label_idx, d.label_idx))) s
+    JOIN fv x ON x.task = s.task AND x.id = s.id AND x.split = 'train')
+  WHERE b < 3 * (SELECT kk FROM ee)
+  GROUP BY b, task, f, k
+),
+tz AS (SELECT t.epoch, t.step, t.task, t.id, t.label_idx, d.label_idx AS k, coalesce(sum(x.v * c.w), 0) AS z
+       FROM tst t JOIN ldim d ON d.task = t.task JOIN fv x ON x.task = t.task AND x.id = t.id AND x.split = 'train'
+       LEFT JOIN cell c ON c.b = t.blk - 1 AND c.task = t.task AND c.f = x.f AND c.k = d.label_idx GROUP BY ALL),
+ztop AS (SELECT epoch, step, task, id, label_idx, k AS pred_idx, z AS top FROM (
+           SELECT *, row_number() OVER (PARTITION BY epoch, step, task, id ORDER BY z DESC, k) AS rn FROM tz) WHERE rn = 1),
+sp AS (SELECT 'heads' AS run_id, z.epoch, z.step, z.task, z.id, z.label_idx, any_value(t.pred_idx) AS pred_idx,
+              any_value(t.top) + ln(sum(exp(z.z - t.top))) - sum(CASE WHEN z.k = z.label_idx THEN z.z END) AS nll
+       FROM tz z JOIN ztop t USING (epoch, step, task, id) GROUP BY z.epoch, z.step, z.task, z.id, z.label_idx),
 slog AS (SELECT run_id, epoch, step, task, avg(nll) AS loss, avg(CASE WHEN pred_idx = label_idx THEN 1.0 ELSE 0.0 END) AS acc,
                 count(*)::BIGINT AS n FROM sp GROUP BY ALL)
 """
 
 MON = """
-ee AS (SELECT greatest(1, min(train_batches) // 4) AS every, min(train_batches) // greatest(1, min(train_batches) // 4) AS kk FROM plan2),
 evs AS (SELECT run_id, epoch, unnest(range(any_value(ee.every), max(step) + 1, any_value(ee.every))) AS e
         FROM sp, ee GROUP BY run_id, epoch),
 evt AS (SELECT sp.run_id, sp.epoch, sp.task, sp.step, sp.label_idx AS cls, 1 AS t, 0 AS p,
@@ -427,32 +463,12 @@ tot AS (SELECT run_id, epoch, step, sum(loss) AS total FROM slog GROUP BY ALL),
 rls AS (SELECT *, avg(total) OVER (PARTITION BY run_id, epoch ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_loss FROM tot)
 """
 
-# The heads at every evaluation: counts of all train rows seen in steps up to it, over the epochs.
+# The dev split under the heads of every evaluation.
 GROW = """
-seen AS (SELECT sp.task, sp.id, sp.label_idx,
-                ((sp.epoch - 1) * ee.kk + least(ceil(sp.step::DOUBLE / ee.every)::BIGINT, ee.kk + 1)) AS gi FROM sp, ee),
-gs AS (SELECT unnest(range(1, 3 * (SELECT kk FROM ee) + 1)) AS g),
-gtok AS (SELECT s.task, s.label_idx AS k, c.token, s.gi, sum(c.cnt) AS n
-         FROM seen s JOIN cnt c ON c.task = s.task AND c.id = s.id AND c.split = 'train' GROUP BY ALL),
-gw AS (SELECT t.task, t.k, t.token, gs.g, sum(t.n) AS n FROM gtok t JOIN gs ON t.gi <= gs.g GROUP BY ALL),
-gn AS (SELECT task, k, g, sum(n) AS n FROM gw GROUP BY ALL),
-gv AS (SELECT task, g, count(DISTINCT token) AS v FROM gw GROUP BY ALL),
-gknown AS (SELECT DISTINCT task, token, g FROM gw),
-gd AS (SELECT s.task, s.label_idx AS k, gs.g, count(*) AS n FROM seen s JOIN gs ON s.gi <= gs.g GROUP BY ALL),
-gcls AS (SELECT d.task, d.label_idx AS k, gs.g, coalesce(gn.n, 0) + gv.v AS denom,
-                ln((coalesce(gd.n, 0) + 1)::DOUBLE / (sum(coalesce(gd.n, 0)) OVER (PARTITION BY d.task, gs.g)
-                                                      + count(*) OVER (PARTITION BY d.task, gs.g))) AS lp
-         FROM ldim d CROSS JOIN gs JOIN gv ON gv.task = d.task AND gv.g = gs.g
-         LEFT JOIN gn ON gn.task = d.task AND gn.k = d.label_idx AND gn.g = gs.g
-         LEFT JOIN gd ON gd.task = d.task AND gd.k = d.label_idx AND gd.g = gs.g),
-gsc AS (SELECT c.task, c.id, k.g, cl.k, sum(c.cnt * ln((coalesce(w.n, 0) + 1)::DOUBLE / cl.denom)) AS s
-        FROM cnt c JOIN gknown k ON k.task = c.task AND k.token = c.token
-        JOIN gcls cl ON cl.task = c.task AND cl.g = k.g
-        LEFT JOIN gw w ON w.task = c.task AND w.token = c.token AND w.g = k.g AND w.k = cl.k
-        WHERE c.split = 'dev' GROUP BY ALL),
-glog AS (SELECT t.task, t.id, t.label_idx, cl.g, cl.k, cl.lp + coalesce(gsc.s, 0) AS logit
-         FROM tokl t JOIN gcls cl ON cl.task = t.task
-         LEFT JOIN gsc ON gsc.task = t.task AND gsc.id = t.id AND gsc.g = cl.g AND gsc.k = cl.k WHERE t.split = 'dev'),
+glog AS (SELECT t.task, t.id, t.label_idx, g.b AS g, d.label_idx AS k, coalesce(sum(x.v * c.w), 0) AS logit
+         FROM (SELECT DISTINCT b FROM cell WHERE b > 0) g JOIN tokl t ON t.split = 'dev' JOIN ldim d ON d.task = t.task
+         JOIN fv x ON x.task = t.task AND x.id = t.id AND x.split = 'dev'
+         LEFT JOIN cell c ON c.b = g.b AND c.task = t.task AND c.f = x.f AND c.k = d.label_idx GROUP BY ALL),
 gtop AS (SELECT task, id, label_idx, g, k AS pred_idx, logit AS m FROM (
            SELECT *, row_number() OVER (PARTITION BY task, id, g ORDER BY logit DESC, k) AS rn FROM glog) WHERE rn = 1),
 gnll AS (SELECT l.task, l.id, l.g, any_value(t.m) + ln(sum(exp(l.logit - t.m)))
@@ -465,7 +481,7 @@ gf AS (SELECT task, g, avg(f1) AS f1 FROM gcf GROUP BY task, g),
 gl AS (SELECT task, g, avg(bl) AS loss FROM (
          SELECT n.task, n.g, b.batch_id, avg(n.nll) AS bl FROM gnll n
          JOIN bat b ON b.task = n.task AND b.id = n.id AND b.split = 'dev' GROUP BY ALL) GROUP BY task, g),
-de AS (SELECT 'nb' AS run_id, ((gf.g - 1) // ee.kk + 1)::BIGINT AS epoch, (((gf.g - 1) % ee.kk + 1) * ee.every)::BIGINT AS step,
+de AS (SELECT 'heads' AS run_id, ((gf.g - 1) // ee.kk + 1)::BIGINT AS epoch, (((gf.g - 1) % ee.kk + 1) * ee.every)::BIGINT AS step,
               gf.task, gl.loss, gf.f1 FROM gf JOIN gl ON gf.task = gl.task AND gf.g = gl.g, ee),
 ev AS (SELECT f.run_id, f.epoch, f.step, avg(f.f1) AS train_f1, any_value(r.running_loss) AS train_loss,
               avg(d.f1) AS dev_f1, avg(d.loss) AS dev_loss,
@@ -573,7 +589,9 @@ FROM pred p LEFT JOIN ldim d ON p.task = d.task AND p.pred_idx = d.label_idx WHE
 
 
 def _step7(q: dict[str, str]) -> None:
-    base = with_(*PREP, TOK, NB, SCORED, STEPS)
+    base = with_(*PREP, TOK, NB, STEPS)
+    q["logreg_predictions"] = with_(*PREP, TOK, NB, STEPS, GROW[:GROW.index("gnll AS")].rstrip().rstrip(",")) + """
+SELECT task, id, label_idx::BIGINT AS label_idx, pred_idx::BIGINT AS pred_idx FROM gtop WHERE g = (SELECT max(b) FROM cell)"""
     q["step_log"] = base + """
 SELECT run_id, epoch, step, task, round(loss, 6) AS loss, round(acc, 6) AS acc, n FROM slog"""
     q["dwa_weights"] = base + """
@@ -612,8 +630,8 @@ UNION ALL SELECT epoch, step, 'dtp', round(sum(loss * -pow(1 - least(greatest(ac
                                                * ln(least(greatest(acc, 0.1), 0.99))), 6) FROM slog GROUP BY ALL
 UNION ALL SELECT epoch, step, 'dwa', round(sum(loss * CASE WHEN nr = kk THEN kk * exp(r / 2.0) / se ELSE 1.0 END), 6)
           FROM dw GROUP BY ALL"""
-    mbase = with_(*PREP, TOK, NB, SCORED, STEPS, MON)
-    gbase = with_(*PREP, TOK, NB, SCORED, STEPS, MON, BATCHES.format(epoch=1), GROW)
+    mbase = with_(*PREP, TOK, NB, STEPS, MON)
+    gbase = with_(*PREP, TOK, NB, STEPS, MON, BATCHES.format(epoch=1), GROW)
     q["dev_eval"] = gbase + "SELECT run_id, epoch, step, task, round(loss, 6) AS loss, round(f1, 6) AS f1 FROM de"
     q["running_f1"] = mbase + "SELECT run_id, epoch, step::BIGINT AS step, task, round(f1, 6) AS f1 FROM rf1"
     q["running_loss"] = mbase + """

@@ -78,42 +78,17 @@ def ngram_features(spark, sf_dir):
     return f.select("kind", "id", *cols)
 
 
-def _logreg(spark, sf_dir):
-    """Per-task logistic regression (MLlib) on hashed token counts of the
-    train rows, weighted by class weight; predictions of train and dev rows."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import HashingTF
-
-    from ..operators.common import checked_broadcast
-    from ..operators.features import all_tokens
-    from .stages import materialize
-    p = Prepared.get(spark, sf_dir)
-    cw = checked_broadcast(p.class_weights().select("task", "label", "weight"))
-    tok = p.tokens().filter(F.col("split") != "test")
-    df = tok.join(cw, ["task", "label"], "left").select(
-        "task", "split", "id", "label_idx", F.col("weight").cast("double").alias("weight"), all_tokens(tok).alias("tokens"))
-    tf = HashingTF(inputCol="tokens", outputCol="features", numFeatures=1 << 16)
-    feats = materialize(tf.transform(df).drop("tokens").withColumn("y", F.col("label_idx").cast("double")),
-                        ("task", "split"))
-    out = None
-    for t in [r["task"] for r in p.label_dim.select("task").distinct().collect()]:
-        part = feats.filter(F.col("task") == t)
-        lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", maxIter=20, regParam=0.01)
-        pred = lr.fit(part.filter(F.col("split") == "train")).transform(part)
-        one = pred.select("task", "split", "id", F.col("label_idx").cast("bigint").alias("label_idx"),
-                          F.col("prediction").cast("bigint").alias("pred_idx"))
-        out = one if out is None else out.unionByName(one)
-    return materialize(out)
-
-
 def _logreg_stage(spark, sf_dir):
-    from .stages import stage
-    return stage(spark, sf_dir, "logreg", lambda: _logreg(spark, sf_dir))
+    """Per-task softmax regression, fitted together by gradient steps; predictions of train and dev rows."""
+    from .stages import materialize, stage
+    from .training import Training
+    return stage(spark, sf_dir, "logreg", lambda: materialize(Training.get(spark, sf_dir).final_scores()))
 
 
 def logreg_predictions(spark, sf_dir):
-    """Predictions for the dev split."""
-    return _logreg_stage(spark, sf_dir).filter(F.col("split") == "dev").drop("split")
+    """Predictions for the dev split by the heads of the last evaluation."""
+    return _logreg_stage(spark, sf_dir).filter(F.col("split") == "dev").select(
+        "task", "id", F.col("label_idx").cast("bigint").alias("label_idx"), F.col("pred_idx").cast("bigint").alias("pred_idx"))
 
 
 def logreg_check(spark, sf_dir):

@@ -1,15 +1,12 @@
-"""L2 (train + evaluate) re-aimed as table jobs over real predictions.
-
-The per-task NB heads score every split row.  The training loop's step log is
-derived from those predictions: for epochs 1..3 the train split is shuffled
-per epoch (md5 key), cut into the planned batch sizes and every step's loss
-and accuracy are per-(epoch, step, task) aggregates.
-
-The dev side of the log is that of a model in training: the heads count what
-has been seen so far, so at every evaluation (``EVALS_PER_EPOCH`` per epoch)
-the dev split is scored by the heads fitted on the train rows of all steps up
-to it, a row counting once per epoch it was seen in.  Best-so-far, early stop
-and the progress lines follow that dev F1.
+"""L2 (train + evaluate) re-aimed as table jobs.
+
+Losses and metrics of the splits come from the per-task NB heads.  The
+training log is that of the gradient heads (``operators.gradient``): for epochs 1..3
+the train split is shuffled per epoch (md5 key) and cut into the planned batch
+sizes; the steps between two evaluations (``EVALS_PER_EPOCH`` per epoch) are a block.  A
+train row's loss and prediction are those of the heads at its block's start, the
+dev split is scored by the heads as they stand at each evaluation, and all
+heads of the run stay stored.  Best-so-far, early stop and the progress lines follow that dev F1.
 """
 
 from __future__ import annotations
@@ -19,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import SPLIT_SEED, TASKS
 from ..functions import arrays as ar
-from ..operators import heads as hd
+from ..operators import gradient as gr
 from ..operators import losses as ls
 from ..operators import metrics as mt
 from ..operators import monitor as mo
@@ -30,8 +27,8 @@ from .prepare import Prepared
 from .textmodels import NBScores
 
 N_EPOCHS = 3
-RUN_ID = "nb"
-# Evaluations per epoch (a parameter: the log has EVALS_PER_EPOCH x epochs models, or a few more in tiny
+RUN_ID = "heads"
+# Evaluations per epoch (a parameter: the log has EVALS_PER_EPOCH x epochs states of the heads, or a few more in tiny
 # epochs) and steps without improvement that end the run.
 EVALS_PER_EPOCH = 4
 MONITOR_PATIENCE = 12
@@ -40,7 +37,7 @@ MONITOR_PATIENCE = 12
 class Training:
     def __init__(self, spark: SparkSession, sf_dir: str, n_epochs: int = N_EPOCHS, materialize: bool = True):
         from .stages import materialize as mat
-        self._keep = mat if materialize else (lambda d: d)
+        self._keep = mat if materialize else (lambda d, by=(): d)
         self.p = Prepared.get(spark, sf_dir)
         self.nb = NBScores.get(self.p)
         self.n_epochs = n_epochs
@@ -48,6 +45,7 @@ class Training:
         self._step_preds = None
         self._step_log = None
         self._dev_eval = None
+        self._fit = None
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str) -> Training:
@@ -98,35 +96,60 @@ class Training:
         return every, steps // every
 
     def dev_eval(self) -> DataFrame:
-        """Dev loss and macro-F1 per (evaluation, task) under the heads fitted on
-        what was seen by then: ``run_id``, ``epoch``, ``step``, ``task``, ``loss``, ``f1``."""
+        """Dev loss and macro-F1 per (evaluation, task) under the heads as they stand
+        then: ``run_id``, ``epoch``, ``step``, ``task``, ``loss``, ``f1``."""
         if self._dev_eval is None:
             self._dev_eval = self._keep(self._build_dev_eval())
         return self._dev_eval
 
+    def classes(self) -> dict[str, int]:
+        return {r["task"]: r["n"] for r in self.p.label_dim.groupBy("task").agg(
+            (F.max("label_idx") + 1).alias("n")).collect()}
+
+    def features(self) -> DataFrame:
+        """Hashed features of all split rows, stored by split."""
+        slots = gr.slots_for(sum(self.classes().values()))
+        rows = gr.feature_rows(self.nb.occ, self.nb.rows, slots)
+        return self._keep(rows.select("task", "split", "id", "label_idx", "slot", "value"), ("split",))
+
+    def fit(self):
+        """(passes, states, features) of the run: see ``gradient.train``."""
+        if self._fit is None:
+            every, per_epoch = self.periods()
+            classes, feats = self.classes(), self.features()
+            # Steps behind an epoch's last evaluation belong to the block of the next one.
+            block = (F.col("epoch") - 1) * per_epoch + F.least(F.ceil(F.col("step") / every), F.lit(per_epoch + 1))
+            rows = self.steps_of(feats.filter(F.col("split") == "train")).select(
+                F.lit("train").alias("kind"), "task", "split", "id", "label_idx", F.col("epoch").cast("bigint").alias("epoch"), "step",
+                "slot", "value", block.cast("int").alias("block"))
+            seen = self._keep(rows, ("block",))
+            n = per_epoch * self.n_epochs
+            blocks = [seen.filter(F.col("block") == k).drop("block") for k in range(1, n + 2)]
+            none = F.lit(None).cast("bigint")
+            dev = feats.filter(F.col("split") == "dev").select(
+                F.lit("dev").alias("kind"), "task", "split", "id", "label_idx", none.alias("epoch"), none.alias("step"), "slot", "value")
+            self._fit = (*gr.train(blocks, dev, classes, gr.slots_for(sum(classes.values())), self._keep), feats)
+        return self._fit
+
+    def final_scores(self) -> DataFrame:
+        """All labelled rows scored by the heads of the last evaluation."""
+        every, per_epoch = self.periods()
+        _, states, feats = self.fit()
+        classes = self.classes()
+        heads = gr.fetched(states[per_epoch * self.n_epochs - 1], classes, gr.slots_for(sum(classes.values())))
+        none = F.lit(None).cast("bigint")
+        rows = feats.filter(F.col("split") != "test").select(
+            F.lit("dev").alias("kind"), "task", "split", "id", "label_idx", none.alias("epoch"), none.alias("step"), "slot", "value")
+        return gr.scored(rows, heads).select("task", "split", "id", "label_idx", ar.argmax("logits").alias("pred_idx"))
+
     def _build_dev_eval(self) -> DataFrame:
         every, per_epoch = self.periods()
-        n, c = per_epoch * self.n_epochs, self.nb.max_classes
-        rows, occ = self.nb.rows, self.nb.occ
-        train = rows.filter(F.col("split") == "train")
-        # Steps behind an epoch's last evaluation are first evaluated in the next epoch.
-        period = (F.col("epoch") - 1) * per_epoch + F.least(F.ceil(F.col("step") / every), F.lit(per_epoch + 1))
-        seen = self._keep(self.steps_of(train).groupBy(
-            "task", "split", "id", "label_idx").agg(F.collect_list(period.cast("int")).alias("seen")))
-        counts = (occ.filter(F.col("split") == "train")
-                  .join(seen.select("task", "split", "id", "seen"), ["task", "split", "id"]))
-        is_dev = F.col("split") == "dev"
-        # Sorted, so that rows seen in the same periods are one group.
-        counts = counts.withColumn("seen", F.array_sort("seen"))
-        model, prior = hd.fit_nb_periods(counts, seen, self.p.label_dim, c, n,
-                                         occ.filter(is_dev).select("task", "token").distinct())
-        model, prior = self._keep(model), self._keep(prior)
-        scored = hd.nb_score(rows.filter(is_dev), occ.filter(is_dev), model, prior, n * c)
-        classes = self.p.label_dim.groupBy("task").agg(F.count(F.lit(1)).cast("int").alias("n_cls"))
-        at = F.explode(F.sequence(F.lit(1), F.lit(n)))
-        each = (scored.join(F.broadcast(classes), "task").withColumn("period", at)
-                .withColumn("logits", F.slice("logits", (F.col("period") - 1) * c + 1, F.col("n_cls"))))
-        each = self._keep(each.withColumn("pred_idx", ar.argmax("logits")))
+        passes, _, _ = self.fit()
+        each = None
+        for k, passed in enumerate(passes[1:], 1):
+            one = passed.filter("kind = 'dev'").select("task", "id", "label_idx", "logits", F.lit(k).alias("period"))
+            each = one if each is None else each.unionByName(one)
+        each = each.withColumn("pred_idx", ar.argmax("logits"))
         batch = self.dev_batched().select("task", "id", "batch_id")
         loss = ls.batch_mean(each.join(batch, ["task", "id"]), ["period", "task"])
         f1 = mt.macro_f1(each, ["period", "task"])
@@ -137,9 +160,13 @@ class Training:
             "task", F.col("batch_mean").alias("loss"), F.col("macro_f1").alias("f1"))
 
     def _build_step_preds(self) -> DataFrame:
-        tr = self.steps_of(self.split_preds("train"))
-        return tr.select(F.lit(RUN_ID).alias("run_id"), F.col("epoch").cast("bigint").alias("epoch"),
-                         "step", "task", "id", "label_idx", "pred_idx", "logits")
+        passes, _, _ = self.fit()
+        rows = None
+        for passed in passes:
+            one = passed.filter("kind = 'train'").select("epoch", "step", "task", "id", "label_idx", "logits")
+            rows = one if rows is None else rows.unionByName(one)
+        return rows.select(F.lit(RUN_ID).alias("run_id"), "epoch", "step", "task", "id", "label_idx",
+                           ar.argmax("logits").alias("pred_idx"), "logits")
 
     def _build_step_log(self) -> DataFrame:
         sp = self.step_preds().withColumn("_nll", ls.nll())
@@ -319,7 +346,7 @@ def running_loss(spark, sf_dir):
 
 
 def dev_eval(spark, sf_dir):
-    """Dev loss and macro-F1 of the growing heads at every evaluation."""
+    """Dev loss and macro-F1 of the heads at every evaluation."""
     return _t(spark, sf_dir).dev_eval().select("run_id", "epoch", "step", "task", r6("loss").alias("loss"),
                                                r6("f1").alias("f1"))
 

@@ -5,8 +5,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import SparkFiles
+from pyspark.sql import SparkSession
 
 # Broadcast only below this many bytes (as estimated by Catalyst after the
 # bounded-size checks in the operators).
@@ -53,3 +55,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         cur = tempfile.mkdtemp(prefix="braid-ckpt-")
     sc.setCheckpointDir(cur)
     return cur
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of all executors, once per application, as an archive Spark
+    distributes; no path of the driver has to exist elsewhere."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = os.path.join(SparkFiles.getRootDirectory(), "shipped")
+    os.makedirs(folder, exist_ok=True)
+    archive = os.path.join(folder, "braid.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for where, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(where, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(archive)
+    _shipped.add(sc.applicationId)
