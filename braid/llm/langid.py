@@ -10,14 +10,14 @@ how well that classifier did in training, and the language with the smallest
 loss is chosen.  ``score`` is its share in a softmax of the negative losses;
 a lead over the second below ``AMBIGUOUS`` flags the text.
 
-The classifiers learn from a bounded sample (``SAMPLE_ROWS`` labelled rows, spread
-over the languages, chosen by a hash of the id) inside one task; predictions
+The classifiers learn from a bounded sample (about ``SAMPLE_ROWS`` different labelled texts, spread
+over the ``MOST_LANGUAGES`` commonest languages, chosen by a hash of the text) inside one task; predictions
 read whole texts and nothing else.
 
 Defined results.  Null text, or one without letters: ``und``, score 0,
 ambiguous.  Rows without a label teach nothing.  Without any labelled row every
 text is ``und``.  Ties between languages go to the smaller name.  Equal texts
-get equal results; rows are returned as often as they occur.  Empty table:
+get equal results, and teach as one; rows are returned as often as they occur.  Empty table:
 empty result.  ``identify`` carries extra columns.
 """
 
@@ -31,9 +31,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import ship_package, stored, tidy
 
-SAMPLE_ROWS, LEAST_PER_LANGUAGE = 3000, 50
+SAMPLE_ROWS, LEAST_PER_LANGUAGE, MOST_LANGUAGES = 3000, 50, 200
+PLACES = 1 << 40
 BUCKETS = 4096
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.05, 5
 MOST_EXHAUSTIVE, RANDOM_BITS = 7, 40
@@ -145,23 +146,24 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE_ROWS) -> Model | None:
-    """Learns from a sample of ``docs`` (``doc_id``, ``text``, ``lang``) of about
-    ``sample`` rows, at least ``LEAST_PER_LANGUAGE`` per language if there are so many."""
-    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    per = max(LEAST_PER_LANGUAGE, sample // max(1, len(sizes)))
-    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    limit = F.lit(0).cast("long")
-    for lang, n in sizes.items():
-        limit = F.when(F.col("lang") == lang, F.lit(min(1 << 40, (1 << 40) * per // n))).otherwise(limit)
+def fit(docs: DataFrame, sample: int = SAMPLE_ROWS, most: int = MOST_LANGUAGES) -> Model | None:
+    """Learns the ``most`` commonest languages of ``docs`` (``text``, ``lang``) from about
+    ``sample`` different texts, at least ``LEAST_PER_LANGUAGE`` per language if there are so many."""
+    ship_package(docs.sparkSession)
+    rows = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang", F.xxhash64("text").alias("_hash"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("_hash").alias("_texts"), F.count(F.lit(1)).alias("_rows"))
+    learnt = stored(sizes.orderBy(F.desc("_rows"), "lang").limit(most))
+    per = max(LEAST_PER_LANGUAGE, sample // max(1, learnt.count()))
+    # Copies of a text are drawn together and count once.
+    place, limit = F.pmod(F.xxhash64("_hash"), F.lit(PLACES)), F.lit(PLACES * per) / F.greatest("_texts", F.lit(per))
+    drawn = rows.join(F.broadcast(learnt), "lang").filter(place < limit).groupBy("lang", "_hash").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted((r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
                         if has_letters(r[0])), key=lambda r: (r[1], r[0]))
         model = train([t for t, _ in found], [x for _, x in found])
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(model and vars(model))]})
-    row = rows.filter(place < limit).select("text", "lang").repartition(1).mapInArrow(tidy(run), "model binary").first()
+    row = drawn.select("text", "lang").repartition(1).mapInArrow(tidy(run), "model binary").first()
     state = pickle.loads(bytes(row.model)) if row else None
     if not state:
         return None
@@ -173,6 +175,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE_ROWS) -> Model | None:
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds ``lang_pred``, ``score`` and ``ambiguous`` to every row, from its ``text`` alone
     (replacing columns of these names)."""
+    ship_package(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "ambiguous")
     names = [f.name for f in docs.schema.fields]
     return docs.mapInArrow(tidy(_identifier(model, names)), _schema(docs))

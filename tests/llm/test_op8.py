@@ -69,3 +69,24 @@ def test_edges(spark):
     one = langid.identify(df, langid.fit(df.filter("lang = 'fr'"))).collect()
     assert {r.lang_pred for r in one} == {"fr", "und"}
     assert langid.identify(df.limit(0), langid.fit(df.limit(0))).count() == 0
+
+
+def test_repeated_rows_lose_no_language(spark):
+    """A language of copies of one text is learnt, and its copies are drawn once."""
+    import pyspark.sql.functions as F
+    g = np.random.default_rng(4)
+    french = [" ".join(g.choice("le la maison rouge dans une petite ville avec des gens".split(), 12)) for _ in range(600)]
+    for text in ("the house on the hill", "when the winter came", "of all the letters"):
+        rows = [(i, text, "en") for i in range(600)] + [(600 + i, t, "fr") for i, t in enumerate(french)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        model = langid.fit(docs, sample=60)
+        assert model.languages == ["en", "fr"]
+        told = langid.identify(docs, model).groupBy("lang").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("a"))
+        assert all(r.a > 0.95 for r in told.collect())
+
+
+def test_many_languages(spark):
+    """Only the commonest are learnt, whatever a dirty column holds."""
+    rows = [(f"text of number {i}", f"x{i}") for i in range(300)] + [(f"le texte {i}", "fr") for i in range(40)] + [(f"das wort {i}", "de") for i in range(30)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    assert langid.fit(docs, most=2).languages == ["de", "fr"]
