@@ -12,18 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-
-
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver did."""
-    env = spark.sparkContext.environment
-    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
-
+from ..session import ensure_checkpoint_dir, ship_package
 
 # Rows of whole texts and packed arrays are large: so many bytes at a time between Spark and its
 # Python workers, on top of the usual number of rows.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for
+from .common import blocks_for, ship_package
 from .textkernel import PLACE, mix64, shingles
 
 WORDS = 5
@@ -131,6 +131,7 @@ def with_next(docs: DataFrame, fn: Callable[[list, list[str]], pa.RecordBatch],
     The ids are cut into blocks at quantiles; the first document of a block is
     also sent to the end of the block before, so blocks need nothing else.
     """
+    ship_package(docs.sparkSession)
     blocks = min(MOST_BLOCKS, blocks_for(docs.count(), ROWS_PER_BLOCK))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / blocks for i in range(blocks)], 100_000)).first()[0]
     cuts = np.array(sorted(set(cuts or [])), np.int64)
@@ -180,6 +181,7 @@ def with_next(docs: DataFrame, fn: Callable[[list, list[str]], pa.RecordBatch],
 
 def fingerprints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """``doc_id`` and ``fingerprint`` (hexadecimal, four digits per sample) of every document."""
+    ship_package(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prints = fingerprint_texts([t or "" for t in b.column(1).to_pylist()], samples)

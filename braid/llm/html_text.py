@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship_package
 from .textkernel import BYTE_LOWER, prefix_hash, span_hash, words
 
 SAMPLE_PAGES = 240
@@ -447,6 +448,7 @@ def main_text(labeller: Labeller, pages: list[str]) -> list[str]:
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Labeller:
     """Trains, in one task, on the ``sample`` different pages whose html has the smallest
     hashes (the same for the same table)."""
+    ship_package(pages.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [h for b in batches for h in b.column(0).to_pylist()]
         yield pa.RecordBatch.from_pydict({"model": [pickle.dumps(train(found).p)]})
@@ -463,6 +465,7 @@ def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Labeller:
 
 def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
     """``page_id``, ``url`` and main ``text`` of every row."""
+    ship_package(pages.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, PAGES_AT_ONCE):

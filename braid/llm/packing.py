@@ -2,7 +2,7 @@
 
 ``tokenise`` turns each text into token ids with a public tokenizer file and
 cuts documents longer than a window into full windows and a rest.  ``pack``
-deals the pieces into groups by a hash, and in each group places them from the
+deals the pieces into groups by a hash of their place, and in each group places them from the
 longest to the shortest into the open sequence with the least room that still
 fits; a segment tree indexed by the remaining room finds it.  A group has a few
 thousand pieces, so the sequences it leaves partly filled are few against all.
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import blocks_for, kept, tidy
+from .common import blocks_for, kept, ship_package, tidy
 from .textkernel import LOWER, prefix_hash, span_hash, words
 
 CAPACITY = 4096
@@ -170,7 +170,7 @@ def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
     ``length``, ``doc_tokens`` and ``ids`` (little-endian unsigned 32-bit
     numbers).  A document's ids are its text's and ``end_id``; all its pieces
     but the last fill a window of ``capacity``."""
-    path = path or default_path()
+    ship_package(docs.sparkSession)
 
     def pieces(encoder: Encoder, doc_ids: list, texts: list[bytes]) -> pa.RecordBatch:
         ids, counts = encoder.encode(texts)
@@ -187,7 +187,7 @@ def tokenise(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY,
             names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.for_path(path)
+        encoder = Encoder.for_path(path or default_path())  # where the task runs
         for b in batches:
             doc_ids, texts, size = [], [], 0
             for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
@@ -248,9 +248,11 @@ def pack(pieces: DataFrame, documents: int, capacity: int = CAPACITY) -> DataFra
     """Adds ``sequence_id`` (unique over all groups) and ``offset`` (gapless
     from 0 in each sequence).  ``pieces``: ``doc_id``, ``start``, ``length`` and any columns to
     carry; ``documents``: about how many documents they come from."""
+    ship_package(pieces.sparkSession)
     pieces = pieces.drop("sequence_id", "offset")
     groups = blocks_for(documents, DOCS_PER_GROUP)
-    group = F.pmod(F.xxhash64("doc_id", "start", "length"), F.lit(groups))
+    # By the row, not by its values: equal or null ids spread over all groups.
+    group = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups))
     names = pieces.columns
     key = "_group"
     while key in names:

@@ -40,7 +40,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, small_side, stored, tidy
+from .common import row_key, ship_package, small_side, stored, tidy
 
 LEAST, LONG = 8, 24
 SAMPLE = 8000
@@ -263,6 +263,7 @@ def judge(found: DataFrame, forest: RandomForestClassificationModel | None) -> D
 
 def scan(docs: DataFrame) -> DataFrame:
     """Secrets of ``docs``: ``doc_id``, ``digest``, ``start``, ``end``, ``value``, ``score`` (above one half)."""
+    ship_package(docs.sparkSession)
     found = stored(candidates(docs, dictionary(docs)))
     scored = judge(found, train(found)).withColumn("score", F.greatest("score", "label"))
     return scored.filter("score > 0.5").drop("features", "label")

@@ -24,17 +24,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 BYTE_LOWER = BYTE[LOWER]
 
+MOST_KEPT = 1 << 21
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power(base, n: int, name: str) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64 (kept for later calls)."""
+    """base**0 .. base**n modulo 2**64 (kept for later calls, up to ``MOST_KEPT``)."""
     p = _powers.get(name)
     if p is None or len(p) <= n:
         p = np.full(max(n + 1, 1 << 16), base, U)
         p[0] = 1
         np.multiply.accumulate(p, out=p)
-        _powers[name] = p
+        if len(p) <= MOST_KEPT:
+            _powers[name] = p
     return p[:n + 1]
 
 

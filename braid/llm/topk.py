@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks_for
+from .common import blocks_for, ship_package
 
 SCALE = 1024
 # Rows per block: a candidate block is at most well under a MB.
@@ -112,6 +112,7 @@ def _search_blocks(k: int):
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score``: the k best candidates of
     every query (both tables: ``id``, ``v`` as made by ``quantise``)."""
+    ship_package(candidates.sparkSession)
     queries = queries.groupBy("id").agg(F.min("v").alias("v"))
     n_c = blocks_for(candidates.count(), CANDIDATES_PER_BLOCK)
     n_q = blocks_for(queries.count(), QUERIES_PER_BLOCK)

@@ -76,3 +76,13 @@ def test_best_fit(seed):
         want.append(64 - r)
         rooms[s] -= n
     assert sorted(offset[np.argsort(-lengths, kind="stable")]) == sorted(want) and sequence.max() + 1 == len(rooms)
+
+
+def test_equal_ids_spread_over_groups(spark):
+    """Rows that share an id, or have none, are no group of their own."""
+    from pyspark.sql import functions as F
+    for i in (None, 7):
+        pieces = spark.createDataFrame([(i, 0, 100, 100)] * 20_000, "doc_id long, start long, length long, doc_tokens long").repartition(8)
+        rows = packing.pack(pieces, 20_000).groupBy(F.shiftright("sequence_id", 32).alias("g")).count().collect()
+        many = sorted(r["count"] for r in rows)
+        assert len(many) == 10 and many[-1] <= 2 * many[len(many) // 2]
