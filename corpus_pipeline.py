@@ -22,11 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braid.llm import langid, mixing, ngram_join, packing, secret_scan
-from braid.llm.common import read_table, row_key, ship_package, small_side, stored
+from braid.llm.common import read_table, row_key, ship_package, small_batches, small_side, stored
 
-# Rows of whole texts and packed shards are large: so many bytes at a time between Spark and its
-# Python workers, on top of the usual number of rows.
-ARROW_BYTES = 4 << 20
 # Five-word shingles and a similarity of 0.8.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
@@ -34,7 +31,7 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 def prepare(spark: SparkSession) -> None:
     """Settings the stages run under."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    small_batches(spark)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -90,7 +87,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return packing.pack(packing.tokenise(docs), docs.count())
+    # Places are found from the lengths alone; the ids come to them by piece.
+    pieces = stored(packing.tokenise(docs).withColumn("piece", F.monotonically_increasing_id()))
+    placed = stored(packing.pack(pieces.drop("ids"), docs.count()).select("piece", "sequence_id", "offset"))
+    return pieces.join(small_side(placed), "piece").drop("piece")
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mix", mix), ("pack", pack)]
