@@ -29,6 +29,7 @@ import html
 import pickle
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,9 @@ LAYOUTS = 8  # new layouts of each sampled page
 PIECE_BLOCKS = 200  # longer pages are learnt in pieces
 PATH, WORD, HIDDEN = 512, 32, 16
 EPOCHS, BATCH, RATE, SEED = 16, 32, 0.02, 11
-PAGES_AT_ONCE = 256
+# Pages and their blocks labelled together, blocks whose vectors are made at once, and steps x pages of a run.
+PAGES_AT_ONCE, BLOCKS_AT_ONCE = 256, 8192
+VECTORS_AT_ONCE, STEPS_AT_ONCE = 2048, 1 << 16
 
 # HTML element names, and the names that containers of article
 # text and of everything else commonly have (tags, and words of class and id).
@@ -64,6 +67,7 @@ CONTENT = ("article", "main", "content", "post", "entry", "story", "body-text")
 CLUTTER = ("nav", "header", "footer", "aside", "form", "menu", "sidebar", "notice", "ad", "ads", "advert", "cookie",
            "banner", "comment", "comments", "related", "share", "promo", "newsletter", "breadcrumb", "popup",
            "subscribe", "widget", "sponsored", "consent", "reply", "login", "search", "button", "select", "label")
+_CONTENT, _CLUTTER = frozenset(CONTENT), frozenset(CLUTTER)
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -82,6 +86,62 @@ def _element(tag: str, attrs: str) -> tuple[str, ...]:
     return (tag, *filter(None, _SPLIT.split(names)))
 
 
+class Path:
+    """The open elements down to a block: the last one, and the path above it, which blocks share.  Reads as the tuple of the elements."""
+
+    __slots__ = ("above", "element", "tag", "content", "clutter", "_places")
+
+    def __init__(self, above: Path | None, element: tuple[str, ...], tag: str):
+        self.above, self.element, self.tag = above, element, tag
+        self.content = above is not None and above.content or any(t in _CONTENT for t in element)
+        self.clutter = above is not None and above.clutter or any(t in _CLUTTER for t in element)
+        self._places = None
+
+    def __iter__(self) -> Iterator[tuple[str, ...]]:
+        up, node = [], self
+        while node is not None:
+            up.append(node.element)
+            node = node.above
+        return reversed(up)
+
+    def __len__(self) -> int:
+        return sum(1 for _ in self)
+
+    def __getitem__(self, k):
+        return tuple(self)[k]
+
+    def __eq__(self, other) -> bool:
+        return tuple(self) == tuple(other)
+
+    __hash__ = None
+
+    def places(self) -> frozenset:
+        """Hashed places of all names on the path, at most ``PATH`` of them; paths that add none share them."""
+        todo, node = [], self
+        while node is not None and node._places is None:
+            todo.append(node)
+            node = node.above
+        held = node._places if node is not None else frozenset()
+        for node in reversed(todo):
+            own = _places_of(node.element)
+            held = held if own <= held else held | own
+            node._places = held
+        return held
+
+
+_NO_PATH: tuple = ()
+_element_places: dict[tuple[str, ...], frozenset] = {}
+
+
+def _places_of(names: tuple[str, ...]) -> frozenset:
+    found = _element_places.get(names)
+    if found is None:
+        if len(_element_places) > 50_000:
+            _element_places.clear()
+        found = _element_places[names] = frozenset(zlib.crc32(x.encode()) % PATH for x in names)
+    return found
+
+
 def _self_closed(attrs: str) -> bool:
     """Ends with a slash that is no part of an unquoted value."""
     return attrs.endswith("/") and not _UNQUOTED.search(attrs)
@@ -115,28 +175,33 @@ def _hidden(tokens: list[tuple[re.Match, str, int]]) -> dict[int, int]:
     return out
 
 
-def blocks(page: str) -> list[tuple[tuple, str, int]]:
+def blocks(page: str) -> list[tuple[Path | tuple, str, int]]:
     """(tag path, text, characters inside links) of every leaf block, in order;
     character references decoded, white space runs turned into one space."""
-    out, stack, parts, at, linked = [], [], [], 0, 0
+    out, parts, at, linked = [], [], 0, 0
+    stack: list[Path] = []
+    open_tags: Counter[str] = Counter()
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append((tuple(stack_path()), text, min(linked, len(text))))
+            out.append((stack[-1] if stack else _NO_PATH, text, min(linked, len(text))))
         parts.clear()
         linked = 0
 
-    def stack_path():
-        return [e for e, _ in stack]
+    def close(k: int) -> None:
+        """Closes the open elements from the ``k``-th on."""
+        for e in stack[k:]:
+            open_tags[e.tag] -= 1
+        del stack[k:]
 
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
             text = html.unescape(raw)
             parts.append(text)
-            if any(t == "a" for _, t in stack):
+            if open_tags["a"]:
                 linked += len(text)
     tokens = _tokens(page)
     hidden, skip, foreign = _hidden(tokens), -1, []  # foreign: open drawings, formulas and HTML inside of them
@@ -160,7 +225,7 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
                 del foreign[len(foreign) - 1 - foreign[::-1].index(tag):]
             continue
         if foreign and foreign[-1] in FOREIGN_TAGS:
-            if tag not in ("p", "br") and not any(t == tag for _, t in stack) if m["end"] else tag not in BREAKOUT_TAGS:
+            if tag not in ("p", "br") and not open_tags[tag] if m["end"] else tag not in BREAKOUT_TAGS:
                 continue
             while foreign and foreign[-1] in FOREIGN_TAGS:
                 foreign.pop()
@@ -172,17 +237,23 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
         elif block:
             flush()
         if m["end"]:
-            names = [t for _, t in stack]
             if tag in HEADINGS:  # ends any open heading
-                tag = next((t for t in reversed(names) if t in HEADINGS), tag)
-            if tag in names:
-                k = len(names) - 1 - names[::-1].index(tag)
-                if block or all(t not in BLOCK_TAGS for t in names[k:]):
-                    del stack[k:]
+                tag = next((e.tag for e in reversed(stack) if e.tag in HEADINGS), tag) if any(open_tags[h] for h in HEADINGS) else tag
+            if open_tags[tag]:
+                k, inline = len(stack) - 1, True
+                while stack[k].tag != tag:
+                    inline = inline and stack[k].tag not in BLOCK_TAGS
+                    if not (block or inline):
+                        break
+                    k -= 1
+                else:
+                    if block or inline and tag not in BLOCK_TAGS:
+                        close(k)
         elif tag not in VOID_TAGS:
             if block and tag != "body":
-                _close_implied(stack, tag)
-            stack.append((_element(tag, m["attrs"]), tag))
+                _close_implied(stack, open_tags, close, tag)
+            stack.append(Path(stack[-1] if stack else None, _element(tag, m["attrs"]), tag))
+            open_tags[tag] += 1
     if not foreign or foreign[-1] not in FOREIGN_TAGS:
         add(page[at:])
     flush()
@@ -193,32 +264,29 @@ def blocks(page: str) -> list[tuple[tuple, str, int]]:
 _ENDS = {"li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}),
          "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}),
          "th": ({"td", "th", "p"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+_SHIELDS = BLOCK_TAGS - HEADINGS - {"p"}
+_ENDS_HEADING, _ENDS_OTHER = (HEADINGS | {"p"}, _SHIELDS), ({"p"}, _SHIELDS)
 
 
-def _close_implied(stack: list, tag: str) -> None:
-    ends, shields = _ENDS.get(tag, (HEADINGS | {"p"} if tag in HEADINGS else {"p"}, BLOCK_TAGS - HEADINGS - {"p"}))
+def _close_implied(stack: list[Path], open_tags: Counter[str], close, tag: str) -> None:
+    ends, shields = _ENDS.get(tag, _ENDS_HEADING if tag in HEADINGS else _ENDS_OTHER)
+    if not any(open_tags[t] for t in ends):
+        return
     for k in range(len(stack) - 1, -1, -1):
-        if stack[k][1] in ends:
-            del stack[k:]
-            if not (ends & {t for _, t in stack} - {"p"}):
+        if stack[k].tag in ends:
+            close(k)
+            if not any(open_tags[t] for t in ends if t != "p"):
                 return
-        elif stack[k][1] in shields:
+        elif stack[k].tag in shields:
             return
 
 
-_path_rows: dict[tuple, np.ndarray] = {}
-
-
-def _path_vector(path: tuple) -> np.ndarray:
-    """Places of the path's hashed tokens."""
-    row = _path_rows.get(path)
-    if row is None:
-        names = {f"{t}" for e in path for t in e} | {f"leaf {e[0]}" for e in path[-1:]}
-        row = np.array(sorted({zlib.crc32(x.encode()) % PATH for x in names}), np.int64)
-        if len(_path_rows) > 50_000:
-            _path_rows.clear()
-        _path_rows[path] = row
-    return row
+def _path_vector(path: Path | tuple) -> np.ndarray:
+    """Places of the path's hashed names and of its last tag as a leaf."""
+    if not path:
+        return np.empty(0, np.int64)
+    leaf = zlib.crc32(f"leaf {path.element[0]}".encode()) % PATH
+    return np.fromiter(path.places() | {leaf}, np.int64)
 
 
 def vectors(found: list[tuple[tuple, str, int]]) -> np.ndarray:
@@ -263,6 +331,31 @@ class Labeller:
         """Input terms of all gates, as one product over all steps and pages."""
         return (x.reshape(-1, x.shape[2]) @ self.p["x" + d] + self.p["c" + d]).reshape(*x.shape[:2], -1)
 
+    def terms(self, x: np.ndarray) -> np.ndarray:
+        """Input terms of both directions' gates (blocks, 2 x gates) for the vectors of some blocks."""
+        return (x @ np.concatenate([self.p["xf"], self.p["xb"]], axis=1)
+                + np.concatenate([self.p["cf"], self.p["cb"]])).astype(np.float32)
+
+    def terms_of(self, found: list[tuple]) -> np.ndarray:
+        """``terms`` of any number of blocks; their vectors live a few at a time."""
+        out = np.empty((len(found), 8 * HIDDEN), np.float32)
+        for a in range(0, len(found), VECTORS_AT_ONCE):
+            out[a:a + VECTORS_AT_ONCE] = self.terms(vectors(found[a:a + VECTORS_AT_ONCE]))
+        return out
+
+    def _outputs(self, z: np.ndarray, d: str) -> np.ndarray:
+        """One direction's share in the logits (time, pages); nothing else of a step is kept."""
+        h, w = HIDDEN, self.p["out"][:HIDDEN] if d == "f" else self.p["out"][HIDDEN:]
+        hid, cell = np.zeros((z.shape[1], h)), np.zeros((z.shape[1], h))
+        out = np.empty(z.shape[:2])
+        for t in range(len(z)):
+            a = z[t] + hid @ self.p["h" + d]
+            gates = _sigmoid(a[:, :3 * h])
+            cell = gates[:, h:2 * h] * cell + gates[:, :h] * np.tanh(a[:, 3 * h:])
+            hid = gates[:, 2 * h:] * np.tanh(cell)
+            out[t] = hid @ w
+        return out
+
     def _run(self, z: np.ndarray, d: str):
         """States of one direction; z: input terms (time, pages, gates)."""
         steps, pages, h = z.shape[0], z.shape[1], HIDDEN
@@ -351,28 +444,37 @@ class Labeller:
         return self
 
     def content(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Which blocks of each page are content."""
-        out: list = [np.zeros(0, bool)] * len(pages)
-        order = sorted((k for k in range(len(pages)) if len(pages[k])), key=lambda k: len(pages[k]))
-        for a in range(0, len(order), PAGES_AT_ONCE):
-            some = order[a:a + PAGES_AT_ONCE]
+        """Which blocks of each page are content, from the vectors of its blocks."""
+        return self.decide([self.terms(p) for p in pages])
+
+    def decide(self, terms: list[np.ndarray]) -> list[np.ndarray]:
+        """Which blocks of each page are content, from its ``terms``."""
+        out: list = [np.zeros(0, bool)] * len(terms)
+        order = sorted((k for k in range(len(terms)) if len(terms[k])), key=lambda k: len(terms[k]))
+        gates, a = 4 * HIDDEN, 0
+        while a < len(order):
             # Pages of very different length run apart, so padding stays small.
-            while some:
-                limit = 2 * len(pages[some[0]]) + 8
-                part = [k for k in some if len(pages[k]) <= limit]
-                logits = self.scores([pages[k] for k in part])
-                for c, k in enumerate(part):
-                    out[k] = logits[:len(pages[k]), c] > 0
-                some = some[len(part):]
+            b = a + 1
+            while b < len(order) and len(terms[order[b]]) <= min(2 * len(terms[order[a]]) + 8, STEPS_AT_ONCE // (b + 1 - a)):
+                b += 1
+            some, steps = order[a:b], len(terms[order[b - 1]])
+            logits = np.zeros((steps, len(some)))
+            for d, cut, way in (("f", slice(0, gates), 1), ("b", slice(gates, None), -1)):
+                z = np.zeros((steps, len(some), gates), np.float32)
+                for c, k in enumerate(some):
+                    z[:len(terms[k]), c] = terms[k][::way, cut]
+                got = self._outputs(z, d)
+                for c, k in enumerate(some):
+                    logits[:len(terms[k]), c] += got[:len(terms[k]), c][::way]
+            for c, k in enumerate(some):
+                out[k] = logits[:len(terms[k]), c] + self.p["bias"][0] > 0
+            a = b
         return out
 
 
-def labels_of(found: list[tuple[tuple, str, int]]) -> np.ndarray:
+def labels_of(found: list[tuple[Path | tuple, str, int]]) -> np.ndarray:
     """Training labels: in a content container and in no clutter container."""
-    def content(path):
-        names = {t for e in path for t in e}
-        return bool(names & set(CONTENT)) and not names & set(CLUTTER)
-    return np.array([content(p) for p, _, _ in found], np.float32)
+    return np.array([bool(p) and p.content and not p.clutter for p, _, _ in found], np.float32)
 
 
 def _layout(g: np.random.Generator, paragraphs: list[str], others: list[str]) -> str:
@@ -437,11 +539,10 @@ def train(pages: list[str], piece: int = PIECE_BLOCKS) -> Labeller:
     return Labeller().fit([vectors(b) for b in train_on], [labels_of(b) for b in train_on])
 
 
-def main_text(labeller: Labeller, pages: list[str]) -> list[str]:
-    found = [blocks(p) for p in pages]
-    flat = vectors([b for f in found for b in f])
+def main_text(labeller: Labeller, found: list[list[tuple]]) -> list[str]:
+    """Main texts of pages, given as their blocks."""
     ends = np.cumsum([len(f) for f in found])
-    kept = labeller.content(np.split(flat, ends[:-1])) if len(found) else []
+    kept = labeller.decide(np.split(labeller.terms_of([b for f in found for b in f]), ends[:-1]))
     return [" ".join(t for (_, t, _), k in zip(f, keep, strict=True) if k) for f, keep in zip(found, kept, strict=True)]
 
 
@@ -468,10 +569,14 @@ def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
     ship_package(pages.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for a in range(0, b.num_rows, PAGES_AT_ONCE):
-                part = b.slice(a, PAGES_AT_ONCE)
-                texts = main_text(labeller, [h or "" for h in part.column(2).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string())],
-                                                 names=["page_id", "url", "text"])
+            a, found, size = 0, [], 0
+            for k, page in enumerate(b.column(2), 1):
+                found.append(blocks(page.as_py() or ""))
+                size += len(found[-1])
+                if size >= BLOCKS_AT_ONCE or len(found) == PAGES_AT_ONCE or k == b.num_rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column(0).slice(a, k - a), b.column(1).slice(a, k - a), pa.array(main_text(labeller, found), pa.string())],
+                        names=["page_id", "url", "text"])
+                    a, found, size = k, [], 0
     return pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), "html").mapInArrow(
         run, "page_id long, url string, text string")

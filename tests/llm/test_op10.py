@@ -124,3 +124,41 @@ def test_learns_whole_pages(monkeypatch):
     monkeypatch.setattr(ht, "LAYOUTS", 0)
     ht.train(["<article>" + "<p>word</p>" * 450 + "</article>", "<p>x"])
     assert sizes == [[200, 200, 50, 1]]
+
+
+def _in_a_process(code):
+    """Peak MB of a fresh process that runs ``code`` after loading the labeller."""
+    import subprocess
+    import sys
+    out = subprocess.run([sys.executable, "-c", f"""
+import resource, sys
+sys.path.insert(0, {sys.path[0]!r}); sys.path[:0] = {sys.path!r}
+from braid.llm import html_text as ht
+{code}
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)"""], capture_output=True, text=True, timeout=120, check=True).stdout
+    return int(out.split()[-1])
+
+
+def test_long_pages_take_little_memory():
+    """A 1.5 MB page of short blocks, and 20,000 open tags."""
+    assert _in_a_process("""
+page = "<article>" + "<p>ab</p>" * 160_000 + "</article>"
+found = ht.blocks(page)
+assert len(found) == 160_000
+assert len(ht.main_text(ht.Labeller(), [found])) == 1""") < 500
+    assert _in_a_process("""
+for tag in ("div", "span", "p", "ul><li", "b"):
+    found = ht.blocks(f"<{tag}>x " * 20_000)
+    assert " ".join(t for _, t, _ in found).split() == ["x"] * 20_000
+    ht.main_text(ht.Labeller(), [found])
+ht.blocks("<div>" * 20_000 + "</span></p></b>" * 20_000 + "</div>" * 20_000)""") < 500
+
+
+def test_decisions_are_those_of_the_dense_scores(pages):
+    lab = ht.train([h for _, h in pages[:30]])
+    found = [ht.blocks(h) for _, h in pages[30:60]] + [[]]
+    kept = lab.decide([lab.terms_of(f) for f in found])
+    for f, k in zip(found, kept, strict=True):
+        if f:
+            assert (k == (lab.scores([ht.vectors(f)])[:, 0] > 0)).all()
+        assert len(k) == len(f)
