@@ -4,8 +4,10 @@ The neural layers are not trained; the aggregation each head performs is.
 
 Vector sequences: the ``embeddings`` table has one vector per row.  Heads that
 pool over positions (or layers) view ``vec_id div 8`` as the sequence id and
-``vec_id mod 8`` as the position/layer (``SEQ_LEN`` = 8).  Every sequence thus
-has at most 8 members, so per-sequence ``collect_list`` is bounded.
+``vec_id mod 8`` as the position/layer (``SEQ_LEN`` = 8).  Layers (H5, H6) are a fixed number, so
+their ``collect_list`` is bounded.  Pooling over positions (H2, H3) and mixing heads by
+a gate (H8) take any number of members: blocks of ``BLOCK`` members are folded
+into one state, states into one again, until each sequence has one (``folded``).
 
 Linear models (centroids) have ``classes x dim`` parameters.  They are fitted
 with a partial aggregate.  A model of checked size is fetched to the driver
@@ -49,24 +51,65 @@ def pool_first(seqs: DataFrame) -> DataFrame:
     return seqs.groupBy("seq_id").agg(F.min_by("embedding", "pos").alias("pooled"))
 
 
-def pool_max(seqs: DataFrame) -> DataFrame:
-    """H3: element-wise max over positions."""
-    m = _members(seqs)
-    first = F.element_at("m", 1)["embedding"]
-    return m.select("seq_id", F.aggregate(F.col("m"), first, lambda acc, s: F.zip_with(
-        acc, s["embedding"], lambda x, y: F.greatest(x, y))).alias("pooled"))
+# Members folded into one state at a time.
+BLOCK = 64
 
 
-def pool_attention(seqs: DataFrame, w) -> DataFrame:
-    """H2: ``relu(sum_p softmax_p(x_p . w) x_p)``."""
-    wl = ar.lit_vector(w)
-    m = _members(seqs).withColumn("s", F.transform("m", lambda s: ar.dot(s["embedding"], wl)))
-    m = m.withColumn("a", ar.softmax("s"))
-    dim = F.size(F.element_at("m", 1)["embedding"])
-    zero = F.array_repeat(F.lit(0.0), dim)
-    pooled = F.aggregate(F.arrays_zip("m", "a"), zero,
-                         lambda acc, z: ar.add(acc, ar.scale(z["m"]["embedding"], z["a"])))
-    return m.select("seq_id", F.transform(pooled, lambda x: F.greatest(x, F.lit(0.0))).alias("pooled"))
+def folded(members: DataFrame, key: str, merge, block: int = BLOCK) -> DataFrame:
+    """``members`` (``key``, ``state``) merged to one ``state`` per key.  ``merge``: the state of an array of
+    states; it must not matter how they are grouped.  The first round takes neighbouring rows of a partition, later
+    ones deal a key's states out evenly; no group of more than about ``block`` is ever collected."""
+    from ..plans.stages import materialize
+    def states(part: Column | None) -> DataFrame:
+        keys = [key] if part is None else [key, part.alias("_part")]
+        return members.groupBy(*keys).agg(F.collect_list("state").alias("_states")).withColumn("state", merge(F.col("_states"))).drop("_states")
+    largest = members.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    part = F.call_function("div", F.monotonically_increasing_id(), F.lit(block))
+    if largest > block:
+        members = materialize(states(part))
+        largest = members.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    while largest > block:
+        parts = -(-largest // block)
+        members, largest = materialize(states(F.pmod(F.xxhash64("_part"), F.lit(parts)))), parts
+    return states(None)
+
+
+def softmax_state(score, vector) -> Column:
+    """One member of a softmax-weighted sum: the largest score, the sum of exponentials and the weighted vector, both
+    relative to it."""
+    return F.struct(F.col(score).cast("double").alias("top"), F.lit(1.0).alias("total"), F.col(vector).cast("array<double>").alias("vector"))
+
+
+def merge_softmax(states: Column) -> Column:
+    """Online softmax: states brought to their common largest score and added."""
+    def at(top):
+        share = lambda s: F.exp(s["top"] - top)
+        total = F.aggregate(states, F.lit(0.0), lambda a, s: a + s["total"] * share(s))
+        zero = F.transform(F.element_at(states, 1)["vector"], lambda x: F.lit(0.0))
+        vector = F.aggregate(states, zero, lambda a, s: ar.add(a, ar.scale(s["vector"], share(s))))
+        return F.struct(top.alias("top"), total.alias("total"), vector.alias("vector"))
+    return ar.let(F.array_max(F.transform(states, lambda s: s["top"])), at)
+
+
+def softmax_mean(members: DataFrame, key: str, block: int = BLOCK) -> DataFrame:
+    """(``key``, ``mean``): the members' vectors weighted by the softmax of their scores."""
+    got = folded(members, key, merge_softmax, block)
+    return got.select(key, ar.scale(F.col("state.vector"), 1 / F.col("state.total")).alias("mean"))
+
+
+def pool_max(seqs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """H3: element-wise max over positions; members without a vector take no part."""
+    def merge(states):
+        return F.aggregate(states, F.element_at(states, 1), lambda a, x: F.zip_with(a, x, lambda y, z: F.greatest(y, z)))
+    members = seqs.filter("embedding IS NOT NULL").select("seq_id", F.col("embedding").alias("state"))
+    return folded(members, "seq_id", merge, block).select("seq_id", F.col("state").alias("pooled"))
+
+
+def pool_attention(seqs: DataFrame, w, block: int = BLOCK) -> DataFrame:
+    """H2: ``relu(sum_p softmax_p(x_p . w) x_p)`` over any number of positions; members without a vector take no part."""
+    members = seqs.filter("embedding IS NOT NULL").withColumn("_score", ar.dot("embedding", ar.lit_vector(w)))
+    got = softmax_mean(members.select("seq_id", softmax_state("_score", "embedding").alias("state")), "seq_id", block)
+    return got.select("seq_id", F.transform("mean", lambda x: F.greatest(x, F.lit(0.0))).alias("pooled"))
 
 
 def layer_weights(n_layers: int = SEQ_LEN) -> list[float]:
@@ -171,16 +214,12 @@ def ensemble_mean(scores: DataFrame, id_col: str = "seq_id") -> DataFrame:
     return long.groupBy(id_col, "class_idx").agg(F.avg("logit").alias("logit"))
 
 
-def mix_heads(scores: DataFrame, gate_col: str = "gate", id_col: str = "seq_id") -> DataFrame:
+def mix_heads(scores: DataFrame, gate_col: str = "gate", id_col: str = "seq_id", block: int = BLOCK) -> DataFrame:
     """H8: ``softmax(gate)`` over the heads of an id times each head's logits,
-    summed per (id, class).  Heads of one id are its members (bounded)."""
-    g = scores.groupBy(id_col).agg(F.collect_list(F.struct(gate_col, "logits")).alias("h"))
-    g = g.withColumn("a", ar.softmax(F.transform("h", lambda s: s[gate_col])))
-    n_cls = F.size(F.element_at("h", 1)["logits"])
-    zero = F.array_repeat(F.lit(0.0), n_cls)
-    mixed = F.aggregate(F.arrays_zip("h", "a"), zero,
-                        lambda acc, z: ar.add(acc, ar.scale(z["h"]["logits"], z["a"])))
-    return g.select(id_col, mixed.alias("logits"))
+    summed per (id, class), for any number of heads."""
+    members = scores.filter(F.col(gate_col).isNotNull() & F.col("logits").isNotNull()).select(
+        id_col, softmax_state(gate_col, "logits").alias("state"))
+    return softmax_mean(members, id_col, block).select(id_col, F.col("mean").alias("logits"))
 
 
 # --- n-gram features (H4) -------------------------------------------------------

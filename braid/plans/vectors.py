@@ -3,6 +3,8 @@ over the ``embeddings`` table (the ``vec`` task)."""
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +23,9 @@ def centroid_model(v: DataFrame) -> hd.LinearModel:
 
 
 def mean_vector(v: DataFrame) -> list[float]:
-    """Global mean vector (a 1-row partial aggregate) used as attention query."""
-    long = v.select(F.posexplode("embedding").alias("dim", "x"))
-    rows = long.groupBy("dim").agg(F.avg("x").alias("m")).collect()
-    return [r["m"] for r in sorted(rows, key=lambda r: r["dim"])]
+    """Global mean vector (one partial aggregate of whole vectors) used as attention query."""
+    row = v.agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("embedding")))).alias("m")).first()
+    return row["m"] or []
 
 
 def long_vec(df: DataFrame, id_col: str, col: str = "pooled", name: str = "v") -> DataFrame:
