@@ -1,8 +1,8 @@
 """Seeded shuffles, fixed-size batches, lockstep zip and positional ids
 (E2, E3, E10, C2).
 
-Positions inside a (task, split) are exact global ranks computed with the
-two-stage bucketed rank (``plans.ranking``), so no group is ever ranked in a
+Positions inside a (task, split) are exact global ranks (``plans.ranking``): shuffled rows
+are bucketed by their md5 key, rows in id order are sorted into sampled ranges, so no group is ever ranked in a
 single task.  Batches are then a pure column expression.
 """
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import SPLIT_SEED, TASKS
-from ..plans.ranking import hex_bucket, quantile_bucket, two_stage_rank
+from ..plans.ranking import hex_bucket, range_rank, two_stage_rank
 from .common import order_key
 
 
@@ -28,7 +28,7 @@ def positions(df: DataFrame, part_cols=("task", "split"), seed: int = SPLIT_SEED
     if shuffled:
         k = shuffle_order(df, seed, epoch)
         return two_stage_rank(k, part_cols, ["_key", "id"], hex_bucket("_key"), out).drop("_key")
-    return two_stage_rank(quantile_bucket(df, part_cols, "id"), part_cols, ["id"], out=out)
+    return range_rank(df, part_cols, ["id"], out)
 
 
 def assign_batches(splits: DataFrame, plan: DataFrame, seed: int = SPLIT_SEED, epoch: int = 1) -> DataFrame:

@@ -37,22 +37,17 @@ def all_tokens(df: DataFrame) -> Column:
     return F.concat(F.col("tokens_a"), F.coalesce(F.col("tokens_b"), F.array().cast("array<string>")))
 
 
-# Tokens with fewer occurrences are many per count and bucketed by their first letters too.
-RARE = 64
-
-
 def build_vocab(splits: DataFrame, max_size: int | None = None, min_count: int = 1,
                 split: str = "train") -> DataFrame:
     """(token, n, token_id); ids 0-3 are [PAD] [UNK] [CLS] [SEP], corpus
     tokens follow by count desc, token asc -- all of them, or the first
     ``max_size``."""
-    from ..plans.ranking import two_stage_rank
+    from ..plans.ranking import range_rank
+    from ..plans.stages import materialize
     src = token_table(splits.filter(F.col("split") == split) if split else splits)
     toks = src.select(F.explode(all_tokens(src)).alias("token"))
     counts = toks.groupBy("token").agg(F.count(F.lit(1)).cast("bigint").alias("n")).filter(F.col("n") >= min_count)
-    start = F.when(F.col("n") < RARE, F.substring("token", 1, 2)).otherwise("")
-    ranked = two_stage_rank(counts, [], [F.col("n").desc(), "token"],
-                            F.struct((-F.col("n")).alias("n"), start.alias("start")), "_rank")
+    ranked = range_rank(materialize(counts), [], [F.col("n").desc(), "token"], "_rank")
     if max_size is not None:
         ranked = ranked.filter(F.col("_rank") <= max_size)
     ranked = ranked.select("token", "n", (F.col("_rank") + len(SPECIAL_TOKENS) - 1).cast("int").alias("token_id"))

@@ -7,6 +7,10 @@ monotone in the order -- ranks rows locally inside (group, bucket), counts the
 buckets, and adds the running count of earlier buckets.  The result equals the
 plain window.
 
+Where the order has no such prefix (a count and a token, an id), ``range_rank`` takes
+split points sampled from the order itself: rows are sorted into ranges, and a row's rank is
+its place in its range plus the rows of its group in earlier ranges.
+
 The bucket-offset table has at most ``groups x buckets`` rows; ``groups`` is
 bounded by configuration (tasks x splits or tasks x labels) and ``buckets`` by
 the prefix length, so it is broadcast after a size check.
@@ -62,3 +66,25 @@ def two_stage_rank(df: DataFrame, part_cols, order_cols, bucket: Column | None =
     return (local.join(checked_broadcast(offsets), [*part_cols, "_bkt"])
             .withColumn(out, (F.col("_off") + F.col("_lrn")).cast("bigint"))
             .drop("_bkt", "_off", "_lrn"))
+
+
+def in_ranges(df: DataFrame, keys) -> DataFrame:
+    """``df`` sorted by ``keys`` over all partitions (split points are sampled, so ranges are even whatever the
+    keys share) and stored, with ``_at``: the range in the upper bits, the place in it in the lower 33."""
+    from .stages import materialize
+    keys = list(keys)
+    return materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+
+
+def range_rank(df: DataFrame, part_cols, order_cols, out: str = "rank") -> DataFrame:
+    """Add ``out`` = 1-based rank of each row within ``part_cols`` (not null) by ``order_cols``, which may mix directions and
+    must be unique in a group.  ``df`` is read twice (for the sample, and sorted): give a stored one."""
+    part_cols = list(part_cols)
+    placed = in_ranges(df, [*part_cols, *order_cols]).withColumn("_rng", F.shiftright("_at", 33))
+    runs = placed.groupBy(*part_cols, "_rng").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # One row per group and range.
+    earlier = Window.partitionBy(*part_cols).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_off", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return (placed.join(checked_broadcast(runs), [*part_cols, "_rng"])
+            .withColumn(out, (F.col("_off") + F.col("_at") - F.col("_first") + 1).cast("bigint"))
+            .select(*df.columns, out))

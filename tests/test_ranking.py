@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from braid.operators.common import checked_broadcast, order_key
-from braid.plans.ranking import hex_bucket, quantile_bucket, two_stage_rank
+from braid.plans.ranking import hex_bucket, in_ranges, quantile_bucket, range_rank, two_stage_rank
 
 
 def test_two_stage_rank_equals_window(spark):
@@ -48,3 +48,24 @@ def test_checked_broadcast_checks_rows_and_bytes(spark):
     for limit in (5, 1000):
         assert spark.range(100).join(checked_broadcast(small, max_rows=limit), "id").count() == 100
     assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_range_rank_equals_window(spark):
+    from pyspark.sql import Window
+    df = spark.range(5000).select((F.col("id") % 3).cast("string").alias("grp"), (F.col("id") * 7919 % 101).alias("n"), F.col("id").alias("t"))
+    order = [F.col("n").desc(), "t"]
+    for part in ([], ["grp"]):
+        want = df.withColumn("r", F.row_number().over(Window.partitionBy(*part).orderBy(*order)).cast("bigint"))
+        assert sorted(range_rank(df, part, order, "r").collect()) == sorted(want.collect())
+    assert range_rank(df.limit(0), ["grp"], ["t"], "r").collect() == []
+
+
+def test_ranges_stay_even_under_a_shared_prefix(spark):
+    """A vocabulary of rare tokens that all begin alike."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tokens = spark.range(0, 60_000, 1, 4).select(F.format_string("prefix%09d", F.col("id") * 104729 % 60_000).alias("token"), F.lit(1).alias("n"))
+        sizes = [r["count"] for r in in_ranges(tokens, [F.col("n").desc(), "token"]).groupBy(F.shiftright("_at", 33)).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(sizes) == 8 and max(sizes) < 2 * sum(sizes) / len(sizes)
