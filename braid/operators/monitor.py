@@ -127,7 +127,7 @@ def resume_point(step_log: DataFrame) -> DataFrame:
 
 
 def format_progress(best: DataFrame, tasks) -> DataFrame:
-    """One progress line per evaluation with all its fields."""
+    """One progress line per evaluation; the fields, their names and order are a fixed output format."""
     pct = "%.2f%%"
     per = lambda kind: ", ".join(f"{t}_{kind}_f1:{pct}" for t in tasks)
     line = (f"ITER:%d, TRAIN_LOSS:%.3f, TRAIN_F1:{pct}, {per('train')}, "
@@ -136,3 +136,15 @@ def format_progress(best: DataFrame, tasks) -> DataFrame:
     return best.select("run_id", "epoch", "step", F.format_string(
         line, F.col("step"), F.col("train_loss"), hundred("train_f1"), *[hundred(f"{t}_train_f1") for t in tasks],
         F.col("dev_loss"), hundred("dev_f1"), *[hundred(f"{t}_dev_f1") for t in tasks], F.col("flag")).alias("line"))
+
+
+def append_log(lines: DataFrame, path: str) -> None:
+    """Appends progress lines to the log table at ``path``.  An evaluation has a folder of its own, so one that is
+    written again replaces itself and no line doubles."""
+    (lines.select("run_id", "epoch", "step", "line").repartition("run_id", "epoch", "step").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "epoch", "step").parquet(path))
+
+
+def read_log(spark, path: str) -> DataFrame:
+    """The log table of ``append_log``."""
+    return spark.read.schema("line string, run_id string, epoch bigint, step bigint").parquet(path).select("run_id", "epoch", "step", "line")

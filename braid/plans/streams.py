@@ -32,7 +32,7 @@ def _streamed_confusion(spark, sf_dir):
         metrics = rs.scratch(spark, "k1-metrics")
         preds.write.parquet(src)
         rs.run_running_confusion(spark, src, preds.schema, out, ck, FILES_PER_TRIGGER, metrics)
-        return spark.read.parquet(out), spark.read.parquet(metrics)
+        return rs.current(spark, out), rs.current(spark, metrics)
     return stage(spark, sf_dir, "k1", build)
 
 

@@ -377,8 +377,13 @@ def resume_point(spark, sf_dir):
 
 
 def progress_log(spark, sf_dir):
+    """The progress lines as the log table has them, after a writer that ran twice."""
+    from ..streaming.running import scratch
     _, b = _best(_t(spark, sf_dir))
-    return mo.format_progress(b, TASK_NAMES)
+    lines, path = mo.format_progress(b, TASK_NAMES), scratch(spark, "progress")
+    mo.append_log(lines.filter("epoch = 1"), path)
+    mo.append_log(lines, path)
+    return mo.read_log(spark, path)
 
 
 def focal_alpha(spark, sf_dir):

@@ -1,9 +1,11 @@
 """Structured Streaming forms of the training-loop monitors (K1, K2).
 
 K1 keeps a running per-task confusion table as prediction rows arrive: a
-streaming aggregate (state per (task, split, label, prediction) cell) written
-in complete mode; every micro-batch overwrites the result tables via
-``foreachBatch``: the confusion, and accuracy and macro-F1 derived from it.
+streaming aggregate (state per (task, split, label, prediction) cell) in
+update mode.  Every micro-batch hands over the cells that changed; they are merged by key
+into the table of the version before, and the result is written as the version of
+the batch id, with accuracy and macro-F1 derived from it.  A batch that runs again writes the
+same version again, and a reader takes the last version that is complete, so nobody sees half a table.
 The final state equals the batch confusion (D8) and metrics (D9, D10).
 
 K2 scores arriving vectors with a fitted linear head: a stateless
@@ -56,6 +58,34 @@ def _files(reader, files_per_trigger: int | None):
     return reader if files_per_trigger is None else reader.option("maxFilesPerTrigger", files_per_trigger)
 
 
+CELL = ("task", "split", "label_idx", "pred_idx")
+
+
+def versions(spark: SparkSession, out_dir: str) -> list[int]:
+    """Complete versions of a table that is written batch by batch."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out_dir}/v=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName()[2:]) for f in found)
+
+
+def current(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The last complete version."""
+    return spark.read.parquet(f"{out_dir}/v={versions(spark, out_dir)[-1]}")
+
+
+def merge_changed(changed: DataFrame, out_dir: str, batch: int, keys=CELL) -> DataFrame:
+    """Writes version ``batch``: the ``changed`` rows, and those of the version before with other keys."""
+    spark = changed.sparkSession
+    earlier = [v for v in versions(spark, out_dir) if v < batch]
+    merged = changed
+    if earlier:
+        before = spark.read.schema(changed.schema).parquet(f"{out_dir}/v={earlier[-1]}")
+        merged = changed.unionByName(before.join(changed.select(*keys), list(keys), "left_anti"))
+    path = f"{out_dir}/v={batch}"
+    merged.write.mode("overwrite").parquet(path)
+    return spark.read.schema(changed.schema).parquet(path)
+
+
 def run_running_confusion(spark: SparkSession, source_dir: str, schema, out_dir: str, ckpt_dir: str,
                           files_per_trigger: int | None = None, metrics_dir: str | None = None) -> None:
     """Drive K1 over ``source_dir`` until all files are processed."""
@@ -65,13 +95,14 @@ def run_running_confusion(spark: SparkSession, source_dir: str, schema, out_dir:
     own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
     stream = _files(own.readStream.schema(schema), files_per_trigger).parquet(source_dir)
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
+    def sink(batch: DataFrame, number: int) -> None:
+        changed = batch.persist()  # the state is asked once
+        done = merge_changed(changed, out_dir, number)
         if metrics_dir:
-            done = batch.sparkSession.read.schema(batch.schema).parquet(out_dir)
-            confusion_metrics(done).write.mode("overwrite").parquet(metrics_dir)
+            confusion_metrics(done).write.mode("overwrite").parquet(f"{metrics_dir}/v={number}")
+        changed.unpersist()
 
-    q = (running_confusion(stream).writeStream.outputMode("complete").foreachBatch(sink)
+    q = (running_confusion(stream).writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", ckpt_dir).trigger(availableNow=True).start())
     q.awaitTermination()
 
