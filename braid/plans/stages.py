@@ -17,14 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 _MEMO: dict[tuple, object] = {}
-# Tables the stages are built from; a new file in one of them makes a new stage.
+# Tables the stages are built from; a changed one (in number, bytes or time of its files) makes a new stage.
 _INPUTS = ("documents", "labels", "conversations", "benchmark", "embeddings")
 
 
+def table_state(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """(files, bytes, last change) below ``path`` as its file system knows them; no file names come to the driver."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = fs.getContentSummary(p)
+    return held.getFileCount(), held.getLength(), fs.getFileStatus(p).getModificationTime()
+
+
 def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
     root = sf_dir.rstrip("/")
-    files = frozenset(f for t in _INPUTS for f in spark.read.parquet(f"{root}/{t}.parquet").inputFiles())
-    return (spark.sparkContext.applicationId, root, name, files)
+    return (spark.sparkContext.applicationId, root, name,
+            *(table_state(spark, f"{root}/{t}.parquet") for t in _INPUTS))
 
 
 def stage(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], object]):
