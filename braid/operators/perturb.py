@@ -82,12 +82,22 @@ def uniform(*parts) -> Column:
 
 
 def gather_sequences(df: DataFrame) -> DataFrame:
-    """Members of each sequence (``vec_id div 8``), sorted by position.  A
-    column ``mask`` (1 real, 0 padding) is carried; without it all are real."""
-    mask = F.col("mask").cast("double") if "mask" in df.columns else F.lit(1.0)
-    s = df.select(F.floor(F.col("vec_id") / SEQ_LEN).cast("bigint").alias("seq_id"), "vec_id", "x", "y_idx",
-                  mask.alias("mask"))
-    return s.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x", "y_idx", "mask"))).alias("m"))
+    """Members of each sequence (``vec_id div 8``), sorted by position, with their ``mask`` (1 real, 0 padding).
+
+    What is padding comes from the data: a member without a vector or a label, with a null in the vector, or with fewer
+    dimensions than the sequence's other vectors is kept as a position but takes no part; a missing position is none.  A column
+    ``mask`` may name more.  Sequences without a real member have no row."""
+    given = F.col("mask").cast("double") if "mask" in df.columns else F.lit(1.0)
+    whole = F.col("x").isNotNull() & F.col("y_idx").isNotNull() & ~F.coalesce(F.exists("x", lambda v: v.isNull()), F.lit(True))
+    s = df.select(F.floor(F.col("vec_id") / SEQ_LEN).cast("bigint").alias("seq_id"), "vec_id", "x", F.coalesce("y_idx", F.lit(0)).alias("y_idx"),
+                  F.coalesce(given, F.lit(0.0)).alias("mask"), whole.alias("whole"))
+    m = s.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("vec_id", "x", "y_idx", "mask", "whole"))).alias("m"),
+                                F.max(F.when(F.col("whole"), F.size("x"))).alias("_dim"))
+    real = lambda e: e["whole"] & (F.size(e["x"]) == F.col("_dim"))
+    m = m.withColumn("m", F.transform("m", lambda e: F.struct(
+        e["vec_id"].alias("vec_id"), F.when(real(e), e["x"]).otherwise(F.array_repeat(F.lit(0.0), F.col("_dim"))).alias("x"),
+        e["y_idx"].alias("y_idx"), F.when(real(e), e["mask"]).otherwise(0.0).alias("mask"), real(e).alias("whole"))))
+    return m.filter(F.exists("m", lambda e: e["mask"] > 0)).drop("_dim")
 
 
 def freelb_init(seqs: DataFrame, init_mag: float, seed: int = SPLIT_SEED) -> DataFrame:
@@ -141,8 +151,8 @@ def freelb(df: DataFrame, model: LinearModel, params=FREELB["quality"], seed: in
 
 
 def freelb_rows(seqs: DataFrame) -> DataFrame:
-    """Back to one row per vector with ``x_adv = x + delta``."""
-    z = seqs.select("seq_id", F.explode(F.arrays_zip("m", "d")).alias("z"))
+    """Back to one row per vector with ``x_adv = x + delta`` (a masked one is as it was; members without a whole vector have none)."""
+    z = seqs.select("seq_id", F.explode(F.arrays_zip("m", "d")).alias("z")).filter("z.m.whole")
     return z.select(F.col("z.m.vec_id").alias("vec_id"), F.col("z.m.x").alias("x"),
                     F.col("z.m.y_idx").alias("y_idx"), ar.add(F.col("z.m.x"), F.col("z.d")).alias("x_adv"))
 

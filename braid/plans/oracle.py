@@ -711,10 +711,9 @@ X{i + 1} AS (SELECT o.vec_id, o.dim, o.v + (s.v - o.v) * CASE WHEN r.rn > {eps}
     return ",\n".join(parts)
 
 
-def _freelb_start(init: float, masked: bool, tag: str) -> str:
-    real = "CASE WHEN vec_id % 8 = 7 AND (vec_id // 8) % 2 = 1 THEN 0.0 ELSE 1.0 END" if masked else "1.0"
+def _freelb_start(init: float, tag: str) -> str:
     return f"""
-mem{tag} AS (SELECT vec_id // 8 AS seq_id, vec_id, {real} AS real, sum({real}) OVER (PARTITION BY vec_id // 8) AS nm FROM ylab),
+mem{tag} AS (SELECT vec_id // 8 AS seq_id, vec_id, 1.0 AS real, count(*) OVER (PARTITION BY vec_id // 8) AS nm FROM ylab),
 D{tag}0 AS (SELECT x.vec_id, x.dim,
               m.real * ((('0x' || substr(md5(x.vec_id::VARCHAR || '|' || x.dim::VARCHAR || '|2020'), 1, 8))::BIGINT
                 / 4294967295.0) * 2 - 1) * {init} / sqrt(m.nm * 64) AS d
@@ -722,8 +721,8 @@ D{tag}0 AS (SELECT x.vec_id, x.dim,
 
 
 def _freelb_chain(init: float = 1.0, steps: int = 3, lr: float = 0.1, max_norm: float = 0.6,
-                  masked: bool = False, tag: str = "f") -> str:
-    parts = [_freelb_start(init, masked, tag)]
+                  tag: str = "f") -> str:
+    parts = [_freelb_start(init, tag)]
     for a in range(steps):
         parts.append(f"""
 XA{tag}{a} AS (SELECT x.vec_id, x.dim, x.v + d.d AS v FROM X0 x JOIN D{tag}{a} d ON x.vec_id = d.vec_id AND x.dim = d.dim)""".strip())
@@ -766,10 +765,10 @@ SELECT x.vec_id, x.dim::BIGINT AS dim, round(x.v + CASE WHEN n.n > 0 THEN 1.0 *
 FROM X0 x JOIN G0 g ON x.vec_id = g.vec_id AND x.dim = g.dim, NF n"""
     q["pgd"] = head + ", " + _pgd_chain() + """
 SELECT vec_id, dim::BIGINT AS dim, round(v, 6) AS x_adv FROM X3"""
-    q["freelb_init"] = head + ", " + _freelb_start(1.0, False, "f") + """
+    q["freelb_init"] = head + ", " + _freelb_start(1.0, "f") + """
 SELECT vec_id, dim::BIGINT AS dim, round(d, 6) AS delta FROM Df0"""
     presets = {"quality": (1.0, 0.1, 0.6, "fq"), "turns": (0.08, 0.04, 0.0, "ft"), "lang": (1.0, 0.1, 0.6, "fl")}
-    q["freelb"] = head + ", " + ",\n".join(_freelb_chain(init, 3, lr, most, True, tag)
+    q["freelb"] = head + ", " + ",\n".join(_freelb_chain(init, 3, lr, most, tag)
                                            for init, lr, most, tag in presets.values()) + " UNION ALL ".join(
         _freelb_rows(name, tag) for name, (_, _, _, tag) in presets.items())
     fg = """

@@ -54,12 +54,10 @@ def freelb_init(spark, sf_dir):
 
 
 def freelb(spark, sf_dir):
-    """All presets; the last position of every second sequence is padding."""
+    """All presets, over every vector; padding is what the data lack."""
     from ..config import FREELB
     r = Robust.get(spark, sf_dir)
-    padding = (F.pmod("vec_id", F.lit(8)) == 7) & (F.pmod(F.floor(F.col("vec_id") / 8), F.lit(2)) == 1)
-    rows = r.rows.withColumn("mask", F.when(padding, 0).otherwise(1))
-    parts = [pt.freelb(rows, r.model, params).select(
+    parts = [pt.freelb(r.rows, r.model, params).select(
         F.lit(name).alias("preset"), "seq_id", r6("delta_norm").alias("delta_norm"), r6("adv_loss").alias("adv_loss"))
         for name, params in FREELB.items()]
     out = parts[0]

@@ -221,3 +221,18 @@ def test_checkpoint_folder_must_be_shared(monkeypatch):
         sparkContext = Context()
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Session())
+
+
+def test_freelb_masks_come_from_the_data(spark):
+    """Members without a vector or a label, or with part of a vector, are padding; missing positions are none."""
+    model = hd.LinearModel([0, 1], [[1.0, 0.0], [0.0, 1.0]], [0.0, 0.0])
+    schema = "vec_id bigint, x array<double>, y_idx int"
+    whole = [(0, [1.0, 2.0], 0), (1, [3.0, -1.0], 1), (3, [0.5, 0.5], 0), (8, [2.0, 2.0], 1)]
+    holes = [(2, None, 1), (4, [1.0, None], 0), (5, [9.0, 9.0], None), (6, [7.0], 1), (16, None, 0)]
+    keep = lambda d: d
+    rows = [pt.freelb(spark.createDataFrame(r, schema), model, keep=keep).select("seq_id", "delta_norm", "adv_loss").orderBy("seq_id").collect()
+            for r in (whole, whole + holes)]
+    assert [r.seq_id for r in rows[0]] == [0, 1]
+    assert [x for r in rows[0] for x in r] == pytest.approx([x for r in rows[1] for x in r])
+    back = pt.freelb_rows(pt.freelb(spark.createDataFrame(whole + holes, schema), model, keep=keep)).collect()
+    assert sorted(r.vec_id for r in back) == [0, 1, 3, 8] and all(None not in r.x_adv for r in back)
