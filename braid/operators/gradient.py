@@ -6,9 +6,9 @@ token counts divided by their Euclidean norm.
 
 Training goes in blocks of steps, one per evaluation.  A block is one pass over its rows, of all tasks at
 once: each row is scored by the heads as they stand (that is its train loss), and the rows' gradients are added up per
-partition, then merged by (task, slot).  A head moves by its last move times ``MOMENTUM`` less ``RATE`` times the mean gradient;
+partition, then merged by (task, run of slots).  A head moves by its last move times ``MOMENTUM`` less ``RATE`` times the mean gradient;
 heads and moves are stored, so every evaluation's heads can be read again and training can go on from the last.  The pass of a block also scores
-the evaluation rows.  Documents are not shuffled; what is are sparse gradients, at most tasks x slots rows per partition.
+the evaluation rows.  Documents are not shuffled; what is are the partitions' gradients, runs of slots that none of its rows has left out.
 
 The heads are bounded (``MAX_CELLS`` numbers; with very many labels there are fewer slots), so they are broadcast
 to the pass.  It is Arrow batches through numpy: a row's logits and its share in the gradient are matrix products.
@@ -32,6 +32,8 @@ FEATURES, MAX_CELLS = 1 << 14, 4_000_000
 RATE, MOMENTUM = 2.0, 0.7
 # Products of features and classes held at a time by a task.
 AT_ONCE = 1 << 20
+# Numbers in a row of gradients.
+ROW_CELLS = 4096
 
 PASS = ("kind string, task string, split string, id long, label_idx int, epoch long, step long, "
         "logits array<double>, slot int, grad array<double>")
@@ -75,6 +77,11 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def run_of(classes: int) -> int:
+    """Slots whose gradients are one row: about ``ROW_CELLS`` numbers."""
+    return max(1, ROW_CELLS // classes)
+
+
 def add_gradient(grad: np.ndarray, logits: np.ndarray, label: np.ndarray, start: np.ndarray, slot: np.ndarray, value: np.ndarray) -> None:
     """Adds the cross-entropy gradient of some rows to ``grad`` (slots and the bias x classes)."""
     miss = softmax(logits)
@@ -122,9 +129,11 @@ class Pass:
                         seen[task] = seen.get(task, 0) + int(train.sum())
                     a = b
         for task, g in grads.items():
-            some = np.flatnonzero(g.any(axis=1))
-            flat = pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * g.shape[1], pa.array(g[some].ravel()))
-            yield rows(len(some), kind=pa.repeat("grad", len(some)), task=pa.repeat(task, len(some)), slot=pa.array(some, pa.int32()), grad=flat)
+            runs = run_of(g.shape[1])
+            starts = [a for a in range(0, len(g), runs) if g[a:a + runs].any()]
+            parts = [g[a:a + runs].ravel() for a in starts]
+            flat = pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)], dtype=np.int32), pa.array(np.concatenate([*parts, np.empty(0)])))
+            yield rows(len(starts), kind=pa.repeat("grad", len(starts)), task=pa.repeat(task, len(starts)), slot=pa.array(starts, pa.int32()), grad=flat)
             yield rows(1, kind=pa.array(["grad"]), task=pa.array([task]), slot=pa.array([-1], pa.int32()), grad=pa.array([[float(seen[task])]]))
 
 
@@ -137,7 +146,7 @@ def scored(rows: DataFrame, heads: dict[str, np.ndarray]) -> DataFrame:
 
 
 def mean_gradient(passed: DataFrame, classes: dict[str, int], slots: int) -> dict[str, np.ndarray]:
-    """The gradients of a pass merged by (task, slot), divided by the task's rows; fetched, as their size is that of the heads."""
+    """The gradients of a pass merged by (task, run of slots), divided by the task's rows; fetched, as their size is that of the heads."""
     grads = passed.filter("kind = 'grad'").select("task", "slot", array_to_vector(F.col("grad")).alias("g"))
     got = grads.groupBy("task", "slot").agg(vector_to_array(Summarizer.sum(F.col("g"))).alias("g")).toArrow()
     out = {t: np.zeros((slots + 1, n)) for t, n in classes.items()}
@@ -145,9 +154,9 @@ def mean_gradient(passed: DataFrame, classes: dict[str, int], slots: int) -> dic
         mine = got.filter(pc.equal(got["task"], task))
         rows = mine.filter(pc.less(mine["slot"], 0))["g"].to_pylist()
         cells = mine.filter(pc.greater_equal(mine["slot"], 0))
-        if rows and cells.num_rows:
-            g = cells["g"].combine_chunks().flatten().to_numpy().reshape(cells.num_rows, -1)
-            out[task][cells["slot"].to_numpy()] = g / rows[0][0]
+        for slot, g in zip(cells["slot"].to_pylist(), cells["g"], strict=True):
+            g = g.values.to_numpy().reshape(-1, classes[task])
+            out[task][slot:slot + len(g)] = g / rows[0][0]
     return out
 
 
