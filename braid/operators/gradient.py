@@ -169,7 +169,7 @@ def state_table(spark: SparkSession, heads: dict[str, np.ndarray], moves: dict[s
         parts.append(pa.table({"task": pa.repeat(task, len(some)), "slot": pa.array(some, pa.int32()),
                                **{n: pa.ListArray.from_arrays(edge, pa.array(x[some].ravel())) for n, x in (("weights", w), ("move", moves[task]))}}))
     schema = "task string, slot int, weights array<double>, move array<double>"
-    return spark.createDataFrame(pa.concat_tables(parts), schema) if parts else spark.createDataFrame([], schema)
+    return spark.createDataFrame(pa.concat_tables(parts), schema).coalesce(1) if parts else spark.createDataFrame([], schema)
 
 
 def fetched(state: DataFrame, classes: dict[str, int], slots: int, column: str = "weights") -> dict[str, np.ndarray]:
