@@ -105,8 +105,9 @@ def freelb_init(seqs: DataFrame, init_mag: float, seed: int = SPLIT_SEED) -> Dat
     ``len`` being the number of real members of the sequence."""
     dim = F.size(F.element_at("m", 1)["x"])
     mag = F.lit(init_mag) / F.sqrt(ar.total(F.col("m")["mask"]) * dim)
-    return seqs.withColumn("d", F.transform("m", lambda s: F.transform(
-        F.sequence(F.lit(0), F.size(s["x"]) - 1), lambda j: uniform(s["vec_id"], j, seed) * mag * s["mask"])))
+    # ``mag`` is named once: inside the functions of the elements it would be computed for each of them.
+    return seqs.withColumn("d", ar.let(mag, lambda by: F.transform("m", lambda s: F.transform(
+        F.sequence(F.lit(0), F.size(s["x"]) - 1), lambda j: uniform(s["vec_id"], j, seed) * by * s["mask"]))))
 
 
 def _loss(model: LinearModel) -> Column:
@@ -128,13 +129,13 @@ def _ascend(seqs: DataFrame, model: LinearModel, lr: float, radius: float) -> Da
     grad = F.transform(F.arrays_zip("m", "d"), lambda z: ar.scale(
         model.grad(ar.add(z["m"]["x"], z["d"]), z["m"]["y_idx"]), z["m"]["mask"]))
     by = F.lit(lr) / F.greatest(_norm("_g"), F.lit(FREELB_NORM_FLOOR))
-    moved = seqs.withColumn("_g", grad).withColumn("_by", by).withColumn(
-        "d", F.zip_with("d", "_g", lambda e, g: F.zip_with(e, g, lambda p, q: p + q * F.col("_by"))))
+    # The norm is named once: as a column used by the innermost function it was computed again for every number of a sequence.
+    moved = seqs.withColumn("_g", grad).withColumn("d", ar.let(by, lambda b: F.zip_with(
+        "d", "_g", lambda e, g: F.zip_with(e, g, lambda p, q: p + q * b))))
     if radius > 0:
-        moved = moved.withColumn("_n", _norm("d")).withColumn("d", F.when(
-            F.col("_n") > radius, F.transform("d", lambda e: F.transform(e, lambda p: p * radius / F.col("_n"))))
-            .otherwise(F.col("d")))
-    return moved.drop("_g", "_by", "_n")
+        moved = moved.withColumn("d", ar.let(_norm("d"), lambda n: F.when(
+            n > radius, F.transform("d", lambda e: F.transform(e, lambda p: p * radius / n))).otherwise(F.col("d"))))
+    return moved.drop("_g")
 
 
 def freelb(df: DataFrame, model: LinearModel, params=FREELB["quality"], seed: int = SPLIT_SEED,
