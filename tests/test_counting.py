@@ -64,8 +64,9 @@ def test_vocabulary_of_counted_rows(spark):
     assert same[0] == same[1]
 
 
-def test_rare_ids_travel_and_come_back(spark, monkeypatch):
-    rows = spark.createDataFrame(DATA, ROWS)
+@pytest.mark.parametrize("some", ["id IS NOT NULL", "true"])
+def test_rare_ids_travel_and_come_back(spark, monkeypatch, some):
+    rows = spark.createDataFrame(DATA, ROWS).filter(some)
     vocab = fe.build_vocab(rows.filter("id <> 3")).cache()  # the tokens of row 3 are unknown
     want = {str(r) for r in fe.encode(rows, vocab).collect()}
     for hot in (0, 5, 6):
