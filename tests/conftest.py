@@ -15,3 +15,11 @@ def spark():
     s = build_session(master="local[*]", partitions=8, app="braid-tests")
     yield s
     s.stop()
+
+
+@pytest.fixture(autouse=True)
+def _own_cache(request):
+    """What a test caches goes with it: others look at what is persisted."""
+    yield
+    if "spark" in request.fixturenames:
+        request.getfixturevalue("spark").catalog.clearCache()
